@@ -6,7 +6,49 @@ lists of the two procedural rules.
 
 from __future__ import annotations
 
-from codewarden.catalog.model import Rule
+from codewarden.catalog.model import Check, Rule
+from codewarden.functions.text import java, mark_first_line, mark_lines, quoted
+
+
+DEFAULT_ACTIVE = ("no-hardcoded-secrets", "no-eval", "no-innerHTML", "license-compliance")
+
+# license-compliance
+LICENSE_EXTENSIONS = (".ts", ".js", ".tsx", ".jsx", ".py", ".java", ".cs", ".go", ".rs")
+LICENSE_SKIPPED_DIRS = ("coverage", "lcov-report", "node_modules", "dist", "build", ".next", "out",
+                        "vendor", "__mocks__", "__tests__")
+LICENSE_SKIPPED_FILES = r"""\.(test|spec)\.(ts|js|tsx|jsx)$"""
+LICENSE_WORDS = r"""(?:MIT|Apache|GPL|BSD|LGPL|MPL|ISC|copyright|SPDX-License-Identifier)"""
+LICENSE_HEADER_CHARS = 500
+
+# no-async-without-await
+ASYNC_FILES = r"""\.(ts|js|tsx|jsx)$"""
+ASYNC_LINE = r"""async\s+function|async\s+\(|async\s+\w+\s*="""
+AWAIT_WORD = r"""\bawait\b|Promise"""
+ASYNC_FRAME_LINES = 20
+
+
+def _license_check() -> Check:
+    """Source files whose first characters name no license."""
+    suffix = " OR ".join(f"endswith(file_path, {quoted(e)})" for e in LICENSE_EXTENSIONS)
+    skipped = ", ".join(quoted(d) for d in LICENSE_SKIPPED_DIRS)
+    return Check(
+        gate=(f"({suffix})"
+              f" AND NOT arrays_overlap(split(replace(file_path, '\\\\', '/'), '/'), array({skipped}))"
+              f" AND NOT file_path RLIKE {quoted(java(LICENSE_SKIPPED_FILES))}"
+              f" AND NOT left(code, {LICENSE_HEADER_CHARS}) RLIKE {quoted(java(LICENSE_WORDS, 'i'))}"),
+        marked=mark_first_line(),
+        raw_snippet=True,
+    )
+
+
+def _async_check() -> Check:
+    """Async lines with no await in the frame that starts with them."""
+    return Check(
+        gate=f"file_path RLIKE {quoted(java(ASYNC_FILES))}",
+        marked=mark_lines(
+            f"line RLIKE {quoted(java(ASYNC_LINE))} AND NOT exists(slice(lines, i + 1, {ASYNC_FRAME_LINES}),"
+            f" x -> x RLIKE {quoted(java(AWAIT_WORD))})"),
+    )
 
 
 def _p(rule_id, title, severity, flags, needs, pattern, description, check=None):
@@ -34,7 +76,7 @@ POLICY_RULES: tuple[Rule, ...] = (
        r"""console\.(log|warn|error|info|debug)\s*\(""",
        "Console output must not ship."),
     _p("license-compliance", "License Header Required", "medium", "", (), None,
-       "The file carries no license header.", check="license_header"),
+       "The file carries no license header.", check=_license_check()),
     _p("no-http-external", "No HTTP for External URLs", "medium", "g",
        ("http://",),
        r"""['"`]http:\/\/(?!localhost|127\.0\.0\.1|0\.0\.0\.0|www\.w3\.org|schemas?\.|xml\.)[^'"`]+['"`]""",
@@ -44,7 +86,7 @@ POLICY_RULES: tuple[Rule, ...] = (
        r""":\s*any\b|\bas\s+any\b""",
        "The any type switches type checking off."),
     _p("no-async-without-await", "Async Functions Must Use await", "low", "", ("async",), None,
-       "This async function seems to await nothing.", check="async_without_await"),
+       "This async function seems to await nothing.", check=_async_check()),
     _p("gdpr-personal-data-logging", "GDPR: No Personal Data in Logs", "high", "gi",
        ("console.",),
        r"""console\.[a-z]+\([^)]*(?:email|phone|ssn|passport|dob|birthdate|address|creditcard)[^)]*\)""",
@@ -70,19 +112,3 @@ POLICY_RULES: tuple[Rule, ...] = (
        r"""(?:(?:createHash|hashlib\.new|MessageDigest\.getInstance)\s*\(\s*['"`](?:md5|sha1|sha-1)['"`]|\bhashlib\.(?:md5|sha1)\s*\()""",
        "MD5 and SHA-1 are broken."),
 )
-
-DEFAULT_ACTIVE = ("no-hardcoded-secrets", "no-eval", "no-innerHTML", "license-compliance")
-
-# license-compliance
-LICENSE_EXTENSIONS = (".ts", ".js", ".tsx", ".jsx", ".py", ".java", ".cs", ".go", ".rs")
-LICENSE_SKIPPED_DIRS = ("coverage", "lcov-report", "node_modules", "dist", "build", ".next", "out",
-                        "vendor", "__mocks__", "__tests__")
-LICENSE_SKIPPED_FILES = r"""\.(test|spec)\.(ts|js|tsx|jsx)$"""
-LICENSE_WORDS = r"""(?:MIT|Apache|GPL|BSD|LGPL|MPL|ISC|copyright|SPDX-License-Identifier)"""
-LICENSE_HEADER_CHARS = 500
-
-# no-async-without-await
-ASYNC_FILES = r"""\.(ts|js|tsx|jsx)$"""
-ASYNC_LINE = r"""async\s+function|async\s+\(|async\s+\w+\s*="""
-AWAIT_WORD = r"""\bawait\b|Promise"""
-ASYNC_FRAME_LINES = 20

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from codewarden.functions.dialect import SPACE_CHARS, translate
 
 
+# Two Unicode noncharacters, which no text interchange may contain.  Should
+# they occur all the same, they are read as the replacement character.
+MARK, MUTED = "\uFDD0", "\uFDD1"
+REPLACEMENT = "\uFFFD"
+
+
 def java(pattern: str, flags: str = "") -> str:
     return translate(pattern, flags, "java")
 
@@ -57,3 +63,23 @@ def contains_any(c: Column, words) -> Column:
 def fixed(c: Column, digits: int) -> Column:
     """A number as text with ``digits`` decimals and no grouping."""
     return F.format_string(f"%.{digits}f", c.cast("double"))
+
+
+def trimmed_sql(expr: str) -> str:
+    return f"btrim({expr}, {quoted(SPACE_CHARS)})"
+
+
+def mark_first_line() -> str:
+    """The file's first line, marked."""
+    return f"concat({quoted(MARK)}, substring_index(code, '\\n', 1))"
+
+
+def mark_lines(predicate: str) -> str:
+    """The text with every line marked for which ``predicate`` holds.
+
+    The predicate may use ``line``, ``i`` (from 0) and ``lines``.
+    """
+    return (
+        "element_at(transform(array(split(code, '\\n', -1)), lines -> array_join(transform(lines, "
+        f"(line, i) -> CASE WHEN {predicate} THEN concat({quoted(MARK)}, line) ELSE line END), '\\n')), 1)"
+    )

@@ -17,19 +17,13 @@ from pyspark.sql import functions as F
 
 from codewarden.catalog.model import Rule
 from codewarden.functions.paths import basename, rule_extension
-from codewarden.functions.text import contains_any, java, quoted, trim_all
-
-# Two Unicode noncharacters, which no text interchange may contain.  Should
-# they occur all the same, they are read as the replacement character.
-MARK, MUTED = "﷐", "﷑"
-_REPLACEMENT = "�"
-
+from codewarden.functions.text import MARK, MUTED, REPLACEMENT, contains_any, java, quoted, trim_all
 
 def prepare(files: DataFrame, *extra: str) -> DataFrame:
     """Files plus the helper columns the rules look at."""
     code = F.col("code")
     clean = F.when(contains_any(code, (MARK, MUTED)),
-                   F.translate(code, MARK + MUTED, _REPLACEMENT * 2)).otherwise(code)
+                   F.translate(code, MARK + MUTED, REPLACEMENT * 2)).otherwise(code)
     return files.filter(code.isNotNull()).select(
         "file_path", *extra,
         clean.alias("code"),
@@ -75,9 +69,13 @@ def may_match(rule: Rule, shared: dict[str, str]) -> str:
 
 def marked(ordinal: int, rule: Rule, shared: dict[str, str]) -> str:
     """The rule's ordinal and the text with its matches marked, or null."""
-    pattern = java(rule.linear or rule.pattern, rule.flags)
-    text = f"regexp_replace(code, {quoted(pattern)}, {quoted(MARK + '$0')})"
-    return f"CASE WHEN {may_match(rule, shared)} THEN struct({ordinal} AS rule_ord, {text} AS marked) END"
+    gate = may_match(rule, shared)
+    if rule.check is not None:
+        gate, text = f"{gate} AND {rule.check.gate}", rule.check.marked
+    else:
+        pattern = java(rule.linear or rule.pattern, rule.flags)
+        text = f"regexp_replace(code, {quoted(pattern)}, {quoted(MARK + '$0')})"
+    return f"CASE WHEN {gate} THEN struct({ordinal} AS rule_ord, {text} AS marked) END"
 
 
 def mute_in_strings(line: Column) -> Column:
@@ -110,14 +108,13 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     Columns: file_path, rule_ord (position in ``rules``), start_line, n_matches,
     snippet.
     """
-    searched = [(i, r) for i, r in enumerate(rules) if r.pattern is not None]
-    if not searched:
-        return files.select("file_path", F.lit(0).alias("rule_ord"), F.lit(0).alias("start_line"),
-                            F.lit(0).alias("n_matches"), F.lit("").alias("snippet")).limit(0)
+    if not rules:
+        return files.limit(0).select("file_path", F.lit(0).alias("rule_ord"), F.lit(0).alias("start_line"),
+                                     F.lit(0).alias("n_matches"), F.lit("").alias("snippet"))
     # One expression text for all rules: built column by column it takes the
     # driver seconds.
     shared = shared_words(rules)
-    hits = F.expr("array(" + ", ".join(marked(i, r, shared) for i, r in searched) + ")")
+    hits = F.expr("array(" + ", ".join(marked(i, r, shared) for i, r in enumerate(rules)) + ")")
     flags = [F.contains(F.col("lowered"), F.lit(w)).alias(name) for w, name in shared.items()]
     found = F.filter(hits, lambda h: h.isNotNull() & F.contains(h["marked"], F.lit(MARK)))
     # The array goes straight into explode: as a named column it could be
@@ -130,15 +127,19 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     per_line = (per_rule
                 .select("file_path", "rule_ord", F.posexplode(F.split("marked", "\n", -1)).alias("pos", "line"))
                 .filter(F.contains(F.col("line"), F.lit(MARK))))
-    exempt = [i for i, r in searched if r.in_string]
-    outside = occurrences(mute_in_strings(F.col("line")), MARK)
-    count = F.when(F.col("rule_ord").isin(*exempt), occurrences(F.col("line"), MARK)).otherwise(outside) \
-        if exempt else outside
+    line, rule = F.col("line"), F.col("rule_ord")
+    everywhere = [i for i, r in enumerate(rules) if r.in_string]
+    untrimmed = [i for i, r in enumerate(rules) if r.check is not None and r.check.raw_snippet]
+    count = occurrences(mute_in_strings(line), MARK)
+    if everywhere:
+        count = F.when(rule.isin(*everywhere), occurrences(line, MARK)).otherwise(count)
+    snippet = F.replace(line, F.lit(MARK), F.lit(""))
+    trimmed = trim_all(snippet)
+    if untrimmed:
+        trimmed = F.when(rule.isin(*untrimmed), snippet).otherwise(trimmed)
     return per_line.select(
-        "file_path", "rule_ord",
-        (F.col("pos") + 1).alias("start_line"),
-        count.alias("n_matches"),
-        trim_all(F.replace(F.col("line"), F.lit(MARK), F.lit(""))).alias("snippet"),
+        "file_path", "rule_ord", (F.col("pos") + 1).alias("start_line"),
+        count.alias("n_matches"), trimmed.alias("snippet"),
     ).filter(F.col("n_matches") > 0)
 
 
