@@ -2,8 +2,8 @@
 
 A scan makes two passes over the text: one for all pattern and policy rules,
 one for the authorship signals.  What leaves the passes is slim; every roll-up
-works on those tables.  ``store`` writes them once, so that the roll-ups do not
-repeat the passes and survive a lost executor.
+works on those tables.  ``keep`` (checkpoint) and ``store`` (tables) write them
+once, so that the roll-ups do not repeat the passes and survive a lost executor.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from codewarden.config import ScanConfig
+from codewarden.functions.lineage import cut_lineage
 from codewarden.operators.authorship import authorship, authorship_findings, language_and_lines
 from codewarden.operators.policy import compliance, policy_scores, policy_status
 from codewarden.operators.report import recommendations, report_json, report_lines
@@ -70,12 +71,16 @@ def scan_project(files: DataFrame, config: ScanConfig = ScanConfig(), replies: D
     return scan_files(discover(files, config), config, replies)
 
 
-def store(scan: Scan, folder: str) -> Scan:
-    """Write findings and scores below ``folder`` and go on from there.
+def keep(scan: Scan) -> Scan:
+    """Checkpoint scores and findings, scores first: the authorship findings
+    are read from them, so each pass over the text runs once."""
+    scores = cut_lineage(scan.scores)
+    rules = scan_rules(scan.files, catalog(scan.config.active_policies))
+    return Scan(scan.files, cut_lineage(union_findings(authorship_findings(scores), rules)), scores, scan.config)
 
-    Scores are written first: the findings of the authorship pass are read back
-    from them, so that pass runs once.
-    """
+
+def store(scan: Scan, folder: str) -> Scan:
+    """Like ``keep``, as tables below ``folder``."""
     spark = scan.files.sparkSession
     scan.scores.write.mode("overwrite").parquet(f"{folder}/scores")
     scores = spark.read.parquet(f"{folder}/scores")

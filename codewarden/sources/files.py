@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codewarden.config import MANDATORY_EXCLUDES, ScanConfig
 from codewarden.functions.paths import ALLOWED_HIDDEN, excluded, is_inside, matches_name, resolve_against, scannable
+from codewarden.functions.lineage import cut_lineage
 from codewarden.functions.text import lines_of
 
 # Fixed values of the two listings.
@@ -141,16 +141,6 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"file_path": [rel], "code": [code], "size_bytes": [size]})
 
 
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    """Keep a level on reliable storage, so that the next one does not list again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or os.path.join(os.getcwd(), ".checkpoints"))
-    return df.checkpoint(eager=True)
-
-
 def read_tree(spark: SparkSession, root: str, config: ScanConfig = ScanConfig()) -> DataFrame:
     """Files of a folder tree, as a project scan sees them.
 
@@ -166,7 +156,7 @@ def read_tree(spark: SparkSession, root: str, config: ScanConfig = ScanConfig())
     frontier = spark.createDataFrame([(root, "", True, 0)], _ENTRY)
     found: list[DataFrame] = []
     while True:
-        level = _cut_lineage(frontier.repartition(width, "path").mapInPandas(_list_folders, _ENTRY).filter(keep))
+        level = cut_lineage(frontier.repartition(width, "path").mapInPandas(_list_folders, _ENTRY).filter(keep))
         found.append(level.filter(~F.col("is_dir")))
         frontier = level.filter("is_dir")
         if frontier.isEmpty():
