@@ -43,6 +43,18 @@ def from_text(spark: SparkSession, code: str, file_path: str = DEFAULT_PATH) ->
                                  "file_path string, code string, size_bytes long")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core rows to work on.
+
+    Scanning is bound by the processor, and rows of one table split can only
+    use one core.  A table with at least as many splits as the cluster has
+    cores is left alone, so a large one is never shuffled for this; a smaller
+    one is cut up by a hash of ``key``.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= width else df.repartition(2 * width, key)
+
+
 def one_file(files: DataFrame, file_path: str) -> DataFrame:
     return files.filter(F.col("file_path") == file_path)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codewarden.functions.text import quoted
+from codewarden.sources.files import spread
 from workloads.snippets import COMMANDS, GUIDANCE_REPLIES, SCORE_REPLIES, SNIPPETS
 
 
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    return spread(table(spark, sf_dir, name), key)
+
+
 def pick(values, key: str) -> Column:
     """The value whose position is ``key`` modulo the number of values."""
     items = ", ".join("CAST(NULL AS STRING)" if v is None else quoted(v) for v in values)
@@ -30,11 +35,11 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = pick([s[1] for s in SNIPPETS], "doc_id")
     planted = F.when(doc % 2 == 0, F.concat(body, F.lit("\n"), F.col("text"))).otherwise(
         F.concat(F.col("text"), F.lit("\n"), body))
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents", "doc_id").select(
         F.concat(folder, F.col("source"), F.lit("/doc_"), doc.cast("string"),
                  pick([s[0] for s in SNIPPETS], "doc_id")).alias("file_path"),
         planted.alias("code"))
-    pages = table(spark, sf_dir, "pages").select(
+    pages = texts(spark, sf_dir, "pages", "page_id").select(
         F.concat(F.lit("web/page_"), F.col("page_id").cast("string"), F.lit(".html")).alias("file_path"),
         F.col("html").alias("code"))
     return docs.unionByName(pages).withColumn("size_bytes", F.octet_length("code").cast("long"))
@@ -42,7 +47,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A command per document, with the whole text as its last argument."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents", "doc_id").select(
         F.col("doc_id").alias("cmd_id"),
         F.concat(pick(COMMANDS, "doc_id"), F.lit(" # "), F.col("text")).alias("command"))
 
