@@ -35,6 +35,12 @@ def union_findings(*streams: DataFrame) -> DataFrame:
     return out
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Tables of one row each as one row, without joining them."""
+    names = [c for r in rows for c in r.columns]
+    return union_findings(*rows).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+
+
 def _severity_counts() -> list[Column]:
     return [F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in SEVERITIES]
 
@@ -92,9 +98,7 @@ def scan_summary(files: DataFrame, findings: DataFrame, scores: DataFrame,
     malicious = F.coalesce(F.bool_or(F.col("category") == "malicious"), F.lit(False))
     totals = findings.agg(F.count(F.lit(1)).alias("total_findings"), *_severity_counts(),
                           malicious.alias("has_malicious"))
-    key = F.lit(1).alias("_one")
-    return (counted.select("*", key).join(totals.select("*", key), "_one")
-            .join(scored.select("*", key), "_one").drop("_one"))
+    return side_by_side(counted, totals, scored)
 
 
 def risk_scores(findings: DataFrame) -> DataFrame:
@@ -170,12 +174,10 @@ def search_findings(findings: DataFrame, category: str = "all", severity: str =
 
 def visible_counts(findings: DataFrame, shown: DataFrame, false_positives: DataFrame) -> DataFrame:
     """How many findings a list shows, could show, and hides."""
-    total = findings.agg(F.count(F.lit(1)).alias("total")).select("*", F.lit(1).alias("_one"))
-    filtered = shown.agg(F.count(F.lit(1)).alias("filtered")).select("*", F.lit(1).alias("_one"))
-    hidden = (false_positives.select("finding_id").distinct().agg(F.count(F.lit(1)).alias("hidden"))
-              .select("*", F.lit(1).alias("_one")))
-    return (filtered.join(total, "_one").join(hidden, "_one")
-            .select("filtered", (F.col("total") - F.col("hidden")).alias("visible_total"), "hidden"))
+    n = F.count(F.lit(1))
+    counts = side_by_side(shown.agg(n.alias("filtered")), findings.agg(n.alias("total")),
+                          false_positives.select("finding_id").distinct().agg(n.alias("hidden")))
+    return counts.select("filtered", (F.col("total") - F.col("hidden")).alias("visible_total"), "hidden")
 
 
 def latest_scan(history: DataFrame) -> DataFrame:

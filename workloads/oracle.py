@@ -613,6 +613,8 @@ ORACLE: dict[str, str] = {
         f"{FULL}, {SUMMARY}".replace("files AS MATERIALIZED", "every AS MATERIALIZED", 1).replace(
             ", rules(rule_ord", f", files AS MATERIALIZED (SELECT * FROM every WHERE {_collected(512)}), rules(rule_ord", 1),
         "SELECT * REPLACE (round(average_ai_score, 6) AS average_ai_score) FROM summary"),
+    "scan_history": _with(FILES, f"""SELECT 'a-second' AS scan_id, file_path, {LANGUAGE} AS language,
+      CAST(len(lines) AS INTEGER) AS lines_of_code FROM files WHERE {_collected(512)}"""),
     "policy_status": _with(_status_only(POLICY_RULES), "SELECT * FROM status"),
     "policy_scores": _with(_POLICY_SCAN, f"""SELECT file_path, coalesce(n, 0) AS violations,
       array_to_string(list_filter([{names(r.rule_id for r in POLICY_RULES)}], lambda x: NOT list_contains(coalesce(broken, []::VARCHAR[]), x)), ',') AS passed,

@@ -295,6 +295,17 @@ def report_json(spark, d):
     return _kept(spark, d).report_json()
 
 
+def scan_history(spark, d):
+    """Two scans in one history table: everything, then what a project scan collects."""
+    every = corpus.files(spark, d)
+    first, second = (
+        author.language_and_lines(f).withColumn("scan_id", F.lit(scan_id)).withColumn(
+            "started_at", F.lit(started).cast("timestamp_ntz"))
+        for f, scan_id, started in ((every, "b-first", "2024-01-01 00:00:00"),
+                                    (src.discover(every), "a-second", "2024-01-02 00:00:00")))
+    return rollup.latest_scan(first.unionByName(second)).select("scan_id", "file_path", "language", "lines_of_code")
+
+
 def project_summary(spark, d):
     """The summary of what a project scan collects."""
     files = src.discover(corpus.files(spark, d))
@@ -331,6 +342,7 @@ QUERIES: dict[str, Query] = {
     "file_results": file_results,
     "scan_summary": scan_summary,
     "project_summary": project_summary,
+    "scan_history": scan_history,
     "policy_status": policy_status,
     "policy_scores": policy_scores,
     "compliance": compliance,
