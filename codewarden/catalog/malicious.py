@@ -88,7 +88,7 @@ MALICIOUS_RULES: tuple[Rule, ...] = (
        "Traits of the browser are collected and sent out.",
        "Say so in the privacy notice and ask for consent."),
     _m("IFRAME-001", "Invisible Iframe Injection", "high", "data-exfiltration", "gi",
-       ("<iframe",),
+       ("<iframe", "src", ("width", "height", "style")),
        r"""<iframe\b(?=[^>]*\bsrc\s*=\s*['"][^'"]{1,}['"])(?=[^>]*(?:(?:width|height)\s*=\s*["']?0["']?|style\s*=\s*["'][^"']*(?:width\s*:\s*0|height\s*:\s*0|display\s*:\s*none)))[^>]*""",
        "A frame with a source is kept out of sight.",
        "Remove frames that point elsewhere and cannot be seen."),

@@ -51,10 +51,10 @@ def _async_check() -> Check:
     )
 
 
-def _p(rule_id, title, severity, flags, needs, pattern, description, check=None):
+def _p(rule_id, title, severity, flags, needs, pattern, description, check=None, linear=None):
     return Rule(
         rule_id=rule_id, title=title, severity=severity, pattern=pattern, flags=flags, needs=needs,
-        description=description, category="policy-violation", confidence=1.0, check=check,
+        description=description, category="policy-violation", confidence=1.0, check=check, linear=linear,
     )
 
 
@@ -88,9 +88,11 @@ POLICY_RULES: tuple[Rule, ...] = (
     _p("no-async-without-await", "Async Functions Must Use await", "low", "", ("async",), None,
        "This async function seems to await nothing.", check=_async_check()),
     _p("gdpr-personal-data-logging", "GDPR: No Personal Data in Logs", "high", "gi",
-       ("console.",),
+       ("console.", ")", ("email", "phone", "ssn", "passport", "dob", "birthdate", "address", "creditcard")),
        r"""console\.[a-z]+\([^)]*(?:email|phone|ssn|passport|dob|birthdate|address|creditcard)[^)]*\)""",
-       "Personal data must not reach a log."),
+       "Personal data must not reach a log.",
+       # The call ends at its first closing bracket, so that part is never given back.
+       linear=r"""console\.[a-z]+\((?=[^)]*(?:email|phone|ssn|passport|dob|birthdate|address|creditcard))[^)]*+\)"""),
     _p("no-synchronous-fs", "No Synchronous File Operations", "medium", "g",
        ("fs.", "sync"),
        r"""\bfs\.(readFileSync|writeFileSync|readdirSync|statSync|existsSync|unlinkSync|mkdirSync)\b""",
