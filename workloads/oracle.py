@@ -150,7 +150,7 @@ def findings(rules) -> str:
     in_string = ", ".join(str(i) for i, r in searched if r.in_string) or "-1"
     table = ", ".join(
         f"({i}, {q(r.rule_id)}, {q(r.category)}, {q(r.severity)}, {SEVERITY_RANK[r.severity]}, {q(r.title)}, "
-        f"{q(r.cwe)}, CAST({r.confidence} AS DOUBLE), {q(r.description)}, {q(r.recommendation)})"
+        f"{q(r.cwe)}::VARCHAR, CAST({r.confidence} AS DOUBLE), {q(r.description)}, {q(r.recommendation)}::VARCHAR)"
         for i, r in enumerate(rules))
     checks = ""
     for i, r in enumerate(rules):
