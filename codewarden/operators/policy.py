@@ -42,8 +42,10 @@ def policy_status(findings: DataFrame, active: Sequence[str] | None = None,
     table = rules_table(findings.sparkSession, chosen or rules)
     if not chosen:
         table = table.limit(0)
-    counts = violations(findings).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
-    # At most one count per rule of the program, so that side is tiny.
+    ids = [r.rule_id for r in chosen]
+    counts = (violations(findings).filter(F.col("rule_id").isin(ids))
+              .groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")))
+    # At most one count per chosen rule of the program, so that side is tiny.
     return table.join(F.broadcast(counts), "rule_id", "left").select(
         "rule_ord", "rule_id", F.col("title").alias("name"), "description",
         F.coalesce("n", F.lit(0)).alias("violations"))
