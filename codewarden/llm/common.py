@@ -26,6 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bind(value: Column, body) -> Column:
+    """`body` of a value that is computed once, though it is used several times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: it is computed once, and no lost executor takes it away."""
     spark = df.sparkSession

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from codewarden.llm.licences import KNOWN
+
 # Own constants, so that the SQL does not follow a mistake of the operator.
 _QUALITY = """
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
 g AS (SELECT doc_id, i, ws[i:i + 4] AS win FROM w, unnest(range(1, len(ws) - 3)) t(i)),
 r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, unnest(range(5)) t(k) GROUP BY doc_id),
@@ -40,6 +42,34 @@ FROM f JOIN wide USING (lang, source)
     for m, slack in (("symbols", 20), ("dup_lines", 400), ("repeats", 300), ("word_length", 15), ("marks", 60))
     for name, side in (("high", f"q3 + 3 * (q3 - q1) + {slack}"), ("low", f"q1 - 3 * (q3 - q1) - {slack}"))))
 
+_SPELLED = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
+            ("non commercial", "noncommercial"), ("organisation", "organization"), ("whilst", "while"),
+            ("merchantibility", "merchantability"), ("favour", "favor"), ("per cent", "percent"),
+            ("copyright owner", "copyright holder"))
+
+
+def _canonical(text: str) -> str:
+    """SQL for the canonical lines of a text."""
+    t = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[ \t]*(copyright|©|\(c\))[^\n]*', '', 'g')"
+    t = rf"regexp_replace({t}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
+    for form, term in _SPELLED:
+        t = rf"regexp_replace({t}, '\b{form}\b', '{term}', 'g')"
+    return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+_LICENCES = f"""
+WITH known AS (SELECT min(license_id) AS license_id, sha256(array_to_string(c, ' ')) AS digest
+  FROM (SELECT license_id, {_canonical('body')} AS c FROM (VALUES {{known}}) k(license_id, body))
+  WHERE len(c) > 0 GROUP BY digest),
+d AS (SELECT doc_id, {_canonical('text')} AS c FROM documents),
+n AS (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT license_id)), ',') AS names
+  FROM (SELECT doc_id, unnest(c) AS line FROM d) JOIN known ON sha256(line) = digest GROUP BY doc_id)
+SELECT d.doc_id, sha256(array_to_string(c, ' ')) AS text_digest, k.license_id,
+  CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices, coalesce(n.names, '') AS notices
+FROM d LEFT JOIN known k ON k.digest = sha256(array_to_string(c, ' ')) LEFT JOIN n USING (doc_id)
+""".replace("{known}", ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in KNOWN))
+
 ORACLE: dict[str, str] = {
     "op2_quality_rules": _QUALITY,
+    "op10_license_scan": _LICENCES,
 }

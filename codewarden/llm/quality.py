@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codewarden.llm.common import SPACE_RUN, SPACES, stored
+from codewarden.llm.common import SPACE_RUN, SPACES, bind, stored
 
 #: metric -> (slack, whether values far below the group count as well)
 METRICS = {"symbols": (20, False), "dup_lines": (400, False), "repeats": (300, False), "word_length": (15, True),
@@ -23,11 +23,6 @@ SPREAD, LEAST_ROWS, TOP = 3, 30, 1000
 SYMBOLS = "#*$%&|<>"
 
 
-def _bind(value: Column, body) -> Column:
-    """`body` of a value that is computed once, though it is used several times."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_RUN), "")
 
@@ -36,7 +31,7 @@ def repeated_words(w: Column, width: int = 5) -> Column:
     """Words that lie in a window of `width` words found twice or more."""
     hashes = lambda h: F.when(F.size(h) >= width, F.transform(
         F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)])))
-    windows = _bind(F.transform(w, lambda x: F.xxhash64(x)), hashes)
+    windows = bind(F.transform(w, lambda x: F.xxhash64(x)), hashes)
 
     def covered(pos: Column) -> Column:
         steps = F.transform(pos, lambda p, j: F.least(F.lit(width), F.coalesce(F.get(pos, j + 1) - p, F.lit(width))))
@@ -50,9 +45,9 @@ def repeated_words(w: Column, width: int = 5) -> Column:
     def count(g: Column) -> Column:
         by_hash = F.sort_array(F.transform(g, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return (F.when(F.size(F.array_distinct(g)) == F.size(g), 0)
-                .otherwise(_bind(_bind(by_hash, positions), covered)))
+                .otherwise(bind(bind(by_hash, positions), covered)))
 
-    return F.coalesce(_bind(windows, count), F.lit(0)).cast("long")
+    return F.coalesce(bind(windows, count), F.lit(0)).cast("long")
 
 
 def _marks(text: Column, marks: str) -> Column:
@@ -72,8 +67,8 @@ def measures(docs: DataFrame) -> DataFrame:
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"))
     of_lines = lambda x: F.struct(
         F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))
-    counted = docs.select("doc_id", "lang", "source", _bind(words(text), of_words).alias("w"),
-                          _bind(lines, of_lines).alias("l"), _marks(text, SYMBOLS).alias("n_symbols"),
+    counted = docs.select("doc_id", "lang", "source", bind(words(text), of_words).alias("w"),
+                          bind(lines, of_lines).alias("l"), _marks(text, SYMBOLS).alias("n_symbols"),
                           _marks(text, "!?").alias("n_marks"))
     rate = lambda part, whole, by=TOP: F.floor(by * part / F.greatest(whole, F.lit(1)))
     return counted.select(

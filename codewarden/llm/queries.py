@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codewarden.llm import quality
+from codewarden.llm import licences, quality
 from codewarden.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
+    return licences.scan(table(spark, d, "documents"), licences.known_licences(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op10_license_scan": op10_license_scan,
 }
