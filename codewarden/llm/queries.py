@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codewarden.llm import licences, quality
-from codewarden.llm.common import table
+from codewarden.llm import language, licences, quality, toxicity
+from codewarden.llm.common import fold, table
 
 
 def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -15,11 +16,27 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    langs, model = language.fit(docs.where(fold("doc_id", 4) != 2))
+    return language.predict(docs, langs, model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licences.scan(table(spark, d, "documents"), licences.known_licences(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op8_toxicity": op8_toxicity,
+    "op9_language": op9_language,
     "op10_license_scan": op10_license_scan,
 }
