@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.llm import language, licences, quality, toxicity
+from codewarden.llm import language, licences, pii, quality, secrets_scan, toxicity, urls
 from codewarden.llm.common import fold, table
 
 
@@ -16,6 +16,18 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_personal_data(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secrets_scan.scan(table(spark, d, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    return urls.judge(table(spark, d, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
@@ -36,6 +48,9 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_personal_data": op4_personal_data,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_url_filter": op6_url_filter,
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_license_scan": op10_license_scan,
