@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.llm import language, licences, pii, quality, secrets_scan, toxicity, urls
+from codewarden.llm import language, licences, packing, pii, quality, secrets_scan, toxicity, urls
 from codewarden.llm.common import fold, table
 
 
@@ -16,6 +16,10 @@ def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), with_ids=False).drop("source")
+
+
 def op4_personal_data(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(table(spark, d, "documents"))
 
@@ -48,6 +52,7 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_packing": op3_packing,
     "op4_personal_data": op4_personal_data,
     "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
