@@ -70,4 +70,5 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if state == seen:
             break
         seen = state
-    return pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
+    ends = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), "b"))).alias("e")).select("e.*")
+    return ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.llm import language, licences, packing, pii, quality, secrets_scan, toxicity, urls
+from codewarden.llm import language, licences, ngram_join, packing, pii, quality, secrets_scan, toxicity, urls
 from codewarden.llm.common import fold, table
 
 
@@ -32,6 +32,10 @@ def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return urls.judge(table(spark, d, "pages"))
 
 
+def op7_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return ngram_join.join(table(spark, d, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_personal_data": op4_personal_data,
     "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
+    "op7_ngram_join": op7_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_license_scan": op10_license_scan,
