@@ -26,7 +26,7 @@ from codewarden.llm.common import stored
 
 PER_LANGUAGE, WORDS, GRAMS, LEAST_COUNT = 1_500, 60_000, 60_000, 3
 ORDERS = (5, 4, 3, 2, 1)
-EVIDENCE, CACHE = 30, 100_000
+EVIDENCE, CACHE = 30, 200_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -88,41 +88,37 @@ def predict(docs: DataFrame, langs: list[str], model: dict[str, np.ndarray]) ->
         names, units, known = shipped.value
         n_langs = len(names)
         rows = {u: i for i, u in enumerate(units)}
-        learned = {u[:-1]: i for u, i in rows.items() if u.endswith(" ")}
-        store = np.vstack([known.reshape(-1, n_langs), np.zeros((CACHE, n_langs))]) if names else known
-        index = dict(learned)
+        # what stands between spaces -> its row: the sums of its words, and how many there are
+        index, store = {}, np.zeros((CACHE, n_langs + 1))
 
-        def backoff(word: str) -> np.ndarray:
+        def backoff(word: str) -> np.ndarray | float:
             for n in ORDERS:
                 hits = [rows[g] for g in grams(word, n) if g in rows]
                 if hits:
-                    return known[hits].mean(0)
-            return np.zeros(n_langs)
+                    return known[hits].sum(0) / len(hits)
+            return 0.0
+
+        def learn(piece: str) -> int:
+            words = LETTERS.findall(piece)
+            at = index[piece] = len(index)
+            store[at] = 0
+            for w in words:
+                k = rows.get(w + " ")
+                store[at, :n_langs] += backoff(w) if k is None else known[k]
+            store[at, n_langs] = len(words)
+            return at
 
         def judge(text: str | None) -> tuple[str, float]:
-            words = LETTERS.findall(text.lower()) if text else []
-            if not words or not names:
-                return "und", 0.0
-            at = [index.get(w, -1) for w in words]
-            for i, k in enumerate(at):
-                if k < 0:
-                    w = words[i]
-                    if w not in index:
-                        if len(index) - len(learned) >= CACHE:  # the rest of this text keeps its rows
-                            return summed(words)
-                        index[w] = len(units) + len(index) - len(learned)
-                        store[index[w]] = backoff(w)
-                    at[i] = index[w]
-            return verdict(store[at].sum(0), len(at))
-
-        def summed(words: list[str]) -> tuple[str, float]:
-            """The same without the cache, which then starts anew."""
-            index.clear()
-            index.update(learned)
-            total = np.zeros(n_langs)
-            for w, n in Counter(words).items():
-                total += n * (known[learned[w]] if w in learned else backoff(w))
-            return verdict(total, len(words))
+            pieces, total = text.lower().split() if text and names else [], np.zeros(n_langs + 1)
+            for k in range(0, len(pieces), CACHE // 2):
+                part = pieces[k:k + CACHE // 2]
+                if len(index) + len(part) > CACHE:
+                    index.clear()
+                at = [index.get(p, -1) for p in part]
+                if -1 in at:
+                    at = [index[p] if p in index else learn(p) for p in part]
+                total += store[at].sum(0)
+            return verdict(total[:n_langs], int(total[n_langs])) if total[n_langs] else ("und", 0.0)
 
         def verdict(total: np.ndarray, n: int) -> tuple[str, float]:
             x = total * min(1.0, EVIDENCE / n)
