@@ -205,13 +205,30 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     return stored(pairs.groupBy("root", "i", "j").applyInArrow(compare, "a string, b string"), "links")
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id: the smallest id that links lead to."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n, grp) per document; grp is null without a set."""
     signed = sign(docs)
     roots = stored(components(links(docs, signed)), "roots").withColumnsRenamed({"node": "r_cls"})
-    rows = signed.select("doc_id", "n", "cls").join(roots, F.col("cls") == F.col("r_cls"), "left")
-    group = F.when(F.col("n") > 0, F.coalesce("root", "cls"))
-    rows = stored(rows.select("doc_id", "n", group.alias("grp")), "grouped")
+    rows = signed.select("doc_id", "text_key", "n", "cls").join(roots, F.col("cls") == F.col("r_cls"), "left")
+    return stored(rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("grp")), "grouped")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id: the smallest id that links lead to."""
+    rows = _grouped(docs)
     least = rows.where("grp is not null").groupBy(F.col("grp").alias("g")).agg(F.min("doc_id").alias("least"))
     return rows.join(least, F.col("grp") == F.col("g"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def dedupe(docs: DataFrame) -> DataFrame:
+    """The documents, all columns, one of each group: that of the smallest id. Documents without a set stay."""
+    rows = _grouped(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f")
+    kept = rows.where("grp is not null").groupBy("grp").agg(first).select("f.doc_id", "f.text_key", F.lit(True).alias("grouped"))
+    kept = kept.unionByName(rows.where("grp is null").select("doc_id", "text_key", F.lit(False).alias("grouped")).distinct())
+    kept = stored(kept, "kept").withColumnsRenamed({"doc_id": "k_id", "text_key": "k_text", "grouped": "k_grouped"})
+    same = F.xxhash64("text").eqNullSafe(F.col("k_text")) & F.col("doc_id").eqNullSafe(F.col("k_id"))
+    # of rows with the same id and text, which fall into the same partition, one stays
+    copy = F.row_number().over(Window.partitionBy("k_text", "k_id").orderBy(F.lit(1)))
+    return docs.join(kept, same).withColumn("k_copy", copy).where("k_copy = 1 or not k_grouped").select(docs.columns)

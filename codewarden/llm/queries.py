@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.llm import language, licences, ngram_join, packing, pii, quality, secrets_scan, toxicity, urls
+from codewarden.llm import decontaminate, language, licences, ngram_join, packing, pii, quality, secrets_scan, toxicity, urls
 from codewarden.llm.common import fold, table
 
 
+def op1_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.matches(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality.judge(table(spark, d, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -40,7 +44,7 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     model = toxicity.fit(docs, labels.where(fold("doc_id", 3) != 1))
     return toxicity.score(docs, model).select(
-        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op9_language(spark: SparkSession, d: str) -> DataFrame:
@@ -55,6 +59,7 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_packing": op3_packing,
     "op4_personal_data": op4_personal_data,

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE, TERMS, COVER, LEAST_DOCS, LEAST_WEIGHT = 20_000, 20_000, 3, 5, 3.5
-PREFIXES = range(4, 9)
+PREFIXES, THRESHOLD = range(4, 9), 0.7
 
 #: Characters that stand for Latin letters.
 HOMOGLYPHS = ("аa", "еe", "оo", "рp", "сc", "уy", "хx", "іi", "ѕs", "ԁd", "αa", "εe", "ιi", "κk", "νv", "οo", "ρp", "τt",
@@ -150,50 +150,68 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float,
     return float(at[0]), float(at[1])
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, keep.., raw, score): the lexicon's verdict on every text."""
+def _scorer(lexicon: dict[str, float], exceptions: tuple[str, ...]):
+    """The sum of the weights in a text over the logarithm of its length."""
+    import ahocorasick
+
+    machine, excused = ahocorasick.Automaton(), ahocorasick.Automaton()
+    for t, w in lexicon.items():
+        key = t.rstrip()
+        machine.add_word(key, (len(key), *(machine.get(key, (0,))[1:]), (t.endswith(" "), w)))
+    for phrase in exceptions:
+        excused.add_word(phrase, len(phrase))
+    for a in (machine, excused):
+        if len(a):
+            a.make_automaton()
+
+    def raw(text: str | None) -> float:
+        if not text or not len(machine):
+            return 0.0
+        folded = fold_text(text)
+        free = [(end + 1 - n, end + 1) for end, n in excused.iter(folded)] if len(excused) else []
+        total, last = 0.0, len(folded)
+        for end, (n, *entries) in machine.iter(folded):
+            start, stop = end + 1 - n, end + 1
+            if start and folded[start - 1].isalnum():
+                continue
+            if len(text) == last and not LETTER.search(text[start:stop]):
+                continue  # digits alone are a number
+            if any(a <= start and stop <= b for a, b in free):
+                continue
+            total += sum(w for whole, w in entries if not (whole and stop < last and folded[stop].isalnum()))
+        return total / math.log2(2 + text.count(" ") + text.count("\n"))
+
+    return raw
+
+
+def _each(docs: DataFrame, model: Model, step, schema) -> DataFrame:
+    """`step` of each batch of `docs`, with the raw sums and the scores of its texts."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.terms, model.exceptions, model.slope, model.offset))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
         lexicon, exceptions, slope, offset = shipped.value
-        machine = ahocorasick.Automaton()
-        for t, w in lexicon.items():
-            key = t.rstrip()
-            machine.add_word(key, (len(key), *(machine.get(key, (0,))[1:]), (t.endswith(" "), w)))
-        excused = ahocorasick.Automaton()
-        for phrase in exceptions:
-            excused.add_word(phrase, len(phrase))
-        for a in (machine, excused):
-            if len(a):
-                a.make_automaton()
-
-        def raw(text: str) -> float:
-            folded = fold_text(text)
-            if not len(machine):
-                return 0.0
-            free = [(end + 1 - n, end + 1) for end, n in excused.iter(folded)] if len(excused) else []
-            total, last = 0.0, len(folded)
-            for end, (n, *entries) in machine.iter(folded):
-                start, stop = end + 1 - n, end + 1
-                for whole, weight in entries:
-                    if start and (folded[start - 1].isalnum()) or whole and stop < last and folded[stop].isalnum():
-                        continue
-                    if not LETTER.search(text[start:stop]) and len(text) == last:
-                        continue  # digits alone are a number
-                    if any(a <= start and stop <= b for a, b in free):
-                        continue
-                    total += weight
-            return total / math.log2(2 + text.count(" ") + text.count("\n"))
-
+        raw = _scorer(lexicon, exceptions)
         for batch in batches:
-            raws = np.array([raw(t) if t else 0.0 for t in batch["text"].to_pylist()])
-            scores = 1 / (1 + np.exp(-np.clip(slope * raws + offset, -40, 40)))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *[batch[k] for k in keep], pa.array(raws, pa.float64()), pa.array(scores, pa.float64())],
-                ["doc_id", *keep, "raw", "score"])
+            raws = np.array([raw(t) for t in batch["text"].to_pylist()], float)
+            yield step(batch, raws, 1 / (1 + np.exp(-np.clip(slope * raws + offset, -40, 40))))
+
+    return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep.., raw, score): the lexicon's verdict on every text."""
+    def step(batch: pa.RecordBatch, raws: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch["doc_id"], *[batch[k] for k in keep], pa.array(raws, pa.float64()),
+                                           pa.array(scores, pa.float64())], ["doc_id", *keep, "raw", "score"])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in ("doc_id", *keep)), "raw double", "score double"])
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
+    return _each(docs.select("doc_id", "text", *keep), model, step, schema)
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, all columns, whose score is below the threshold."""
+    def step(batch: pa.RecordBatch, raws: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+        return batch.filter(pa.array(scores < threshold))
+
+    return _each(docs, model, step, docs.schema)

@@ -3,12 +3,42 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codewarden.llm.common import stored, table
+from codewarden.llm import decontaminate, ngram_join, packing, pii, toxicity
+from codewarden.llm.common import fold, stored, table
 
-STAGES: list = []
 
-#: SQL cannot express learned lexicons, alignments or tokenizers; the stages are tested against brute force instead.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the lexicon rejects; it learns from the same rows as op8."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 3) != 1))
+    return toxicity.clean(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of the n-gram join."""
+    return ngram_join.dedupe(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a passage of the benchmark."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to the name of its kind; n_chars follows the text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("decontamination", drop_benchmark),
+          ("personal_data", hide_personal_data), ("packing", pack)]
+
+#: SQL cannot express a learned lexicon, alignments or a tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
