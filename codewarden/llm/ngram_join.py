@@ -227,8 +227,8 @@ def dedupe(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f")
     kept = rows.where("grp is not null").groupBy("grp").agg(first).select("f.doc_id", "f.text_key", F.lit(True).alias("grouped"))
     kept = kept.unionByName(rows.where("grp is null").select("doc_id", "text_key", F.lit(False).alias("grouped")).distinct())
-    kept = stored(kept, "kept").withColumnsRenamed({"doc_id": "k_id", "text_key": "k_text", "grouped": "k_grouped"})
-    same = F.xxhash64("text").eqNullSafe(F.col("k_text")) & F.col("doc_id").eqNullSafe(F.col("k_id"))
+    kept = stored(kept, "kept").withColumnsRenamed({"doc_id": "_k_id", "text_key": "_k_text", "grouped": "_k_grouped"})
+    same = F.xxhash64("text").eqNullSafe(F.col("_k_text")) & F.col("doc_id").eqNullSafe(F.col("_k_id"))
     # of rows with the same id and text, which fall into the same partition, one stays
-    copy = F.row_number().over(Window.partitionBy("k_text", "k_id").orderBy(F.lit(1)))
-    return docs.join(kept, same).withColumn("k_copy", copy).where("k_copy = 1 or not k_grouped").select(docs.columns)
+    copy = F.row_number().over(Window.partitionBy("_k_text", "_k_id").orderBy(F.lit(1)))
+    return docs.join(kept, same).withColumn("_k_copy", copy).where("_k_copy = 1 or not _k_grouped").select(docs.columns)

@@ -208,12 +208,15 @@ def redact(docs: DataFrame) -> DataFrame:
     Only the learned spans are joined to the texts; they are few, and Spark broadcasts them if their file is small.
     """
     extra = stored(discover(docs, scan(docs)), "learned")
-    keyed = _with_extra(docs.withColumn("key", F.xxhash64("text")), extra)
+    names = docs.columns
+    extra = extra.select(F.col("doc_id").alias("_x_id"), F.col("key").alias("_x_key"), F.col("extra").alias("_x_extra"))
+    same = F.col("doc_id").eqNullSafe(F.col("_x_id")) & (F.xxhash64("text") == F.col("_x_key"))
+    keyed = docs.join(extra, same, "left").drop("_x_id", "_x_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, more in zip(batch["text"].to_pylist(), batch["extra"].to_pylist()):
+            for text, more in zip(batch["text"].to_pylist(), batch["_x_extra"].to_pylist()):
                 spans = sorted([*base_spans(text or ""), *((x["start"], x["kind"], x["end"]) for x in more or ())])
                 parts, free = [], 0
                 for a, k, b in spans:
@@ -222,6 +225,6 @@ def redact(docs: DataFrame) -> DataFrame:
                     free = max(free, b)  # of spans that overlap one name stays
                 out.append("".join([*parts, text[free:]]) if spans else text)
             at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "text", pa.array(out, pa.string())).select(docs.columns)
+            yield batch.set_column(at, "text", pa.array(out, pa.string())).select(names)
 
     return keyed.mapInArrow(run, docs.schema)
