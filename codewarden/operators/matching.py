@@ -116,17 +116,20 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     shared = shared_words(rules)
     hits = F.expr("array(" + ", ".join(marked(i, r, shared) for i, r in enumerate(rules)) + ")")
     flags = [F.contains(F.col("lowered"), F.lit(w)).alias(name) for w, name in shared.items()]
-    found = F.filter(hits, lambda h: h.isNotNull() & F.contains(h["marked"], F.lit(MARK)))
+    found = F.transform(
+        F.filter(hits, lambda h: h.isNotNull() & F.contains(h["marked"], F.lit(MARK))),
+        lambda h: F.struct(h["rule_ord"].alias("rule_ord"), F.filter(
+            F.transform(F.split(h["marked"], "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))),
+            lambda x: F.contains(x["line"], F.lit(MARK))).alias("lines")))
     # The array goes straight into explode: as a named column it could be
     # evaluated a second time by a filter that the optimizer derives from it.
     # The lambda also keeps this one wide expression out of code generation,
     # where it would outgrow the size limit of a method.
-    per_rule = (prepare(files).select("*", *flags)
+    # Only marked lines leave it, whatever the size of the file.
+    per_line = (prepare(files).select("*", *flags)
                 .select("file_path", F.explode(found).alias("hit"))
-                .select("file_path", "hit.rule_ord", "hit.marked"))
-    per_line = (per_rule
-                .select("file_path", "rule_ord", F.posexplode(F.split("marked", "\n", -1)).alias("pos", "line"))
-                .filter(F.contains(F.col("line"), F.lit(MARK))))
+                .select("file_path", "hit.rule_ord", F.explode("hit.lines").alias("marked"))
+                .select("file_path", "rule_ord", "marked.pos", "marked.line"))
     line, rule = F.col("line"), F.col("rule_ord")
     everywhere = [i for i, r in enumerate(rules) if r.in_string]
     untrimmed = [i for i, r in enumerate(rules) if r.check is not None and r.check.raw_snippet]

@@ -16,12 +16,12 @@ def violations(findings: DataFrame) -> DataFrame:
     return findings.filter(F.col("category") == "policy-violation")
 
 
-def policy_scores(files: DataFrame, findings: DataFrame, active: Sequence[str] | None = None,
+def policy_scores(scanned: DataFrame, findings: DataFrame, active: Sequence[str] | None = None,
                   rules: Sequence[Rule] = POLICY_RULES) -> DataFrame:
     """Rules each file passes and its score, 100 when no rule is active.
 
-    Findings shrink to one short set per file before they meet the files, of
-    which only the paths are read.
+    ``scanned`` has a row for each file that was read, such as the scores.
+    Findings shrink to one short set per file before they meet it.
     """
     ids = [r.rule_id for r in active_rules(rules, active)]
     broken = (violations(findings).groupBy("file_path")
@@ -29,7 +29,7 @@ def policy_scores(files: DataFrame, findings: DataFrame, active: Sequence[str] |
     all_ids = F.array(*[F.lit(i) for i in ids]) if ids else F.array().cast("array<string>")
     passed = F.array_except(all_ids, F.coalesce("broken", F.array().cast("array<string>")))
     score = round_half_up(F.size("passed") / F.lit(len(ids)) * 100) if ids else F.lit(100)
-    return (files.filter(F.col("code").isNotNull()).select("file_path")
+    return (scanned.select("file_path")
             .join(broken, "file_path", "left")
             .select("file_path", F.coalesce("violations", F.lit(0)).alias("violations"), passed.alias("passed"))
             .withColumn("score", score.cast("int")))

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from codewarden.config import ScanConfig
 from codewarden.functions.dialect import SPACE_CHARS
 from codewarden.functions.paths import is_inside, resolve_against
-from codewarden.functions.text import java, quoted, trim_all, truncate
+from codewarden.functions.text import java, quoted, trim_all
 from codewarden.operators.replies import FIX_MAX_TOKENS, request_settings
 
-# Frames, cuts and patterns of the context search and the reply check.
+# Frames and patterns of the context search and the reply check.
 LINES_BEFORE, LINES_AFTER = 80, 150
 SHORT_BEFORE, SHORT_AFTER = 10, 20
-CONTEXT_CHARS, SNIPPET_CHARS, QUOTED_CHARS = 3000, 500, 40
+QUOTED_CHARS = 40
 DECLARATION = (r"^\s*(export\s+)?(default\s+)?(async\s+)?(function[\s*]|class\s+\w|const\s+\w+\s*=\s*(async\s+)?\("
                r"|[a-zA-Z_$][\w$]*\s*\([^)]*\)\s*[:{]|public\s|private\s|protected\s)")
 FENCED_BLOCK = r"```[a-z]*\n([\s\S]+?)```"
@@ -67,7 +67,7 @@ def finding_context(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def fix_requests(findings: DataFrame, files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """One request per finding; the surrounding code is cut at a fixed length."""
+    """One request per finding, with the whole of its function."""
     tokens, temperature = request_settings(FIX_MAX_TOKENS, config)
     c = F.col
     return finding_context(findings, files).select(
@@ -78,8 +78,8 @@ def fix_requests(findings: DataFrame, files: DataFrame, config: ScanConfig = Sca
             F.lit("\nDetails: "), c("description"),
             F.lit("\nAdvice: "), F.coalesce("recommendation", F.lit("Use the safe idiom of the language")),
             F.lit("\n\nLines "), c("start_line").cast("string"), F.lit(" to "), c("end_line").cast("string"),
-            F.lit(":\n```\n"), truncate(c("snippet"), SNIPPET_CHARS),
-            F.lit("\n```\n\nSurrounding function:\n```\n"), truncate(c("context"), CONTEXT_CHARS),
+            F.lit(":\n```\n"), c("snippet"),
+            F.lit("\n```\n\nSurrounding function:\n```\n"), c("context"),
             F.lit("\n```\n\nAnswer with one fenced block that replaces the quoted lines. Keep lines that are not "
                   "part of the problem, keep the indentation, and explain nothing outside the block.")).alias("prompt"),
         tokens.alias("max_tokens"), temperature.alias("temperature"),
@@ -120,33 +120,50 @@ def _indent(line: Column) -> Column:
     return F.regexp_extract(line, java(r"^(\s*)"), 1)
 
 
+def _rewritten(lines: Column, fixes: Column) -> Column:
+    """The lines with the fixes in place, top down; a fix that starts inside an earlier one is a conflict."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"),
+                     F.array().cast("array<string>").alias("conflicts"))
+
+    def step(state: Column, fix: Column) -> Column:
+        base = _indent(F.coalesce(F.get(lines, fix["from"]), F.lit("")))
+        deeper = F.length(base) > F.length(_indent(F.get(fix["block"], F.lit(0))))
+        block = F.when(deeper, F.transform(fix["block"], lambda x: F.concat(base, F.ltrim(x, F.lit(SPACE_CHARS))))
+                       ).otherwise(fix["block"])
+        before = F.slice(lines, state["at"] + 1, F.greatest(fix["from"] - state["at"], F.lit(0)))
+        done = F.struct(F.greatest(F.least(F.size(lines), fix["end_line"]), fix["from"]).alias("at"),
+                        F.concat(state["out"], before, block).alias("out"), (state["n"] + 1).alias("n"),
+                        state["conflicts"].alias("conflicts"))
+        refused = F.struct(state["at"].alias("at"), state["out"].alias("out"), state["n"].alias("n"),
+                           F.concat(state["conflicts"], F.array(fix["finding_id"])).alias("conflicts"))
+        return F.when(fix["from"] >= state["at"], done).otherwise(refused)
+
+    def finish(state: Column) -> Column:
+        rest = F.slice(lines, state["at"] + 1, F.greatest(F.size(lines) - state["at"], F.lit(0)))
+        return F.struct(F.concat(state["out"], rest).alias("out"), state["n"].alias("n"), state["conflicts"].alias("conflicts"))
+
+    return F.aggregate(fixes, start, step, finish)
+
+
 def apply_fixes(files: DataFrame, fixes: DataFrame, root: str = "/workspace") -> DataFrame:
-    """Rewrite each file that has a fix; one fix per file and pass, the lowest in the file first.
+    """Rewrite each file that has a fix, with all of its fixes at once.
 
     ``fixes(finding_id, file_path, start_line, end_line, sanitized_code)``.
-    Returns ``file_path, finding_id, code`` of the rewritten files.  Paths that
-    lead out of ``root`` are refused.
+    Returns ``file_path, applied, conflicts, code`` of the rewritten files:
+    how many fixes were put in, and the ids of those that overlap an earlier
+    one, which stay out.  Paths that lead out of ``root`` are refused.  Only
+    files with a fix take part in the join.
     """
-    place = F.struct("start_line", "finding_id")
+    lines = F.split("sanitized_code", "\r?\n", -1)
     chosen = (fixes.filter(F.col("sanitized_code").isNotNull())
               .filter(is_inside(F.lit(root), resolve_against(F.lit(root), F.col("file_path"))))
               .groupBy("file_path")
-              .agg(F.max_by(F.struct("finding_id", "start_line", "end_line", "sanitized_code"), place).alias("fix"))
-              .select("file_path", "fix.*"))
+              .agg(F.sort_array(F.collect_list(F.struct(
+                  F.greatest(F.lit(0), F.col("start_line") - 1).alias("from"), "end_line", "finding_id",
+                  lines.alias("block")))).alias("fixes")))
     eol = F.when(F.contains("code", F.lit("\r\n")), F.lit("\r\n")).otherwise(F.lit("\n"))
-    split = (files.filter(F.col("code").isNotNull()).select(
-        "file_path", F.split("code", "\r?\n", -1).alias("lines"), eol.alias("eol")).join(chosen, "file_path")
-        .withColumn("from", F.greatest(F.lit(0), F.col("start_line") - 1))
-        .withColumn("to", F.least(F.size("lines"), F.col("end_line")))
-        .withColumn("fixed", F.split("sanitized_code", "\r?\n", -1))
-        .withColumn("base", _indent(F.coalesce(F.get("lines", F.col("from")), F.lit("")))))
-    deeper = F.length("base") > F.length(_indent(F.get("fixed", F.lit(0))))
-    fixed = F.when(deeper, F.transform("fixed", lambda l: F.concat(F.col("base"), F.ltrim(l, F.lit(SPACE_CHARS))))
-                   ).otherwise(F.col("fixed"))
-    parts = F.concat(F.slice("lines", F.lit(1), F.col("from")), fixed,
-                     F.slice("lines", F.col("to") + 1, F.greatest(F.size("lines") - F.col("to"), F.lit(0))))
-    return split.select("file_path", "finding_id", parts.alias("new"), "eol").select(
-        "file_path", "finding_id", F.array_join("new", "\n").alias("joined"), "eol").select(
-        "file_path", "finding_id",
-        F.when(F.col("eol") == "\r\n", F.replace("joined", F.lit("\n"), F.lit("\r\n")))
-        .otherwise(F.col("joined")).alias("code"))
+    return (files.filter(F.col("code").isNotNull())
+            .select("file_path", F.split("code", "\r?\n", -1).alias("lines"), eol.alias("eol")).join(chosen, "file_path")
+            .select("file_path", "eol", _rewritten(F.col("lines"), F.col("fixes")).alias("r"))
+            .select("file_path", F.col("r.n").alias("applied"), F.array_join("r.conflicts", ",").alias("conflicts"),
+                    F.expr("array_join(r.out, eol)").alias("code")))

@@ -14,7 +14,7 @@ from codewarden.functions.paths import last_dot_part
 from codewarden.functions.text import clamp01, java
 
 # Cuts, token limits, reply formats and the order of providers.
-SCORE_PROMPT_CHARS = 1800
+SCORE_CHUNK_CHARS = 1800
 SCORE_MAX_TOKENS = 80
 SHELL_MAX_TOKENS = 200
 FIX_MAX_TOKENS = 1024
@@ -33,19 +33,23 @@ def request_settings(asked_tokens: int, config: ScanConfig) -> tuple[Column, Col
 
 
 def score_requests(files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """One request per file: the start of its text and what to answer."""
+    """The requests of each file: one per consecutive part of its text, numbered from 1.
+
+    ``chars`` is the length of the part, by which ``combine_scores`` weighs the answers.
+    """
     ext = last_dot_part(F.col("file_path"))
     code = F.col("code")
-    start = F.when(F.length(code) > SCORE_PROMPT_CHARS,
-                   F.concat(F.left(code, F.lit(SCORE_PROMPT_CHARS)), F.lit("\n..."))).otherwise(code)
+    last = F.greatest(F.ceil(F.length(code) / SCORE_CHUNK_CHARS), F.lit(1)).cast("int")
+    files = files.filter(code.isNotNull()).select("file_path", "code", F.explode(F.sequence(F.lit(1), last)).alias("chunk"))
+    part = F.substr("code", (F.col("chunk") - 1) * SCORE_CHUNK_CHARS + 1, F.lit(SCORE_CHUNK_CHARS))
     tokens, temperature = request_settings(SCORE_MAX_TOKENS, config)
-    return files.filter(code.isNotNull()).select(
-        "file_path",
+    return files.select(
+        "file_path", "chunk", F.length(part).alias("chars"),
         F.concat(
             F.lit("How likely was this "), ext,
             F.lit(" file written by a language model? Weigh depth of domain knowledge, generic wording and "
                   'edge cases. Answer with JSON only: {"score": <0.0 to 1.0>, "reason": "<one sentence>"}\n```'),
-            ext, F.lit("\n"), start, F.lit("\n```")).alias("prompt"),
+            ext, F.lit("\n"), part, F.lit("\n```")).alias("prompt"),
         tokens.alias("max_tokens"), temperature.alias("temperature"),
     )
 
@@ -63,23 +67,38 @@ def parse_scores(replies: DataFrame) -> DataFrame:
     bare number between 0 and 1 counts.  Anything else gives nulls.
     """
     obj = _first(F.col("reply"), FIRST_OBJECT)
-    parsed = replies.withColumn("_object", obj).withColumn("_json", F.try_parse_json("_object"))
-    kind = F.schema_of_variant(F.try_variant_get("_json", "$.score", "variant"))
-    as_text = F.try_variant_get("_json", "$.score", "string")
-    as_number = F.try_variant_get("_json", "$.score", "double")
-    is_number = kind.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    is_text = kind == "STRING"
-    prefix = _first(as_text, _LEADING_NUMBER, 1).try_cast("double")
-    value = F.when(is_number, as_number).when(is_text, prefix)
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "bad"}
+    # of a repeated name the last value counts
+    parsed = replies.withColumn("_object", obj).withColumn(
+        "_json", F.from_json("_object", "score string, reason string, bad string", strict))
+    valid = F.col("_json").isNotNull() & F.col("_json.bad").isNull()
+    text = F.col("_json.score")
+    # a list reads as its first number
+    number = _first(F.when(text.startswith("["), F.regexp_replace(text, r'^[\[\s"]+', "")).otherwise(text), _LEADING_NUMBER, 1)
+    value = number.try_cast("double")
     finite = F.when(F.abs(value) < float("inf"), clamp01(value))
     fallback = _first(F.col("reply"), BARE_SCORE, 1).cast("double")
-    score = F.when(F.col("_json").isNotNull(), finite).when(F.col("_object").isNotNull(), fallback)
-    reason_kind = F.schema_of_variant(F.try_variant_get("_json", "$.reason", "variant"))
-    reason = F.when(finite.isNotNull() & (reason_kind == "STRING"), F.try_variant_get("_json", "$.reason", "string"))
+    score = F.when(valid, finite).when(F.col("_object").isNotNull(), fallback)
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("_object"), "$.reason", "variant"))
+    told = F.coalesce(kind == "STRING", F.col("_json.reason").isNotNull())
+    reason = F.when(valid & finite.isNotNull() & told, F.col("_json.reason"))
     return (parsed.withColumn("reply_score", score).withColumn("reply_reason", reason)
             .drop("_object", "_json"))
 
 
+def combine_scores(parsed: DataFrame) -> DataFrame:
+    """One score per file from ``parsed(file_path, chars, reply_score)``: the mean of its parts, by length.
+
+    Parts without a readable score do not count; a file without any has a null.
+    """
+    read = F.col("reply_score").isNotNull()
+    weight = F.greatest(F.col("chars"), F.lit(1))
+    total = F.sum(F.when(read, weight))
+    return parsed.groupBy("file_path").agg(
+        (F.sum(F.when(read, weight * F.col("reply_score"))) / total).alias("reply_score"),
+        F.count(F.lit(1)).alias("parts"), F.count("reply_score").alias("parts_read"))
+
+
 def pick_provider(replies: DataFrame, preferred: str = "auto") -> DataFrame:
     """One reply per file: the preferred provider's, else by the fixed order.
 

@@ -66,17 +66,13 @@ def file_counts(findings: DataFrame) -> DataFrame:
     )
 
 
-def file_results(measured: DataFrame, findings: DataFrame, scores: DataFrame) -> DataFrame:
-    """One row per scanned file.
-
-    ``measured`` is ``language_and_lines(files)``.  All three sides are slim
-    rows keyed by path: the text itself is never shuffled.
-    """
+def file_results(findings: DataFrame, scores: DataFrame) -> DataFrame:
+    """One row per scanned file, from slim rows keyed by path: no text is read."""
     zero = F.lit(0)
-    return (measured.join(scores.select("file_path", "ai_score"), "file_path")
-            .join(file_counts(findings), "file_path", "left")
+    return (scores.select("file_path", "ai_score", "lines_total").join(file_counts(findings), "file_path", "left")
             .select(
-                "file_path", "language", "lines_of_code", "ai_score",
+                "file_path", detect_language(F.col("file_path")).alias("language"),
+                F.col("lines_total").alias("lines_of_code"), "ai_score",
                 F.coalesce("vulnerabilities", zero).alias("vulnerabilities"),
                 F.coalesce("policy_violations", zero).alias("policy_violations"),
                 F.coalesce("findings", zero).alias("findings"),
@@ -87,18 +83,20 @@ def scan_summary(files: DataFrame, findings: DataFrame, scores: DataFrame,
                  config: ScanConfig = ScanConfig()) -> DataFrame:
     """The one-row summary of a scan.
 
-    The three inputs are aggregated on their own and meet as single rows.
+    The three inputs are aggregated on their own and meet as single rows.  A
+    file that has no score could not be read; no text is looked at for that.
     """
-    counted = files.agg(
-        F.count_if(F.col("code").isNotNull()).alias("files_scanned"),
-        F.count_if(F.col("code").isNull()).alias("files_skipped"))
+    counted = files.agg(F.count(F.lit(1)).alias("files"))
     scored = scores.agg(
+        F.count(F.lit(1)).alias("files_scanned"),
         F.count_if(F.col("ai_score") >= config.detection_threshold).alias("ai_generated_files"),
         F.coalesce(F.avg("ai_score"), F.lit(0.0)).alias("average_ai_score"))
     malicious = F.coalesce(F.bool_or(F.col("category") == "malicious"), F.lit(False))
     totals = findings.agg(F.count(F.lit(1)).alias("total_findings"), *_severity_counts(),
                           malicious.alias("has_malicious"))
-    return side_by_side(counted, totals, scored)
+    one = side_by_side(counted, totals, scored)
+    return one.select("files_scanned", (F.col("files") - F.col("files_scanned")).alias("files_skipped"),
+                      *[c for c in one.columns if c not in ("files", "files_scanned")])
 
 
 def risk_scores(findings: DataFrame) -> DataFrame:

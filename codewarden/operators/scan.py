@@ -72,6 +72,11 @@ def as_findings(rows: DataFrame) -> DataFrame:
     return rows.select(*[c if c in have else optional[c].alias(c) for c in FINDING_COLUMNS])
 
 
+def narrowed(rules: Sequence[Rule], category: str = "all", severity: str = "all") -> list[Rule]:
+    """The rules whose findings a filter can show; the others need not run."""
+    return [r for r in rules if category in ("all", r.category) and severity in ("all", r.severity)]
+
+
 def scan_rules(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Every finding of ``rules``, in one pass over the text."""
     if not rules:

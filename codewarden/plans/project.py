@@ -2,8 +2,9 @@
 
 A scan makes two passes over the text: one for all pattern and policy rules,
 one for the authorship signals.  What leaves the passes is slim; every roll-up
-works on those tables.  ``keep`` (checkpoint) and ``store`` (tables) write them
-once, so that the roll-ups do not repeat the passes and survive a lost executor.
+works on those tables.  ``keep`` (in the shared folder) and ``store`` (in a folder
+of the caller) write them once, so that the roll-ups do not repeat the passes, read
+only the columns they need and survive a lost executor.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from codewarden.config import ScanConfig
 from codewarden.functions.lineage import cut_lineage
-from codewarden.operators.authorship import authorship, authorship_findings, language_and_lines
+from codewarden.operators.authorship import authorship, authorship_findings
 from codewarden.operators.policy import compliance, policy_scores, policy_status
 from codewarden.operators.report import recommendations, report_json, report_lines
 from codewarden.operators.rollup import file_results, scan_summary, top_findings, union_findings
@@ -32,7 +33,7 @@ class Scan:
     config: ScanConfig
 
     def file_results(self) -> DataFrame:
-        return file_results(language_and_lines(self.files), self.findings, self.scores)
+        return file_results(self.findings, self.scores)
 
     def summary(self) -> DataFrame:
         return scan_summary(self.files, self.findings, self.scores, self.config)
@@ -44,7 +45,7 @@ class Scan:
         return policy_status(self.findings, self.config.active_policies)
 
     def policy_scores(self) -> DataFrame:
-        return policy_scores(self.files, self.findings, self.config.active_policies)
+        return policy_scores(self.scores, self.findings, self.config.active_policies)
 
     def compliance(self) -> DataFrame:
         return compliance(self.policy_status())
@@ -72,8 +73,8 @@ def scan_project(files: DataFrame, config: ScanConfig = ScanConfig(), replies: D
 
 
 def keep(scan: Scan) -> Scan:
-    """Checkpoint scores and findings, scores first: the authorship findings
-    are read from them, so each pass over the text runs once."""
+    """Write scores and findings, scores first: the authorship findings are
+    read from them, so each pass over the text runs once."""
     scores = cut_lineage(scan.scores)
     rules = scan_rules(scan.files, catalog(scan.config.active_policies))
     return Scan(scan.files, cut_lineage(union_findings(authorship_findings(scores), rules)), scores, scan.config)

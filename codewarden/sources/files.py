@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,10 @@ from codewarden.functions.text import lines_of
 LISTED_EXTENSIONS = ("ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "cs", "rb", "php", "cpp", "c", "h", "sh",
                      "sql", "vue", "svelte", "kt", "swift")
 LISTED_EXCLUDES = ("node_modules", ".git", "dist", "build", "out", ".next", "coverage")
-LIST_CAP, LIST_SHOWN = 500, 200
 TREE_SKIPPED = ("node_modules", ".git", "dist", "out", "coverage", ".vscode")
-PREVIEW_LINES = 300
 DEFAULT_PATH = "selection.ts"
+# Characters of the texts that go to Spark at once.
+FRAME_CHARS = 8_000_000
 
 _ENTRY = "path string, rel string, is_dir boolean, size_bytes long"
 
@@ -29,7 +30,8 @@ def collected(config: ScanConfig = ScanConfig()) -> Column:
     """The predicate of a project scan over ``file_path`` and ``size_bytes``."""
     excludes = list(dict.fromkeys([*MANDATORY_EXCLUDES, *config.exclude_patterns]))
     path = F.col("file_path")
-    return scannable(path) & (F.col("size_bytes") <= config.max_file_size_kb * 1024) & ~excluded(path, excludes)
+    out = scannable(path) & ~excluded(path, excludes)
+    return out if config.max_file_size_kb is None else out & (F.col("size_bytes") <= config.max_file_size_kb * 1024)
 
 
 def discover(paths: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
@@ -37,32 +39,36 @@ def discover(paths: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     return paths.filter(collected(config))
 
 
+def too_large(paths: DataFrame, config: ScanConfig) -> DataFrame:
+    """What a size limit leaves out: one row with the number of files and their bytes."""
+    unlimited = replace(config, max_file_size_kb=None)
+    left = paths.filter(collected(unlimited) & ~collected(config))
+    return left.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+
+
 def from_text(spark: SparkSession, code: str, file_path: str = DEFAULT_PATH) -> DataFrame:
     """A one-row files table for text at hand."""
     return spark.createDataFrame([(file_path, code, len(code.encode()))],
                                  "file_path string, code string, size_bytes long")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core rows to work on.
-
-    Scanning is bound by the processor, and rows of one table split can only
-    use one core.  A table with at least as many splits as the cluster has
-    cores is left alone, so a large one is never shuffled for this; a smaller
-    one is cut up by a hash of ``key``.
-    """
-    width = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= width else df.repartition(2 * width, key)
-
-
 def one_file(files: DataFrame, file_path: str) -> DataFrame:
     return files.filter(F.col("file_path") == file_path)
 
 
-def file_exists(files: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted(file_path)`` with whether a file of that path exists."""
-    known = files.select("file_path").distinct().withColumn("exists", F.lit(True))
-    return wanted.join(known, "file_path", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+def file_exists(files: DataFrame, wanted: DataFrame, root: str = "/workspace") -> DataFrame:
+    """``wanted(file_path)`` with whether a file or folder of that path exists inside ``root``.
+
+    Paths are resolved first, so ``a/../b`` is ``b``; what leads out of the root does not exist.
+    """
+    parts = F.split("file_path", "/")
+    inside = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    known = files.select(F.explode(inside).alias("_known")).distinct().withColumn("exists", F.lit(True))
+    absolute = resolve_against(F.lit(root), F.col("file_path"))
+    relative = F.when(is_inside(F.lit(root), absolute), F.substr(absolute, F.lit(len(root) + 2)))
+    asked = wanted.withColumn("_known", relative)
+    found = F.coalesce("exists", F.coalesce(F.col("_known") == "", F.lit(False)))
+    return asked.join(known, "_known", "left").withColumn("exists", found).drop("_known")
 
 
 def region(files: DataFrame, start: int, end: int) -> DataFrame:
@@ -73,37 +79,37 @@ def region(files: DataFrame, start: int, end: int) -> DataFrame:
     return files.withColumn("code", cut)
 
 
-def preview(files: DataFrame) -> DataFrame:
-    """The first lines of each file, numbered, with the total."""
+def preview(files: DataFrame, start: int = 1, count: int | None = None) -> DataFrame:
+    """The lines of each file from ``start`` on, numbered, with the total; ``count`` of them if one is given."""
     lines = lines_of(F.col("code"))
     return files.select(
         "file_path", F.size(lines).alias("total"),
-        F.posexplode(F.slice(lines, 1, PREVIEW_LINES)).alias("pos", "text"),
-    ).select("file_path", (F.col("pos") + 1).alias("n"), "text", "total")
+        F.posexplode(F.slice(lines, F.lit(start), F.size(lines) if count is None else F.lit(count))).alias("pos", "text"),
+    ).select("file_path", (F.col("pos") + start).alias("n"), "text", "total")
 
 
 def list_files(paths: DataFrame, query: str = "") -> DataFrame:
-    """The file picker: by name, cut at 500 files, then filtered, then cut at 200."""
+    """The file picker: source files whose path holds the text, by path."""
     path = F.col("file_path")
     ext = F.regexp_extract(path, r"\.([^./]+)\z", 1)
     parts = F.split(path, "/")
     skipped = F.exists(parts, lambda p: p.isin(*LISTED_EXCLUDES))
-    first = (paths.filter(ext.isin(*LISTED_EXTENSIONS) & ~skipped)
-             .select("file_path", F.regexp_extract(path, r"([^/]*)\z", 1).alias("name"), ext.alias("ext"))
-             .orderBy("file_path").limit(LIST_CAP))
-    found = first.filter(F.contains(F.lower(path), F.lit(query.lower()))) if query else first
-    return found.orderBy("file_path").limit(LIST_SHOWN)
+    wanted = ext.isin(*LISTED_EXTENSIONS) & ~skipped & F.contains(F.lower(path), F.lit(query.lower()))
+    return (paths.filter(wanted)
+            .select("file_path", F.regexp_extract(path, r"([^/]*)\z", 1).alias("name"), ext.alias("ext"))
+            .orderBy("file_path"))
 
 
-def list_tree(paths: DataFrame, folder: str = "", max_depth: int = 5) -> DataFrame:
-    """Paths below ``folder`` of at most ``max_depth`` levels, without skipped and dot names."""
+def list_tree(paths: DataFrame, folder: str = "", max_depth: int | None = None) -> DataFrame:
+    """Paths below ``folder``, of at most ``max_depth`` levels if given, without skipped and dot names."""
     prefix = folder.strip("/")
     below = paths if prefix in ("", ".") else paths.filter(F.col("file_path").startswith(prefix + "/"))
     depth_of = len(prefix.split("/")) if prefix not in ("", ".") else 0
     parts = F.split("file_path", "/")
     inner = F.slice(parts, depth_of + 1, F.size(parts))
     hidden = F.exists(inner, lambda p: p.isin(*TREE_SKIPPED) | p.startswith("."))
-    return below.filter((F.size(inner) <= max_depth) & ~hidden).select("file_path")
+    near = F.lit(True) if max_depth is None else F.size(inner) <= max_depth
+    return below.filter(near & ~hidden).select("file_path")
 
 
 def confine(paths: DataFrame, root: str) -> DataFrame:
@@ -120,7 +126,9 @@ def confine(paths: DataFrame, root: str) -> DataFrame:
 # level: each level is one job in which tasks list the folders they were given.
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of each folder; a folder that cannot be read has none."""
+    """Entries of each folder; links are not followed, and a folder that cannot be read has none."""
+    import os
+
     from pyarrow import fs
 
     for batch in batches:
@@ -132,7 +140,8 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             rows = [(path.rstrip("/") + "/" + i.base_name, f"{rel}/{i.base_name}" if rel else i.base_name,
                      i.type == fs.FileType.Directory, i.size)
-                    for i in infos if i.type in (fs.FileType.Directory, fs.FileType.File)]
+                    for i in infos if i.type in (fs.FileType.Directory, fs.FileType.File)
+                    and not (isinstance(system, fs.LocalFileSystem) and os.path.islink(i.path))]
             if rows:
                 yield pd.DataFrame(rows, columns=["path", "rel", "is_dir", "size_bytes"])
 
@@ -142,6 +151,7 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     a file that cannot be read keeps a null, to be counted as skipped."""
     from pyarrow import fs
 
+    rows, held = [], 0
     for batch in batches:
         for path, rel, size in zip(batch["path"], batch["rel"], batch["size_bytes"], strict=True):
             system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
@@ -150,7 +160,13 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     code = stream.read().decode("utf-8", errors="replace")
             except OSError:
                 code = None
-            yield pd.DataFrame({"file_path": [rel], "code": [code], "size_bytes": [size]})
+            rows.append((rel, code, size))
+            held += len(code or "")
+            if held >= FRAME_CHARS:
+                yield pd.DataFrame(rows, columns=["file_path", "code", "size_bytes"])
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["file_path", "code", "size_bytes"])
 
 
 def read_tree(spark: SparkSession, root: str, config: ScanConfig = ScanConfig()) -> DataFrame:

@@ -139,9 +139,14 @@ def test_tree_scan(spark, tmp_path):
     write("app.min.js", "eval(x)\n")
     write("big.js", "x" * (600 * 1024))
     write(".env", "A=1")
+    (tmp_path / "lib" / "loop").symlink_to(tmp_path)
+    (tmp_path / "copy.js").symlink_to(tmp_path / "big.js")
     files = src.read_tree(spark, str(tmp_path)).cache()
     assert sorted(r.file_path for r in files.collect()) == [
-        ".github/workflows/ci.yml", "include/api.h", "lib/main.dart", "pkg/__init__.py"]
+        ".github/workflows/ci.yml", "big.js", "include/api.h", "lib/main.dart", "pkg/__init__.py"]
+    limited = ScanConfig(max_file_size_kb=512)
+    assert "big.js" not in {r.file_path for r in src.read_tree(spark, str(tmp_path), limited).collect()}
+    assert tuple(src.too_large(files, limited).first()) == (1, 600 * 1024)
     assert files.filter("file_path = 'pkg/__init__.py'").first().code == "x = '�'\n"
     found = {(r.file_path, r.rule_id) for r in scan_files(files).findings.collect()}
     assert (".github/workflows/ci.yml", "CICD-003") in found and ("include/api.h", "C-001") in found
@@ -169,7 +174,7 @@ def test_empty_scan(make_files):
     assert scan.report().count() > 0
 
 
-def test_context_and_request_are_cut(make_files):
+def test_context_and_request_are_whole(make_files):
     body = "\n".join(f"  const value{i} = compute({i}, '{'x' * 400}');" for i in range(120))
     files = make_files(("a.js", f"function big() {{\n{body}\n  eval(x);\n}}\n"),
                        ("b.js", "function one() {\n  a();\n}\nfunction two() {\n  if (b) {\n    eval(c);\n  }\n}\nfunction three() {}\n"))
@@ -177,8 +182,8 @@ def test_context_and_request_are_cut(make_files):
     got = {r.file_path: (r.first_line, r.last_line) for r in remedy.finding_context(found, files).collect()}
     # a.js: the declaration is more than 80 lines away and no brace opens; b.js: "if (..) {" counts as a start
     assert got == {"a.js": (112, 124), "b.js": (5, 7)}
-    prompt = remedy.fix_requests(found, files).filter("prompt like '%truncated%'").first().prompt
-    assert "...[truncated]" in prompt and len(prompt) < 4500
+    context = {r.finding_id: r.context for r in remedy.finding_context(found, files).collect()}
+    assert all(context[r.finding_id] in r.prompt for r in remedy.fix_requests(found, files).collect())
 
 
 def test_fixes(spark, make_files):
@@ -188,7 +193,11 @@ def test_fixes(spark, make_files):
         "```\nsafe(x);\n```").alias("reply"))
     fixes = remedy.validate_fixes(found, answers)
     fixed = {r.file_path: r.code for r in remedy.apply_fixes(files, fixes).collect()}
-    assert fixed == {"a.js": "f() {\r\n    eval(x);\r\n    safe(y);\r\n    more();\r\n}\r\n"}
+    assert fixed == {"a.js": "f() {\r\n    safe(x);\r\n    safe(y);\r\n    more();\r\n}\r\n"}
+    wide = fixes.filter("file_path = 'a.js'").withColumn("end_line", F.lit(3))
+    row = remedy.apply_fixes(files, wide).first()
+    last = fixes.filter("file_path = 'a.js' and start_line = 3").first().finding_id
+    assert (row.applied, row.conflicts, row.code) == (1, last, "f() {\r\n    safe(x);\r\n}\r\n")
     bad = found.select("finding_id", F.lit("```\neval() Usage is bad\n```").alias("reply"))
     assert {r.reject_reason for r in remedy.validate_fixes(found, bad).collect()} == {"description instead of code"}
     none = found.select("finding_id", F.lit("no block").alias("reply"))
@@ -202,14 +211,19 @@ def test_store_keep_and_sinks(spark, make_files, tmp_path):
     rows = sorted(r.finding_id for r in scan.findings.collect())
     assert rows == sorted(r.finding_id for r in kept.findings.collect()) == sorted(r.finding_id for r in stored.findings.collect())
     sinks.write_report(kept.report("demo"), str(tmp_path / "report"))
-    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
-    assert text.index("# Audit Report") < text.index("## Recommendations") < text.index("## Top Findings") < text.index("| a.js |")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "report").glob("part-*")))
+    assert text.index("# Code audit") < text.index("## What to do") < text.index("## Worst findings") < text.index("| a.js |")
     sinks.write_json(kept.report_json(), str(tmp_path / "json"))
     document = json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "json")).collect()))
     assert document["summary"]["files_scanned"] == 2 and document["recommendations"][0]["priority"] == 1
     for scan_id, when in (("z", "2024-01-01"), ("a", "2024-01-02")):
         sinks.append_scan(kept.summary(), str(tmp_path / "history"), scan_id, when)
+        sinks.append_scan(kept.summary(), str(tmp_path / "history"), scan_id, when)
     assert [r.scan_id for r in sinks.read_latest(spark, str(tmp_path / "history")).collect()] == ["a"]
+    sinks.clear_history(spark, str(tmp_path / "history"))
+    assert sinks.read_latest(spark, str(tmp_path / "history")).count() == 0
+    sinks.append_scan(kept.summary(), str(tmp_path / "history"), "b", "2024-01-03")
+    assert [r.scan_id for r in sinks.read_latest(spark, str(tmp_path / "history")).collect()] == ["b"]
 
 
 def test_registry(make_files):
@@ -225,9 +239,35 @@ def test_sources_at_hand(spark, make_files):
     assert src.region(files, 2, 3).first().code == "2\n3"
     assert src.region(files, 3, 2).first().code == "1\n2\n3\n4"
     assert [(r.n, r.text, r.total) for r in src.preview(files).collect()][-1] == (4, "4", 4)
+    assert [(r.n, r.text) for r in src.preview(files, 2, 2).collect()] == [(2, "2"), (3, "3")]
     assert src.one_file(files, "a.ts").count() == 1
 
 
+def test_folders_exist_inside_the_root_only(spark, make_files):
+    files = make_files(("src/a/b.js", "1"))
+    asked = {"src": True, "src/a": True, "src/a/b.js": True, "src/a/../a": True, "src/b": False, "../src": False, ".": True,
+             "/workspace/src": True, "/src": False, "src/../../workspace/src": True}
+    wanted = spark.createDataFrame([(p,) for p in asked], "file_path string")
+    assert {r.file_path: r.exists for r in src.file_exists(files, wanted).collect()} == asked
+
+
+def test_repeated_and_listed_scores(spark):
+    cases = {'{"score":0.9,"score":0.3}': 0.3, '{"score":[0.7]}': 0.7, '{"score":["0.4", 1]}': 0.4, '{"score":true}': None,
+             '{"score":null}': None, '{"score":" 0.2x"}': 0.2, '{"score":-3}': 0.0, "{'score': 0.6}": 0.6, '{"score":{}}': None}
+    got = replies.parse_scores(spark.createDataFrame([(k,) for k in cases], "reply string"))
+    assert {r.reply: r.reply_score for r in got.collect()} == cases
+
+
+def test_chunk_scores_are_weighed(spark, make_files):
+    asked = replies.score_requests(make_files(("a.ts", "x" * 4000), ("b.ts", "")))
+    assert sorted((r.file_path, r.chunk, r.chars) for r in asked.collect()) == [
+        ("a.ts", 1, 1800), ("a.ts", 2, 1800), ("a.ts", 3, 400), ("b.ts", 1, 0)]
+    rows = spark.createDataFrame([("a", 300, 0.5), ("a", 100, 0.9), ("a", 100, None), ("b", 5, None)],
+                                 "file_path string, chars int, reply_score double")
+    got = {r.file_path: (r.reply_score, r.parts, r.parts_read) for r in replies.combine_scores(rows).collect()}
+    assert got["b"] == (None, 1, 0) and got["a"][1:] == (3, 2) and abs(got["a"][0] - 0.6) < 1e-9
+
+
 def test_stream_equals_batch(spark, make_files, tmp_path):
     files = make_files(("a.js", "eval(x)\n"), ("b.py", "pickle.loads(b)\n"))
     files.write.parquet(str(tmp_path / "in"))

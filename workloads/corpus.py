@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codewarden.functions.text import quoted
-from codewarden.sources.files import spread
 from workloads.snippets import COMMANDS, GUIDANCE_REPLIES, SCORE_REPLIES, SNIPPETS
 
 
@@ -19,7 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name), key)
+    """A table of texts.  One that is a single file, such as the small test tables, can be read
+    by one core only and is dealt out; a table of several files is never shuffled for that."""
+    rows = table(spark, sf_dir, name)
+    return rows if len(rows.inputFiles()) > 1 else rows.repartition(2 * spark.sparkContext.defaultParallelism, key)
 
 
 def pick(values, key: str) -> Column:

@@ -288,8 +288,8 @@ AI_FINDINGS = f"""ai_findings AS (
          ELSE 'low' END AS severity,
     CASE WHEN ai_score >= 0.90 THEN 4 WHEN ai_score >= 0.72 THEN 3 WHEN ai_score >= 0.55 THEN 2 ELSE 1 END AS severity_rank,
     'ai-generated' AS rule_id, -1 AS rule_ord,
-    CASE WHEN tier = 'detected' THEN 'AI-Generated Content Detected (' || CAST(floor(ai_score * 100 + 0.5) AS INT) || '% confidence)'
-      ELSE 'Possible AI-Generated Content — Human Review Recommended (' || CAST(floor(ai_score * 100 + 0.5) AS INT) || '% signals)'
+    CASE WHEN tier = 'detected' THEN 'Written by a model, by all signs (' || CAST(floor(ai_score * 100 + 0.5) AS INT) || '% sure)'
+      ELSE 'Perhaps written by a model; have someone read it (' || CAST(floor(ai_score * 100 + 0.5) AS INT) || '% of the signs)'
       END AS title,
     CASE WHEN tier = 'detected' THEN 'Several signals of machine authorship agree (7 were weighed).'
       ELSE 'Some signals of machine authorship are present, but they do not settle the question.' END AS description,
@@ -444,12 +444,12 @@ def _excluded(patterns) -> str:
             f"AND NOT starts_with(c, '.env') AND c NOT IN ({names(ALLOWED_HIDDEN)})))) > 0")
 
 
-def _collected(max_kb: int) -> str:
+def _collected(max_kb: int | None) -> str:
     name = "regexp_extract(file_path, '([^/]*)$', 1)"
     ext = f"lower(regexp_extract({name}, '[^.].*?(\\.[^.]*)$', 1))"
     excludes = [*MANDATORY_EXCLUDES, *ScanConfig().exclude_patterns]
     return (f"({ext} IN ({names(SCANNABLE_EXTENSIONS)}) OR ({ext} = '' AND {name} IN ({names(SCANNABLE_BASENAMES)})))"
-            f" AND size_bytes <= {max_kb * 1024} AND NOT ({_excluded(excludes)})")
+            + ("" if max_kb is None else f" AND size_bytes <= {max_kb * 1024}") + f" AND NOT ({_excluded(excludes)})")
 
 
 def _simple(source: str) -> str:
@@ -489,8 +489,7 @@ _R6 = "round({0}, 6) AS {0}"
 
 def _score_prompt() -> str:
     ext = "string_split(file_path, '.')[-1]"
-    start = (f"CASE WHEN length(code) > {L.SCORE_PROMPT_CHARS} THEN code[1:{L.SCORE_PROMPT_CHARS}] || chr(10) || '...' "
-             "ELSE code END")
+    start = "substring(code, (chunk - 1) * 1800 + 1, 1800)"
     return (f"'How likely was this ' || {ext} || ' file written by a language model? Weigh depth of domain knowledge, "
             "generic wording and edge cases. Answer with JSON only: {\"score\": <0.0 to 1.0>, \"reason\": \"<one sentence>\"}' "
             f"|| chr(10) || '```' || {ext} || chr(10) || {start} || chr(10) || '```'")
@@ -500,26 +499,37 @@ _GUIDANCE = f"""replied AS (
   SELECT a.*, {pick(GUIDANCE_REPLIES, 'a.n_chars')} AS reply FROM analyzed a),
 read AS (SELECT *, nullif(regexp_extract(reply, {rx(L.WIDEST_OBJECT)}), '') AS obj FROM replied)"""
 
-_PICK_FIX = """chosen AS (
-  SELECT file_path, arg_max({'finding_id': finding_id, 's': start_line, 'e': end_line, 'block': block},
-    {'s': start_line, 'id': finding_id}) AS fix
-  FROM fixes WHERE reject_reason IS NULL GROUP BY file_path),
-pieces AS (
-  SELECT file_path, fix.finding_id AS finding_id, regexp_split_to_array(code, '\\r?\\n') AS l, contains(code, chr(13) || chr(10)) AS crlf,
-    regexp_split_to_array(fix.block, '\\r?\\n') AS fixed, greatest(0, fix.s - 1) AS a, fix.e AS e
-  FROM files JOIN chosen USING (file_path)),
-indented AS (
-  SELECT *, regexp_extract(coalesce(l[a + 1], ''), """ + rx(r"^(\s*)") + """, 1) AS base,
-    length(regexp_extract(fixed[1], """ + rx(r"^(\s*)") + """, 1)) AS fix_indent FROM pieces)"""
+# Fixes from the top of the file down; one that starts inside an earlier one stays out.
+_PICK_FIX = """ordered AS (
+  SELECT file_path, finding_id, block, greatest(0, start_line - 1) AS a, end_line AS e,
+    row_number() OVER (PARTITION BY file_path ORDER BY greatest(0, start_line - 1), end_line, finding_id) AS r
+  FROM fixes WHERE reject_reason IS NULL),
+walk AS (
+  SELECT o.*, true AS used, greatest(e, a) AS cursor FROM ordered o WHERE r = 1
+  UNION ALL
+  SELECT o.*, o.a >= w.cursor, CASE WHEN o.a >= w.cursor THEN greatest(o.e, o.a) ELSE w.cursor END
+  FROM walk w JOIN ordered o ON o.file_path = w.file_path AND o.r = w.r + 1),
+cut AS (
+  SELECT file_path, regexp_split_to_array(code, '\\r?\\n') AS l, contains(code, chr(13) || chr(10)) AS crlf
+  FROM files SEMI JOIN walk USING (file_path)),
+kept_lines AS (
+  SELECT file_path, n::DOUBLE AS place, l[n] AS line FROM (SELECT file_path, l, unnest(range(1, len(l) + 1)) AS n FROM cut) x
+  WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.file_path = x.file_path AND w.used AND x.n > w.a AND x.n <= w.e)),
+put_lines AS (
+  SELECT file_path, a + 0.5 AS place, CASE WHEN length(base) > length(regexp_extract(fixed[1], """ + rx(r"^(\s*)") + """, 1))
+    THEN array_to_string(list_transform(fixed, lambda x: base || ltrim(x, """ + WS + """)), chr(10)) ELSE array_to_string(fixed, chr(10)) END AS line
+  FROM (SELECT w.file_path, a, regexp_split_to_array(block, '\\r?\\n') AS fixed,
+          regexp_extract(coalesce(l[a + 1], ''), """ + rx(r"^(\s*)") + """, 1) AS base
+        FROM walk w JOIN cut USING (file_path) WHERE used))"""
 
 _PROMPT_FIX = (
     "'Repair this problem in a piece of source code.' || chr(10) || chr(10) || 'Problem: ' || title || chr(10) || 'Kind: ' || category"
     " || chr(10) || 'Severity: ' || severity || chr(10) || 'Details: ' || description || chr(10) || 'Advice: '"
     " || coalesce(recommendation, 'Use the safe idiom of the language') || chr(10) || chr(10) || 'Lines ' || start_line || ' to ' || end_line"
     " || ':' || chr(10) || '```' || chr(10)"
-    f" || CASE WHEN length(snippet) > {R.SNIPPET_CHARS} THEN snippet[1:{R.SNIPPET_CHARS}] || chr(10) || '...[truncated]' ELSE snippet END"
+    " || snippet"
     " || chr(10) || '```' || chr(10) || chr(10) || 'Surrounding function:' || chr(10) || '```' || chr(10)"
-    f" || CASE WHEN length(context) > {R.CONTEXT_CHARS} THEN context[1:{R.CONTEXT_CHARS}] || chr(10) || '...[truncated]' ELSE context END"
+    " || context"
     " || chr(10) || '```' || chr(10) || chr(10) || 'Answer with one fenced block that replaces the quoted lines. Keep lines that are not"
     " part of the problem, keep the indentation, and explain nothing outside the block.'")
 
@@ -531,28 +541,27 @@ _CUSTOM = active_rules(add_rule(POLICY_RULES, CUSTOM_RULE), CUSTOM_ACTIVE)
 _REPORT = f"""top10 AS (
   SELECT *, row_number() OVER (ORDER BY severity_rank DESC, {ORDER}) - 1 AS p FROM all_findings
   QUALIFY p < 10),
-first50 AS (SELECT *, row_number() OVER (ORDER BY file_path) - 1 AS p FROM results QUALIFY p < 50),
 advised AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS p FROM recommendations),
 blocks AS (
-  SELECT 0 AS section, 0 AS ord, ['# Audit Report', '', '**Project:** {PROJECT}', '', '---', '', '## Executive Summary', '',
-    '| Metric | Value |', '|--------|-------|',
-    '| Files Scanned | ' || files_scanned || ' |', '| Files Skipped | ' || files_skipped || ' |',
-    '| Total Findings | ' || total_findings || ' |', '| Critical | ' || critical_count || ' |',
+  SELECT 0 AS section, 0 AS ord, '' AS name, ['# Code audit', '', 'Project: {PROJECT}', '', '---', '', '## Overview', '',
+    '| Count of | Number |', '|---|---|',
+    '| Files read | ' || files_scanned || ' |', '| Files left out | ' || files_skipped || ' |',
+    '| Findings | ' || total_findings || ' |', '| Critical | ' || critical_count || ' |',
     '| High | ' || high_count || ' |', '| Medium | ' || medium_count || ' |', '| Low | ' || low_count || ' |',
-    '| AI-Generated Files | ' || ai_generated_files || ' (' || printf('%.1f', average_ai_score * 100) || '% avg score) |',
-    '', '---', '', '## Recommendations', ''] AS l FROM summary
-  UNION ALL SELECT 1, p, ['### ' || (p + 1) || '. ' || title, '', description, '', '- **Priority:** ' || priority,
-    '- **Effort:** ' || effort, '- **Impact:** ' || impact, ''] FROM advised
-  UNION ALL SELECT 2, 0, ['---', '', '## Top Findings', '']
-  UNION ALL SELECT 3, p, ['### ' || upper(severity) || ': ' || title, '- **File:** ' || file_path || ':' || start_line,
-    '- **Category:** ' || category, '- **Confidence:** ' || CAST(floor(confidence * 100 + 0.5) AS INT) || '%', '', '```',
-    snippet, '```', '', coalesce('> **Recommendation:** ' || recommendation, ''), ''] FROM top10
-  UNION ALL SELECT 4, 0, ['---', '', '## File Results', '', '| File | Language | LoC | AI Score | Vulns | Policy | Severity |',
-    '|------|----------|-----|----------|-------|--------|----------|']
-  UNION ALL SELECT 5, p, ['| ' || concat_ws(' | ', file_path, language, CAST(lines_of_code AS VARCHAR),
+    '| Files of machine authorship | ' || ai_generated_files || ' (' || printf('%.1f', average_ai_score * 100) || '% mean) |',
+    '', '---', '', '## What to do', ''] AS l FROM summary
+  UNION ALL SELECT 1, p, '', ['### ' || (p + 1) || '. ' || title, '', description, '', '- Order: ' || priority,
+    '- Work: ' || effort, '- Gain: ' || impact, ''] FROM advised
+  UNION ALL SELECT 2, 0, '', ['---', '', '## Worst findings', '']
+  UNION ALL SELECT 3, p, '', ['### ' || upper(severity) || ': ' || title, '- Place: ' || file_path || ':' || start_line,
+    '- Kind: ' || category, '- Sureness: ' || CAST(floor(confidence * 100 + 0.5) AS INT) || '%', '', '```',
+    snippet, '```', '', coalesce('> Advice: ' || recommendation, ''), ''] FROM top10
+  UNION ALL SELECT 4, 0, '', ['---', '', '## Files', '', '| Path | Language | Lines | Machine | Weak points | Rules broken | Worst |',
+    '|---|---|---|---|---|---|---|']
+  UNION ALL SELECT 5, 0, file_path, ['| ' || concat_ws(' | ', file_path, language, CAST(lines_of_code AS VARCHAR),
     CAST(floor(ai_score * 100 + 0.5) AS INT) || '%', CAST(vulnerabilities AS VARCHAR), CAST(policy_violations AS VARCHAR), severity)
-    || ' |'] FROM first50
-  UNION ALL SELECT 6, 0, ['', '---'])"""
+    || ' |'] FROM results
+  UNION ALL SELECT 6, 0, '', ['', '---'])"""
 
 ORACLE: dict[str, str] = {
     "flagship_severity_by_language": _with(
@@ -563,7 +572,7 @@ ORACLE: dict[str, str] = {
       SELECT file_path, regexp_extract(file_path, '([^/]*)$', 1) AS name, regexp_extract(file_path, '\\.([^./]+)$', 1) AS ext
       FROM files WHERE regexp_extract(file_path, '\\.([^./]+)$', 1) IN ({names(S.LISTED_EXTENSIONS)})
         AND NOT list_has_any(string_split(file_path, '/'), [{names(S.LISTED_EXCLUDES)}])
-      ORDER BY file_path LIMIT {S.LIST_CAP}) WHERE contains(lower(file_path), 'src1') ORDER BY file_path LIMIT {S.LIST_SHOWN}"""),
+) WHERE contains(lower(file_path), 'src1')"""),
     "list_tree": _with(FILES, f"""SELECT file_path FROM (SELECT file_path, string_split(file_path, '/')[2:] AS p FROM files
       WHERE starts_with(file_path, 'src/')) WHERE len(p) <= 2
       AND len(list_filter(p, lambda c: c IN ({names(S.TREE_SKIPPED)}) OR starts_with(c, '.'))) = 0"""),
@@ -572,7 +581,7 @@ ORACLE: dict[str, str] = {
     "path_confinement": _with(_TARGETS, f"""SELECT target, CASE WHEN a = '' THEN '/' ELSE a END AS resolved,
       a = '{ROOT}' OR (starts_with(a, '{ROOT}/') AND NOT starts_with(a, '{ROOT}/..')) AS inside FROM absolute"""),
     "file_preview": _with(FILES, f"""SELECT file_path, CAST(n AS INTEGER) AS n, lines[n] AS text, CAST(len(lines) AS INTEGER) AS total
-      FROM (SELECT file_path, lines, unnest(range(1, least(len(lines), {S.PREVIEW_LINES}) + 1)) AS n FROM files)"""),
+      FROM (SELECT file_path, lines, unnest(range(1, len(lines) + 1)) AS n FROM files)"""),
     "region_slice": _with(_region(), "SELECT file_path, code FROM files"),
     "region_findings": _with(f"{_region()}, {findings(VULNERABILITY_RULES)}", _simple("rule_findings")),
     "language_loc": _with(FILES, f"""SELECT {LANGUAGE} AS language, count(*) AS files,
@@ -593,12 +602,15 @@ ORACLE: dict[str, str] = {
     "authorship_interval": _with(_AUTHOR, "SELECT file_path, interval_lo, interval_hi FROM scores"),
     "authorship_tiers": _with(_AUTHOR, """SELECT tier, CASE WHEN ai_score > 0.8 THEN 'critical' WHEN ai_score > 0.65 THEN 'high'
         WHEN ai_score > 0.4 THEN 'medium' ELSE 'low' END AS band,
-      CASE WHEN ai_score > 0.8 THEN 'High AI probability' WHEN ai_score > 0.65 THEN 'Likely AI-generated'
-        WHEN ai_score > 0.4 THEN 'Possibly AI-assisted' ELSE 'Likely human-written' END AS label,
+      CASE WHEN ai_score > 0.8 THEN 'almost surely a model' WHEN ai_score > 0.65 THEN 'probably a model'
+        WHEN ai_score > 0.4 THEN 'perhaps a model''s help' ELSE 'probably a person' END AS label,
       count(*) AS files, round(avg(ai_score), 6) AS mean_score FROM scores GROUP BY 1, 2, 3"""),
     "ai_findings": _with(f"{_AUTHOR}, {AI_FINDINGS}",
                          _simple("ai_findings").replace("confidence", _R6.format("confidence"))),
-    "score_requests": _with(FILES, f"SELECT file_path, {_score_prompt()} AS prompt, 80 AS max_tokens, 0.1::DOUBLE AS temperature FROM files"),
+    "score_requests": _with(FILES, f"""SELECT file_path, CAST(chunk AS INTEGER) AS chunk,
+      CAST(length(substring(code, (chunk - 1) * 1800 + 1, 1800)) AS INTEGER) AS chars, {_score_prompt()} AS prompt,
+      80 AS max_tokens, 0.1::DOUBLE AS temperature
+      FROM (SELECT *, unnest(range(1, greatest(CAST(ceil(length(code) / 1800.0) AS BIGINT), 1) + 1)) AS chunk FROM files)"""),
     "provider_pick": _with(f"{FILES}, {PARSED}", "SELECT file_path, provider, reply FROM picked"),
     "reply_parse": _with(f"{FILES}, {PARSED}", f"SELECT file_path, {_R6.format('reply_score')}, reply_reason FROM parsed"),
     "blended_score": _with(f"{FILES}, {PARSED}, {SIGNALS}, {scores(True)}", f"""SELECT file_path, {_R6.format('ai_score')},
@@ -611,10 +623,10 @@ ORACLE: dict[str, str] = {
     "scan_summary": _with(f"{FULL}, {SUMMARY}", f"SELECT * REPLACE (round(average_ai_score, 6) AS average_ai_score) FROM summary"),
     "project_summary": _with(
         f"{FULL}, {SUMMARY}".replace("files AS MATERIALIZED", "every AS MATERIALIZED", 1).replace(
-            ", rules(rule_ord", f", files AS MATERIALIZED (SELECT * FROM every WHERE {_collected(512)}), rules(rule_ord", 1),
+            ", rules(rule_ord", f", files AS MATERIALIZED (SELECT * FROM every WHERE {_collected(None)}), rules(rule_ord", 1),
         "SELECT * REPLACE (round(average_ai_score, 6) AS average_ai_score) FROM summary"),
     "scan_history": _with(FILES, f"""SELECT 'a-second' AS scan_id, file_path, {LANGUAGE} AS language,
-      CAST(len(lines) AS INTEGER) AS lines_of_code FROM files WHERE {_collected(512)}"""),
+      CAST(len(lines) AS INTEGER) AS lines_of_code FROM files WHERE {_collected(None)}"""),
     "policy_status": _with(_status_only(POLICY_RULES), "SELECT * FROM status"),
     "policy_scores": _with(_POLICY_SCAN, f"""SELECT file_path, coalesce(n, 0) AS violations,
       array_to_string(list_filter([{names(r.rule_id for r in POLICY_RULES)}], lambda x: NOT list_contains(coalesce(broken, []::VARCHAR[]), x)), ',') AS passed,
@@ -663,11 +675,14 @@ ORACLE: dict[str, str] = {
       CASE WHEN reject_reason IS NULL THEN block END AS sanitized_code FROM fixes"""),
     "attach_fixes": _with(f"{FULL}, {FIXES}", """SELECT finding_id, file_path, CASE WHEN reject_reason IS NULL THEN block END
       AS sanitized_code FROM fixes"""),
-    "apply_fix": _with(f"{FULL}, {FIXES}, {_PICK_FIX}", f"""SELECT file_path, finding_id, CASE WHEN crlf
-        THEN array_to_string(new, chr(13) || chr(10)) ELSE array_to_string(new, chr(10)) END AS code
-      FROM (SELECT *, list_concat(list_concat(l[1:a], CASE WHEN length(base) > fix_indent
-        THEN list_transform(fixed, lambda x: base || ltrim(x, {WS})) ELSE fixed END), l[e + 1:]) AS new FROM indented)"""),
+    "apply_fix": _with(f"{FULL}, {FIXES}, {_PICK_FIX}", """SELECT cut.file_path, CAST(f.n AS INTEGER) AS applied, f.conflicts,
+        CASE WHEN crlf THEN replace(t.body, chr(10), chr(13) || chr(10)) ELSE t.body END AS code
+      FROM cut JOIN (SELECT file_path, string_agg(line, chr(10) ORDER BY place) AS body
+          FROM (FROM kept_lines UNION ALL FROM put_lines) GROUP BY file_path) t USING (file_path)
+        JOIN (SELECT file_path, count(*) FILTER (used) AS n,
+          coalesce(string_agg(finding_id, ',' ORDER BY r) FILTER (NOT used), '') AS conflicts FROM walk GROUP BY file_path) f
+        USING (file_path)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "recommendations": _with(f"{FULL}, {SUMMARY}, {RECOMMENDATIONS}", "SELECT * FROM recommendations"),
-    "report_lines": _with(f"{FULL}, {SUMMARY}, {RESULTS}, {RECOMMENDATIONS}, {_REPORT}", """SELECT section, CAST(ord AS INTEGER) AS ord,
-      CAST(sub - 1 AS INTEGER) AS sub, l[sub] AS line FROM (SELECT section, ord, l, unnest(range(1, len(l) + 1)) AS sub FROM blocks)"""),
+    "report_lines": _with(f"{FULL}, {SUMMARY}, {RESULTS}, {RECOMMENDATIONS}, {_REPORT}", """SELECT section, CAST(ord AS INTEGER) AS ord, name,
+      CAST(sub - 1 AS INTEGER) AS sub, l[sub] AS line FROM (SELECT section, ord, name, l, unnest(range(1, len(l) + 1)) AS sub FROM blocks)"""),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from codewarden.catalog import POLICY_RULES, Rule
 from codewarden.config import ScanConfig
+from codewarden.functions.lineage import shared_folder
 from codewarden.operators import authorship as author
 from codewarden.operators import policy, remedy, replies, report, rollup, scan, shell
 from codewarden.plans.project import Scan, keep, scan_files
 from codewarden.sources import files as src
+from codewarden.sources import sinks
 from workloads import corpus
 from workloads.snippets import FIX_REPLIES
 
@@ -183,7 +186,7 @@ def policy_status(spark, d):
 
 def policy_scores(spark, d):
     files = corpus.files(spark, d)
-    out = policy.policy_scores(files, scan.policy_findings(files))
+    out = policy.policy_scores(files.filter(F.col("size_bytes").isNotNull()), scan.policy_findings(files))
     return out.withColumn("passed", F.array_join("passed", ","))
 
 
@@ -221,7 +224,8 @@ def top_ai_files(spark, d):
 
 
 def search_findings(spark, d):
-    found = _scan(spark, d).findings
+    rules = scan.narrowed(scan.catalog(), "vulnerability", "critical")
+    found = scan.scan_rules(corpus.files(spark, d), rules)
     return rollup.search_findings(found, "vulnerability", "critical", " Token ").select(
         "finding_id", "file_path", "rule_id", "start_line")
 
@@ -298,12 +302,11 @@ def report_json(spark, d):
 def scan_history(spark, d):
     """Two scans in one history table: everything, then what a project scan collects."""
     every = corpus.files(spark, d)
-    first, second = (
-        author.language_and_lines(f).withColumn("scan_id", F.lit(scan_id)).withColumn(
-            "started_at", F.lit(started).cast("timestamp_ntz"))
-        for f, scan_id, started in ((every, "b-first", "2024-01-01 00:00:00"),
-                                    (src.discover(every), "a-second", "2024-01-02 00:00:00")))
-    return rollup.latest_scan(first.unionByName(second)).select("scan_id", "file_path", "language", "lines_of_code")
+    path = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
+    for files, scan_id, started in ((every, "b-first", "2024-01-01 00:00:00"),
+                                    (src.discover(every), "a-second", "2024-01-02 00:00:00")):
+        sinks.append_scan(author.language_and_lines(files), path, scan_id, started)
+    return sinks.read_latest(spark, path).select("scan_id", "file_path", "language", "lines_of_code")
 
 
 def project_summary(spark, d):
