@@ -21,7 +21,11 @@ class Result:
 
 
 class Registry:
-    """Jobs by name; an error while a job is set up becomes a result."""
+    """Jobs by name; an error becomes a result.
+
+    Tables are computed when they are written, so a job's errors at run time
+    are caught where its output goes to a ``sink``.
+    """
 
     def __init__(self) -> None:
         self._jobs: dict[str, Job] = {}
@@ -35,12 +39,16 @@ class Registry:
     def names(self) -> list[str]:
         return list(self._jobs)
 
-    def execute(self, name: str, files: DataFrame, config: ScanConfig = ScanConfig()) -> Result:
+    def execute(self, name: str, files: DataFrame, config: ScanConfig = ScanConfig(),
+                sink: Callable[[DataFrame], None] | None = None) -> Result:
         job = self._jobs.get(name)
         if job is None:
             return Result(False, errors=[f"No such job: {name}"])
         try:
-            return Result(True, job(files, config))
+            output = job(files, config)
+            if sink is not None:
+                sink(output)
+            return Result(True, output)
         except Exception as error:  # noqa: BLE001 - the caller gets the message
             return Result(False, errors=[str(error)])
 

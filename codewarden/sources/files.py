@@ -46,6 +46,20 @@ def too_large(paths: DataFrame, config: ScanConfig) -> DataFrame:
     return left.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
 
 
+def of_projects(files: DataFrame) -> DataFrame:
+    """Files of many projects as one files table: ``project`` becomes the first part of the path.
+
+    A path is the key of a file in findings, scores, policies, fixes and
+    replies, so files of the same name in different projects stay apart.
+    """
+    return files.withColumn("file_path", F.concat_ws("/", F.regexp_replace("project", "/", "%2F"), "file_path")).drop("project")
+
+
+def repeated_paths(files: DataFrame) -> DataFrame:
+    """Paths that occur more than once, with their number; a files table must have none."""
+    return files.groupBy("file_path").agg(F.count(F.lit(1)).alias("files")).filter("files > 1")
+
+
 def from_text(spark: SparkSession, code: str, file_path: str = DEFAULT_PATH) -> DataFrame:
     """A one-row files table for text at hand."""
     return spark.createDataFrame([(file_path, code, len(code.encode()))],

@@ -167,6 +167,17 @@ def test_active_policies_and_summary(make_files):
     assert none.policy_status().count() == 0 and none.policy_scores().first().score == 100 and none.compliance().count() == 0
 
 
+def test_equal_paths_of_projects_stay_apart(spark):
+    rows = [(f"p/{i}", "src/index.js", "eval(x)\n", 8) for i in range(5)]
+    files = src.of_projects(spark.createDataFrame(rows, "project string, file_path string, code string, size_bytes long"))
+    scan = scan_files(files)
+    found = scan.findings.filter("rule_id = 'EVAL-001'").select("finding_id", "file_path").collect()
+    assert len(found) == len({r.finding_id for r in found}) == len({r.file_path for r in found}) == 5
+    assert scan.file_results().count() == 5 and src.repeated_paths(files).count() == 0
+    assert remedy.finding_context(scan.findings.filter("rule_id = 'EVAL-001'"), files).count() == 5
+    assert src.repeated_paths(files.unionByName(files)).first().files == 2
+
+
 def test_empty_scan(make_files):
     scan = scan_files(make_files(("a.ts", None)))
     row = scan.summary().first()
@@ -231,6 +242,9 @@ def test_registry(make_files):
     files = make_files(("a.js", "eval(x)\n"))
     assert registry.execute("scan-file", files).output.filter("rule_id = 'EVAL-001'").count() == 1
     assert not registry.execute("unknown", files).success
+    broken = files.withColumn("code", F.raise_error(F.lit("unreadable")).cast("string"))
+    failed = registry.execute("scan-file", broken, sink=lambda out: out.write.format("noop").mode("overwrite").save())
+    assert not failed.success and "unreadable" in failed.errors[0]
 
 
 def test_sources_at_hand(spark, make_files):

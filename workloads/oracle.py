@@ -683,6 +683,14 @@ ORACLE: dict[str, str] = {
           coalesce(string_agg(finding_id, ',' ORDER BY r) FILTER (NOT used), '') AS conflicts FROM walk GROUP BY file_path) f
         USING (file_path)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "recommendations": _with(f"{FULL}, {SUMMARY}, {RECOMMENDATIONS}", "SELECT * FROM recommendations"),
+    "report_json": _with(f"{FULL}, {SUMMARY}, {RECOMMENDATIONS}", """SELECT CAST(to_json({
+        'summary': {'files_scanned': files_scanned, 'files_skipped': files_skipped, 'total_findings': total_findings,
+          'critical_count': critical_count, 'high_count': high_count, 'medium_count': medium_count, 'low_count': low_count,
+          'has_malicious': has_malicious, 'ai_generated_files': ai_generated_files,
+          'average_ai_score': round(average_ai_score, 6)},
+        'recommendations': (SELECT coalesce(list({'ord': ord, 'priority': priority, 'category': category, 'title': title,
+          'description': description, 'effort': effort, 'impact': impact} ORDER BY ord), []) FROM recommendations)}) AS VARCHAR) AS value
+      FROM summary"""),
     "report_lines": _with(f"{FULL}, {SUMMARY}, {RESULTS}, {RECOMMENDATIONS}, {_REPORT}", """SELECT section, CAST(ord AS INTEGER) AS ord, name,
       CAST(sub - 1 AS INTEGER) AS sub, l[sub] AS line FROM (SELECT section, ord, name, l, unnest(range(1, len(l) + 1)) AS sub FROM blocks)"""),
 }

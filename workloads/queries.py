@@ -296,7 +296,7 @@ def report_lines(spark, d):
 
 
 def report_json(spark, d):
-    return _kept(spark, d).report_json()
+    return report.report_json(rounded(_kept(spark, d).summary()))
 
 
 def scan_history(spark, d):
