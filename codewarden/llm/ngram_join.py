@@ -107,9 +107,12 @@ def sign(docs: DataFrame) -> DataFrame:
 
 def families(signed: DataFrame) -> DataFrame:
     """(node, root): sets connected by groups with equal members."""
-    cell = Window.partitionBy("sig")
-    met = (signed.select("node", F.explode("sigs").alias("sig")).withColumns({"lo": F.min("node").over(cell)})
-           .where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct())
+    nodes = stored(signed.where("size(sigs) > 0").select("node", "sigs").dropDuplicates(["node"]), "nodes")
+    entered = nodes.select("node", F.explode("sigs").alias("sig"))
+    # counted first, so that a group that very many sets share arrives as one row; the join splits such a group
+    cells = entered.groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    met = (entered.join(cells.select("sig", "lo"), "sig").where("node <> lo")
+           .select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct())
     return stored(components(met), "families")
 
 
@@ -171,12 +174,12 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(a, b): classes that link, enough of them to connect all that link."""
     family = families(signed)
-    whole = signed.join(family, "node").groupBy("cls").agg(F.min("root").alias("root"), F.max("n").alias("n"),
-                                                           F.min("text_key").alias("text_key"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
+    whole = signed.join(family, "node").groupBy("cls").agg(F.min("root").alias("root"), F.max("n").alias("n"), one.alias("one"))
     whole = stored(whole, "members")
     sizes = whole.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
                                       .cast("int").alias("blocks"))
-    members = stored(whole.join(sizes, "root").select("cls", "root", "text_key", "blocks",
+    members = stored(whole.join(sizes, "root").select("cls", "root", F.col("one.doc_id").alias("m_id"), F.col("one.text_key").alias("m_text"), "blocks",
                                                       F.pmod(F.xxhash64("cls"), "blocks").cast("int").alias("block")), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +190,10 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in ("cls", "root", "blocks", "block")), pa.array(found, pa.binary())],
                                                  ["cls", "root", "blocks", "block", "set"])
 
-    # each class needs one text; of several rows with that text any will do
-    texts = (docs.select("text", F.xxhash64("text").alias("text_key")).join(members, "text_key")
-             .select("cls", "root", "blocks", "block", "text")
+    # one document stands for each class; of rows that repeat its id and text one stays
+    same = F.xxhash64("text").eqNullSafe(F.col("m_text")) & F.col("doc_id").eqNullSafe(F.col("m_id"))
+    texts = (docs.select("doc_id", "text").join(members, same)
+             .select("cls", "root", "blocks", "block", "text").dropDuplicates(["cls"])
              .mapInArrow(sets, "cls string, root long, blocks int, block int, set binary"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     pairs = (texts.select("cls", "root", "block", "set", other)
@@ -216,7 +220,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id: the smallest id that links lead to."""
     rows = _grouped(docs)
-    least = rows.where("grp is not null").groupBy(F.col("grp").alias("g")).agg(F.min("doc_id").alias("least"))
+    least = stored(rows.where("grp is not null").groupBy(F.col("grp").alias("g")).agg(F.min("doc_id").alias("least")), "least")
     return rows.join(least, F.col("grp") == F.col("g"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
