@@ -102,15 +102,15 @@ def occurrences(text: Column, mark: str) -> Column:
     return ((F.octet_length(text) - bare) / width).cast("int")
 
 
-def rule_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
     """Lines on which a rule matches outside of strings, and how often.
 
     Columns: file_path, rule_ord (position in ``rules``), start_line, n_matches,
-    snippet.
+    snippet, and the columns of the files named in ``keep``.
     """
     if not rules:
         return files.limit(0).select("file_path", F.lit(0).alias("rule_ord"), F.lit(0).alias("start_line"),
-                                     F.lit(0).alias("n_matches"), F.lit("").alias("snippet"))
+                                     F.lit(0).alias("n_matches"), F.lit("").alias("snippet"), *keep)
     # One expression text for all rules: built column by column it takes the
     # driver seconds.
     shared = shared_words(rules)
@@ -127,9 +127,9 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     # where it would outgrow the size limit of a method.
     # Only marked lines leave it, whatever the size of the file.
     per_line = (prepare(files).select("*", *flags)
-                .select("file_path", F.explode(found).alias("hit"))
-                .select("file_path", "hit.rule_ord", F.explode("hit.lines").alias("marked"))
-                .select("file_path", "rule_ord", "marked.pos", "marked.line"))
+                .select("file_path", *keep, F.explode(found).alias("hit"))
+                .select("file_path", *keep, "hit.rule_ord", F.explode("hit.lines").alias("marked"))
+                .select("file_path", *keep, "rule_ord", "marked.pos", "marked.line"))
     line, rule = F.col("line"), F.col("rule_ord")
     everywhere = [i for i, r in enumerate(rules) if r.in_string]
     untrimmed = [i for i, r in enumerate(rules) if r.check is not None and r.check.raw_snippet]
@@ -142,14 +142,14 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         trimmed = F.when(rule.isin(*untrimmed), snippet).otherwise(trimmed)
     return per_line.select(
         "file_path", "rule_ord", (F.col("pos") + 1).alias("start_line"),
-        count.alias("n_matches"), trimmed.alias("snippet"),
+        count.alias("n_matches"), trimmed.alias("snippet"), *keep,
     ).filter(F.col("n_matches") > 0)
 
 
-def find_all(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def find_all(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
     """One row per match; ``match_ord`` numbers the matches of a line from 0."""
-    return rule_lines(files, rules).select(
+    return rule_lines(files, rules, keep).select(
         "file_path", "rule_ord", "start_line",
         F.explode(F.sequence(F.lit(0), F.col("n_matches") - 1)).alias("match_ord"),
-        "snippet",
+        "snippet", *keep,
     )

@@ -37,16 +37,21 @@ _BRACES = """aggregate(
   s -> s.stop)"""
 
 
-def finding_context(findings: DataFrame, files: DataFrame) -> DataFrame:
+def finding_context(findings: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Lines of the function around each finding (``first_line``..``last_line``, from 1).
 
-    Files join once per path with their lines already split; a finding then
-    only touches the slice it needs.
+    Findings of a scan ``with_code`` hold their text, and all happens in their
+    rows.  For a choice of other findings their ``files`` are joined by path.
     """
-    texts = files.filter(F.col("code").isNotNull()).select("file_path", F.split("code", "\n", -1).alias("lines"))
+    lines, wanted = F.split("code", "\n", -1).alias("lines"), [c for c in findings.columns if c != "code"]
+    if files is None:
+        texts = findings.select(*wanted, lines)
+    else:
+        texts = findings.select(*wanted).join(
+            files.filter(F.col("code").isNotNull()).select("file_path", lines), "file_path")
     n = F.size("lines")
-    joined = findings.join(texts, "file_path").select(
-        *findings.columns, "lines",
+    joined = texts.select(
+        *wanted, "lines",
         F.greatest(F.lit(0), F.col("start_line") - 1).alias("begin_at"),
         F.least(n - 1, F.col("end_line") - 1).alias("end_at"))
     found = joined.select("*", F.expr(
@@ -61,12 +66,12 @@ def finding_context(findings: DataFrame, files: DataFrame) -> DataFrame:
     ended = closed.select(
         "*", F.coalesce("stop", F.least(F.size("lines") - 1, F.col("end_at") + SHORT_AFTER)).alias("until_at"))
     return ended.select(
-        *findings.columns,
+        *wanted,
         (F.col("first_at") + 1).alias("first_line"), (F.col("until_at") + 1).alias("last_line"),
         F.expr("array_join(slice(lines, first_at + 1, greatest(until_at - first_at + 1, 0)), '\\n')").alias("context"))
 
 
-def fix_requests(findings: DataFrame, files: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
+def fix_requests(findings: DataFrame, files: DataFrame | None = None, config: ScanConfig = ScanConfig()) -> DataFrame:
     """One request per finding, with the whole of its function."""
     tokens, temperature = request_settings(FIX_MAX_TOKENS, config)
     c = F.col

@@ -58,7 +58,7 @@ def finding_id() -> Column:
                               F.col("start_line").cast("string"), F.col("match_ord").cast("string")), 256)
 
 
-def as_findings(rows: DataFrame) -> DataFrame:
+def as_findings(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Bring rows into the layout of the findings table."""
     optional = {
         "severity_rank": severity_rank(F.col("severity")),
@@ -69,7 +69,7 @@ def as_findings(rows: DataFrame) -> DataFrame:
         "finding_id": finding_id(),
     }
     have = set(rows.columns)
-    return rows.select(*[c if c in have else optional[c].alias(c) for c in FINDING_COLUMNS])
+    return rows.select(*[c if c in have else optional[c].alias(c) for c in FINDING_COLUMNS], *keep)
 
 
 def narrowed(rules: Sequence[Rule], category: str = "all", severity: str = "all") -> list[Rule]:
@@ -77,13 +77,13 @@ def narrowed(rules: Sequence[Rule], category: str = "all", severity: str = "all"
     return [r for r in rules if category in ("all", r.category) and severity in ("all", r.severity)]
 
 
-def scan_rules(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """Every finding of ``rules``, in one pass over the text."""
+def scan_rules(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+    """Every finding of ``rules``, in one pass over the text; ``keep`` names columns of the files to carry along."""
     if not rules:
         rules_df = rules_table(files.sparkSession, VULNERABILITY_RULES[:1])
     else:
         rules_df = rules_table(files.sparkSession, rules)
-    return as_findings(find_all(files, rules).join(F.broadcast(rules_df), "rule_ord"))
+    return as_findings(find_all(files, rules, keep).join(F.broadcast(rules_df), "rule_ord"), keep)
 
 
 def vulnerability_findings(files: DataFrame) -> DataFrame:

@@ -60,10 +60,16 @@ class Scan:
         return report_json(self.summary())
 
 
-def scan_files(files: DataFrame, config: ScanConfig = ScanConfig(), replies: DataFrame | None = None) -> Scan:
-    """Scan the files as they are given."""
-    scores = authorship(files, config, replies)
-    findings = union_findings(authorship_findings(scores), scan_rules(files, catalog(config.active_policies)))
+def scan_files(files: DataFrame, config: ScanConfig = ScanConfig(), replies: DataFrame | None = None,
+               with_code: bool = False) -> Scan:
+    """Scan the files as they are given.
+
+    ``with_code`` leaves each finding the text it was found in, for contexts and
+    requests: these then need no join, and no text is shuffled.
+    """
+    keep = ("code",) if with_code else ()
+    scores = authorship(files, config, replies, keep=keep)
+    findings = union_findings(authorship_findings(scores, keep), scan_rules(files, catalog(config.active_policies), keep))
     return Scan(files, findings, scores, config)
 
 

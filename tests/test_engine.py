@@ -194,6 +194,10 @@ def test_context_and_request_are_whole(make_files):
     # a.js: the declaration is more than 80 lines away and no brace opens; b.js: "if (..) {" counts as a start
     assert got == {"a.js": (112, 124), "b.js": (5, 7)}
     context = {r.finding_id: r.context for r in remedy.finding_context(found, files).collect()}
+    held = remedy.finding_context(scan_files(files, with_code=True).findings.filter("rule_id = 'EVAL-001'"))
+    assert context == {r.finding_id: r.context for r in held.collect()}
+    plan = _plan(held)
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
     assert all(context[r.finding_id] in r.prompt for r in remedy.fix_requests(found, files).collect())
 
 

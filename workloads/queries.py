@@ -258,13 +258,12 @@ def guidance_requests(spark, d):
 
 
 def finding_context(spark, d):
-    files = corpus.files(spark, d)
-    return remedy.finding_context(_scan(spark, d).findings, files).select(
+    return remedy.finding_context(scan_files(corpus.files(spark, d), with_code=True).findings).select(
         "finding_id", "file_path", "start_line", "first_line", "last_line", "context")
 
 
 def fix_requests(spark, d):
-    return remedy.fix_requests(_scan(spark, d).findings, corpus.files(spark, d))
+    return remedy.fix_requests(scan_files(corpus.files(spark, d), with_code=True).findings)
 
 
 def _fixes(spark, d, found):
