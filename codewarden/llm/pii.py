@@ -168,9 +168,9 @@ def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
         return empty
     places = stored(_places(docs, set(chosen)), "places")
     graph = stored(edges.join(F.broadcast(places), "pattern"), "graph")  # at most PATTERNS rows
-    kinds = docs.sparkSession.range(len(KINDS)).select(F.col("id").cast("int").alias("k"))
     truth = graph.where("kind >= 0").select("pattern", "value", F.col("kind").alias("k"), "n", "places", F.lit(1.0).alias("score"))
-    unknown = graph.where("kind < 0").select("pattern", "value", "n", "places").crossJoin(F.broadcast(kinds))  # 4 kinds
+    unknown = graph.where("kind < 0").select("pattern", "value", "n", "places",
+                                                 F.explode(F.array(*map(F.lit, range(len(KINDS))))).alias("k"))
     scores = None
     for _ in range(ROUNDS):
         known = truth if scores is None else truth.unionByName(unknown.join(scores, ["value", "k"]).select(truth.columns))
