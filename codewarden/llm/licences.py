@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from codewarden.llm.common import bind, stored
 
 #: Terms with several spellings, as they stand in lower-case text without punctuation.
-SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
+SPELLINGS = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sublicence", "sublicense"),
              ("non commercial", "noncommercial"), ("organisation", "organization"), ("whilst", "while"),
              ("merchantibility", "merchantability"), ("favour", "favor"), ("per cent", "percent"),
              ("copyright owner", "copyright holder"))
@@ -71,7 +71,7 @@ def canonical_lines(text: Column) -> Column:
     """The canonical lines of a text; lines that are empty then are left out."""
     no_rights = lambda t: F.when(
         F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("©")) | F.contains(t, F.lit("(c)")),
-        F.regexp_replace(t, r"(?m)^[ \t]*(copyright|©|\(c\))[^\n]*", "")).otherwise(t)
+        F.regexp_replace(t, r"(?m)^[ \t]*(copyright[ \t]+(\(c\)|©|[0-9])|©|\(c\))[^\n]*", "")).otherwise(t)
     plain = F.regexp_replace(bind(F.lower(F.coalesce(text, F.lit(""))), no_rights), r"[^\p{L}\p{N}\n]+", " ")
 
     def spelled(t: Column) -> Column:

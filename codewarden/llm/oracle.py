@@ -42,7 +42,7 @@ FROM f JOIN wide USING (lang, source)
     for m, slack in (("symbols", 20), ("dup_lines", 400), ("repeats", 300), ("word_length", 15), ("marks", 60))
     for name, side in (("high", f"q3 + 3 * (q3 - q1) + {slack}"), ("low", f"q1 - 3 * (q3 - q1) - {slack}"))))
 
-_SPELLED = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"),
+_SPELLED = (("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sublicence", "sublicense"),
             ("non commercial", "noncommercial"), ("organisation", "organization"), ("whilst", "while"),
             ("merchantibility", "merchantability"), ("favour", "favor"), ("per cent", "percent"),
             ("copyright owner", "copyright holder"))
@@ -50,7 +50,7 @@ _SPELLED = (("licence", "license"), ("licences", "licenses"), ("licenced", "lice
 
 def _canonical(text: str) -> str:
     """SQL for the canonical lines of a text."""
-    t = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[ \t]*(copyright|©|\(c\))[^\n]*', '', 'g')"
+    t = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[ \t]*(copyright[ \t]+(\(c\)|©|[0-9])|©|\(c\))[^\n]*', '', 'g')"
     t = rf"regexp_replace({t}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g')"
     for form, term in _SPELLED:
         t = rf"regexp_replace({t}, '\b{form}\b', '{term}', 'g')"
