@@ -1,9 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 The n-grams of the benchmark items are counted over all documents. An item's seeds are its rare n-grams: those in at most
-`RARE` times as many documents as its lower quartile, so an item that many documents copy keeps its seeds. Where a
-document holds a seed, the passage around it is aligned with the item, word by word (match 2, other word -1, gap -1). The
-score is the best local alignment over that of a full copy; from `LEAST` on the document is contaminated.
+`RARE` times as many documents as the lower quartile of its n-grams that occur, so an item that many documents copy keeps
+its seeds. A passage that shares n-grams with an item, but no rare one, has its rarest as seed, so no passage is left out
+for how often it is copied. Each passage is aligned with its item, word by word (match 2, other word -1, gap -1), unless
+the words that both have could not reach the least score in any order. The score is the best local alignment over that of
+a full copy; from `LEAST` on the document is contaminated.
 
 Items are taken in blocks of about `BLOCK_WORDS` words, each sent to all tasks, and every document is read against every
 block; documents are never shuffled or joined. Words are lower-case, without marks at their ends. Nulls: a null text has
@@ -70,7 +72,7 @@ class Items:
         return w, at[same], k[same]
 
     def seeds(self, seen: np.ndarray) -> np.ndarray:
-        """Which (n-gram, item) are seeds, as a set per n-gram: rare among the n-grams of the item."""
+        """(item, place in it, rare among the item's n-grams that occur) per n-gram."""
         own: dict[int, list[int]] = {}
         for k, places in enumerate(self.places):
             for i in {i for i, _ in places}:
@@ -80,10 +82,10 @@ class Items:
             rare[k] = []
         for i, grams in own.items():
             counts = seen[grams]
-            limit = RARE * max(1, np.sort(counts)[(len(counts) - 1) // 4])
+            some = np.sort(counts[counts > 0])
+            limit = RARE * some[(len(some) - 1) // 4] if len(some) else 0
             for k, n in zip(grams, counts):
-                if n <= limit:
-                    rare[k] += [(j, at) for j, at in self.places[k] if j == i]
+                rare[k] += [(j, at, bool(n <= limit)) for j, at in self.places[k] if j == i]
         return rare
 
 
@@ -102,30 +104,44 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
-def judge(items: Items, rare: np.ndarray, text: str | None) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, seeds, first word, end word) of the best passage for each item that has a seed in the text."""
+def most(item: np.ndarray, text: np.ndarray) -> int:
+    """No alignment scores more: the words that both have, in any order."""
+    own, n = np.unique(item, return_counts=True)
+    there, m = np.unique(text, return_counts=True)
+    _, a, b = np.intersect1d(own, there, assume_unique=True, return_indices=True)
+    return MATCH * int(np.minimum(n[a], m[b]).sum())
+
+
+def judge(items: Items, rare: np.ndarray, text: str | None, least: float = 0.0) -> list[tuple[int, float, int, int, int]]:
+    """(item, score, seeds, first word, end word) of the best passage for each item that shares an n-gram with the text.
+
+    Passages that cannot reach the least score are not aligned.
+    """
     w, places, grams = items.read(text)
-    spans: dict[int, list[tuple[int, int]]] = {}
+    spans: dict[int, list[tuple[int, int, bool]]] = {}
     for at, k in zip(places, grams):
-        for i, there in rare[k]:
+        for i, there, few in rare[k]:
             size = len(items.words[i])
-            spans.setdefault(i, []).append((max(0, int(at) - there - size // 2), int(at) - there + size + size // 2))
+            spans.setdefault(i, []).append((max(0, int(at) - there - size // 2), int(at) - there + size + size // 2, few))
     out = []
     for i, found in spans.items():
-        item, best = items.words[i], (0, 0, 0)
+        item, best, seeds = items.words[i], (0, 0, 0), 0
         found.sort()
-        start, stop = found[0]
-        for a, b in [*found[1:], (math.inf, 0)]:
+        start, stop, own = found[0]
+        for a, b, few in [*found[1:], (math.inf, 0, False)]:
             if a <= stop:
-                stop = max(stop, b)
+                stop, own = max(stop, b), own + few
                 continue
+            seeds += max(1, own)  # without a rare n-gram the rarest one is the seed
             passage = w[start:stop]
-            score, end = align(item, passage)
-            if score > best[0]:
-                _, back = align(item[::-1], passage[:end][::-1])
-                best = (score, start + end - back, start + end)
-            start, stop = a, b
-        out.append((i, best[0] / (MATCH * len(item)), len(found), best[1], best[2]))
+            bound = most(item, passage)
+            if bound > best[0] and bound / (MATCH * len(item)) >= least:
+                score, end = align(item, passage)
+                if score > best[0]:
+                    _, back = align(item[::-1], passage[:end][::-1])
+                    best = (score, start + end - back, start + end)
+            start, stop, own = a, b, few
+        out.append((i, best[0] / (MATCH * len(item)), seeds, best[1], best[2]))
     return out
 
 
@@ -164,7 +180,7 @@ def _unpacked(state: dict) -> Items:
     return block
 
 
-def _over(docs: DataFrame, items: DataFrame, step: Callable) -> Iterator[Callable]:
+def _over(docs: DataFrame, items: DataFrame, step: Callable, least: float) -> Iterator[Callable]:
     """A function for `mapInArrow` per block of items."""
     for block, rare in _blocks(docs, items):
         shipped = docs.sparkSession.sparkContext.broadcast((_packed(block), rare))
@@ -173,7 +189,7 @@ def _over(docs: DataFrame, items: DataFrame, step: Callable) -> Iterator[Callabl
             state, seeds = shipped.value
             own = _unpacked(state)
             for batch in batches:
-                yield step(batch, [judge(own, seeds, t) for t in batch["text"].to_pylist()], own.names)
+                yield step(batch, [judge(own, seeds, t, least) for t in batch["text"].to_pylist()], own.names)
 
         yield run
 
@@ -191,7 +207,7 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFram
              *[pa.array(c, pa.int64()) for c in cols[3:]]], ["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"])
 
     slim, out = docs.select("doc_id", "text"), docs.sparkSession.createDataFrame([], schema)
-    for run in _over(slim, items, step):
+    for run in _over(slim, items, step, least):
         out = out.unionByName(slim.mapInArrow(run, schema))
     return out
 
@@ -202,6 +218,6 @@ def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
         return batch.filter(pa.array([all(h[1] < least for h in hits) for hits in found], pa.bool_()))
 
     out = docs
-    for run in _over(docs, items, step):
+    for run in _over(docs, items, step, least):
         out = out.mapInArrow(run, docs.schema)
     return out

@@ -86,6 +86,25 @@ def test_decontaminate(spark, nothing):
     assert decontaminate.matches(frame_, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [1, 5, 1000])
+def test_decontaminate_copied_leaks(spark, copies):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = [" ".join(word() for _ in range(n)) for n in (40, 40, 15)]
+    items = spark.createDataFrame([*enumerate(texts)], "item_id long, text string")
+    edited, short = texts[0].split(), texts[2].split()
+    for k in range(5, 40, 8):
+        edited[k] = word()
+    short[7] = word()
+    leaks = [" ".join(edited), " ".join(texts[1].split()[:24]), " ".join(short)]
+    noise = lambda: " ".join(word() for _ in range(30))
+    docs = [(10 * c + i, f"{noise()} {leak} {noise()}") for c in range(copies) for i, leak in enumerate(leaks)]
+    frame_ = frame(spark, [(i, t, None, None) for i, t in [*docs, (9, noise())]])
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame_, items).collect())
+    assert got == [(i, i % 10) for i, _ in docs]
+    assert [r["doc_id"] for r in decontaminate.clean(frame_, items).collect()] == [9]
+
+
 def test_align_is_smith_waterman():
     rng = random.Random(2)
     for _ in range(200):
