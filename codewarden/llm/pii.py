@@ -6,8 +6,8 @@ scored by the patterns it stands after (noisy or); `ROUNDS` rounds over the patt
 a pattern of at least `CONFIDENT` score, with at least `SUPPORT` different seeds, becomes a span of the kind.
 
 The graph holds identifiers only, never texts, and all of its joins are by pattern or instance. Patterns with too few
-seeds are left out before their places are counted; at most `PATTERNS` of them, those with most seeds, are kept as the
-model. Nulls: a null text is empty; a null id is an id. Repeated rows get equal results, one row each, and count as
+seeds are left out before their places are counted; all others are counted, in blocks of about `PATTERNS` that are sent
+to all tasks, one pass over the texts each. Nulls: a null text is empty; a null id is an id. Repeated rows get equal results, one row each, and count as
 often as they occur; an empty table gives an empty result; other columns are kept by `redact` and not read by `find`.
 """
 
@@ -159,15 +159,19 @@ def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     ends = ends.where("pattern <> ''")
     edges = stored(ends.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "graph")
     rich = (edges.where("kind >= 0").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-            .where(F.col("seeds") >= SUPPORT).groupBy("pattern").agg(F.max("seeds").alias("seeds")))
+            .where(F.col("seeds") >= SUPPORT).select("pattern").distinct())
     # a pattern that stands before no unknown word can find nothing new
-    useful = rich.join(edges.where("kind < 0").select("pattern").distinct(), "pattern", "left_semi")
-    chosen = [r["pattern"] for r in useful.orderBy(F.desc("seeds"), "pattern").limit(PATTERNS).collect()]
+    useful = stored(rich.join(edges.where("kind < 0").select("pattern").distinct(), "pattern", "left_semi").select("pattern"), "useful")
+    blocks = -(-useful.count() // PATTERNS)
     empty = ends.select("doc_id", "key", F.lit(None).cast(_SPANS).alias("extra")).limit(0)
-    if not chosen:
+    if not blocks:
         return empty
-    places = stored(_places(docs, set(chosen)), "places")
-    graph = stored(edges.join(F.broadcast(places), "pattern"), "graph")  # at most PATTERNS rows
+    places = None
+    for block in range(blocks):
+        chosen = {r["pattern"] for r in useful.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == block).collect()}
+        part = stored(_places(docs, chosen), "places")
+        places = part if places is None else places.unionByName(part)
+    graph = stored(edges.join(places, "pattern"), "graph")
     truth = graph.where("kind >= 0").select("pattern", "value", F.col("kind").alias("k"), "n", "places", F.lit(1.0).alias("score"))
     unknown = graph.where("kind < 0").select("pattern", "value", "n", "places",
                                                  F.explode(F.array(*map(F.lit, range(len(KINDS))))).alias("k"))

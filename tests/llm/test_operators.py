@@ -226,6 +226,14 @@ def test_pii_learns_contexts(spark, edge, nothing):
     assert pii.find(edge).count() == len(EDGE) and pii.find(nothing).count() == 0 and pii.redact(nothing).count() == 0
 
 
+def test_pii_counts_all_patterns(spark, monkeypatch):
+    rows = [(i, f"the 10.0.{i}.1 the word", "en", "a") for i in range(40)] + [(50, "the 123456 the word", "en", "a")]
+    rows += [(100 + i, f"dial +1 555 010-{1000 + i} now", "en", "a") for i in range(8)] + [(60, "dial 555-010-9999 now", "en", "a")]
+    monkeypatch.setattr(pii, "PATTERNS", 1)
+    got = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, rows)).collect()}
+    assert got[60] == "phone:5:17" and got[50] == ""
+
+
 # --- 5
 
 def brute_secrets(t):
