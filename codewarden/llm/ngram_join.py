@@ -1,7 +1,7 @@
 """N-gram Jaccard join over count vectors, down to groups of linked documents.
 
-A document is the set of its distinct 3-word shingles; two link if their sets' similarity is at least 0.9. Shingles are
-hashed into groups and a set becomes a point, its count per group. The overlap of two sets is at most the sum of the
+A document is the set of its distinct shingles of `width` words; two link if their sets' similarity is at least `least`, a
+fraction as (above, below) the line. op7 takes 3 words and 0.9. Shingles are hashed into groups and a set becomes a point, its count per group. The overlap of two sets is at most the sum of the
 smaller coordinates, and that of two boxes of points at most the sum of their smaller upper corners: a tree of boxes
 over the points finds the pairs that may link, which are then verified on the sets.
 
@@ -11,6 +11,10 @@ are hashed into more than D groups, some group has the same members in both. Gro
 families; one tree is built per family, or per pair of blocks of a large family, so that no task holds more than two
 blocks. D is taken for the largest size of a size band; sets near the next band are entered there as well.
 
+Below a similarity of 0.9 these groups get so small that one common shingle connects families. There a set is entered by
+its rarest shingles instead, as many as two sets that link cannot differ in: they share one of them. Any one order of the
+shingles is exact; the counts that make it are kept in `SLOTS` slots, so that those that many documents hold come last.
+
 Equal sets are one class and meet once, by their hash. Links inside what is already connected need no verification, as
 the result is the connected groups; `links` are enough to connect every linked document.
 
@@ -30,10 +34,14 @@ from pyspark.sql import functions as F
 
 from codewarden.llm.common import components, stored
 
-WIDTH, GROUPS, LEAF = 3, 64, 16
+WIDTH, LEAST, GROUPS, LEAF = 3, (9, 10), 64, 16
 #: A block of a family: so many sets or shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 2_000, 2_000_000
 MASK = (1 << 64) - 1
+#: Slots in which the documents of a shingle are counted; a task sends them in so many parts.
+SLOTS, SLOT_PARTS = 1 << 20, 16
+#: Odd factors, one per word of a shingle.
+FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -44,32 +52,32 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None) -> np.ndarray:
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct 64-bit hashes; bytes are lower-cased and split as the contract's letters and spaces are."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    if len(h) < WIDTH:
+    if len(h) < width:
         return _mix(np.array([sum((k + 2) * int(x) for k, x in enumerate(h)) + len(h) & MASK], np.uint64), 7) if len(h) else h
-    factors = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-    return np.unique(_mix(h[:-2] * factors[0] + h[1:-1] * factors[1] + h[2:] * factors[2], 1))
+    end = len(h) - width + 1
+    return np.unique(_mix(sum(h[k:end + k] * f for k, f in enumerate(FACTORS[:width])), 1))
 
 
-def bands() -> list[int]:
+def bands(least: tuple[int, int] = LEAST) -> list[int]:
     """Lower ends of the size bands. Below the first one, sets of different members never link."""
-    low = [9]
+    low = [-(-least[0] // (least[1] - least[0]))]
     while low[-1] < 1 << 40:
         low.append(-(-low[-1] * 3 // 2))
     return low
 
 
-def signatures(h: np.ndarray, low: list[int]) -> np.ndarray:
+def signatures(h: np.ndarray, low: list[int], least: tuple[int, int] = LEAST) -> np.ndarray:
     """One number per group of shingles: two sets that may link share one of them."""
-    n, out = len(h), []
+    (x, y), n, out = least, len(h), []
     b = int(np.searchsorted(low, n, "right")) - 1
-    for band in ([b] if b >= 0 else []) + ([b + 1] if 10 * n >= 9 * low[b + 1] else []):
-        differ = 2 * (low[band + 1] - 1) // 19
+    for band in ([b] if b >= 0 else []) + ([b + 1] if y * n >= x * low[b + 1] else []):
+        differ = 2 * (low[band + 1] - 1) * (y - x) // (y + x)
         m = differ + 3 + differ // 10
         group = (_mix(h, 2) % np.uint64(m)).astype(np.int64)
         order = np.argsort(group, kind="stable")
@@ -83,19 +91,54 @@ def signatures(h: np.ndarray, low: list[int]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sign(docs: DataFrame) -> DataFrame:
+def slot_counts(docs: DataFrame, width: int) -> np.ndarray:
+    """How many documents hold a shingle of each slot."""
+    size = SLOTS // SLOT_PARTS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                for h in (shingles(t, width) for t in batch["text"].slice(at, 1000).to_pylist()):
+                    np.add.at(seen, (h % np.uint64(SLOTS)).astype(np.int64), 1)
+        parts = [seen[k * size:(k + 1) * size].tobytes() for k in range(SLOT_PARTS)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.int64) for x in group["counts"].to_pylist()], axis=0)
+        return pa.table({"part": group["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema, seen = "part int, counts binary", np.zeros(SLOTS, np.int64)
+    for r in docs.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
+        seen[r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
+    return seen
+
+
+def rarest(h: np.ndarray, low: list[int], least: tuple[int, int], seen: np.ndarray) -> np.ndarray:
+    """The rarest shingles with the size band: two sets that may link share one of them."""
+    (x, y), n = least, len(h)
+    first = h[np.lexsort((h, seen[(h % np.uint64(SLOTS)).astype(np.int64)]))[:n - -(-x * n // y) + 1]]
+    b = int(np.searchsorted(low, n, "right")) - 1
+    in_bands = ([b] if b >= 0 else []) + ([b + 1] if y * n >= x * low[b + 1] else [])
+    return np.concatenate([_mix(first, 11 + band) for band in in_bands]) if in_bands else np.zeros(0, np.uint64)
+
+
+def sign(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """(doc_id, text_key, n, cls, node, sigs): cls is the 128-bit hash of the set, node its first half."""
+    few = 10 * least[0] >= 9 * least[1]
+    shipped = None if few else docs.sparkSession.sparkContext.broadcast(slot_counts(docs, width))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        low = bands()
+        low = bands(least)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = [shingles(t) for t in part["text"].to_pylist()]
+                sets = [shingles(t, width) for t in part["text"].to_pylist()]
                 cls = [xxhash.xxh128_hexdigest(h.tobytes()) for h in sets]
                 node = np.array([int(c[:16], 16) for c in cls], np.uint64).view(np.int64)
-                sigs = [signatures(h, low).view(np.int64) for h in sets]
+                sigs = [(signatures(h, low, least) if few else rarest(h, low, least, shipped.value)).view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["text_key"], pa.array([len(h) for h in sets], pa.int64()), pa.array(cls), pa.array(node),
                      pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "cls", "node", "sigs"])
@@ -128,26 +171,28 @@ class Tree:
         self.upper = np.maximum.reduceat(self.counts, starts)
         self.least, self.most = np.minimum.reduceat(self.n, starts), np.maximum.reduceat(self.n, starts)
 
-    def search(self, counts: np.ndarray, n: int) -> np.ndarray:
-        """Positions of the points whose set may have 0.9 similarity with a set of these counts."""
-        fits = (10 * self.most >= 9 * n) & (9 * self.least <= 10 * n)
+    def search(self, counts: np.ndarray, n: int, least: tuple[int, int] = LEAST) -> np.ndarray:
+        """Positions of the points whose set may have the least similarity with a set of these counts."""
+        x, y = least
+        fits = (y * self.most >= x * n) & (x * self.least <= y * n)
         leaves = np.flatnonzero(fits)
         bound = np.minimum(self.upper[leaves], counts).sum(1)
-        leaves = leaves[19 * bound >= 9 * (self.least[leaves] + n)]
+        leaves = leaves[(x + y) * bound >= x * (self.least[leaves] + n)]
         points = (leaves[:, None] * LEAF + np.arange(LEAF)).ravel()
         points = points[points < len(self.n)]
         bound = np.minimum(self.counts[points], counts).sum(1)
-        return points[19 * bound >= 9 * (self.n[points] + n)]
+        return points[(x + y) * bound >= x * (self.n[points] + n)]
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> bool:
     small, large = (a, b) if len(a) <= len(b) else (b, a)
     at = np.searchsorted(large, small)
     same = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-    return 100 * same >= 90 * (len(a) + len(b) - same)
+    return least[1] * same >= least[0] * (len(a) + len(b) - same)
 
 
-def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray,
+                   least: tuple[int, int] = LEAST) -> list[tuple[int, int]]:
     """Links between a set marked left and one marked right that connect all that such links connect."""
     if not len(sets):
         return []
@@ -163,15 +208,15 @@ def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
     tree = Tree([sets[i] for i in targets])
     for i in np.flatnonzero(left):
         counts = np.bincount((sets[i] >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-        for p in tree.search(counts, len(sets[i])):
+        for p in tree.search(counts, len(sets[i]), least):
             j = int(targets[tree.order[p]])
-            if find(i) != find(j) and linked(sets[i], sets[j]):
+            if find(i) != find(j) and linked(sets[i], sets[j], least):
                 root[find(i)] = find(j)
                 out.append((int(i), j))
     return out
 
 
-def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def links(docs: DataFrame, signed: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """(a, b): classes that link, enough of them to connect all that link."""
     family = families(signed)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"))
@@ -186,7 +231,7 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [shingles(t).tobytes() for t in part["text"].to_pylist()]
+                found = [shingles(t, width).tobytes() for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in ("cls", "root", "blocks", "block")), pa.array(found, pa.binary())],
                                                  ["cls", "root", "blocks", "block", "set"])
 
@@ -203,16 +248,16 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
         rows: dict[str, tuple[int, bytes]] = dict(zip(group["cls"].to_pylist(), zip(group["block"].to_pylist(), group["set"].to_pylist())))
         names = sorted(rows)
         block = np.array([rows[c][0] for c in names])
-        found = spanning_links([np.frombuffer(rows[c][1], np.uint64) for c in names], block == block.min(), block == block.max())
+        found = spanning_links([np.frombuffer(rows[c][1], np.uint64) for c in names], block == block.min(), block == block.max(), least)
         return pa.table({"a": pa.array([names[i] for i, _ in found], pa.string()), "b": pa.array([names[j] for _, j in found], pa.string())})
 
     return stored(pairs.groupBy("root", "i", "j").applyInArrow(compare, "a string, b string"), "links")
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
+def _grouped(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """(doc_id, text_key, n, grp) per document; grp is null without a set."""
-    signed = sign(docs)
-    roots = stored(components(links(docs, signed)), "roots").withColumnsRenamed({"node": "r_cls"})
+    signed = sign(docs, width, least)
+    roots = stored(components(links(docs, signed, width, least)), "roots").withColumnsRenamed({"node": "r_cls"})
     rows = signed.select("doc_id", "text_key", "n", "cls").join(roots, F.col("cls") == F.col("r_cls"), "left")
     return stored(rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "cls")).alias("grp")), "grouped")
 
@@ -225,9 +270,9 @@ def join(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("grp").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def dedupe(docs: DataFrame) -> DataFrame:
+def dedupe(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """The documents, all columns, one of each group: that of the smallest id. Documents without a set stay."""
-    rows = _grouped(docs)
+    rows = _grouped(docs, width, least)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("f")
     kept = rows.where("grp is not null").groupBy("grp").agg(first).select("f.doc_id", "f.text_key", F.lit(True).alias("grouped"))
     kept = kept.unionByName(rows.where("grp is null").select("doc_id", "text_key", F.lit(False).alias("grouped")).distinct())

@@ -332,6 +332,32 @@ def test_ngram_join(spark, small, edge, nothing):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
 
 
+def test_near_copies_stage(spark, small):
+    rng = random.Random(17)
+    rows = [(r["doc_id"], r["text"]) for r in small.orderBy("doc_id").limit(120).collect()]
+    for f in range(40):
+        base = [f"w{rng.randrange(900)}" for _ in range(rng.choice([3, 5, 8, 9, 12, 30, 60, 150, 400]))]
+        for c in range(5):
+            t = list(base)
+            for _ in range(rng.randrange(max(1, len(t) // 25) + 1)):
+                t[rng.randrange(len(t))] = f"e{rng.randrange(50)}"
+            head = [f"h{rng.randrange(10**6)}" for _ in range(rng.randrange(len(t) // 4 + 1))]
+            rows.append((10_000 + f * 10 + c, " ".join(head + t)))
+    sets = [frozenset(tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+            for w in ("".join(c.lower() if c.isascii() else c for c in t or "").split() for _, t in rows)]
+    root, links = list(range(len(rows))), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 5 * len(a & b) >= 4 * len(a | b):
+                x, y, links = root[i], root[j], links + (10 * len(a & b) < 9 * len(a | b))
+                root = [y if r == x else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root):
+        least[r] = min(i, least.get(r, i))
+    got = corpus_pipeline.drop_near_copies(spark, frame(spark, [(i, t, None, None) for i, t in rows]), SMALL)
+    assert links > 20 and sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
+
+
 def test_large_families_are_split(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", 3)
     base = [f"w{i}" for i in range(60)]
