@@ -1,10 +1,11 @@
 """Secrets in nested encodings: a worklist decodes layers until nothing new appears.
 
-The text is layer 0. Each layer is searched by the three base rules; then its URL-escaped runs, Unicode escapes, base64
-words and compressed bytes are decoded into new layers, which are searched in turn. A layer seen before in the document
-is not opened again, so cycles end; each layer is shorter than the one it came from except for compressed bytes, whose
-output over `MOST_INFLATED` times their size is refused as a bomb and reported in `n_refused`. A finding in a nested
-layer has the span, in the text, of the outermost encoded run that holds it; what the run shows undecoded is no finding.
+The text is layer 0. Each layer is searched by the three base rules; then its URL-escaped runs, Unicode escapes and base64
+words, also those wrapped over lines, are decoded to bytes. Bytes of any kind are inflated until they no longer inflate;
+what comes out is read as UTF-8, with invalid bytes replaced, and searched in turn. A layer seen before in the document is
+not opened again, so cycles end; each layer is shorter than the one it came from except for compressed bytes, whose output
+over `MOST_INFLATED` times the size of the outermost is refused as a bomb and reported in `n_refused`. A finding in a
+nested layer has the span, in the text, of the outermost encoded run that holds it; what the run shows undecoded is none.
 
 Nulls: a null text is empty and has no findings. Repeated rows are scanned one by one, an empty table gives an empty
 result, and other columns are not read. Work is linear in the text and its layers.
@@ -18,7 +19,7 @@ import hashlib
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -35,7 +36,10 @@ UNICODE_RUN = re.compile(r"(?<![\x21-\x5b\x5d-\x7e])[\x21-\x5b\x5d-\x7e]*+"
                          r"(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[\x21-\x5b\x5d-\x7e]*+)++")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MOST_INFLATED, LEAST_PRINTABLE = 1000, 0.9
+#: Lines of base64 and nothing else between their indents; all but the last have one length.
+BASE64_BLOCK = re.compile(r"(?<![^\n])[ \t]*+[A-Za-z0-9+/_-]{16,}+[ \t]*+\r?\n(?:[ \t]*+[A-Za-z0-9+/_-]++[ \t]*+\r?\n)*+"
+                          r"[ \t]*+[A-Za-z0-9+/_-]*+={0,2}")
+MOST_INFLATED = 1000
 
 
 def base_spans(text: str) -> list[tuple[int, str, int]]:
@@ -46,47 +50,92 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return [(a, KINDS[k], b) for a, k, b in sorted(found)]
 
 
-def _inflate(data: bytes) -> tuple[bytes | None, bool]:
+def _inflate(data: bytes, most: int) -> tuple[bytes | None, bool]:
     """Decompressed bytes, and whether they were refused as a bomb."""
     for head, wbits in ((b"\x1f\x8b", 31), (b"\x78", 15)):
         if data.startswith(head):
             machine = zlib.decompressobj(wbits)
             try:
-                out = machine.decompress(data, MOST_INFLATED * len(data))
+                out = machine.decompress(data, most)
             except zlib.error:
                 return None, False
             return (None, True) if machine.unconsumed_tail else (out, False)
     return None, False
 
 
-def _as_text(data: bytes) -> str | None:
-    """The bytes as text, if nearly all of it can be printed."""
+def _opened(data: bytes) -> tuple[list[str], int]:
+    """The texts of the bytes and of all that inflates from them, and the number of refused layers."""
+    texts, most = [], MOST_INFLATED * len(data)
+    while data:
+        texts.append(data.decode("utf-8", "replace"))
+        data, refused = _inflate(data, most)
+        if refused:
+            return texts, 1
+    return texts, 0
+
+
+def _opened_run(run: str, escape: str, plain: Callable[[str], bytes]) -> tuple[list[str], int]:
+    """As `_opened`; compressed bytes may also start at the first escape or, as zlib's x needs none, just before it."""
+    texts, refused = _opened(plain(run))
+    first = run.index(escape)
+    for at in {first, max(0, first - 1)} - {0}:
+        more, bombs = _opened(plain(run[at:]))
+        texts, refused = texts + more[1:], refused + bombs
+    return texts, refused
+
+
+def _unescaped(run: str) -> tuple[list[str], int]:
+    """A run without its escapes, as characters and, where all of them are bytes, as what the bytes hold."""
+    text = lambda part: ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)), part)
     try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    good = len(text) if text.isprintable() else sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return text if text and good >= LEAST_PRINTABLE * len(text) else None
+        texts, refused = _opened_run(run, "\\", lambda part: text(part).encode("latin-1"))
+    except UnicodeEncodeError:
+        return [text(run)], 0
+    return [text(run), *texts], refused
 
 
-def _layers(text: str) -> Iterator[tuple[int, int, str | None, bool]]:
+def _decoded(word: str) -> tuple[list[str], int]:
+    word = word.rstrip("=")
+    if len(word) % 4 == 1 or word.isalpha() and (word.islower() or word[1:].islower()):
+        return [], 0  # no base64 has this length; plain words are no code
+    try:
+        data = base64.b64decode(word.replace("-", "+").replace("_", "/") + "=" * (-len(word) % 4), validate=True)
+    except (binascii.Error, ValueError):
+        return [], 0
+    return _opened(data)
+
+
+def _blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, code) of base64 that is wrapped: lines of one length up to a last one that is not longer."""
+    for m in BASE64_BLOCK.finditer(text):
+        lines, at = [], m.start()
+        for line in m[0].split("\n"):
+            word = line.strip(" \t\r")
+            if lines and (len(lines[-1][2]) < len(lines[0][2]) or len(word) > len(lines[0][2]) or lines[-1][2].endswith("=")):
+                if len(lines) > 1:
+                    yield lines[0][0], lines[-1][1], "".join(w for _, _, w in lines)
+                lines = []
+            if word:
+                start = at + line.index(word)
+                lines.append((start, start + len(word), word))
+            at += len(line) + 1
+        if len(lines) > 1:
+            yield lines[0][0], lines[-1][1], "".join(w for _, _, w in lines)
+
+
+def _layers(text: str) -> Iterator[tuple[int, int, list[str], int]]:
     """(start, end, decoded, refused) of the encoded runs of a text."""
     if "%" in text:
         for m in URL_RUN.finditer(text):
-            yield m.start(), m.end(), _as_text(unquote_to_bytes(m[0])), False
+            yield m.start(), m.end(), *_opened_run(m[0], "%", unquote_to_bytes)
     if "\\u" in text or "\\x" in text:
         for m in UNICODE_RUN.finditer(text):
-            yield m.start(), m.end(), ESCAPE.sub(lambda e: chr(int(e[1] or e[2], 16)), m[0]), False
+            yield m.start(), m.end(), *_unescaped(m[0])
     for m in BASE64_RUN.finditer(text):
-        word = m[0].rstrip("=")
-        if len(word) % 4 == 1 or word.isalpha() and (word.islower() or word[1:].islower()):
-            continue  # no base64 has this length; plain words are no code
-        try:
-            data = base64.b64decode(word.replace("-", "+").replace("_", "/") + "=" * (-len(word) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        inflated, refused = _inflate(data)
-        yield m.start(), m.end(), _as_text(inflated if inflated is not None else data), refused
+        yield m.start(), m.end(), *_decoded(m[0])
+    if "\n" in text:
+        for a, b, word in _blocks(text):
+            yield a, b, *_decoded(word)
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int, int]], int]:
@@ -99,14 +148,13 @@ def scan_text(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, st
         layer, depth, start, end = work.popleft()
         if depth:
             nested |= {(start, kind, end, depth) for a, kind, b in base_spans(layer) if layer[a:b] not in text[start:end]}
-        for a, b, decoded, bomb in _layers(layer):
-            refused += bomb
-            if decoded is None:
-                continue
+        for a, b, texts, bombs in _layers(layer):
+            refused += bombs
             at = (a, b) if not depth else (start, end)
-            if (decoded, *at) not in seen and decoded != layer:
-                seen.add((decoded, *at))
-                work.append((decoded, depth + 1, *at))
+            for decoded in texts:
+                if (decoded, *at) not in seen and decoded != layer:
+                    seen.add((decoded, *at))
+                    work.append((decoded, depth + 1, *at))
     return base, sorted(nested), refused
 
 

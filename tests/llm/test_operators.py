@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from urllib.parse import quote
 
 import numpy as np
@@ -263,6 +264,26 @@ def test_secrets(spark, edge, nothing):
     assert secrets_scan.scan(edge).count() == len(EDGE) and secrets_scan.scan(nothing).count() == 0
 
 
+def test_secrets_in_bytes():
+    rng = random.Random(15)
+    inner = 'password = "hunter2hunter2"'
+    filler = " ".join(str(rng.random()) for _ in range(60))
+    escaped = lambda data: "".join(f"%{b:02X}" for b in data)
+    packed = gzip.compress(f"{filler} {inner} {filler}".encode())
+    wrapped = lambda data, end="\n": end.join(re.findall(".{1,76}", base64.b64encode(data).decode()))
+    layers = [escaped(packed), escaped(zlib.compress(inner.encode())), "".join(f"\\x{b:02x}" for b in packed),
+              base64.b64encode(gzip.compress(gzip.compress(inner.encode()))).decode(), "caf%E9&" + quote(inner, safe=""),
+              base64.b64encode(bytes(range(128, 256)) + inner.encode()).decode(), wrapped(packed), wrapped(packed, "\r\n  "),
+              wrapped(f"{'x' * 45} {inner}".encode()), "data=" + escaped(packed), "z=" + quote(zlib.compress(inner.encode()), safe="")]
+    for x in layers:
+        for t in (f"see\n{x}\nhere", x):
+            _, nested, _ = secrets_scan.scan_text(t)
+            assert "assign" in [k for a, k, b, _ in nested if t[a:b] == x], x
+    assert secrets_scan.scan_text("\n".join(["word" * 5] * 30_000) + "!")[1] == []
+    twice = base64.b64encode(gzip.compress(gzip.compress(b"a" * 50_000_000))).decode()
+    assert secrets_scan.scan_text(twice)[2] >= 1
+
+
 # --- 6
 
 def test_urls(spark):
