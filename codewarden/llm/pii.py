@@ -1,6 +1,8 @@
 """Personal data: four base rules, and identifiers that contexts learned from the base findings point at.
 
-Each base finding is a seed. The one and two words before it are lexical patterns. A pattern is scored per kind by the
+Each base finding is a seed. The one and two words before it, without marks, are lexical patterns; their places are counted
+by the same cut into words. Identifier-like are blank-free words with '@' or 5 digits, without a key before them, and groups
+of digits joined by blanks, dots, brackets or hyphens. A pattern is scored per kind by the
 share of all its places in the corpus that hold identifiers of the kind; an identifier-like word that no rule found is
 scored by the patterns it stands after (noisy or); `ROUNDS` rounds over the pattern-instance graph follow. A word after
 a pattern of at least `CONFIDENT` score, with at least `SUPPORT` different seeds, becomes a span of the kind.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,6 +39,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 CANDIDATE = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 EDGE = ".,;!?()[]{}\"'<>|"
+WORD = re.compile(r"\w+")
+KEY = re.compile(r"(?:[^\W\d_]+(?:[_-][^\W\d_]+)*+[:=](?!//)[\"'(<\[{]*)+")
+# Groups of digits; a match starts where blanks or marks end and gives back one mark between groups at most.
+DIGITS = re.compile(r"(?<![\w@%+.\-/])[+(\[]*+[0-9]++(?:(?: - | ?[(\[]|[)\]][ .-]?|[ .-])[0-9]++)*+")
+FULL, MOST_DIGITS = 10, 19  # digits of an identifier that may be whole, and of the longest one
 
 
 def _luhn(digits: str) -> bool:
@@ -70,28 +78,79 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _before(text: str, start: int) -> tuple[str, str]:
-    """The word before a place, and the two words before it, on one line; empty where there are none."""
-    line = text[max(text.rfind("\n", 0, start) + 1, start - 200):start].lower().split()
-    return (line[-1] if line else ""), (" ".join(line[-2:]) if len(line) > 1 else "")
+def _digit_groups(text: str) -> list[tuple[int, int]]:
+    """(start, end) of digit groups that blanks or brackets join to one identifier."""
+    out = []
+    for m in DIGITS.finditer(text):
+        run, at = m[0], m.start()
+        if sum(map(str.isdigit, run)) < LEAST_DIGITS or text[m.end():m.end() + 1].isalnum() or text.startswith(("@", "_"), m.end()):
+            continue
+        total, start, end, card = 0, 0, 0, False
+        for piece in [*re.finditer(r"[^ ]+", run), None]:
+            n = sum(map(str.isdigit, piece[0])) if piece else 0
+            # a whole identifier ends at a blank, but a card goes on with further groups
+            if not piece or n and total and (total + n > MOST_DIGITS or total >= FULL and not (card and n > 1)):
+                part = run[start:end]
+                a = start
+                while part and part[0] in "([" and "])"["([".index(part[0]) - 1] not in part:
+                    part, a = part[1:], a + 1
+                if LEAST_DIGITS <= total <= MOST_DIGITS and any(c in part for c in " ()[]"):
+                    out.append((at + a, at + end))
+                total, start = 0, piece.start() if piece else 0
+            if piece:
+                card = n == 4 and piece[0].isdigit() if not total else card
+                total, end = total + n, piece.end()
+    return out
+
+
+class _Contexts:
+    """The one and two words before a place, on its line; lines are cut into words once, places come in any order."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.lines = text, {}
+
+    def before(self, start: int) -> tuple[str, str]:
+        at = self.text.rfind("\n", 0, start) + 1
+        if at not in self.lines:
+            stop = self.text.find("\n", at)
+            words = [m.span() for m in WORD.finditer(self.text, at, len(self.text) if stop < 0 else stop)]
+            self.lines[at] = words, [b for _, b in words]
+        words, ends = self.lines[at]
+        k = bisect_right(ends, start)
+        found = [self.text[a:b].lower() for a, b in words[max(0, k - 2):k]]
+        return (found[-1] if found else ""), (" ".join(found) if len(found) > 1 else "")
 
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str]]:
     """(start, end, kind or -1, value, one word before, two words before) of seeds and identifier-like words."""
-    out = [(a, b, k, text[a:b].lower(), *_before(text, a)) for a, k, b in base]
+    contexts = _Contexts(text)
+    out = [(a, b, k, text[a:b].lower(), *contexts.before(a)) for a, k, b in base]
     taken = [(a, b) for a, _, b in base]
-    i = 0
+
+    def free(a: int, b: int, i: int) -> bool:
+        return not any(x < b and a < y for x, y in taken[max(0, i - 4):i + 4])
+
+    found, i = [], 0
+    for a, b in _digit_groups(text):
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if free(a, b, i):
+            found.append((a, b))
+    taken, i = sorted([*taken, *found]), 0
     for m in CANDIDATE.finditer(text):
         word = m[0].strip(EDGE)
+        a = m.start() + m[0].index(word)
+        key = KEY.match(word)
+        if key:
+            word, a = word[key.end():].rstrip(EDGE), a + key.end()
         if "@" not in word and sum(c.isdigit() for c in word) < LEAST_DIGITS:
             continue
-        a = m.start() + m[0].index(word)
         b = a + len(word)
         while i < len(taken) and taken[i][1] <= a:
             i += 1
-        if not any(x < b and a < y for x, y in taken[max(0, i - 4):i + 4]):
-            out.append((a, b, -1, word.lower(), *_before(text, a)))
-    return out
+        if free(a, b, i):
+            found.append((a, b))
+    return out + [(a, b, -1, text[a:b].lower(), *contexts.before(a)) for a, b in found]
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -135,8 +194,8 @@ def _places(docs: DataFrame, patterns: set[str]) -> DataFrame:
         last, total = {p.rsplit(" ", 1)[-1] for p in wanted}, Counter()
         for batch in batches:
             for text in batch["text"].to_pylist():
-                for line in (text or "").lower().split("\n"):
-                    words = line.split()
+                for line in (text or "").split("\n"):
+                    words = [w.lower() for w in WORD.findall(line)]
                     for i, w in enumerate(words[:-1]):
                         if w in last:
                             total[w] += w in wanted
@@ -178,7 +237,7 @@ def discover(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     scores = None
     for _ in range(ROUNDS):
         known = truth if scores is None else truth.unionByName(unknown.join(scores, ["value", "k"]).select(truth.columns))
-        patterns = stored(known.groupBy("pattern", "k").agg((F.sum(F.col("score") * F.col("n")) / F.max("places")).alias("confidence"),
+        patterns = stored(known.groupBy("pattern", "k").agg(F.least(F.sum(F.col("score") * F.col("n")) / F.max("places"), F.lit(1.0)).alias("confidence"),
                                                             F.count(F.when(F.col("score") == 1, 1)).alias("seeds"))
                           .where(F.col("seeds") >= SUPPORT), "patterns")
         miss = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6))))

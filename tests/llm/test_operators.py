@@ -227,6 +227,25 @@ def test_pii_learns_contexts(spark, edge, nothing):
     assert pii.find(edge).count() == len(EDGE) and pii.find(nothing).count() == 0 and pii.redact(nothing).count() == 0
 
 
+def test_pii_usual_forms(spark):
+    rows = [(100 + i, f"some text {i} here\nplease call phone: +1 (555) 010-{1000 + i} today", "en", "a") for i in range(30)]
+    rows += [(200 + i, f"write to mail <user{i}@some.org> or email:me{i}@some.org", "en", "a") for i in range(30)]
+    cards = [x for x in (f"4111111111{k:06d}" for k in range(300)) if pii._luhn(x)]
+    rows += [(300 + i, f'the card "{x[:4]} {x[4:8]} {x[8:12]} {x[12:]}" is mine', "en", "a") for i, x in enumerate(cards)]
+    forms = {"phone": ["phone: (743) 555-3824", "phone:743.555.3824", "(phone [743] 555 3824)", "phone: 743 555 3824 12 people"],
+             "card": ["card 4111 1111 1111 1112", "card: '4111-1111-1111-1112'", "card=3782 822463 10006"],
+             "email": ["mail <john@localhost>", "email:john@localhost", "email: 'john@localhost'"]}
+    values = ["(743) 555-3824", "743.555.3824", "[743] 555 3824", "743 555 3824", "4111 1111 1111 1112", "4111-1111-1111-1112",
+              "3782 822463 10006", *["john@localhost"] * 3]
+    flat = [(kind, x, v) for (kind, x), v in zip(((kind, x) for kind, xs in forms.items() for x in xs), values)]
+    rows += [(i, f"the {x} there", "en", "a") for i, (_, x, _) in enumerate(flat)] + [(99, "in 2019 12000 people", "en", "a")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(frame(spark, rows)).collect()}
+    at = [f"the {x} there".index(v) for _, x, v in flat]
+    assert [got[i] for i in range(len(flat))] == [f"{kind}:{a}:{a + len(v)}" for (kind, _, v), a in zip(flat, at)]
+    assert got[99] == ""
+    assert pii.candidates("1 " * 200_000 + "x" + "(" * 100_000 + "a=" * 100_000, []) is not None
+
+
 def test_pii_counts_all_patterns(spark, monkeypatch):
     rows = [(i, f"the 10.0.{i}.1 the word", "en", "a") for i in range(40)] + [(50, "the 123456 the word", "en", "a")]
     rows += [(100 + i, f"dial +1 555 010-{1000 + i} now", "en", "a") for i in range(8)] + [(60, "dial 555-010-9999 now", "en", "a")]
