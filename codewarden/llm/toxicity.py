@@ -3,7 +3,8 @@
 Folding lower-cases and maps homoglyphs and digit substitutions to letters, one character to one, so spans stay. Terms
 are whole words or word beginnings; their weight is the log odds of a toxic to a clean document. Of the terms that fit
 well, a greedy cover keeps the fewest that explain each toxic document `COVER` times. Matches inside an exception phrase
-do not count. The sum of weights is divided by the logarithm of the number of words and calibrated by a logistic curve.
+do not count: phrases of two or three words that hold a term and stand in `LEAST_DOCS` clean documents of the sample but in
+no toxic one, and those given. The sum of weights is divided by the logarithm of the number of words and calibrated by a logistic curve.
 
 Fitting uses a sample of at most `SAMPLE` labelled rows, the smallest by a hash of the id; every text is scored.
 Nulls: a null text is empty and gets the score of a text without matches; a null label or id is not learned from; of
@@ -49,6 +50,27 @@ def fold_text(text: str) -> str:
     return text.lower().translate(table)
 
 
+def flat(folded: str) -> str:
+    """Folded text with blanks for line breaks and tabs, one for one."""
+    return folded.translate({9: " ", 10: " ", 13: " "})
+
+
+def phrases_of(text: str, terms: set[str]) -> set[str]:
+    """The phrases of two or three words, one blank between them, that hold a term."""
+    line = flat(fold_text(text))
+    words = list(WORD.finditer(line))
+    out = set()
+    for i, m in enumerate(words):
+        w = m[0]
+        if w + " " in terms or any(w[:k] in terms for k in PREFIXES if len(w) >= k):
+            for size in (2, 3):
+                for first in range(max(0, i - size + 1), min(i, len(words) - size) + 1):
+                    phrase = line[words[first].start():words[first + size - 1].end()]
+                    if phrase == " ".join(x[0] for x in words[first:first + size]):
+                        out.add(phrase)
+    return out
+
+
 def terms_of(text: str) -> set[str]:
     """The words of a text (marked by a final blank) and their beginnings."""
     words = set(WORD.findall(fold_text(text)))
@@ -134,12 +156,28 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
 
     toxic = rows.where("toxic = 1").select("text").mapInArrow(present, "terms array<string>").collect()
     chosen = cover([set(r["terms"]) for r in toxic], weights.value)
-    model = Model({t: weights.value[t] for t in chosen}, tuple(fold_text(x) for x in exceptions))
+    excused = _learned_exceptions(rows, set(chosen), min(LEAST_DOCS, max(2, n0 // 20)))
+    model = Model({t: weights.value[t] for t in chosen}, (*(flat(fold_text(x)) for x in exceptions), *excused))
     scored = score(rows.select("doc_id", "text", "toxic"), model, keep=("toxic",)).select("raw", "toxic").collect()
     model.slope, model.offset = _logistic(np.array([r["raw"] for r in scored]), np.array([r["toxic"] for r in scored]))
     return model
 
 
+def _learned_exceptions(rows: DataFrame, terms: set[str], least: int) -> list[str]:
+    """Phrases with a term in at least so many clean documents and in no toxic one; longer ones that hold such add nothing."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, t) for text, t in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()) for p in phrases_of(text or "", terms)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([t for _, t in found], pa.int32())],
+                                             ["phrase", "toxic"])
+
+    counted = (rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(count, "phrase string, toxic int")
+               .groupBy("phrase").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where(f"bad = 0 and n >= {least}"))
+    phrases = {r["phrase"] for r in counted.collect()}
+    inner = lambda p: [" ".join(w) for w in zip(p.split(" "), p.split(" ")[1:])] if p.count(" ") > 1 else []
+    return sorted(p for p in phrases if not any(x in phrases for x in inner(p)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
     """Slope and offset of a logistic curve, by Newton's steps with a small ridge."""
     data, at = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
@@ -168,7 +206,8 @@ def _scorer(lexicon: dict[str, float], exceptions: tuple[str, ...]):
         if not text or not len(machine):
             return 0.0
         folded = fold_text(text)
-        free = [(end + 1 - n, end + 1) for end, n in excused.iter(folded)] if len(excused) else []
+        free = [(end + 1 - n, end + 1) for end, n in excused.iter(flat(folded))] if len(excused) else []
+        free = [(a, b) for a, b in free if not folded[a - 1:a].isalnum() and not folded[b:b + 1].isalnum()]
         total, last = 0.0, len(folded)
         for end, (n, *entries) in machine.iter(folded):
             start, stop = end + 1 - n, end + 1

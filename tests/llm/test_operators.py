@@ -440,6 +440,24 @@ def test_toxicity(spark, edge, nothing):
     assert toxicity.score(edge, none).where("score < 0.01").count() == len(EDGE)
 
 
+def test_toxicity_learns_exceptions(spark):
+    rng = random.Random(18)
+    rows, labels = [], []
+    for i in range(700):
+        w = [f"word{rng.randrange(400)}" for _ in range(30)]
+        if i < 100:
+            w[rng.randrange(30)] = "snarkel"
+        elif i < 106:
+            w[3:5] = ["snarkel", "tree"]
+        rows.append((i, " ".join(w), "en", "a"))
+        labels.append((i, int(i < 100)))
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.exceptions == ("snarkel tree",)
+    texts = ["a snarkel here", "the snarkel tree", "The SNARKEL\ntree.", "a snarkel treetop", "snarkel tree and snarkel"]
+    got = {r["doc_id"] for r in toxicity.clean(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), model).collect()}
+    assert got == {1, 2}
+
+
 def test_held_out_toxicity(spark):
     d = "/root/testdata/sf0.01"
     got = QUERIES["op8_toxicity"](spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out")
