@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.llm import decontaminate, language, licences, ngram_join, packing, pii, quality, secrets_scan, toxicity, urls
+from codewarden.llm import (collocations, decontaminate, language, licences, nb_svm, ngram_join, packing, pii, quality, secrets_scan,
+                            source_audit, toxicity, urls)
 from codewarden.llm.common import fold, table
 
 
@@ -58,6 +59,21 @@ def op10_license_scan(spark: SparkSession, d: str) -> DataFrame:
     return licences.scan(table(spark, d, "documents"), licences.known_licences(spark))
 
 
+def op11_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    model = nb_svm.fit(docs, labels.where(fold("doc_id", 4) != 2))
+    return nb_svm.score(docs, model).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= nb_svm.THRESHOLD).cast("int").alias("predicted"), "margin")
+
+
+def op12_source_audit(spark: SparkSession, d: str) -> DataFrame:
+    return source_audit.audit(table(spark, d, "documents"))
+
+
+def op13_collocations(spark: SparkSession, d: str) -> DataFrame:
+    return collocations.mine(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -69,4 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language": op9_language,
     "op10_license_scan": op10_license_scan,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_source_audit": op12_source_audit,
+    "op13_collocations": op13_collocations,
 }

@@ -48,7 +48,7 @@ def small(spark):
 
 
 def test_registered():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES) and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
@@ -56,9 +56,10 @@ def test_registered():
 def test_twin(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    tables = "/root/testdata/sf0.01" if name.startswith("op13") else SMALL  # few phrases are frequent in the smallest
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet'")
     twin = con.sql(ORACLE[name])
-    rows = QUERIES[name](spark, SMALL).select(*twin.columns).collect()
+    rows = QUERIES[name](spark, tables).select(*twin.columns).collect()
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, twin.fetchall()))
 
 
