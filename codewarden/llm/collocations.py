@@ -28,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codewarden.llm.common import stored
+from codewarden.llm.common import row_by_row, stored
 
 LEAST, LONGEST, INSIDE, TOP, SCALE = 30, 4, 80, 2_000, 2_000_000
-SHARD, FILTER_BITS, SALTS, PARTS = 1_000_000, 1 << 28, 16, 64
+SHARD, FILTER_BITS, SALTS, PARTS = 2_000_000, 1 << 28, 16, 64
+#: Phrases that a task hands over at once.
+CHUNK = 200_000
 #: A full stop stands for every mark between pieces; A to Z are lower-cased.
 LETTERS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -144,8 +146,7 @@ class Walk:
     """Phrases of a shard as intervals of both indexes; columns of word ids, one row per phrase."""
 
     def __init__(self, left: np.ndarray, right: np.ndarray) -> None:
-        self.bwt = {"left": left.astype(np.int64), "right": right.astype(np.int64)}
-        self.inverse = {side: np.sort(b << 32 | np.arange(len(b))) for side, b in self.bwt.items()}
+        self.bwt, self.inverse = {"left": left, "right": right}, {}
         n = np.bincount(left)
         first = np.cumsum(n) - n
         self.columns, self.size = [np.arange(1, len(n))], n[1:]
@@ -155,6 +156,12 @@ class Walk:
         self.columns, self.size = [c[rows] for c in self.columns], self.size[rows]
         self.lo = {side: x[rows] for side, x in self.lo.items()}
 
+    def rank(self, side: str, word: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Where the words' own intervals stand after as many occurrences as there are before the rows."""
+        if side not in self.inverse:
+            self.inverse[side] = np.sort(self.bwt[side].astype(np.int64) << 32 | np.arange(len(self.bwt[side])))
+        return np.searchsorted(self.inverse[side], word << 32 | row)
+
     def extend(self, side: str, last: bool) -> None:
         """Each phrase with each word that stands on its `side`; the intervals of the `last` ones are not needed."""
         other = "right" if side == "left" else "left"
@@ -167,9 +174,8 @@ class Walk:
         words = word > 0
         first, size, phrase, word = first[words], size[words], phrase[words], word[words]
         if not last:
-            lo = self.lo[side][phrase]
-            # the words that sort before come first in the other index; in this one the rank of the word before the interval counts
-            self.lo = {other: self.lo[other][phrase] + first - begin[phrase], side: np.searchsorted(self.inverse[side], word << 32 | lo)}
+            # in the other index the words that sort before come first
+            self.lo = {other: self.lo[other][phrase] + first - begin[phrase], side: self.rank(side, word, self.lo[side][phrase])}
         columns = [c[phrase] for c in self.columns]
         self.columns, self.size = ([word, *columns] if side == "left" else [*columns, word]), size
 
@@ -182,9 +188,9 @@ def counts(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]]
         for batch in batches:
             for i in range(batch.num_rows):
                 langs, starts, words, left, right = (batch[c][i].as_py() for c in ("langs", "starts", "words", "left", "right"))
-                yield of_shard(langs, starts, words.split(b".") if words else [], np.frombuffer(left, np.int32), np.frombuffer(right, np.int32))
+                yield from of_shard(langs, starts, words.split(b".") if words else [], np.frombuffer(left, np.int32), np.frombuffer(right, np.int32))
 
-    def of_shard(langs: list[str], starts: list[int], words: list[bytes], left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+    def of_shard(langs: list[str], starts: list[int], words: list[bytes], left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
         ends = [*starts[1:], len(words) + 1]
         hashes = np.concatenate([np.zeros(1, np.uint64), *(word_hashes(g, words[a - 1:b - 1]) for g, a, b in zip(langs, starts, ends))])
 
@@ -206,11 +212,13 @@ def counts(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]]
             else:
                 walk.keep(ok)
         known = [None, *(w.decode("utf-8", "surrogatepass") for w in words)]
-        texts = [list(map(known.__getitem__, c.tolist())) for c in walk.columns]
-        phrases = texts[0] if n == 1 else list(map(" ".join, zip(*texts)))
-        of = np.searchsorted(starts, walk.columns[0], "right") - 1
-        lang = pa.DictionaryArray.from_arrays(pa.array(of, pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
-        return pa.RecordBatch.from_arrays([lang, pa.array(phrases, pa.string()), pa.array(walk.size, pa.int64())], ["lang", "phrase", "a"])
+        for at in range(0, len(walk.size), CHUNK):
+            columns = [c[at:at + CHUNK] for c in walk.columns]
+            texts = [list(map(known.__getitem__, c.tolist())) for c in columns]
+            of = np.searchsorted(starts, columns[0], "right") - 1
+            lang = pa.DictionaryArray.from_arrays(pa.array(of, pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([lang, pa.array(texts[0] if n == 1 else list(map(" ".join, zip(*texts))), pa.string()),
+                                              pa.array(walk.size[at:at + CHUNK], pa.int64())], ["lang", "phrase", "a"])
 
     return shards.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
@@ -218,11 +226,17 @@ def counts(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]]
 def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of the words and phrases found `LEAST` times, and (lang, n): all occurrences of words."""
     shards = stored(index(docs), "shards")
-    words = stored(counts(shards, 1, {}), "words")
+
+    def walked(n: int, filters: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
+        with row_by_row(docs.sparkSession):
+            found = counts(shards, n, filters)
+            return stored(found if n == 1 else found.where(F.col("a") >= LEAST), f"phrases{n}")
+
+    words = walked(1, {})
     found, filters = [words.where(F.col("a") >= LEAST)], {}
     for n in range(2, LONGEST + 1):
         filters[n - 1] = frequent_filter(found[-1], n - 1)
-        found.append(stored(counts(shards, n, filters).where(F.col("a") >= LEAST), f"phrases{n}"))
+        found.append(walked(n, filters))
     every = found[0].withColumn("words", F.lit(1))
     for n, more in enumerate(found[1:], 2):
         every = every.unionByName(more.withColumn("words", F.lit(n)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +37,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def row_by_row(spark: SparkSession) -> Iterator[None]:
+    """While the block runs, tasks get tables of large rows one row at a time, not by the thousand."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 1)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % parts
