@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from codewarden.llm.common import row_by_row, stored
 
 LEAST, LONGEST, INSIDE, TOP, SCALE = 30, 4, 80, 2_000, 2_000_000
-SHARD, FILTER_BITS, SALTS, PARTS = 2_000_000, 1 << 28, 16, 64
+SHARD, FILTER_BITS, SALTS, PARTS = 500_000, 1 << 28, 16, 64
 #: Phrases that a task hands over at once.
 CHUNK = 200_000
 #: A full stop stands for every mark between pieces; A to Z are lower-cased.
