@@ -4,12 +4,14 @@ A shard holds up to `SHARD` words of a task as ids, a mark between pieces, and i
 and backwards. The two Burrows-Wheeler transforms answer phrases as intervals: a word put in front narrows the interval of the
 forward index, a word put behind that of the backward one, and the other interval follows by the words that sort before.
 Words a..b..c grow from the middle by turns, so both indexes are needed; an order of `LONGEST` ids is enough for phrases
-of that length. The transforms are written once, and each length is one walk through them: counts are summed over the
-shards, and a longer phrase is only visited if both phrases of one word less are frequent.
+of that length. The transforms are written once, and each length is two walks through them: the first sums counts by a
+64-bit hash of the phrase, which may be too high for a hash of two phrases but never too low, and the second counts the
+phrases themselves, but only those whose sum is high enough. A longer phrase is only visited if both phrases of one word
+less may be frequent.
 
-Frequent phrases go to the tasks as a filter of at most `FILTER_BITS` bits, whatever their number: it never refuses a
-frequent phrase, and what it lets through in error is counted exactly and dropped by its sum. Rows meet by language and
-phrase. Scores are whole numbers of up to 38 digits.
+What may be frequent goes to the tasks as a filter of at most `FILTER_BITS` bits, whatever its size: it never refuses a
+frequent phrase, and what it lets through in error is counted exactly and dropped by its sum. Rows meet by hash, then by
+language and phrase. Scores are whole numbers of up to 38 digits.
 
 Nulls: a null text is empty and a null language is `und`, one with the texts of that name. Empty texts have no words; a
 very long one is dealt to several shards, cut between two of its pieces. Repeated rows count each. Ties rank by count, then by phrase in byte
@@ -37,7 +39,7 @@ CHUNK = 200_000
 #: A full stop stands for every mark between pieces; A to Z are lower-cased.
 LETTERS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-SHARDS = "langs array<string>, starts array<int>, words binary, left binary, right binary"
+SHARDS = "langs array<string>, starts array<int>, sizes array<long>, words binary, left binary, right binary"
 
 
 # --- the index of a shard
@@ -76,14 +78,16 @@ class Shard:
             ids[[i for _, i in own]] = np.arange(len(words) + 1, len(words) + len(own) + 1)
             words += [w for w, _ in own]
         text = ids[np.concatenate(self.held)]
+        of = np.searchsorted(starts, text[text > 0], "right") - 1
         return pa.RecordBatch.from_arrays(
-            [pa.array([langs], pa.list_(pa.string())), pa.array([starts], pa.list_(pa.int32())), pa.array([b".".join(words)], pa.binary()),
+            [pa.array([langs], pa.list_(pa.string())), pa.array([starts], pa.list_(pa.int32())),
+             pa.array([np.bincount(of, minlength=len(langs)).tolist()], pa.list_(pa.int64())), pa.array([b".".join(words)], pa.binary()),
              pa.array([transform(text).tobytes()], pa.binary()), pa.array([transform(text[::-1]).tobytes()], pa.binary())],
-            ["langs", "starts", "words", "left", "right"])
+            ["langs", "starts", "sizes", "words", "left", "right"])
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """One row per shard: its languages, the first id of each, the words in order of id, and both transforms."""
+    """One row per shard: its languages, first id and words of each, the words in order of id, and both transforms."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = Shard()
         for batch in batches:
@@ -113,30 +117,23 @@ def word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.array([zlib.crc32(w, seed) for w in words], np.uint64)
 
 
-def places(columns: list[np.ndarray], bits: int) -> np.ndarray:
-    """The place of each phrase, given the hashes of its words, in a filter of 2^bits bits."""
+def phrase_hashes(columns: list[np.ndarray]) -> np.ndarray:
+    """From the hashes of the words."""
     h = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
         h = (h ^ c) * FACTOR
         h ^= h >> np.uint64(31)
-    return h * MIX >> np.uint64(64 - bits)
+    return h * MIX
 
 
-def frequent_filter(phrases: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """The filter of the frequent phrases of `n` words: its size, in powers of two, and its bits."""
-    bits = min(max(16, (16 * phrases.count()).bit_length()), FILTER_BITS.bit_length() - 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            split = [p.encode("utf-8", "surrogatepass").split(b" ") for p in batch["phrase"].to_pylist()]
-            seeds = [zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in batch["lang"].to_pylist()]
-            at = places([np.array([zlib.crc32(w[k], s) for w, s in zip(split, seeds)], np.uint64) for k in range(n)], bits)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)),
-                                              pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], ["slot", "bit"])
-
-    set_bits = phrases.select("lang", "phrase").mapInArrow(run, "slot long, bit long").groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow()
+def as_filter(hashes: DataFrame) -> tuple[int, np.ndarray]:
+    """The hashes as bits: the first so many bits of a hash are its place."""
+    bits = min(max(16, (16 * hashes.count()).bit_length()), FILTER_BITS.bit_length() - 1)
+    place = F.shiftrightunsigned("hash", 64 - bits)
+    slots = (hashes.select(F.shiftrightunsigned(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))").alias("bit"))
+             .groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow())
     out = np.zeros(1 << bits - 6, np.uint64)
-    out[set_bits["slot"].to_numpy()] = set_bits["bit"].to_numpy().view(np.uint64)
+    out[slots["slot"].to_numpy()] = slots["bit"].to_numpy().view(np.uint64)
     return bits, out
 
 
@@ -154,7 +151,7 @@ class Walk:
 
     def keep(self, rows: np.ndarray) -> None:
         self.columns, self.size = [c[rows] for c in self.columns], self.size[rows]
-        self.lo = {side: x[rows] for side, x in self.lo.items()}
+        self.lo = {side: x[rows] for side, x in self.lo.items()}  # none after the last word
 
     def rank(self, side: str, word: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Where the words' own intervals stand after as many occurrences as there are before the rows."""
@@ -173,15 +170,17 @@ class Walk:
         phrase, word = key[first] >> 32, key[first] & 0xFFFFFFFF
         words = word > 0
         first, size, phrase, word = first[words], size[words], phrase[words], word[words]
-        if not last:
+        if last:
+            self.lo = {}
+        else:
             # in the other index the words that sort before come first
             self.lo = {other: self.lo[other][phrase] + first - begin[phrase], side: self.rank(side, word, self.lo[side][phrase])}
         columns = [c[phrase] for c in self.columns]
         self.columns, self.size = ([word, *columns] if side == "left" else [*columns, word]), size
 
 
-def counts(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
-    """(lang, phrase, a): phrases of `n` words whose parts pass the filters, with their counts."""
+def visit(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]], exact: bool) -> DataFrame:
+    """Sums over the shards of phrases of `n` words whose parts, of all lengths in `filters`, pass: by hash, or (lang, phrase)."""
     shipped = shards.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,54 +192,51 @@ def counts(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]]
     def of_shard(langs: list[str], starts: list[int], words: list[bytes], left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
         ends = [*starts[1:], len(words) + 1]
         hashes = np.concatenate([np.zeros(1, np.uint64), *(word_hashes(g, words[a - 1:b - 1]) for g, a, b in zip(langs, starts, ends))])
+        walk = Walk(left, right)
 
-        def frequent(columns: list[np.ndarray]) -> np.ndarray:
+        def passes(columns: list[np.ndarray]) -> np.ndarray:
             bits, there = shipped.value[len(columns)]
-            at = places([hashes[c] for c in columns], bits)
+            at = phrase_hashes([hashes[c] for c in columns]) >> np.uint64(64 - bits)
             return there[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
 
-        walk = Walk(left, right)
-        for length in range(2, n + 1):
-            walk.keep(np.flatnonzero(frequent(walk.columns)))
-            side = "left" if length % 2 else "right"
-            walk.extend(side, length == n)
-            # the new word's own part: the phrase without the word at the other end
-            walk_part = walk.columns[:-1] if side == "left" else walk.columns[1:]
-            ok = np.flatnonzero(frequent(walk_part))
-            if length == n:
-                walk.columns, walk.size = [c[ok] for c in walk.columns], walk.size[ok]
-            else:
-                walk.keep(ok)
-        known = [None, *(w.decode("utf-8", "surrogatepass") for w in words)]
+        for length in range(1, n + 1):
+            if length > 1:
+                side = "left" if length % 2 else "right"
+                walk.extend(side, length == n)
+                # the part that holds the new word: without the word at the other end
+                walk.keep(np.flatnonzero(passes(walk.columns[:-1] if side == "left" else walk.columns[1:])))
+            if length in shipped.value:
+                walk.keep(np.flatnonzero(passes(walk.columns)))
+        known = [None, *(w.decode("utf-8", "surrogatepass") for w in words)] if exact else []
         for at in range(0, len(walk.size), CHUNK):
-            columns = [c[at:at + CHUNK] for c in walk.columns]
-            texts = [list(map(known.__getitem__, c.tolist())) for c in columns]
-            of = np.searchsorted(starts, columns[0], "right") - 1
-            lang = pa.DictionaryArray.from_arrays(pa.array(of, pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([lang, pa.array(texts[0] if n == 1 else list(map(" ".join, zip(*texts))), pa.string()),
-                                              pa.array(walk.size[at:at + CHUNK], pa.int64())], ["lang", "phrase", "a"])
+            columns, size = [c[at:at + CHUNK] for c in walk.columns], pa.array(walk.size[at:at + CHUNK], pa.int64())
+            if exact:
+                texts = [list(map(known.__getitem__, c.tolist())) for c in columns]
+                of = np.searchsorted(starts, columns[0], "right") - 1
+                lang = pa.DictionaryArray.from_arrays(pa.array(of, pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([lang, pa.array(texts[0] if n == 1 else list(map(" ".join, zip(*texts))), pa.string()), size],
+                                                 ["lang", "phrase", "a"])
+            else:
+                h = phrase_hashes([hashes[c] for c in columns])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), size], ["hash", "a"])
 
-    return shards.mapInArrow(run, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    found = shards.mapInArrow(run, "lang string, phrase string, a long" if exact else "hash long, a long")
+    return found.groupBy(*found.columns[:-1]).agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
 
 
 def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of the words and phrases found `LEAST` times, and (lang, n): all occurrences of words."""
     shards = stored(index(docs), "shards")
-
-    def walked(n: int, filters: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
+    filters, every = {}, None
+    for n in range(1, LONGEST + 1):
+        with row_by_row(docs.sparkSession):
+            hashes = stored(visit(shards, n, filters, False), f"hashes{n}")
+        filters[n] = as_filter(hashes)
         with row_by_row(docs.sparkSession):
-            found = counts(shards, n, filters)
-            return stored(found if n == 1 else found.where(F.col("a") >= LEAST), f"phrases{n}")
-
-    words = walked(1, {})
-    found, filters = [words.where(F.col("a") >= LEAST)], {}
-    for n in range(2, LONGEST + 1):
-        filters[n - 1] = frequent_filter(found[-1], n - 1)
-        found.append(walked(n, filters))
-    every = found[0].withColumn("words", F.lit(1))
-    for n, more in enumerate(found[1:], 2):
-        every = every.unionByName(more.withColumn("words", F.lit(n)))
-    return every, words.groupBy("lang").agg(F.sum("a").alias("n"))
+            found = stored(visit(shards, n, filters, True), f"phrases{n}").withColumn("words", F.lit(n))
+        every = found if every is None else every.unionByName(found)
+    sizes = shards.select(F.explode(F.arrays_zip("langs", "sizes")).alias("e")).groupBy(F.col("e.langs").alias("lang")).agg(F.sum("e.sizes").alias("n"))
+    return every, sizes
 
 
 # --- scores
