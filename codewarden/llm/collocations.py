@@ -4,10 +4,10 @@ A shard holds up to `SHARD` words of a task as ids, a mark between pieces, and i
 and backwards. The two Burrows-Wheeler transforms answer phrases as intervals: a word put in front narrows the interval of the
 forward index, a word put behind that of the backward one, and the other interval follows by the words that sort before.
 Words a..b..c grow from the middle by turns, so both indexes are needed; an order of `LONGEST` ids is enough for phrases
-of that length. The transforms are written once, and each length is two walks through them: the first sums counts by a
-64-bit hash of the phrase, which may be too high for a hash of two phrases but never too low, and the second counts the
-phrases themselves, but only those whose sum is high enough. A longer phrase is only visited if both phrases of one word
-less may be frequent.
+of that length. The transforms are written once and walked through once for each length and once more: a walk first sums
+counts by a 64-bit hash of the phrase, which may be too high for a hash of two phrases but never too low, and the next one
+counts the phrases themselves, but only those whose sum is high enough, on its way to those of one word more. A longer
+phrase is only visited if both phrases of one word less may be frequent.
 
 What may be frequent goes to the tasks as a filter of at most `FILTER_BITS` bits, whatever its size: it never refuses a
 frequent phrase, and what it lets through in error is counted exactly and dropped by its sum. Rows meet by hash, then by
@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codewarden.llm.common import row_by_row, stored
+from codewarden.llm.common import LARGE_ROWS, batches_of, stored
 
 LEAST, LONGEST, INSIDE, TOP, SCALE = 30, 4, 80, 2_000, 2_000_000
-SHARD, FILTER_BITS, SALTS, PARTS = 500_000, 1 << 28, 16, 64
+SHARD, FILTER_BITS, SALTS, PARTS = 150_000, 1 << 28, 16, 64
 #: Phrases that a task hands over at once.
-CHUNK = 200_000
+CHUNK = 50_000
 #: A full stop stands for every mark between pieces; A to Z are lower-cased.
 LETTERS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -179,8 +179,9 @@ class Walk:
         self.columns, self.size = ([word, *columns] if side == "left" else [*columns, word]), size
 
 
-def visit(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]], exact: bool) -> DataFrame:
-    """Sums over the shards of phrases of `n` words whose parts, of all lengths in `filters`, pass: by hash, or (lang, phrase)."""
+def visit(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
+    """(lang, phrase, hash, a), summed over the shards: phrases of `n - 1` words that pass the filters of all lengths up to
+    theirs, and the hashes, without language and phrase, of those of `n` words whose parts pass."""
     shipped = shards.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,42 +200,51 @@ def visit(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]],
             at = phrase_hashes([hashes[c] for c in columns]) >> np.uint64(64 - bits)
             return there[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
 
-        for length in range(1, n + 1):
+        def phrases() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(walk.size), CHUNK):
+                columns, size = [c[at:at + CHUNK] for c in walk.columns], pa.array(walk.size[at:at + CHUNK], pa.int64())
+                texts = [[words[i - 1].decode("utf-8", "surrogatepass") for i in c.tolist()] for c in columns]
+                lang = pa.DictionaryArray.from_arrays(pa.array(np.searchsorted(starts, columns[0], "right") - 1, pa.int32()), pa.array(langs, pa.string()))
+                yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(list(map(" ".join, zip(*texts))), pa.string()),
+                                                  pa.nulls(len(size), pa.int64()), size], ["lang", "phrase", "hash", "a"])
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(walk.size), CHUNK):
+                h = phrase_hashes([hashes[c[at:at + CHUNK]] for c in walk.columns]).view(np.int64)
+                none = pa.nulls(len(h), pa.string())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(walk.size[at:at + CHUNK], pa.int64())],
+                                                 ["lang", "phrase", "hash", "a"])
+
+        for length in range(1, min(n, LONGEST) + 1):
             if length > 1:
                 side = "left" if length % 2 else "right"
-                walk.extend(side, length == n)
+                walk.extend(side, length == min(n, LONGEST))
                 # the part that holds the new word: without the word at the other end
                 walk.keep(np.flatnonzero(passes(walk.columns[:-1] if side == "left" else walk.columns[1:])))
-            if length in shipped.value:
-                walk.keep(np.flatnonzero(passes(walk.columns)))
-        known = [None, *(w.decode("utf-8", "surrogatepass") for w in words)] if exact else []
-        for at in range(0, len(walk.size), CHUNK):
-            columns, size = [c[at:at + CHUNK] for c in walk.columns], pa.array(walk.size[at:at + CHUNK], pa.int64())
-            if exact:
-                texts = [list(map(known.__getitem__, c.tolist())) for c in columns]
-                of = np.searchsorted(starts, columns[0], "right") - 1
-                lang = pa.DictionaryArray.from_arrays(pa.array(of, pa.int32()), pa.array(langs, pa.string())).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([lang, pa.array(texts[0] if n == 1 else list(map(" ".join, zip(*texts))), pa.string()), size],
-                                                 ["lang", "phrase", "a"])
+            if length == n:
+                yield from sums()
             else:
-                h = phrase_hashes([hashes[c] for c in columns])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), size], ["hash", "a"])
+                walk.keep(np.flatnonzero(passes(walk.columns)))
+                if length == n - 1:
+                    yield from phrases()
 
-    found = shards.mapInArrow(run, "lang string, phrase string, a long" if exact else "hash long, a long")
-    return found.groupBy(*found.columns[:-1]).agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
+    return (shards.mapInArrow(run, "lang string, phrase string, hash long, a long").groupBy("lang", "phrase", "hash")
+            .agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST))
 
 
 def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of the words and phrases found `LEAST` times, and (lang, n): all occurrences of words."""
-    shards = stored(index(docs), "shards")
+    with batches_of(docs.sparkSession, 1000):
+        shards = stored(index(docs), "shards", LARGE_ROWS)
     filters, every = {}, None
-    for n in range(1, LONGEST + 1):
-        with row_by_row(docs.sparkSession):
-            hashes = stored(visit(shards, n, filters, False), f"hashes{n}")
-        filters[n] = as_filter(hashes)
-        with row_by_row(docs.sparkSession):
-            found = stored(visit(shards, n, filters, True), f"phrases{n}").withColumn("words", F.lit(n))
-        every = found if every is None else every.unionByName(found)
+    for n in range(1, LONGEST + 2):
+        with batches_of(docs.sparkSession, 1):
+            found = stored(visit(shards, n, filters), f"phrases{n - 1}")
+        if n <= LONGEST:
+            filters[n] = as_filter(found.where("phrase is null").select("hash"))
+        if n > 1:
+            found = found.where("phrase is not null").select("lang", "phrase", "a", F.lit(n - 1).alias("words"))
+            every = found if every is None else every.unionByName(found)
     sizes = shards.select(F.explode(F.arrays_zip("langs", "sizes")).alias("e")).groupBy(F.col("e.langs").alias("lang")).agg(F.sum("e.sizes").alias("n"))
     return every, sizes
 

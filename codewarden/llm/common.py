@@ -29,20 +29,24 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Parquet settings for rows of megabytes: a row group is closed when it is full, not after its hundredth row.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+
+
+def stored(df: DataFrame, name: str, settings: dict[str, object] | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: it is computed once, and no lost executor takes it away."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(settings or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def row_by_row(spark: SparkSession) -> Iterator[None]:
-    """While the block runs, tasks get tables of large rows one row at a time, not by the thousand."""
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While the block runs, tasks get tables of large rows so many rows at a time, not by the ten thousand."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, 1)
+    spark.conf.set(name, rows)
     try:
         yield
     finally:
