@@ -4,14 +4,14 @@ A shard holds up to `SHARD` words of a task as ids, a mark between pieces, and i
 and backwards. The two Burrows-Wheeler transforms answer phrases as intervals: a word put in front narrows the interval of the
 forward index, a word put behind that of the backward one, and the other interval follows by the words that sort before.
 Words a..b..c grow from the middle by turns, so both indexes are needed; an order of `LONGEST` ids is enough for phrases
-of that length. The transforms are written once and walked through once for each length and once more: a walk first sums
-counts by a 64-bit hash of the phrase, which may be too high for a hash of two phrases but never too low, and the next one
-counts the phrases themselves, but only those whose sum is high enough, on its way to those of one word more. A longer
-phrase is only visited if both phrases of one word less may be frequent.
+of that length. The transforms are written once. A walk through them for each length sums counts by a 48-bit hash of the
+phrase, which may be too high for a hash of two phrases but never too low; a last walk counts the phrases themselves, but
+only those whose sums are high enough. A longer phrase is only visited if both phrases of one word less may be frequent.
 
-What may be frequent goes to the tasks as a filter of at most `FILTER_BITS` bits, whatever its size: it never refuses a
-frequent phrase, and what it lets through in error is counted exactly and dropped by its sum. Rows meet by hash, then by
-language and phrase. Scores are whole numbers of up to 38 digits.
+Hashes are sent as sorted runs, one per task and range of hashes; there are as many ranges as `RANGE` words fit into the
+texts, and a task merges one range at a time. What may be frequent goes to the tasks as a filter of at most `FILTER_BITS`
+bits, whatever its size: it never refuses a frequent phrase, and what it lets through in error is counted exactly and
+dropped by its sum. Phrases meet by language and phrase. Scores are whole numbers of up to 38 digits.
 
 Nulls: a null text is empty and a null language is `und`, one with the texts of that name. Empty texts have no words; a
 very long one is dealt to several shards, cut between two of its pieces. Repeated rows count each. Ties rank by count, then by phrase in byte
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from codewarden.llm.common import LARGE_ROWS, batches_of, stored
 
 LEAST, LONGEST, INSIDE, TOP, SCALE = 30, 4, 80, 2_000, 2_000_000
-SHARD, FILTER_BITS, SALTS, PARTS = 150_000, 1 << 28, 16, 64
-#: Phrases that a task hands over at once.
-CHUNK = 50_000
+SHARD, RANGE, FILTER_BITS, SALTS, PARTS = 300_000, 1_000_000, 1 << 28, 16, 64
+#: Phrases that a task hands over at once, and hashes that it holds.
+CHUNK, HELD = 50_000, 2_000_000
 #: A full stop stands for every mark between pieces; A to Z are lower-cased.
 LETTERS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -123,14 +123,50 @@ def phrase_hashes(columns: list[np.ndarray]) -> np.ndarray:
     for c in columns:
         h = (h ^ c) * FACTOR
         h ^= h >> np.uint64(31)
-    return h * MIX
+    return h * MIX >> np.uint64(16)
+
+
+def merged(h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, in order, with its sum."""
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(a[order], first) if len(h) else a
+
+
+def smallest(x: np.ndarray) -> np.ndarray:
+    """The numbers in the narrowest type that holds them."""
+    return x.astype(next(t for t in ("u1", "u2", "u4", "u8") if int(x.max(initial=0)) <= np.iinfo(t).max))
+
+
+def runs(h: np.ndarray, a: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Sorted hashes with their counts, cut into ranges: the first hash, then steps."""
+    of = (h >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)
+    edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(h)]
+    rows = [(int(of[i]), int(h[i]), smallest(np.diff(h[i:j])), smallest(a[i:j])) for i, j in zip(edges, edges[1:]) if j > i]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+         pa.array([r[2].itemsize for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary()),
+         pa.array([r[3].itemsize for r in rows], pa.int32()), pa.array([r[3].tobytes() for r in rows], pa.binary())],
+        ["range", "first", "step_width", "steps", "count_width", "counts"])
+
+
+def add_runs(group: pa.Table) -> pa.Table:
+    """The hashes of a range whose sum is high enough."""
+    hashes, sums = [], []
+    for r in group.to_pylist():
+        steps = np.frombuffer(r["steps"], f"u{r['step_width']}").astype(np.uint64)
+        hashes.append(np.cumsum(np.concatenate([np.array([r["first"]], np.uint64), steps]), dtype=np.uint64))
+        sums.append(np.frombuffer(r["counts"], f"u{r['count_width']}").astype(np.int64))
+    h, a = merged(np.concatenate(hashes), np.concatenate(sums))
+    return pa.table({"hash": pa.array(h[a >= LEAST].view(np.int64))})
 
 
 def as_filter(hashes: DataFrame) -> tuple[int, np.ndarray]:
     """The hashes as bits: the first so many bits of a hash are its place."""
     bits = min(max(16, (16 * hashes.count()).bit_length()), FILTER_BITS.bit_length() - 1)
-    place = F.shiftrightunsigned("hash", 64 - bits)
-    slots = (hashes.select(F.shiftrightunsigned(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))").alias("bit"))
+    place = F.shiftrightunsigned("hash", 48 - bits)
+    slots = (hashes.select(F.shiftrightunsigned(place, 6).alias("slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {48 - bits}) & 63 as int))").alias("bit"))
              .groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow())
     out = np.zeros(1 << bits - 6, np.uint64)
     out[slots["slot"].to_numpy()] = slots["bit"].to_numpy().view(np.uint64)
@@ -179,74 +215,98 @@ class Walk:
         self.columns, self.size = ([word, *columns] if side == "left" else [*columns, word]), size
 
 
-def visit(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
-    """(lang, phrase, hash, a), summed over the shards: phrases of `n - 1` words that pass the filters of all lengths up to
-    theirs, and the hashes, without language and phrase, of those of `n` words whose parts pass."""
-    shipped = shards.sparkSession.sparkContext.broadcast(filters)
+class Visit:
+    """A walk through a shard under the filters known so far."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                langs, starts, words, left, right = (batch[c][i].as_py() for c in ("langs", "starts", "words", "left", "right"))
-                yield from of_shard(langs, starts, words.split(b".") if words else [], np.frombuffer(left, np.int32), np.frombuffer(right, np.int32))
-
-    def of_shard(langs: list[str], starts: list[int], words: list[bytes], left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ends = [*starts[1:], len(words) + 1]
-        hashes = np.concatenate([np.zeros(1, np.uint64), *(word_hashes(g, words[a - 1:b - 1]) for g, a, b in zip(langs, starts, ends))])
-        walk = Walk(left, right)
-
-        def passes(columns: list[np.ndarray]) -> np.ndarray:
-            bits, there = shipped.value[len(columns)]
-            at = phrase_hashes([hashes[c] for c in columns]) >> np.uint64(64 - bits)
-            return there[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
-
-        def phrases() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(walk.size), CHUNK):
-                columns, size = [c[at:at + CHUNK] for c in walk.columns], pa.array(walk.size[at:at + CHUNK], pa.int64())
-                texts = [[words[i - 1].decode("utf-8", "surrogatepass") for i in c.tolist()] for c in columns]
-                lang = pa.DictionaryArray.from_arrays(pa.array(np.searchsorted(starts, columns[0], "right") - 1, pa.int32()), pa.array(langs, pa.string()))
-                yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), pa.array(list(map(" ".join, zip(*texts))), pa.string()),
-                                                  pa.nulls(len(size), pa.int64()), size], ["lang", "phrase", "hash", "a"])
-
-        def sums() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(walk.size), CHUNK):
-                h = phrase_hashes([hashes[c[at:at + CHUNK]] for c in walk.columns]).view(np.int64)
-                none = pa.nulls(len(h), pa.string())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(h), pa.array(walk.size[at:at + CHUNK], pa.int64())],
-                                                 ["lang", "phrase", "hash", "a"])
-
-        for length in range(1, min(n, LONGEST) + 1):
+    def __init__(self, row: dict, filters: dict[int, tuple[int, np.ndarray]]) -> None:
+        self.langs, self.starts, self.filters = row["langs"], row["starts"], filters
+        self.words = row["words"].split(b".") if row["words"] else []
+        ends = [*self.starts[1:], len(self.words) + 1]
+        self.hashes = np.concatenate([np.zeros(1, np.uint64), *(
+            word_hashes(g, self.words[a - 1:b - 1]) for g, a, b in zip(self.langs, self.starts, ends))])
+        self.walk = Walk(np.frombuffer(row["left"], np.int32), np.frombuffer(row["right"], np.int32))
+
+    def hashed(self, columns: list[np.ndarray]) -> np.ndarray:
+        return phrase_hashes([self.hashes[c] for c in columns])
+
+    def passes(self, columns: list[np.ndarray]) -> np.ndarray:
+        bits, there = self.filters[len(columns)]
+        at = self.hashed(columns) >> np.uint64(48 - bits)
+        return there[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1) == 1
+
+    def lengths(self, n: int) -> Iterator[int]:
+        """Stops at each length up to `n`, at its phrases whose parts pass, and goes on from those that pass themselves."""
+        for length in range(1, n + 1):
             if length > 1:
                 side = "left" if length % 2 else "right"
-                walk.extend(side, length == min(n, LONGEST))
+                self.walk.extend(side, length == n)
                 # the part that holds the new word: without the word at the other end
-                walk.keep(np.flatnonzero(passes(walk.columns[:-1] if side == "left" else walk.columns[1:])))
-            if length == n:
-                yield from sums()
-            else:
-                walk.keep(np.flatnonzero(passes(walk.columns)))
-                if length == n - 1:
-                    yield from phrases()
+                self.walk.keep(np.flatnonzero(self.passes(self.walk.columns[:-1] if side == "left" else self.walk.columns[1:])))
+            if length in self.filters:
+                self.walk.keep(np.flatnonzero(self.passes(self.walk.columns)))
+            yield length
+
+    def phrases(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.walk.size), CHUNK):
+            columns = [c[at:at + CHUNK] for c in self.walk.columns]
+            texts = [[self.words[i - 1].decode("utf-8", "surrogatepass") for i in c.tolist()] for c in columns]
+            of = pa.array(np.searchsorted(self.starts, columns[0], "right") - 1, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.DictionaryArray.from_arrays(of, pa.array(self.langs, pa.string())).cast(pa.string()),
+                 pa.array(list(map(" ".join, zip(*texts))), pa.string()), pa.array([len(columns)] * len(of), pa.int32()),
+                 pa.array(self.walk.size[at:at + CHUNK], pa.int64())], ["lang", "phrase", "words", "a"])
+
+
+def frequent_hashes(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]], ranges: int) -> DataFrame:
+    """Hashes of phrases of `n` words that may be frequent."""
+    shipped = shards.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                visit = Visit(row, shipped.value)
+                for _ in visit.lengths(n):
+                    pass
+                held.append((visit.hashed(visit.walk.columns), visit.walk.size))
+                if sum(len(h) for h, _ in held) > HELD:
+                    yield runs(*merged(*map(np.concatenate, zip(*held))), ranges)
+                    held = []
+        if held:
+            yield runs(*merged(*map(np.concatenate, zip(*held))), ranges)
+
+    sent = shards.mapInArrow(run, "range long, first long, step_width int, steps binary, count_width int, counts binary")
+    return sent.groupBy("range").applyInArrow(add_runs, "hash long")
+
+
+def count_phrases(shards: DataFrame, filters: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
+    """(lang, phrase, words, a): the frequent phrases of all lengths."""
+    shipped = shards.sparkSession.sparkContext.broadcast(filters)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                visit = Visit(row, shipped.value)
+                for _ in visit.lengths(LONGEST):
+                    yield from visit.phrases()
 
-    return (shards.mapInArrow(run, "lang string, phrase string, hash long, a long").groupBy("lang", "phrase", "hash")
-            .agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST))
+    found = shards.mapInArrow(run, "lang string, phrase string, words int, a long")
+    return found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
 
 
 def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, a) of the words and phrases found `LEAST` times, and (lang, n): all occurrences of words."""
-    with batches_of(docs.sparkSession, 1000):
+    spark = docs.sparkSession
+    with batches_of(spark, 1000):
         shards = stored(index(docs), "shards", LARGE_ROWS)
-    filters, every = {}, None
-    for n in range(1, LONGEST + 2):
-        with batches_of(docs.sparkSession, 1):
-            found = stored(visit(shards, n, filters), f"phrases{n - 1}")
-        if n <= LONGEST:
-            filters[n] = as_filter(found.where("phrase is null").select("hash"))
-        if n > 1:
-            found = found.where("phrase is not null").select("lang", "phrase", "a", F.lit(n - 1).alias("words"))
-            every = found if every is None else every.unionByName(found)
-    sizes = shards.select(F.explode(F.arrays_zip("langs", "sizes")).alias("e")).groupBy(F.col("e.langs").alias("lang")).agg(F.sum("e.sizes").alias("n"))
-    return every, sizes
+    sizes = stored(shards.select(F.explode(F.arrays_zip("langs", "sizes")).alias("e")).groupBy(F.col("e.langs").alias("lang"))
+                   .agg(F.sum("e.sizes").alias("n")), "sizes")
+    ranges = 1 + (sizes.agg(F.sum("n")).first()[0] or 0) // RANGE
+    filters: dict[int, tuple[int, np.ndarray]] = {}
+    with batches_of(spark, 1):
+        for n in range(1, LONGEST + 1):
+            filters[n] = as_filter(stored(frequent_hashes(shards, n, filters, ranges), f"hashes{n}"))
+        return stored(count_phrases(shards, filters), "phrases"), sizes
 
 
 # --- scores
