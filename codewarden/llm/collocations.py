@@ -36,6 +36,8 @@ LEAST, LONGEST, INSIDE, TOP, SCALE = 30, 4, 80, 2_000, 2_000_000
 SHARD, RANGE, FILTER_BITS, SALTS, PARTS = 300_000, 1_000_000, 1 << 28, 16, 64
 #: Phrases that a task hands over at once, and hashes that it holds.
 CHUNK, HELD = 50_000, 2_000_000
+#: Words that a task walks through at least, where that leaves a task for each core: what it merges is not sent.
+TASK = 4_000_000
 #: A full stop stands for every mark between pieces; A to Z are lower-cased.
 LETTERS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -301,7 +303,8 @@ def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         shards = stored(index(docs), "shards", LARGE_ROWS)
     sizes = stored(shards.select(F.explode(F.arrays_zip("langs", "sizes")).alias("e")).groupBy(F.col("e.langs").alias("lang"))
                    .agg(F.sum("e.sizes").alias("n")), "sizes")
-    ranges = 1 + (sizes.agg(F.sum("n")).first()[0] or 0) // RANGE
+    size = sizes.agg(F.sum("n")).first()[0] or 0
+    ranges, shards = 1 + size // RANGE, shards.coalesce(max(spark.sparkContext.defaultParallelism, size // TASK))
     filters: dict[int, tuple[int, np.ndarray]] = {}
     with batches_of(spark, 1):
         for n in range(1, LONGEST + 1):

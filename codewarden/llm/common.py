@@ -30,7 +30,8 @@ def bind(value: Column, body) -> Column:
 
 
 #: Parquet settings for rows of megabytes: a row group is closed when it is full, not after its hundredth row.
-LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false",
+              "compression": "zstd"}
 
 
 def stored(df: DataFrame, name: str, settings: dict[str, object] | None = None) -> DataFrame:
