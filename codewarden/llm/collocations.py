@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from codewarden.llm.common import LARGE_ROWS, batches_of, stored
 
 LEAST, LONGEST, INSIDE, TOP, SCALE = 30, 4, 80, 2_000, 2_000_000
-SHARD, RANGE, FILTER_BITS, SALTS, PARTS = 300_000, 1_000_000, 1 << 28, 16, 64
+SHARD, RANGE, FILTER_BITS, SALTS, PARTS = 300_000, 1_000_000, 1 << 28, 4, 64
 #: Phrases that a task hands over at once, and hashes that it holds.
 CHUNK, HELD = 50_000, 2_000_000
 #: Words that a task walks through at least, where that leaves a task for each core: what it merges is not sent.
@@ -318,26 +318,26 @@ def span(words: Column, begin: Column | int, n: Column | int) -> Column:
     return F.array_join(F.slice(words, begin, n), " ")
 
 
-def cuts(every: DataFrame) -> DataFrame:
-    """(lang, phrase, words, a, l, r, score): each candidate with its lowest cut.
+def cuts(candidates: DataFrame, every: DataFrame) -> DataFrame:
+    """(lang, phrase, a, l, r, score): each candidate with its lowest cut.
 
     A word's count is asked for by all phrases that begin or end with it, so it stands there `SALTS` times, and each
     phrase asks one of them.
     """
-    whole = lambda x: x.cast("decimal(38,0)")
-    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")
+    w, n = F.split("phrase", " "), F.size(F.split("phrase", " "))
+    salt = lambda part, other: F.when(F.contains(part, F.lit(" ")), 0).otherwise(F.pmod(F.xxhash64(other), F.lit(SALTS))).cast("int")
     known = every.select("lang", F.col("phrase").alias("part"), F.col("a").alias("n"), F.explode(
-        F.when(F.col("words") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"))
-    ask = lambda words, name: F.struct(words.alias("part"), F.when(F.contains(words, F.lit(" ")), -1).otherwise(salt).alias("salt")).alias(name)
-    w = F.split("phrase", " ")
-    cut = (every.where("words > 1").select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-           .select("lang", "phrase", "words", "a", "k", ask(span(w, 1, F.col("k")), "x"), ask(span(w, F.col("k") + 1, F.col("words") - F.col("k")), "y")))
-    left = known.select("lang", F.struct("part", "salt").alias("x"), F.col("n").alias("l"))
-    right = known.select("lang", F.struct("part", "salt").alias("y"), F.col("n").alias("r"))
-    scored = cut.join(left, ["lang", "x"]).join(right, ["lang", "y"]).withColumn("score", F.expr(
-        f"cast({SCALE} as decimal(10,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))"))
+        F.when(F.col("words") == 1, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    cut = (candidates.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), n - 1)).alias("k"))
+           .select("lang", "a", "k", span(w, 1, F.col("k")).alias("x"), span(w, F.col("k") + 1, n - F.col("k")).alias("y")))
+    asked = lambda part, count: known.select("lang", F.col("part").alias(part), "salt", F.col("n").alias(count))
+    scored = (cut.withColumn("salt", salt(F.col("x"), F.col("y"))).join(asked("x", "l"), ["lang", "x", "salt"])
+              .withColumn("salt", salt(F.col("y"), F.col("x"))).join(asked("y", "r"), ["lang", "y", "salt"])
+              .withColumn("score", F.expr(
+                  f"cast({SCALE} as decimal(10,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")))
     best = F.min(F.struct("score", "k", "l", "r")).alias("b")
-    return scored.groupBy("lang", "phrase", "words", "a").agg(best).select("lang", "phrase", "words", "a", "b.l", "b.r", "b.score")
+    return (scored.groupBy("lang", F.concat_ws(" ", "x", "y").alias("phrase"), "a").agg(best)
+            .select("lang", "phrase", "a", "b.l", "b.r", "b.score"))
 
 
 def inside(every: DataFrame) -> DataFrame:
@@ -352,7 +352,9 @@ def inside(every: DataFrame) -> DataFrame:
 def mine(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `TOP` collocations."""
     every, sizes = frequent(docs)
-    scored = cuts(every).join(inside(every), ["lang", "phrase"], "left").where(f"most is null or 100 * most < {INSIDE} * a")
+    candidates = every.where("words > 1").select("lang", "phrase", "a")
+    free = candidates.join(inside(every), ["lang", "phrase"], "left").where(f"most is null or 100 * most < {INSIDE} * a").drop("most")
+    scored = cuts(free, every)
     order = (F.desc("score"), F.desc("a"), "phrase")
     # the first of each part hold the first of all, so no task sorts a whole language
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
