@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from codewarden.catalog.model import Rule
 from codewarden.functions.paths import basename, rule_extension
 from codewarden.functions.text import MARK, MUTED, REPLACEMENT, contains_any, java, quoted, trim_all
+from codewarden.operators.context import CONTEXT_COLUMNS, framed
+
 
 def prepare(files: DataFrame, *extra: str) -> DataFrame:
     """Files plus the helper columns the rules look at."""
@@ -102,15 +104,17 @@ def occurrences(text: Column, mark: str) -> Column:
     return ((F.octet_length(text) - bare) / width).cast("int")
 
 
-def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = (), context: bool = False) -> DataFrame:
     """Lines on which a rule matches outside of strings, and how often.
 
     Columns: file_path, rule_ord (position in ``rules``), start_line, n_matches,
-    snippet, and the columns of the files named in ``keep``.
+    snippet, the columns of the files named in ``keep``, and with ``context``
+    the lines around each, cut out in the row of the file.
     """
     if not rules:
+        none = [F.lit(0).alias("first_line"), F.lit(0).alias("last_line"), F.lit("").alias("context")] if context else []
         return files.limit(0).select("file_path", F.lit(0).alias("rule_ord"), F.lit(0).alias("start_line"),
-                                     F.lit(0).alias("n_matches"), F.lit("").alias("snippet"), *keep)
+                                     F.lit(0).alias("n_matches"), F.lit("").alias("snippet"), *keep, *none)
     # One expression text for all rules: built column by column it takes the
     # driver seconds.
     shared = shared_words(rules)
@@ -126,10 +130,18 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     # The lambda also keeps this one wide expression out of code generation,
     # where it would outgrow the size limit of a method.
     # Only marked lines leave it, whatever the size of the file.
-    per_line = (prepare(files).select("*", *flags)
-                .select("file_path", *keep, F.explode(found).alias("hit"))
-                .select("file_path", *keep, "hit.rule_ord", F.explode("hit.lines").alias("marked"))
-                .select("file_path", *keep, "rule_ord", "marked.pos", "marked.line"))
+    ready = prepare(files, *keep).select("*", *flags)
+    if context:
+        flat = F.flatten(F.transform(found, lambda h: F.transform(h["lines"], lambda x: F.struct(
+            h["rule_ord"].alias("rule_ord"), x["pos"].alias("pos"), x["line"].alias("line")))))
+        cut = framed(F.col("code"), flat, lambda x: x["pos"] + 1, lambda x: x["pos"] + 1)
+        per_line = (ready.select("file_path", *keep, F.explode(cut).alias("marked"))
+                    .select("file_path", *keep, "marked.x.rule_ord", "marked.x.pos", "marked.x.line", "marked.frame.*"))
+        keep = (*keep, *CONTEXT_COLUMNS)
+    else:
+        per_line = (ready.select("file_path", *keep, F.explode(found).alias("hit"))
+                    .select("file_path", *keep, "hit.rule_ord", F.explode("hit.lines").alias("marked"))
+                    .select("file_path", *keep, "rule_ord", "marked.pos", "marked.line"))
     line, rule = F.col("line"), F.col("rule_ord")
     everywhere = [i for i, r in enumerate(rules) if r.in_string]
     untrimmed = [i for i, r in enumerate(rules) if r.check is not None and r.check.raw_snippet]
@@ -146,10 +158,10 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     ).filter(F.col("n_matches") > 0)
 
 
-def find_all(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
+def find_all(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = (), context: bool = False) -> DataFrame:
     """One row per match; ``match_ord`` numbers the matches of a line from 0."""
-    return rule_lines(files, rules, keep).select(
+    return rule_lines(files, rules, keep, context).select(
         "file_path", "rule_ord", "start_line",
         F.explode(F.sequence(F.lit(0), F.col("n_matches") - 1)).alias("match_ord"),
-        "snippet", *keep,
+        "snippet", *keep, *(CONTEXT_COLUMNS if context else ()),
     )

@@ -8,68 +8,15 @@ from pyspark.sql import functions as F
 from codewarden.config import ScanConfig
 from codewarden.functions.dialect import SPACE_CHARS
 from codewarden.functions.paths import is_inside, resolve_against
-from codewarden.functions.text import java, quoted, trim_all
+from codewarden.functions.text import java, trim_all
+from codewarden.operators.context import finding_context
 from codewarden.operators.replies import FIX_MAX_TOKENS, request_settings
 
-# Frames and patterns of the context search and the reply check.
-LINES_BEFORE, LINES_AFTER = 80, 150
-SHORT_BEFORE, SHORT_AFTER = 10, 20
+# The reply check.
 QUOTED_CHARS = 40
-DECLARATION = (r"^\s*(export\s+)?(default\s+)?(async\s+)?(function[\s*]|class\s+\w|const\s+\w+\s*=\s*(async\s+)?\("
-               r"|[a-zA-Z_$][\w$]*\s*\([^)]*\)\s*[:{]|public\s|private\s|protected\s)")
 FENCED_BLOCK = r"```[a-z]*\n([\s\S]+?)```"
 NOT_CODE = ("suggested fix", "% confidence", "policy violation")
 
-# Brace depth from the start line on; ``stop`` becomes the first line at or
-# after the finding's end on which every opened brace is closed again.
-_BRACES = """aggregate(
-  slice(lines, first_at + 1, greatest(limit_at - first_at + 1, 0)),
-  named_struct('at', first_at, 'depth', 0, 'opened', false, 'stop', CAST(NULL AS INT)),
-  (s, l) -> CASE WHEN s.stop IS NOT NULL THEN s ELSE
-    transform(array(named_struct(
-      'up', length(l) - length(replace(l, '{', '')),
-      'down', length(l) - length(replace(l, '}', '')))), c -> named_struct(
-        'at', s.at + 1,
-        'depth', s.depth + c.up - c.down,
-        'opened', s.opened OR c.up > 0,
-        'stop', CASE WHEN (s.opened OR c.up > 0) AND s.depth + c.up - c.down <= 0 AND s.at >= end_at
-                     THEN s.at END))[0] END,
-  s -> s.stop)"""
-
-
-def finding_context(findings: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Lines of the function around each finding (``first_line``..``last_line``, from 1).
-
-    Findings of a scan ``with_code`` hold their text, and all happens in their
-    rows.  For a choice of other findings their ``files`` are joined by path.
-    """
-    lines, wanted = F.split("code", "\n", -1).alias("lines"), [c for c in findings.columns if c != "code"]
-    if files is None:
-        texts = findings.select(*wanted, lines)
-    else:
-        texts = findings.select(*wanted).join(
-            files.filter(F.col("code").isNotNull()).select("file_path", lines), "file_path")
-    n = F.size("lines")
-    joined = texts.select(
-        *wanted, "lines",
-        F.greatest(F.lit(0), F.col("start_line") - 1).alias("begin_at"),
-        F.least(n - 1, F.col("end_line") - 1).alias("end_at"))
-    found = joined.select("*", F.expr(
-        f"array_max(transform(slice(lines, greatest(0, begin_at - {LINES_BEFORE}) + 1, "
-        f"begin_at - greatest(0, begin_at - {LINES_BEFORE}) + 1), (l, i) -> "
-        f"CASE WHEN l RLIKE {quoted(java(DECLARATION))} THEN greatest(0, begin_at - {LINES_BEFORE}) + i END))"
-    ).alias("declared"))
-    ranged = found.select(
-        "*", F.coalesce("declared", F.greatest(F.lit(0), F.col("begin_at") - SHORT_BEFORE)).alias("first_at"),
-        F.least(F.size("lines") - 1, F.col("end_at") + LINES_AFTER).alias("limit_at"))
-    closed = ranged.select("*", F.expr(_BRACES).alias("stop"))
-    ended = closed.select(
-        "*", F.coalesce("stop", F.least(F.size("lines") - 1, F.col("end_at") + SHORT_AFTER)).alias("until_at"))
-    return ended.select(
-        *wanted,
-        (F.col("first_at") + 1).alias("first_line"), (F.col("until_at") + 1).alias("last_line"),
-        F.expr("array_join(slice(lines, first_at + 1, greatest(until_at - first_at + 1, 0)), '\\n')").alias("context"))
-
 
 def fix_requests(findings: DataFrame, files: DataFrame | None = None, config: ScanConfig = ScanConfig()) -> DataFrame:
     """One request per finding, with the whole of its function."""
@@ -126,28 +73,35 @@ def _indent(line: Column) -> Column:
 
 
 def _rewritten(lines: Column, fixes: Column) -> Column:
-    """The lines with the fixes in place, top down; a fix that starts inside an earlier one is a conflict."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("n"),
-                     F.array().cast("array<string>").alias("conflicts"))
-
-    def step(state: Column, fix: Column) -> Column:
-        base = _indent(F.coalesce(F.get(lines, fix["from"]), F.lit("")))
-        deeper = F.length(base) > F.length(_indent(F.get(fix["block"], F.lit(0))))
-        block = F.when(deeper, F.transform(fix["block"], lambda x: F.concat(base, F.ltrim(x, F.lit(SPACE_CHARS))))
-                       ).otherwise(fix["block"])
-        before = F.slice(lines, state["at"] + 1, F.greatest(fix["from"] - state["at"], F.lit(0)))
-        done = F.struct(F.greatest(F.least(F.size(lines), fix["end_line"]), fix["from"]).alias("at"),
-                        F.concat(state["out"], before, block).alias("out"), (state["n"] + 1).alias("n"),
-                        state["conflicts"].alias("conflicts"))
-        refused = F.struct(state["at"].alias("at"), state["out"].alias("out"), state["n"].alias("n"),
-                           F.concat(state["conflicts"], F.array(fix["finding_id"])).alias("conflicts"))
-        return F.when(fix["from"] >= state["at"], done).otherwise(refused)
-
-    def finish(state: Column) -> Column:
-        rest = F.slice(lines, state["at"] + 1, F.greatest(F.size(lines) - state["at"], F.lit(0)))
-        return F.struct(F.concat(state["out"], rest).alias("out"), state["n"].alias("n"), state["conflicts"].alias("conflicts"))
-
-    return F.aggregate(fixes, start, step, finish)
+    """The lines with the fixes in place, top down; a fix that starts inside an earlier one is a conflict.
+
+    First the fixes are chosen, from their line numbers alone; then the pieces, kept lines and blocks by turns, are cut out
+    and put together once.
+    """
+    last = F.size(lines)
+    numbered = F.transform(fixes, lambda x, i: F.struct(i.alias("i"), x["from"].alias("from"), F.greatest(F.least(last, x["end_line"]), x["from"]).alias("to")))
+    # where the text goes on after each fix that is taken; a refused one has none
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("taken"))
+    taken = F.aggregate(numbered, start, lambda s, x: F.when(x["from"] >= s["at"], F.struct(
+        x["to"].alias("at"), F.concat(s["taken"], F.array(x["i"])).alias("taken"))).otherwise(s), lambda s: s["taken"])
+
+    def put(chosen: Column) -> Column:
+        def piece(at: Column, k: Column) -> Column:
+            fix = F.get(fixes, at)
+            before = F.get(numbered, F.get(chosen, k - 1))["to"]
+            base = _indent(F.coalesce(F.get(lines, fix["from"]), F.lit("")))
+            deeper = F.length(base) > F.length(_indent(F.get(fix["block"], F.lit(0))))
+            block = F.when(deeper, F.transform(fix["block"], lambda x: F.concat(base, F.ltrim(x, F.lit(SPACE_CHARS))))).otherwise(fix["block"])
+            begin = F.coalesce(before, F.lit(0))
+            return F.concat(F.slice(lines, begin + 1, F.greatest(fix["from"] - begin, F.lit(0))), block)
+
+        end = F.coalesce(F.get(numbered, F.get(chosen, F.size(chosen) - 1))["to"], F.lit(0))
+        rest = F.slice(lines, end + 1, F.greatest(last - end, F.lit(0)))
+        out = F.flatten(F.concat(F.transform(chosen, piece), F.array(rest)))
+        refused = F.filter(fixes, lambda x, i: ~F.array_contains(chosen, i))
+        return F.struct(out.alias("out"), F.size(chosen).alias("n"), F.transform(refused, lambda x: x["finding_id"]).alias("conflicts"))
+
+    return F.transform(F.array(taken), put)[0]
 
 
 def apply_fixes(files: DataFrame, fixes: DataFrame, root: str = "/workspace") -> DataFrame:

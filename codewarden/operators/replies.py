@@ -38,10 +38,12 @@ def score_requests(files: DataFrame, config: ScanConfig = ScanConfig()) -> DataF
     ``chars`` is the length of the part, by which ``combine_scores`` weighs the answers.
     """
     ext = last_dot_part(F.col("file_path"))
-    code = F.col("code")
-    last = F.greatest(F.ceil(F.length(code) / SCORE_CHUNK_CHARS), F.lit(1)).cast("int")
-    files = files.filter(code.isNotNull()).select("file_path", "code", F.explode(F.sequence(F.lit(1), last)).alias("chunk"))
-    part = F.substr("code", (F.col("chunk") - 1) * SCORE_CHUNK_CHARS + 1, F.lit(SCORE_CHUNK_CHARS))
+    # cut once, from left to right; an empty text is one empty part
+    parts = F.regexp_extract_all("code", F.lit(f"(?s).{{1,{SCORE_CHUNK_CHARS}}}"), F.lit(0))
+    parts = F.when(F.col("code") == "", F.array(F.lit(""))).otherwise(parts)
+    files = (files.filter(F.col("code").isNotNull()).select("file_path", F.posexplode(parts).alias("at", "part"))
+             .select("file_path", (F.col("at") + 1).alias("chunk"), "part"))
+    part = F.col("part")
     tokens, temperature = request_settings(SCORE_MAX_TOKENS, config)
     return files.select(
         "file_path", "chunk", F.length(part).alias("chars"),

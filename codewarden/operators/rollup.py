@@ -55,6 +55,17 @@ def severity_by_language(findings: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("total_findings"), *_severity_counts()))
 
 
+def severity_rollup(findings: DataFrame) -> DataFrame:
+    """Findings and files by language and severity, with the subtotal of each language and the total.
+
+    ``level`` is 0 for a language and severity, 1 for a language, 3 for all.
+    """
+    return (findings.select(detect_language(F.col("file_path")).alias("language"), "severity", "file_path")
+            .rollup("language", "severity")
+            .agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("findings"),
+                 F.countDistinct("file_path").alias("files")))
+
+
 def file_counts(findings: DataFrame) -> DataFrame:
     """Counts and worst severity of each file that has a finding."""
     category = F.col("category")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from codewarden.catalog import MALICIOUS_RULES, POLICY_RULES, VULNERABILITY_RULES, Rule
 from codewarden.functions.severity import SEVERITY_RANK, severity_rank
 from codewarden.functions.text import quoted
+from codewarden.operators.context import CONTEXT_COLUMNS
 from codewarden.operators.matching import find_all
 from codewarden.schema import FINDING_COLUMNS, INDICATOR
 
@@ -77,13 +78,18 @@ def narrowed(rules: Sequence[Rule], category: str = "all", severity: str = "all"
     return [r for r in rules if category in ("all", r.category) and severity in ("all", r.severity)]
 
 
-def scan_rules(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -> DataFrame:
-    """Every finding of ``rules``, in one pass over the text; ``keep`` names columns of the files to carry along."""
+def scan_rules(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = (), context: bool = False) -> DataFrame:
+    """Every finding of ``rules``, in one pass over the text.
+
+    ``keep`` names columns of the files to carry along; with ``context`` each
+    finding has the lines around it.
+    """
     if not rules:
         rules_df = rules_table(files.sparkSession, VULNERABILITY_RULES[:1])
     else:
         rules_df = rules_table(files.sparkSession, rules)
-    return as_findings(find_all(files, rules, keep).join(F.broadcast(rules_df), "rule_ord"), keep)
+    found = find_all(files, rules, keep, context)
+    return as_findings(found.join(F.broadcast(rules_df), "rule_ord"), (*keep, *(CONTEXT_COLUMNS if context else ())))
 
 
 def vulnerability_findings(files: DataFrame) -> DataFrame:

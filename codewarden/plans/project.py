@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from codewarden.config import ScanConfig
 from codewarden.functions.lineage import cut_lineage
 from codewarden.operators.authorship import authorship, authorship_findings
+from codewarden.operators.context import add_context
 from codewarden.operators.policy import compliance, policy_scores, policy_status
 from codewarden.operators.report import recommendations, report_json, report_lines
 from codewarden.operators.rollup import file_results, scan_summary, top_findings, union_findings
@@ -61,16 +62,19 @@ class Scan:
 
 
 def scan_files(files: DataFrame, config: ScanConfig = ScanConfig(), replies: DataFrame | None = None,
-               with_code: bool = False) -> Scan:
+               with_context: bool = False) -> Scan:
     """Scan the files as they are given.
 
-    ``with_code`` leaves each finding the text it was found in, for contexts and
-    requests: these then need no join, and no text is shuffled.
+    ``with_context`` gives each finding the lines of the function around it, cut
+    out while its file is scanned: requests then need neither text nor join.
     """
-    keep = ("code",) if with_code else ()
-    scores = authorship(files, config, replies, keep=keep)
-    findings = union_findings(authorship_findings(scores, keep), scan_rules(files, catalog(config.active_policies), keep))
-    return Scan(files, findings, scores, config)
+    rules = catalog(config.active_policies)
+    if not with_context:
+        scores = authorship(files, config, replies)
+        return Scan(files, union_findings(authorship_findings(scores), scan_rules(files, rules)), scores, config)
+    scores = authorship(files, config, replies, keep=("code",))
+    ai = add_context(authorship_findings(scores, ("code",)))
+    return Scan(files, union_findings(ai, scan_rules(files, rules, context=True)), scores.drop("code"), config)
 
 
 def scan_project(files: DataFrame, config: ScanConfig = ScanConfig(), replies: DataFrame | None = None) -> Scan:

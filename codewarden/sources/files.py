@@ -1,17 +1,14 @@
-"""Files tables: from a table, from a folder tree, or from text at hand."""
+"""Files tables: from a table or from text at hand; ``tree.py`` reads and writes folder trees."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codewarden.config import MANDATORY_EXCLUDES, ScanConfig
-from codewarden.functions.paths import ALLOWED_HIDDEN, excluded, is_inside, matches_name, resolve_against, scannable
-from codewarden.functions.lineage import cut_lineage
+from codewarden.functions.paths import excluded, is_inside, resolve_against, scannable
 from codewarden.functions.text import lines_of
 
 # Fixed values of the two listings.
@@ -20,10 +17,6 @@ LISTED_EXTENSIONS = ("ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "cs", "
 LISTED_EXCLUDES = ("node_modules", ".git", "dist", "build", "out", ".next", "coverage")
 TREE_SKIPPED = ("node_modules", ".git", "dist", "out", "coverage", ".vscode")
 DEFAULT_PATH = "selection.ts"
-# Characters of the texts that go to Spark at once.
-FRAME_CHARS = 8_000_000
-
-_ENTRY = "path string, rel string, is_dir boolean, size_bytes long"
 
 
 def collected(config: ScanConfig = ScanConfig()) -> Column:
@@ -131,81 +124,3 @@ def confine(paths: DataFrame, root: str) -> DataFrame:
     absolute = resolve_against(F.lit(root), F.col("target"))
     return paths.withColumn("resolved", F.when(absolute == "", "/").otherwise(absolute)).withColumn(
         "inside", is_inside(F.lit(root), absolute))
-
-
-# --- folder trees ------------------------------------------------------------------
-#
-# Spark's file sources never list names that begin with "." or "_", so they would
-# miss pipeline definitions and every __init__.py.  Folders are listed here level by
-# level: each level is one job in which tasks list the folders they were given.
-
-def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of each folder; links are not followed, and a folder that cannot be read has none."""
-    import os
-
-    from pyarrow import fs
-
-    for batch in batches:
-        for path, rel in zip(batch["path"], batch["rel"], strict=True):
-            system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-            try:
-                infos = system.get_file_info(fs.FileSelector(inner, recursive=False))
-            except OSError:
-                continue
-            rows = [(path.rstrip("/") + "/" + i.base_name, f"{rel}/{i.base_name}" if rel else i.base_name,
-                     i.type == fs.FileType.Directory, i.size)
-                    for i in infos if i.type in (fs.FileType.Directory, fs.FileType.File)
-                    and not (isinstance(system, fs.LocalFileSystem) and os.path.islink(i.path))]
-            if rows:
-                yield pd.DataFrame(rows, columns=["path", "rel", "is_dir", "size_bytes"])
-
-
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole texts; bytes that are not UTF-8 become the replacement character, and
-    a file that cannot be read keeps a null, to be counted as skipped."""
-    from pyarrow import fs
-
-    rows, held = [], 0
-    for batch in batches:
-        for path, rel, size in zip(batch["path"], batch["rel"], batch["size_bytes"], strict=True):
-            system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-            try:
-                with system.open_input_stream(inner) as stream:
-                    code = stream.read().decode("utf-8", errors="replace")
-            except OSError:
-                code = None
-            rows.append((rel, code, size))
-            held += len(code or "")
-            if held >= FRAME_CHARS:
-                yield pd.DataFrame(rows, columns=["file_path", "code", "size_bytes"])
-                rows, held = [], 0
-    if rows:
-        yield pd.DataFrame(rows, columns=["file_path", "code", "size_bytes"])
-
-
-def read_tree(spark: SparkSession, root: str, config: ScanConfig = ScanConfig()) -> DataFrame:
-    """Files of a folder tree, as a project scan sees them.
-
-    Excluded folders are not entered and files that fail a test are not opened.
-    ``root`` must be reachable from every executor.
-    """
-    excludes = list(dict.fromkeys([*MANDATORY_EXCLUDES, *config.exclude_patterns]))
-    name = F.element_at(F.split("rel", "/"), -1)
-    hidden = name.startswith(".") & ~name.startswith(".env") & ~name.isin(*ALLOWED_HIDDEN)
-    keep = ~matches_name(name, excludes) & ~hidden
-    width = spark.sparkContext.defaultParallelism
-
-    frontier = spark.createDataFrame([(root, "", True, 0)], _ENTRY)
-    found: list[DataFrame] = []
-    while True:
-        level = cut_lineage(frontier.repartition(width, "path").mapInPandas(_list_folders, _ENTRY).filter(keep))
-        found.append(level.filter(~F.col("is_dir")))
-        frontier = level.filter("is_dir")
-        if frontier.isEmpty():
-            break
-    paths = found[0]
-    for level in found[1:]:
-        paths = paths.unionByName(level)
-    wanted = discover(paths.withColumn("file_path", F.col("rel")), config).select("path", "rel", "size_bytes")
-    return wanted.repartition(width, "path").mapInPandas(
-        _read_files, "file_path string, code string, size_bytes long")

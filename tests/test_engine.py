@@ -12,11 +12,11 @@ from codewarden.config import ScanConfig
 from codewarden.functions.dialect import translate
 from codewarden.functions.paths import detect_language, file_extension, last_dot_part, rule_extension
 from codewarden.operators import authorship as author
-from codewarden.operators import remedy, replies, rollup, shell
+from codewarden.operators import compare, context, remedy, replies, rollup, shell
 from codewarden.plans.project import keep, scan_files, scan_project, store
 from codewarden.plans.registry import default_registry
 from codewarden.sources import files as src
-from codewarden.sources import sinks
+from codewarden.sources import sinks, tree
 from codewarden.streaming.incremental import append_findings
 from tests import brute
 from workloads.snippets import SNIPPETS
@@ -141,11 +141,11 @@ def test_tree_scan(spark, tmp_path):
     write(".env", "A=1")
     (tmp_path / "lib" / "loop").symlink_to(tmp_path)
     (tmp_path / "copy.js").symlink_to(tmp_path / "big.js")
-    files = src.read_tree(spark, str(tmp_path)).cache()
+    files = tree.read_tree(spark, str(tmp_path)).cache()
     assert sorted(r.file_path for r in files.collect()) == [
         ".github/workflows/ci.yml", "big.js", "include/api.h", "lib/main.dart", "pkg/__init__.py"]
     limited = ScanConfig(max_file_size_kb=512)
-    assert "big.js" not in {r.file_path for r in src.read_tree(spark, str(tmp_path), limited).collect()}
+    assert "big.js" not in {r.file_path for r in tree.read_tree(spark, str(tmp_path), limited).collect()}
     assert tuple(src.too_large(files, limited).first()) == (1, 600 * 1024)
     assert files.filter("file_path = 'pkg/__init__.py'").first().code == "x = '�'\n"
     found = {(r.file_path, r.rule_id) for r in scan_files(files).findings.collect()}
@@ -174,7 +174,7 @@ def test_equal_paths_of_projects_stay_apart(spark):
     found = scan.findings.filter("rule_id = 'EVAL-001'").select("finding_id", "file_path").collect()
     assert len(found) == len({r.finding_id for r in found}) == len({r.file_path for r in found}) == 5
     assert scan.file_results().count() == 5 and src.repeated_paths(files).count() == 0
-    assert remedy.finding_context(scan.findings.filter("rule_id = 'EVAL-001'"), files).count() == 5
+    assert context.finding_context(scan.findings.filter("rule_id = 'EVAL-001'"), files).count() == 5
     assert src.repeated_paths(files.unionByName(files)).first().files == 2
 
 
@@ -190,15 +190,15 @@ def test_context_and_request_are_whole(make_files):
     files = make_files(("a.js", f"function big() {{\n{body}\n  eval(x);\n}}\n"),
                        ("b.js", "function one() {\n  a();\n}\nfunction two() {\n  if (b) {\n    eval(c);\n  }\n}\nfunction three() {}\n"))
     found = scan_files(files).findings.filter("rule_id = 'EVAL-001'")
-    got = {r.file_path: (r.first_line, r.last_line) for r in remedy.finding_context(found, files).collect()}
+    got = {r.file_path: (r.first_line, r.last_line) for r in context.finding_context(found, files).collect()}
     # a.js: the declaration is more than 80 lines away and no brace opens; b.js: "if (..) {" counts as a start
     assert got == {"a.js": (112, 124), "b.js": (5, 7)}
-    context = {r.finding_id: r.context for r in remedy.finding_context(found, files).collect()}
-    held = remedy.finding_context(scan_files(files, with_code=True).findings.filter("rule_id = 'EVAL-001'"))
-    assert context == {r.finding_id: r.context for r in held.collect()}
+    texts = {r.finding_id: r.context for r in context.finding_context(found, files).collect()}
+    held = context.finding_context(scan_files(files, with_context=True).findings.filter("rule_id = 'EVAL-001'"))
+    assert texts == {r.finding_id: r.context for r in held.collect()}
     plan = _plan(held)
     assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
-    assert all(context[r.finding_id] in r.prompt for r in remedy.fix_requests(found, files).collect())
+    assert all(texts[r.finding_id] in r.prompt for r in remedy.fix_requests(found, files).collect())
 
 
 def test_fixes(spark, make_files):

@@ -14,15 +14,16 @@ from codewarden.catalog import MALICIOUS_RULES, POLICY_RULES, SHELL_RULES, VULNE
 from codewarden.catalog import authorship as A
 from codewarden.catalog import policy as P
 from codewarden.config import MANDATORY_EXCLUDES, ScanConfig
-from codewarden.functions.dialect import SPACE_CHARS, translate
+from codewarden.functions.dialect import SPACE_CHARS, SPACE_CLASS, translate
 from codewarden.functions.paths import (
     ALLOWED_HIDDEN, BASENAME_LANGUAGE, EXTENSION_LANGUAGE, SCANNABLE_BASENAMES, SCANNABLE_EXTENSIONS)
 from codewarden.functions.severity import RISK_WEIGHT, SEVERITY_RANK
-from codewarden.operators import remedy as R
+from codewarden.operators import context as R
+from codewarden.operators import remedy as M
 from codewarden.operators import replies as L
 from codewarden.operators.scan import active_rules, add_rule, catalog
 from codewarden.sources import files as S
-from workloads.queries import CUSTOM_ACTIVE, CUSTOM_RULE, PROJECT, REGION, ROOT, SMALL_KB
+from workloads.queries import CUSTOM_ACTIVE, CUSTOM_RULE, ONE_FILE, PROJECT, REGION, ROOT, SMALL_KB
 from workloads.snippets import COMMANDS, FIX_REPLIES, GUIDANCE_REPLIES, SCORE_REPLIES, SNIPPETS
 
 MARK = "\uFDD0"
@@ -424,9 +425,9 @@ fixes AS (
       WHEN contains(low, lower(title)) OR contains(low, lower(description[1:40])) OR contains(low, 'suggested fix')
         OR contains(low, '% confidence') OR contains(low, 'policy violation') THEN 'description instead of code' END AS reject_reason,
     block FROM (
-    SELECT *, regexp_matches(reply, {rx(R.FENCED_BLOCK)}) AS fenced,
-      trim(regexp_extract(reply, {rx(R.FENCED_BLOCK)}, 1), {WS}) AS block,
-      lower(trim(regexp_extract(reply, {rx(R.FENCED_BLOCK)}, 1), {WS})) AS low
+    SELECT *, regexp_matches(reply, {rx(M.FENCED_BLOCK)}) AS fenced,
+      trim(regexp_extract(reply, {rx(M.FENCED_BLOCK)}, 1), {WS}) AS block,
+      lower(trim(regexp_extract(reply, {rx(M.FENCED_BLOCK)}, 1), {WS})) AS low
     FROM all_findings JOIN fix_replies USING (finding_id)))"""
 
 
@@ -694,3 +695,23 @@ ORACLE: dict[str, str] = {
     "report_lines": _with(f"{FULL}, {SUMMARY}, {RESULTS}, {RECOMMENDATIONS}, {_REPORT}", """SELECT section, CAST(ord AS INTEGER) AS ord, name,
       CAST(sub - 1 AS INTEGER) AS sub, l[sub] AS line FROM (SELECT section, ord, name, l, unnest(range(1, len(l) + 1)) AS sub FROM blocks)"""),
 }
+
+ORACLE |= {
+    "tree_files": _with(FILES, f"""SELECT file_path, size_bytes, md5(code) AS digest FROM files
+      WHERE {_collected(SMALL_KB)} AND starts_with(file_path, 'src/')"""),
+    "written_fixes": f"SELECT file_path, strlen(code) AS size_bytes, md5(code) AS digest FROM ({ORACLE['apply_fix']})",
+    "single_file": _with(f"{FILES}, {findings(VULNERABILITY_RULES)}", f"{_simple('rule_findings')} WHERE file_path = {q(ONE_FILE)}"),
+    "skipped_files": _with(FILES, f"""SELECT count(*) AS files, CAST(coalesce(sum(size_bytes), 0) AS BIGINT) AS bytes FROM files
+      WHERE {_collected(None)} AND size_bytes > {SMALL_KB * 1024}"""),
+    "severity_rollup": _with(f"{FILES}, {findings(catalog())}", f"""SELECT language, severity,
+        CAST(GROUPING_ID(language, severity) AS INTEGER) AS level, count(*) AS findings, count(DISTINCT file_path) AS files
+      FROM (SELECT {LANGUAGE} AS language, severity, file_path FROM rule_findings JOIN (SELECT file_path, base FROM files) USING (file_path))
+      GROUP BY ROLLUP (language, severity)"""),
+    "scan_difference": _with(f"{FILES}, {findings(VULNERABILITY_RULES)}", f"""SELECT
+        CASE WHEN size_bytes % 11 = 0 THEN 'new' WHEN size_bytes % 7 = 0 THEN 'gone' ELSE 'kept' END AS status, file_path, rule_id,
+        CAST(row_number() OVER (PARTITION BY file_path, rule_id, regexp_replace(snippet, {q('[' + SPACE_CLASS + ']+')}, ' ', 'g')
+          ORDER BY start_line, match_ord) AS INTEGER) AS ordinal,
+        CASE WHEN size_bytes % 11 <> 0 THEN start_line END AS old_line,
+        CASE WHEN size_bytes % 7 <> 0 THEN CAST(start_line + CASE WHEN size_bytes % 2 = 0 THEN 2 ELSE 0 END AS INTEGER) END AS new_line
+      FROM rule_findings JOIN (SELECT file_path, size_bytes FROM files) USING (file_path) WHERE size_bytes % 11 <> 0 OR size_bytes % 7 <> 0"""),
+}

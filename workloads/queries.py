@@ -12,10 +12,10 @@ from codewarden.catalog import POLICY_RULES, Rule
 from codewarden.config import ScanConfig
 from codewarden.functions.lineage import shared_folder
 from codewarden.operators import authorship as author
-from codewarden.operators import policy, remedy, replies, report, rollup, scan, shell
+from codewarden.operators import compare, context, policy, remedy, replies, report, rollup, scan, shell
 from codewarden.plans.project import Scan, keep, scan_files
 from codewarden.sources import files as src
-from codewarden.sources import sinks
+from codewarden.sources import sinks, tree
 from workloads import corpus
 from workloads.snippets import FIX_REPLIES
 
@@ -24,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 PROJECT = "project"
 ROOT = "/workspace/project"
 SMALL_KB = 4
+ONE_FILE = "src/src14/doc_14.ts"
 REGION = (2, 6)
 CUSTOM_RULE = Rule(rule_id="no-print", title="No print", severity="low", pattern=r"\bprint\s*\(", flags="g",
                    category="policy-violation", confidence=1.0, needs=("print",), description="Printing is for scripts.")
@@ -258,12 +259,12 @@ def guidance_requests(spark, d):
 
 
 def finding_context(spark, d):
-    return remedy.finding_context(scan_files(corpus.files(spark, d), with_code=True).findings).select(
+    return context.finding_context(scan_files(corpus.files(spark, d), with_context=True).findings).select(
         "finding_id", "file_path", "start_line", "first_line", "last_line", "context")
 
 
 def fix_requests(spark, d):
-    return remedy.fix_requests(scan_files(corpus.files(spark, d), with_code=True).findings)
+    return remedy.fix_requests(scan_files(corpus.files(spark, d), with_context=True).findings)
 
 
 def _fixes(spark, d, found):
@@ -283,7 +284,44 @@ def attach_fixes(spark, d):
 
 
 def apply_fix(spark, d):
-    return remedy.apply_fixes(corpus.files(spark, d), _fixes(spark, d, _scan(spark, d).findings), ROOT)
+    return remedy.apply_fixes(corpus.files(spark, d), _fixes(spark, d, _kept(spark, d).findings), ROOT)
+
+
+def written_fixes(spark, d):
+    """Fixed files written back into a folder tree and read again."""
+    root = f"{shared_folder(spark)}/fixed-{uuid.uuid4().hex}"
+    tree.write_tree(apply_fix(spark, d), root)
+    return tree.every_file(spark, root).select("file_path", "size_bytes", F.md5("code").alias("digest"))
+
+
+def tree_files(spark, d):
+    """What a project scan reads of a folder tree; size and folder are tested before a file is opened."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    tree.write_tree(corpus.files(spark, d), root)
+    files = tree.read_tree(spark, root).filter(F.col("file_path").startswith("src/") & (F.col("size_bytes") <= SMALL_KB * 1024))
+    return files.select("file_path", "size_bytes", F.md5("code").alias("digest"))
+
+
+def single_file(spark, d):
+    """Findings in one file, picked by its path."""
+    return scan.vulnerability_findings(src.one_file(corpus.files(spark, d), ONE_FILE)).select(*SIMPLE)
+
+
+def skipped_files(spark, d):
+    return src.too_large(corpus.files(spark, d), ScanConfig(max_file_size_kb=SMALL_KB))
+
+
+def severity_rollup(spark, d):
+    return rollup.severity_rollup(scan.scan_rules(corpus.files(spark, d), scan.catalog()))
+
+
+def scan_difference(spark, d):
+    """Two states of a project: files come and go, and half of them get lines on top."""
+    files = corpus.files(spark, d)
+    moved = F.when(F.col("size_bytes") % 2 == 0, F.concat(F.lit("\n\n"), "code")).otherwise(F.col("code"))
+    before = scan.vulnerability_findings(files.filter("size_bytes % 11 <> 0"))
+    after = scan.vulnerability_findings(files.filter("size_bytes % 7 <> 0").withColumn("code", moved))
+    return compare.compare_scans(before, after).select("status", "file_path", "rule_id", "ordinal", "old_line", "new_line")
 
 
 def recommendations(spark, d):
@@ -365,6 +403,12 @@ QUERIES: dict[str, Query] = {
     "fix_validation": fix_validation,
     "attach_fixes": attach_fixes,
     "apply_fix": apply_fix,
+    "written_fixes": written_fixes,
+    "tree_files": tree_files,
+    "single_file": single_file,
+    "skipped_files": skipped_files,
+    "severity_rollup": severity_rollup,
+    "scan_difference": scan_difference,
     "recommendations": recommendations,
     "report_lines": report_lines,
     "report_json": report_json,
