@@ -122,9 +122,11 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     flags = [F.contains(F.col("lowered"), F.lit(w)).alias(name) for w, name in shared.items()]
     found = F.transform(
         F.filter(hits, lambda h: h.isNotNull() & F.contains(h["marked"], F.lit(MARK))),
+        # of the lines without a mark only nulls are made
         lambda h: F.struct(h["rule_ord"].alias("rule_ord"), F.filter(
-            F.transform(F.split(h["marked"], "\n", -1), lambda x, i: F.struct(i.alias("pos"), x.alias("line"))),
-            lambda x: F.contains(x["line"], F.lit(MARK))).alias("lines")))
+            F.transform(F.split(h["marked"], "\n", -1), lambda x, i: F.when(
+                F.contains(x, F.lit(MARK)), F.struct(i.alias("pos"), x.alias("line")))),
+            lambda x: x.isNotNull()).alias("lines")))
     # The array goes straight into explode: as a named column it could be
     # evaluated a second time by a filter that the optimizer derives from it.
     # The lambda also keeps this one wide expression out of code generation,

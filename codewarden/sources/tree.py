@@ -38,6 +38,7 @@ FORMAT = "code_tree"
 # Folders to share out unless an option says so, bytes of files per task where the driver knows them, characters per batch.
 SHARES, TASK_BYTES, BATCH_CHARS = 256, 64 << 20, 8_000_000
 MOVES_AT_ONCE = 16
+FILES = pa.schema([("file_path", pa.string()), ("code", pa.string()), ("size_bytes", pa.int64())])
 
 
 def _system(path: str):
@@ -48,6 +49,14 @@ def _system(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
+def _text(system, path: str) -> str | None:
+    try:
+        with system.open_input_stream(path) as stream:
+            return stream.read().decode("utf-8", errors="replace")
+    except OSError:
+        return None
+
+
 def name_test(patterns: Iterable[str]):
     """Whether a path component is excluded or hidden; only ``*`` is a wildcard."""
     globs = [".*".join(re.escape(part) for part in p.split("*")) for p in patterns]
@@ -213,17 +222,11 @@ class TreeReader(ds.DataSourceReader):
 
     def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
         system, base = _system(self.root)
-        names = ["file_path", "code", "size_bytes"] if self.content else ["file_path", "size_bytes"]
-        types = {"file_path": pa.string(), "code": pa.string(), "size_bytes": pa.int64()}
-        schema, rows, held = pa.schema([(n, types[n]) for n in names]), [], 0
+        schema, rows, held = FILES if self.content else FILES.remove(1), [], 0
         for rel, size in self._files(system, base, partition):
             row = {"file_path": rel, "size_bytes": size}
             if self.content:
-                try:
-                    with system.open_input_stream(f"{base}/{rel}") as stream:
-                        row["code"] = stream.read().decode("utf-8", errors="replace")
-                except OSError:
-                    row["code"] = None
+                row["code"] = _text(system, f"{base}/{rel}")
                 held += len(row["code"] or "")
             rows.append(row)
             if held >= BATCH_CHARS or len(rows) >= 10_000:
@@ -340,6 +343,24 @@ def every_file(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format(FORMAT).option("every_file", "true").load(root)
 
 
+def read_paths(paths: DataFrame, root: str) -> DataFrame:
+    """The files below ``root`` that ``paths(file_path, size_bytes)`` names; no others are opened, and nothing is listed."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _system(root)
+        for batch in batches:
+            rows, held = [], 0
+            for rel, size in zip(batch["file_path"].to_pylist(), batch["size_bytes"].to_pylist()):
+                rows.append({"file_path": rel, "code": _text(system, f"{base}/{rel}"), "size_bytes": size})
+                held += len(rows[-1]["code"] or "")
+                if held >= BATCH_CHARS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=FILES)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=FILES)
+
+    return paths.select("file_path", "size_bytes").mapInArrow(read, "file_path string, code string, size_bytes long")
+
+
 def write_tree(files: DataFrame, root: str) -> None:
     """Each row of ``file_path, code`` as a file below ``root``, replaced whole; other files stay.  Paths must not repeat."""
     register(files.sparkSession)

@@ -40,6 +40,15 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.unionByName(pages).withColumn("size_bytes", F.octet_length("code").cast("long"))
 
 
+def saves(events: DataFrame) -> DataFrame:
+    """A file per event, saved at the event's time in the user's folder; streams and tables alike."""
+    return events.select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("folder"), F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/e"), F.col("event_id").cast("string"),
+                 pick([s[0] for s in SNIPPETS], "event_id")).alias("file_path"),
+        F.concat(pick([s[1] for s in SNIPPETS], "event_id"), F.lit("\n// "), F.col("event_type")).alias("code"))
+
+
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A command per document, with the whole text as its last argument."""
     return table(spark, sf_dir, "documents").select(

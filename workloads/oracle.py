@@ -696,7 +696,25 @@ ORACLE: dict[str, str] = {
       CAST(sub - 1 AS INTEGER) AS sub, l[sub] AS line FROM (SELECT section, ord, name, l, unnest(range(1, len(l) + 1)) AS sub FROM blocks)"""),
 }
 
+SAVES = f"""files AS MATERIALIZED (
+  SELECT *, strlen(code) AS size_bytes,
+    lower(regexp_extract(file_path, '([^/]*)$', 1)) AS base,
+    lower(regexp_extract(file_path, '(\\.[^./]*)$', 1)) AS ext,
+    string_split(code, chr(10)) AS lines
+  FROM (SELECT 'u' || CAST(user_id AS VARCHAR) AS folder, strftime(ts, '%Y-%m-%d') AS day,
+      'u' || CAST(user_id AS VARCHAR) || '/e' || CAST(event_id AS VARCHAR) || {pick([s[0] for s in SNIPPETS], 'event_id')} AS file_path,
+      {pick([s[1] for s in SNIPPETS], 'event_id')} || chr(10) || '// ' || event_type AS code FROM events))"""
+DAYS = """days AS (SELECT day, severity, count(*) AS findings FROM rule_findings JOIN (SELECT file_path, day FROM files) USING (file_path)
+  GROUP BY day, severity)"""
+
 ORACLE |= {
+    "indexed_rules": _with(f"{FILES}, {findings(active_rules(add_rule(POLICY_RULES, CUSTOM_RULE), CUSTOM_ACTIVE))}",
+                           "SELECT finding_id, file_path, rule_id, start_line FROM rule_findings"),
+    "distinct_saves": _with(SAVES, "SELECT DISTINCT folder, sha256(code) AS digest FROM files"),
+    "daily_findings": _with(f"{SAVES}, {findings(VULNERABILITY_RULES)}, {DAYS}", "SELECT day, severity, findings FROM days"),
+    "gated_days": _with(f"{SAVES}, {findings(VULNERABILITY_RULES)}, {DAYS}", """SELECT day, severity, findings,
+        round(coalesce(e, 0), 6) AS expected, round(findings / e, 6) AS deviation, findings <= coalesce(e, 0) * 1.1::DOUBLE + 1 AS passed
+      FROM days LEFT JOIN (SELECT severity, sum(findings) / 10::DOUBLE AS e FROM days WHERE day <= '2024-01-10' GROUP BY severity) USING (severity)"""),
     "tree_files": _with(FILES, f"""SELECT file_path, size_bytes, md5(code) AS digest FROM files
       WHERE {_collected(SMALL_KB)} AND starts_with(file_path, 'src/')"""),
     "written_fixes": f"SELECT file_path, strlen(code) AS size_bytes, md5(code) AS digest FROM ({ORACLE['apply_fix']})",

@@ -8,14 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codewarden.catalog import POLICY_RULES, Rule
+from codewarden.catalog import POLICY_RULES, VULNERABILITY_RULES, Rule
 from codewarden.config import ScanConfig
-from codewarden.functions.lineage import shared_folder
+from codewarden.functions.lineage import cut_lineage, shared_folder
 from codewarden.operators import authorship as author
-from codewarden.operators import compare, context, policy, remedy, replies, report, rollup, scan, shell
+from codewarden.operators import compare, context, index, policy, remedy, replies, report, rollup, scan, shell
 from codewarden.plans.project import Scan, keep, scan_files
 from codewarden.sources import files as src
 from codewarden.sources import sinks, tree
+from codewarden.streaming import events
 from workloads import corpus
 from workloads.snippets import FIX_REPLIES
 
@@ -324,6 +325,55 @@ def scan_difference(spark, d):
     return compare.compare_scans(before, after).select("status", "file_path", "rule_id", "ordinal", "old_line", "new_line")
 
 
+def indexed_rules(spark, d):
+    """Changed rules over a folder tree with a literal index: only files that can hold their literals are read again."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    tree.write_tree(corpus.files(spark, d), root)
+    known = cut_lineage(index.literal_index(tree.every_file(spark, root)))
+    rules = scan.active_rules(scan.add_rule(POLICY_RULES, CUSTOM_RULE), CUSTOM_ACTIVE)
+    files = tree.read_paths(index.candidates(known, rules), root)
+    return scan.scan_rules(files, rules).select("finding_id", "file_path", "rule_id", "start_line")
+
+
+def _saves(spark, d):
+    # a stream takes a folder or a pattern; the table may be a single file
+    return corpus.saves(spark.readStream.schema(corpus.table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet"))
+
+
+def _new_folder(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def distinct_saves(spark, d):
+    """Each content that a user saved, once, from a stream."""
+    out, state = _new_folder(spark, "saves"), _new_folder(spark, "state")
+    first = events.first_saves(_saves(spark, d), ("folder",), delay="60 days").select("folder", "digest")
+    events.run_available(first.writeStream.format("parquet").option("path", out).option("checkpointLocation", state))
+    return spark.read.schema("folder string, digest string").parquet(out)
+
+
+def daily_findings(spark, d):
+    """Findings per day of event time and severity, from a stream."""
+    out, state = _new_folder(spark, "windows"), _new_folder(spark, "state")
+    found = scan.scan_rules(_saves(spark, d), VULNERABILITY_RULES, ("ts",))
+    events.run_available(events.keep_updates(events.window_counts(found), out, state))
+    return events.last_updates(spark, out, ["begin", "end", "severity"]).select(
+        F.date_format("begin", "yyyy-MM-dd").alias("day"), "severity", "findings")
+
+
+def gated_days(spark, d):
+    """Each day's findings against the mean of the first ten days; a stream of a few batches."""
+    inbox, out, state = (_new_folder(spark, n) for n in ("inbox", "gate", "state"))
+    saved = corpus.saves(corpus.table(spark, d, "events")).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    saved.repartitionByRange(8, "day").write.parquet(inbox)
+    first = scan.scan_rules(saved.filter("day <= '2024-01-10'"), VULNERABILITY_RULES)
+    expected = cut_lineage(events.baseline(first, 10))
+    stream = spark.readStream.schema(saved.schema).option("maxFilesPerTrigger", 3).parquet(inbox)
+    found = scan.scan_rules(stream, VULNERABILITY_RULES, ("day",))
+    events.run_available(events.gated(found, out, state, lambda batch: events.gate(batch, F.col("day"), expected, 0.1, 1)))
+    return rounded(spark.read.parquet(f"{out}/batch=*").withColumnRenamed("period", "day"))
+
+
 def recommendations(spark, d):
     return _kept(spark, d).recommendations()
 
@@ -409,6 +459,10 @@ QUERIES: dict[str, Query] = {
     "skipped_files": skipped_files,
     "severity_rollup": severity_rollup,
     "scan_difference": scan_difference,
+    "indexed_rules": indexed_rules,
+    "distinct_saves": distinct_saves,
+    "daily_findings": daily_findings,
+    "gated_days": gated_days,
     "recommendations": recommendations,
     "report_lines": report_lines,
     "report_json": report_json,
