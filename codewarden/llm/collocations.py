@@ -41,6 +41,7 @@ TASK = 4_000_000
 #: A full stop stands for every mark between pieces; A to Z are lower-cased.
 LETTERS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+RUNS = "range long, first long, step_width int, steps binary, count_width int, counts binary"
 SHARDS = "langs array<string>, starts array<int>, sizes array<long>, words binary, left binary, right binary"
 
 
@@ -153,14 +154,19 @@ def runs(h: np.ndarray, a: np.ndarray, ranges: int) -> pa.RecordBatch:
         ["range", "first", "step_width", "steps", "count_width", "counts"])
 
 
-def add_runs(group: pa.Table) -> pa.Table:
-    """The hashes of a range whose sum is high enough."""
+def read_runs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a range with their sums."""
     hashes, sums = [], []
     for r in group.to_pylist():
         steps = np.frombuffer(r["steps"], f"u{r['step_width']}").astype(np.uint64)
         hashes.append(np.cumsum(np.concatenate([np.array([r["first"]], np.uint64), steps]), dtype=np.uint64))
         sums.append(np.frombuffer(r["counts"], f"u{r['count_width']}").astype(np.int64))
-    h, a = merged(np.concatenate(hashes), np.concatenate(sums))
+    return merged(np.concatenate(hashes), np.concatenate(sums))
+
+
+def add_runs(group: pa.Table) -> pa.Table:
+    """The hashes of a range whose sum is high enough."""
+    h, a = read_runs(group)
     return pa.table({"hash": pa.array(h[a >= LEAST].view(np.int64))})
 
 
@@ -277,7 +283,7 @@ def frequent_hashes(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.
         if held:
             yield runs(*merged(*map(np.concatenate, zip(*held))), ranges)
 
-    sent = shards.mapInArrow(run, "range long, first long, step_width int, steps binary, count_width int, counts binary")
+    sent = shards.mapInArrow(run, RUNS)
     return sent.groupBy("range").applyInArrow(add_runs, "hash long")
 
 

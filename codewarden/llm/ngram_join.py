@@ -13,7 +13,9 @@ blocks. D is taken for the largest size of a size band; sets near the next band
 
 Below a similarity of 0.9 these groups get so small that one common shingle connects families. There a set is entered by
 its rarest shingles instead, as many as two sets that link cannot differ in: they share one of them. Any one order of the
-shingles is exact; the counts that make it are kept in `SLOTS` slots, so that those that many documents hold come last.
+shingles is exact; here they go by classes of how many documents hold them (`CLASSES`), counted over all documents as
+sorted runs of 48-bit hashes and known to the tasks as one filter per class. A shingle of one document connects nothing and is
+not entered. What a filter lets through in error is the same for all documents, so it costs time, not links.
 
 Equal sets are one class and meet once, by their hash. Links inside what is already connected need no verification, as
 the result is the connected groups; `links` are enough to connect every linked document.
@@ -32,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codewarden.llm.collocations import HELD, RANGE, RUNS, as_filter, merged, read_runs, runs
 from codewarden.llm.common import components, stored
 
 WIDTH, LEAST, GROUPS, LEAF = 3, (9, 10), 64, 16
 #: A block of a family: so many sets or shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 2_000, 2_000_000
 MASK = (1 << 64) - 1
-#: Slots in which the documents of a shingle are counted; a task sends them in so many parts.
-SLOTS, SLOT_PARTS = 1 << 20, 16
+#: Least documents of a shingle in each class; a class is one filter of at most 2^28 bits.
+CLASSES = (2, 4, 16, 128)
 #: Odd factors, one per word of a shingle.
 FACTORS = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -91,33 +94,43 @@ def signatures(h: np.ndarray, low: list[int], least: tuple[int, int] = LEAST) ->
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def slot_counts(docs: DataFrame, width: int) -> np.ndarray:
-    """How many documents hold a shingle of each slot."""
-    size = SLOTS // SLOT_PARTS
+def class_filters(docs: DataFrame, width: int) -> list[tuple[int, np.ndarray]]:
+    """For each class the filter of the shingles that so many documents hold."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    ranges = 1 + chars // (8 * RANGE)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(SLOTS, np.int64)
+        held, size = [], 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                for h in (shingles(t, width) for t in batch["text"].slice(at, 1000).to_pylist()):
-                    np.add.at(seen, (h % np.uint64(SLOTS)).astype(np.int64), 1)
-        parts = [seen[k * size:(k + 1) * size].tobytes() for k in range(SLOT_PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLOT_PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
+            for at in range(0, batch.num_rows, 500):
+                held += [shingles(t, width) >> np.uint64(16) for t in batch["text"].slice(at, 500).to_pylist()]
+                size = sum(map(len, held))
+                if size > HELD:
+                    h = np.concatenate(held)
+                    yield runs(*merged(h, np.ones(len(h), np.int64)), ranges)
+                    held = []
+        if held:
+            h = np.concatenate(held)
+            yield runs(*merged(h, np.ones(len(h), np.int64)), ranges)
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.sum([np.frombuffer(x, np.int64) for x in group["counts"].to_pylist()], axis=0)
-        return pa.table({"part": group["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        h, n = read_runs(group)
+        some = n >= CLASSES[0]
+        return pa.table({"hash": pa.array(h[some].view(np.int64)), "n": pa.array(n[some])})
 
-    schema, seen = "part int, counts binary", np.zeros(SLOTS, np.int64)
-    for r in docs.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema).collect():
-        seen[r["part"] * size:(r["part"] + 1) * size] = np.frombuffer(r["counts"], np.int64)
-    return seen
+    counted = stored(docs.select("text").mapInArrow(count, RUNS).groupBy("range").applyInArrow(add, "hash long, n long"), "counted")
+    return [as_filter(counted.where(F.col("n") >= least).select("hash")) for least in CLASSES]
 
 
-def rarest(h: np.ndarray, low: list[int], least: tuple[int, int], seen: np.ndarray) -> np.ndarray:
+def rarest(h: np.ndarray, low: list[int], least: tuple[int, int], filters: list[tuple[int, np.ndarray]]) -> np.ndarray:
     """The rarest shingles with the size band: two sets that may link share one of them."""
     (x, y), n = least, len(h)
-    first = h[np.lexsort((h, seen[(h % np.uint64(SLOTS)).astype(np.int64)]))[:n - -(-x * n // y) + 1]]
+    common = np.zeros(n, np.int64)
+    for bits, there in filters:
+        at = h >> np.uint64(64 - bits)
+        common += (there[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(np.int64)
+    order = np.lexsort((h, common))[:n - -(-x * n // y) + 1]
+    first = h[order[common[order] > 0]]
     b = int(np.searchsorted(low, n, "right")) - 1
     in_bands = ([b] if b >= 0 else []) + ([b + 1] if y * n >= x * low[b + 1] else [])
     return np.concatenate([_mix(first, 11 + band) for band in in_bands]) if in_bands else np.zeros(0, np.uint64)
@@ -126,7 +139,7 @@ def rarest(h: np.ndarray, low: list[int], least: tuple[int, int], seen: np.ndarr
 def sign(docs: DataFrame, width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """(doc_id, text_key, n, cls, node, sigs): cls is the 128-bit hash of the set, node its first half."""
     few = 10 * least[0] >= 9 * least[1]
-    shipped = None if few else docs.sparkSession.sparkContext.broadcast(slot_counts(docs, width))
+    shipped = None if few else docs.sparkSession.sparkContext.broadcast(class_filters(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
