@@ -198,16 +198,14 @@ def _places(docs: DataFrame, patterns: set[str]) -> DataFrame:
                     words = [w.lower() for w in WORD.findall(line)]
                     for i, w in enumerate(words[:-1]):
                         if w in last:
-                            total[w] += w in wanted
-                            if i:
-                                two = f"{words[i - 1]} {w}"
-                                total[two] += two in wanted
-            if len(total) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()), pa.int64())], ["pattern", "places"])
-                total.clear()
+                            if w in wanted:
+                                total[w] += 1
+                            two = f"{words[i - 1]} {w}" if i else w
+                            if i and two in wanted:
+                                total[two] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pattern", "places"])
 
-    return (docs.select("text").mapInArrow(run, "pattern string, places long").where("places > 0")
+    return (docs.select("text").mapInArrow(run, "pattern string, places long")
             .groupBy("pattern").agg(F.sum("places").alias("places")))
 
 
