@@ -18,7 +18,7 @@ from codewarden.functions.lineage import cut_lineage
 from codewarden.operators.authorship import authorship, authorship_findings
 from codewarden.operators.context import add_context
 from codewarden.operators.policy import compliance, policy_scores, policy_status
-from codewarden.operators.report import recommendations, report_json, report_lines
+from codewarden.operators.report import recommendations, report_json, report_lines, with_times
 from codewarden.operators.rollup import file_results, scan_summary, top_findings, union_findings
 from codewarden.operators.scan import catalog, scan_rules
 from codewarden.sources.files import discover
@@ -54,11 +54,15 @@ class Scan:
     def recommendations(self) -> DataFrame:
         return recommendations(self.summary())
 
-    def report(self, project: str = "project") -> DataFrame:
-        return report_lines(self.summary(), self.findings, self.file_results(), project)
+    def timed_summary(self, times: tuple[str, str] | None) -> DataFrame:
+        """The summary, with the begin and end of the scan if they are given."""
+        return self.summary() if times is None else with_times(self.summary(), *times)
 
-    def report_json(self) -> DataFrame:
-        return report_json(self.summary())
+    def report(self, project: str = "project", times: tuple[str, str] | None = None) -> DataFrame:
+        return report_lines(self.timed_summary(times), self.findings, self.file_results(), project)
+
+    def report_json(self, times: tuple[str, str] | None = None, pretty: bool = False) -> DataFrame:
+        return report_json(self.timed_summary(times), pretty)
 
 
 def scan_files(files: DataFrame, config: ScanConfig = ScanConfig(), replies: DataFrame | None = None,

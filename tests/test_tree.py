@@ -131,6 +131,18 @@ def test_rollup_has_subtotals(make_files):
     assert got["JavaScript", None, 1] == (3, 2)
 
 
+def test_times_and_pretty_json(make_files):
+    import json
+
+    scan = scan_files(make_files(("a.js", "eval(x)")))
+    times = ("2024-02-28 23:59:50", "2024-02-29 00:01:00")
+    lines = [r.line for r in scan.report("p", times).filter("section = 0").orderBy("sub").collect()]
+    assert lines[2:6] == ["Project: p", "Started: 2024-02-28 23:59:50", "Ended: 2024-02-29 00:01:00", "Took: 70 s"]
+    assert "Took" not in "".join(r.line or "" for r in scan.report("p").collect())
+    plain, pretty = (scan.report_json(times, p).first().value for p in (False, True))
+    assert "\n" not in plain and "\n" in pretty and json.loads(plain) == json.loads(pretty) and json.loads(plain)["summary"]["duration_s"] == 70
+
+
 # --- contexts
 
 def brute_context(code, start, end):

@@ -23,7 +23,7 @@ from codewarden.operators import remedy as M
 from codewarden.operators import replies as L
 from codewarden.operators.scan import active_rules, add_rule, catalog
 from codewarden.sources import files as S
-from workloads.queries import CUSTOM_ACTIVE, CUSTOM_RULE, ONE_FILE, PROJECT, REGION, ROOT, SMALL_KB
+from workloads.queries import CUSTOM_ACTIVE, CUSTOM_RULE, ONE_FILE, PROJECT, REGION, ROOT, SMALL_KB, TIMES
 from workloads.snippets import COMMANDS, FIX_REPLIES, GUIDANCE_REPLIES, SCORE_REPLIES, SNIPPETS
 
 MARK = "\uFDD0"
@@ -544,7 +544,8 @@ _REPORT = f"""top10 AS (
   QUALIFY p < 10),
 advised AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS p FROM recommendations),
 blocks AS (
-  SELECT 0 AS section, 0 AS ord, '' AS name, ['# Code audit', '', 'Project: {PROJECT}', '', '---', '', '## Overview', '',
+  SELECT 0 AS section, 0 AS ord, '' AS name, ['# Code audit', '', 'Project: {PROJECT}', 'Started: {TIMES[0]}', 'Ended: {TIMES[1]}',
+    'Took: ' || date_diff('second', TIMESTAMP '{TIMES[0]}', TIMESTAMP '{TIMES[1]}') || ' s', '', '---', '', '## Overview', '',
     '| Count of | Number |', '|---|---|',
     '| Files read | ' || files_scanned || ' |', '| Files left out | ' || files_skipped || ' |',
     '| Findings | ' || total_findings || ' |', '| Critical | ' || critical_count || ' |',

@@ -25,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 PROJECT = "project"
 ROOT = "/workspace/project"
 SMALL_KB = 4
+TIMES = ("2024-01-31 08:00:00", "2024-01-31 09:01:35")
 ONE_FILE = "src/src14/doc_14.ts"
 REGION = (2, 6)
 CUSTOM_RULE = Rule(rule_id="no-print", title="No print", severity="low", pattern=r"\bprint\s*\(", flags="g",
@@ -379,7 +380,7 @@ def recommendations(spark, d):
 
 
 def report_lines(spark, d):
-    return _kept(spark, d).report(PROJECT)
+    return _kept(spark, d).report(PROJECT, TIMES)
 
 
 def report_json(spark, d):
