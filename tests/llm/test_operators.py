@@ -1,11 +1,14 @@
 """The operators against brute force, and their defined results on nulls, empty texts, ties, copies and empty tables."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
+import time
 import zlib
 from urllib.parse import quote
 
@@ -279,7 +282,7 @@ def test_secrets(spark, edge, nothing):
         _, nested, _ = secrets_scan.scan_text(t)
         assert ("assign", x) in [(k, t[a:b]) for a, k, b, _ in nested], x
     bomb = base64.b64encode(gzip.compress(b"a" * 5_000_000)).decode()
-    assert secrets_scan.scan_text(bomb)[2] >= 1
+    assert secrets_scan.scan_text(bomb, most=1000)[2] >= 1 and secrets_scan.scan_text(bomb)[2] == 0
     assert secrets_scan.scan_text("a" * 300_000 + "%" + "b" * 300_000 + "\\u")[1] == []
     assert secrets_scan.scan(edge).count() == len(EDGE) and secrets_scan.scan(nothing).count() == 0
 
@@ -301,7 +304,48 @@ def test_secrets_in_bytes():
             assert "assign" in [k for a, k, b, _ in nested if t[a:b] == x], x
     assert secrets_scan.scan_text("\n".join(["word" * 5] * 30_000) + "!")[1] == []
     twice = base64.b64encode(gzip.compress(gzip.compress(b"a" * 50_000_000))).decode()
-    assert secrets_scan.scan_text(twice)[2] >= 1
+    assert secrets_scan.scan_text(twice, most=1000)[2] >= 1
+
+
+def test_secrets_in_more_forms():
+    inner = 'password = "hunter2hunter2"'
+    b64 = lambda data: base64.b64encode(data).decode()
+    packed = gzip.compress(b"some more " * 9) + gzip.compress(inner.encode())
+    layers = [f"{head}{b64(inner.encode())}" for head in ("data/", "x_", "a-", "ab_c/")]
+    layers += [f"data/{b64(gzip.compress(inner.encode()))}", b64(packed), b64(bz2.compress(inner.encode())),
+               b64(lzma.compress(inner.encode())), b64(bz2.compress(gzip.compress(inner.encode()))),
+               b64(inner.encode("utf-16")), b64(inner.encode("utf-16-be")), b64(b"\1" + inner.encode("utf-16-le")),
+               "".join(f"\\U{ord(c):08x}" for c in inner), "".join(f"\\u{{{ord(c):x}}}" for c in inner),
+               b64(gzip.compress(b"a" * 5_000_000 + inner.encode())), b64(gzip.compress(inner.encode())[:-9])]
+    for x in layers:
+        for t in (f"see\n{x}\nhere", x):
+            assert "assign" in [k for a, k, b, _ in secrets_scan.scan_text(t)[1] if t[a:b] == x], x
+    far = gzip.compress(b"b" * (2 * secrets_scan.WINDOW - 9) + inner.encode())  # lies across the end of a window
+    assert "assign" in [k for _, k, _, _ in secrets_scan.scan_text(b64(far))[1]]
+    assert secrets_scan.scan_text("\\Uffffffff%zz\\u{}" * 50)[1] == []
+
+
+def brute_settled(text):
+    escape = re.compile(r"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\u\{([0-9A-Fa-f]{1,8})\}")
+    while m := escape.search(text):
+        text = text[:m.start()] + chr(int(next(filter(None, m.groups())), 16)) + text[m.end():]
+    return text
+
+
+def test_deep_escapes_settle_in_one_pass():
+    rng = random.Random(16)
+    for _ in range(2000):
+        t = "".join(rng.choice(["%", "25", "%25", "5c", "%5C", "x", "\\", "\\x25", "u0025", "\\u{5c}", "41", "z"]) for _ in range(12))
+        assert secrets_scan._settled(t) == brute_settled(t), t
+    deep = quote('password = "hunter2hunter2"', safe="")
+    for _ in range(30):
+        deep = deep.replace("%", "%25").replace("\\", "%5C")
+    assert [(a, k, b) for a, k, b, _ in secrets_scan.scan_text(f"see {deep}!")[1]] == [(4, "assign", 4 + len(deep))]
+    begin = time.time()
+    secrets_scan.scan_text("%" + "25" * 500_000)
+    secrets_scan.scan_text("\\" + "x5c" * 300_000)
+    secrets_scan.scan_text("%5C" + "x255C" * 200_000)
+    assert time.time() - begin < 60
 
 
 # --- 6
