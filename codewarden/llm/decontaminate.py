@@ -1,93 +1,237 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-The n-grams of the benchmark items are counted over all documents. An item's seeds are its rare n-grams: those in at most
-`RARE` times as many documents as the lower quartile of its n-grams that occur, so an item that many documents copy keeps
-its seeds. A passage that shares n-grams with an item, but no rare one, has its rarest as seed, so no passage is left out
-for how often it is copied. Each passage is aligned with its item, word by word (match 2, other word -1, gap -1), unless
-the words that both have could not reach the least score in any order. The score is the best local alignment over that of
-a full copy; from `LEAST` on the document is contaminated.
-
-Items are taken in blocks of about `BLOCK_WORDS` words, each sent to all tasks, and every document is read against every
-block; documents are never shuffled or joined. Words are lower-case, without marks at their ends. Nulls: a null text has
-no words; items that are null or shorter than `WIDTH` words have no seeds and are never matched. Equal items match
-alike, repeated documents are judged row by row, an empty table on either side gives no matches, and other columns are
-kept by `clean` and not read by `matches`.
+"""Benchmark decontamination: rare n-gram seeds join passages to items, then Smith-Waterman alignment.
+
+How rare an n-gram of the benchmark is, is the number of different neighbours (the word before and the word after) it has in
+all documents and items: a copied passage always brings the same ones, however often it is copied, while a common phrase
+has many. Seeds of an item are its n-grams with at most `RARE` neighbours, or no more than three quarters of all n-grams
+of the benchmark have, or no more than the lower quartile of the item's own. Where `CLOSE` n-grams of the benchmark lie within
+`REACH` words and none is a seed, the rarest one counts as seed, so a passage that was copied with many different edits is not
+left out. A common phrase on its own costs a text nothing.
+
+Documents are read twice, for any number of items: once for the neighbours of n-grams that pass a filter of the
+benchmark's, once for the passages around seeds, as far as items of that size reach. Filters have at most `FILTER_BITS`
+bits; what they let through in error meets nothing in the joins. Passages join seeds by n-gram, then items, both
+salted, so that no passage in a third of the documents ends in one task. The words that passage and item share bound the score; what
+can reach `LEAST` is aligned word by word (match 2, other word -1, gap -1). The score is the best local alignment over
+that of a full copy; from `LEAST` on the document is contaminated.
+
+A verdict belongs to the text: equal texts are aligned once, known by 128 bits. `clean` sends only documents through a join that
+pass a filter of the contaminated texts. Words are lower-case, without marks at their ends. Nulls: a null text has no
+words; items that are null or shorter than `WIDTH` words have no seeds and are never matched. Equal items match alike, and of
+equal scores the first passage is given; repeated documents each get their rows, an empty table on either side gives no
+matches, a very long text is read whole, and other columns are kept by `clean` and not read by `matches`.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WIDTH, RARE, LEAST, BLOCK_WORDS = 4, 4, 0.5, 200_000
+from codewarden.llm.common import stored
+
+WIDTH, RARE, LEAST, CLOSE, REACH, SALTS = 4, 4, 0.5, 4, 24, 16
+FILTER_BITS, PROBES, VOCABULARY = 28, 6, 1 << 20
 MATCH, OTHER, GAP = 2, -1, -1
 MARKS = ".,;:!?()[]{}<>\"'`*_|~-"
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+TEXT = ("t1", "t2")
 
 
 def words(text: str | None) -> list[str]:
     return [w for w in (p.strip(MARKS) for p in (text or "").lower().split()) if w]
 
 
-class Items:
-    """A block of items as word numbers, with the codes of their n-grams."""
-
-    def __init__(self, rows: list[tuple[int | None, str | None]]) -> None:
-        self.names = [name for name, _ in rows]
-        texts = [words(text) for _, text in rows]
-        self.number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
-        self.words = [np.array([self.number[w] for w in t], np.int64) for t in texts]
-        found = [(int(code), i, int(at)) for i, w in enumerate(self.words) for at, code in zip(*self.codes(w))]
-        self.grams = np.unique(np.array([c for c, _, _ in found], np.uint64))
-        self.places: list[list[tuple[int, int]]] = [[] for _ in self.grams]
-        for code, i, at in found:
-            self.places[int(np.searchsorted(self.grams, np.uint64(code)))].append((i, at))
-
-    @staticmethod
-    def codes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and codes of the n-grams whose words are all known."""
-        if len(w) < WIDTH:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        views = [w[k:len(w) - WIDTH + 1 + k] for k in range(WIDTH)]
-        at = np.flatnonzero(np.logical_and.reduce([v >= 0 for v in views]))
-        code = np.zeros(len(at), np.uint64)
-        for v in views:
-            code = (code ^ (v[at].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
-            code ^= code >> np.uint64(29)
-        return at, code
-
-    def read(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The text's word numbers (-1: in no item), places of its n-grams that items have, and their numbers."""
-        number = self.number
-        w = np.array([number.get(x, -1) for x in words(text)], np.int64)
-        at, code = self.codes(w)
-        if not len(at) or not len(self.grams):
-            return w, at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
-        same = self.grams[k] == code
-        return w, at[same], k[same]
-
-    def seeds(self, seen: np.ndarray) -> np.ndarray:
-        """(item, place in it, rare among the item's n-grams that occur) per n-gram."""
-        own: dict[int, list[int]] = {}
-        for k, places in enumerate(self.places):
-            for i in {i for i, _ in places}:
-                own.setdefault(i, []).append(k)
-        rare = np.empty(len(self.grams), object)
-        for k in range(len(rare)):
-            rare[k] = []
-        for i, grams in own.items():
-            counts = seen[grams]
-            some = np.sort(counts[counts > 0])
-            limit = RARE * some[(len(some) - 1) // 4] if len(some) else 0
-            for k, n in zip(grams, counts):
-                rare[k] += [(j, at, bool(n <= limit)) for j, at in self.places[k] if j == i]
-        return rare
+# --- n-grams
+
+class Vocabulary(dict):
+    """Hashes of words; it starts anew when it is full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= VOCABULARY:
+            self.clear()
+        self[word] = code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()) | 1
+        return code
+
 
+def mixed(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ c) * FACTOR
+        h ^= h >> np.uint64(29)
+    return h * FACTOR
+
+
+def grams(w: list[str], known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram at each place, and the words around the places."""
+    if len(w) < WIDTH:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
+    n = len(w) - WIDTH + 1
+    return mixed([h[k:n + k] for k in range(WIDTH)]), np.concatenate([np.zeros(1, np.uint64), h, np.zeros(1, np.uint64)])
+
+
+def neighbours(around: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return mixed([around[at], around[at + WIDTH + 1]])
+
+
+def shifts(bits: int) -> list[int]:
+    """Where in a code its places in a filter begin."""
+    return [k * (64 - bits) // (PROBES - 1) for k in range(PROBES)]
+
+
+def as_filter(codes: DataFrame) -> tuple[int, np.ndarray]:
+    """The column `gram` as bits: each is known by several parts of its code."""
+    bits = min(max(16, (32 * codes.count()).bit_length()), FILTER_BITS)
+    mask = (1 << bits) - 1
+    places = F.explode(F.array(*(F.shiftrightunsigned("gram", k).bitwiseAND(mask) for k in shifts(bits)))).alias("place")
+    slots = (codes.select(places).select(F.shiftrightunsigned("place", 6).alias("slot"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+             .groupBy("slot").agg(F.bit_or("bit").alias("bit")).toArrow())
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[slots["slot"].to_numpy()] = slots["bit"].to_numpy().view(np.uint64)
+    return bits, out
+
+
+def passes(code: np.ndarray, known: tuple[int, np.ndarray]) -> np.ndarray:
+    """The places that the filter lets through."""
+    bits, there = known
+    at = np.arange(len(code))
+    for k in shifts(bits):
+        x = code[at] >> np.uint64(k) & np.uint64((1 << bits) - 1)
+        at = at[there[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1) == 1]
+    return at
+
+
+def long(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, pa.int64())
+
+
+# --- seeds
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """(item, words, size, gram, context): the n-grams of each different text of an item; `size` is a power of two."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Vocabulary()
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                w = words(text)
+                code, around = grams(w, known)
+                if len(code):
+                    item = int.from_bytes(hashlib.blake2b("\n".join(w).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([item], pa.int64()), pa.array([w], pa.list_(pa.string())), pa.array([len(w).bit_length()], pa.int32()),
+                         pa.array([code.view(np.int64)], pa.list_(pa.int64())),
+                         pa.array([neighbours(around, np.arange(len(code))).view(np.int64)], pa.list_(pa.int64())), pa.array([text], pa.string())],
+                        ["item", "words", "size", "grams", "contexts", "text"])
+
+    kind = "item long, words array<string>, size int, grams array<long>, contexts array<long>, text string"
+    return items.select("text").where("text is not null").distinct().mapInArrow(run, kind)
+
+
+def found_contexts(docs: DataFrame, known: tuple[int, np.ndarray]) -> DataFrame:
+    """(gram, context): each n-gram of the benchmark in the documents with its neighbours."""
+    shipped = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, held = Vocabulary(), []
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                code, around = grams(words(text), vocabulary)
+                at = passes(code, shipped.value)
+                if len(at):
+                    held.append((code[at], neighbours(around, at)))
+            if held:
+                code, context = map(np.concatenate, zip(*held))
+                _, first = np.unique(mixed([code, context]), return_index=True)
+                yield pa.RecordBatch.from_arrays([long(code[first]), long(context[first])], ["gram", "context"])
+                held = []
+
+    return docs.select("text").mapInArrow(run, "gram long, context long")
+
+
+def rarity(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(gram, item, size, n, seed): the n-grams of the items with their neighbours, and whether they are seeds."""
+    places = own.select("item", "size", F.explode(F.arrays_zip("grams", "contexts")).alias("g")).select("item", "size", "g.*")
+    of_item = places.select("item", "size", F.col("grams").alias("gram")).distinct()
+    in_items = places.select(F.col("grams").alias("gram"), F.col("contexts").alias("context"))
+    seen = found_contexts(docs, as_filter(in_items.select("gram").distinct()))
+    n = seen.union(in_items).distinct().groupBy("gram").agg(F.count("*").alias("n"))
+    counted = stored(of_item.join(n, "gram"), "grams")
+    usual = counted.select("gram", "n").distinct().agg(F.percentile("n", 0.75)).first()[0] or 0
+    of = counted.groupBy("item").agg(F.percentile("n", 0.25).alias("quartile"))
+    return stored(counted.join(of, "item").select(
+        "gram", "item", "size", "n", (F.col("n") <= F.greatest(F.lit(float(RARE)), F.lit(float(usual)), "quartile")).alias("seed")), "seeds")
+
+
+# --- passages
+
+def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(t1, t2, size, start, words, grams): for each size of items the passages that may hold one."""
+    sizes = [r["size"] for r in seeds.select("size").distinct().orderBy("size").collect()]
+    every = as_filter(seeds.select("gram").distinct())
+    rare = {z: as_filter(seeds.where(F.col("seed") & (F.col("size") == z)).select("gram").distinct()) for z in sizes}
+    own = {z: as_filter(seeds.where(F.col("size") == z).select("gram").distinct()) for z in sizes}
+    shipped = docs.sparkSession.sparkContext.broadcast((every, rare, own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, rare, own = shipped.value
+        vocabulary = Vocabulary()
+        for batch in batches:
+            rows = []
+            for text, *key in zip(*(batch[c].to_pylist() for c in ("text", *TEXT))):
+                w = words(text)
+                code, _ = grams(w, vocabulary)
+                hits = passes(code, every)
+                for size in own if len(hits) else ():
+                    at = hits[passes(code[hits], own[size])]
+                    start = np.zeros(len(at), bool)
+                    start[passes(code[at], rare[size])] = True
+                    dense = np.flatnonzero(at[CLOSE - 1:] - at[:max(0, len(at) - CLOSE + 1)] <= REACH)
+                    start[(dense[:, None] + np.arange(CLOSE)).ravel()] = True
+                    reach, stop, begin = 3 << size - 1, -1, 0
+                    for p in [*at[start].tolist(), None]:
+                        if p is not None and p - reach <= stop:
+                            stop = p + WIDTH + reach
+                            continue
+                        if stop >= 0:
+                            inner = at[np.searchsorted(at, begin):np.searchsorted(at, stop)]
+                            rows.append((*key, size, begin, w[begin:stop], np.unique(code[inner]).view(np.int64)))
+                        if p is not None:
+                            begin, stop = max(0, p - reach), p + WIDTH + reach
+            if rows:
+                cols = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())))],
+                    [*TEXT, "size", "start", "words", "grams"])
+
+    texts = docs.select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).where("text is not null")
+    return texts.mapInArrow(run, "t1 long, t2 long, size int, start long, words array<string>, grams array<long>")
+
+
+def row_salt() -> Column:
+    return F.pmod(F.xxhash64("row.doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def pairs(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(t1, t2, size, start, item, n_seeds): passages with the items whose seeds they hold."""
+    place = [*TEXT, "size", "start"]
+    hits = found.select(*place, F.explode("grams").alias("gram")).distinct().withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
+    known = seeds.groupBy("gram", "size").agg(F.min("n").alias("n"), F.bool_or("seed").alias("seed"))
+    known = hits.join(salted(known), ["gram", "size", "salt"])
+    chosen = (known.groupBy(*place).agg(F.bool_or("seed").alias("any"), F.min_by("gram", F.struct("n", "gram")).alias("rarest"))
+              .join(known.select(*place, "salt", "gram"), place).where("any or gram = rarest"))
+    return (chosen.join(salted(seeds.select("gram", "item", "size", "seed")), ["gram", "size", "salt"])
+            .where("seed or not any").groupBy(*place, "item").agg(F.count("*").alias("n_seeds")))
+
+
+# --- alignment
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Best local alignment: its score and its end in the text. One row of the table at a time."""
@@ -112,112 +256,70 @@ def most(item: np.ndarray, text: np.ndarray) -> int:
     return MATCH * int(np.minimum(n[a], m[b]).sum())
 
 
-def judge(items: Items, rare: np.ndarray, text: str | None, least: float = 0.0) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, seeds, first word, end word) of the best passage for each item that shares an n-gram with the text.
-
-    Passages that cannot reach the least score are not aligned.
-    """
-    w, places, grams = items.read(text)
-    spans: dict[int, list[tuple[int, int, bool]]] = {}
-    for at, k in zip(places, grams):
-        for i, there, few in rare[k]:
-            size = len(items.words[i])
-            spans.setdefault(i, []).append((max(0, int(at) - there - size // 2), int(at) - there + size + size // 2, few))
-    out = []
-    for i, found in spans.items():
-        item, best, seeds = items.words[i], (0, 0, 0), 0
-        found.sort()
-        start, stop, own = found[0]
-        for a, b, few in [*found[1:], (math.inf, 0, False)]:
-            if a <= stop:
-                stop, own = max(stop, b), own + few
-                continue
-            seeds += max(1, own)  # without a rare n-gram the rarest one is the seed
-            passage = w[start:stop]
-            bound = most(item, passage)
-            if bound > best[0] and bound / (MATCH * len(item)) >= least:
-                score, end = align(item, passage)
-                if score > best[0]:
-                    _, back = align(item[::-1], passage[:end][::-1])
-                    best = (score, start + end - back, start + end)
-            start, stop, own = a, b, few
-        out.append((i, best[0] / (MATCH * len(item)), seeds, best[1], best[2]))
-    return out
-
-
-def _blocks(docs: DataFrame, items: DataFrame) -> Iterator[tuple[Items, np.ndarray]]:
-    """Each block of items with its seeds."""
-    items = items.select("item_id", "text").where("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    parts = -(-total // BLOCK_WORDS)
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
-        block = Items(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        shipped = docs.sparkSession.sparkContext.broadcast(_packed(block))
-
-        def count(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            own = _unpacked(shipped.value)
-            seen = np.zeros(len(own.grams), np.int64)
-            for batch in batches:
-                for text in batch["text"].to_pylist():
-                    seen[np.unique(own.read(text)[2])] += 1
-            at = np.flatnonzero(seen)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["k", "n"])
-
-        seen = np.zeros(len(block.grams), np.int64)
-        for r in docs.select("text").mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-            seen[r["k"]] = r["n"]
-        yield block, block.seeds(seen)
-
-
-def _packed(block: Items) -> dict:
-    return dict(vars(block))
-
-
-def _unpacked(state: dict) -> Items:
-    block = object.__new__(Items)
-    vars(block).update(state)
-    return block
-
-
-def _over(docs: DataFrame, items: DataFrame, step: Callable, least: float) -> Iterator[Callable]:
-    """A function for `mapInArrow` per block of items."""
-    for block, rare in _blocks(docs, items):
-        shipped = docs.sparkSession.sparkContext.broadcast((_packed(block), rare))
-
-        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
-            state, seeds = shipped.value
-            own = _unpacked(state)
-            for batch in batches:
-                yield step(batch, [judge(own, seeds, t, least) for t in batch["text"].to_pylist()], own.names)
-
-        yield run
+def best(item: list[str], passage: list[str], least: float) -> tuple[float, int, int]:
+    """Score and words of the best place; what cannot reach the least score is not aligned."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    own = np.array([number[w] for w in item], np.int64)
+    text = np.array([number.get(w, -1) for w in passage], np.int64)
+    if most(own, text) < least * MATCH * len(own):
+        return 0.0, 0, 0
+    score, end = align(own, text)
+    _, back = align(own[::-1], text[:end][::-1])
+    return score / (MATCH * len(own)), end - back, end
+
+
+def verdicts(docs: DataFrame, items: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(t1, t2, item, score, n_seeds, word_start, word_end) of texts and items that align well enough, and (item, text)."""
+    own = stored(item_grams(items), "items")
+    seeds = rarity(docs, own)
+    found = stored(passages(docs, seeds), "passages")
+    place = [*TEXT, "size", "start"]
+    meet = (pairs(found, seeds).join(found.select(*place, F.col("words").alias("passage")).dropDuplicates(place), place)
+            .withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
+            .join(salted(own.select("item", "words").dropDuplicates(["item"])), ["item", "salt"])
+            .select(*TEXT, "item", "n_seeds", "start", "words", "passage"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [best(i, p, least) for i, p in zip(batch["words"].to_pylist(), batch["passage"].to_pylist())]
+            start = batch["start"].to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c] for c in (*TEXT, "item")), pa.array([s for s, _, _ in scores], pa.float64()), batch["n_seeds"],
+                 *(long(start + np.array([s[k] for s in scores], np.int64)) for k in (1, 2))],
+                [*TEXT, "item", "score", "n_seeds", "word_start", "word_end"])
+
+    aligned = meet.mapInArrow(run, "t1 long, t2 long, item long, score double, n_seeds long, word_start long, word_end long")
+    top = F.max_by(F.struct("score", "word_start", "word_end"), F.struct("score", -F.col("word_start"))).alias("b")
+    out = aligned.where(F.col("score") >= least).groupBy(*TEXT, "item").agg(top, F.sum("n_seeds").alias("n_seeds"))
+    return stored(out.select(*TEXT, "item", "b.score", "n_seeds", "b.word_start", "b.word_end"), "verdicts"), own.select("item", "text")
 
 
 def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, word_start, word_end) of each document and item that align well enough."""
-    kinds = {"doc_id": docs.schema["doc_id"].dataType.simpleString(), "item_id": items.schema["item_id"].dataType.simpleString()}
-    schema = f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}, score double, n_seeds long, word_start long, word_end long"
+    out, own = verdicts(docs, items, least)
+    named = items.select("item_id", "text").join(own, "text").select("item_id", "item")
+    rows = suspects(docs.select("doc_id", "text"), out).select("row.doc_id", *TEXT, row_salt())
+    met = rows.join(salted(out), [*TEXT, "salt"])
+    return met.join(salted(named), ["item", "salt"]).select("doc_id", "item_id", "score", "n_seeds", "word_start", "word_end")
 
-    def step(batch: pa.RecordBatch, found: list, names: list) -> pa.RecordBatch:
-        rows = [(r, names[i], s, n, a, b) for r, hits in enumerate(found) for i, s, n, a, b in hits if s >= least]
-        cols = list(zip(*rows)) if rows else [()] * 6
-        return pa.RecordBatch.from_arrays(
-            [batch["doc_id"].take(pa.array(cols[0], pa.int32())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
-             *[pa.array(c, pa.int64()) for c in cols[3:]]], ["doc_id", "item_id", "score", "n_seeds", "word_start", "word_end"])
 
-    slim, out = docs.select("doc_id", "text"), docs.sparkSession.createDataFrame([], schema)
-    for run in _over(slim, items, step, least):
-        out = out.unionByName(slim.mapInArrow(run, schema))
-    return out
+def suspects(docs: DataFrame, out: DataFrame, other: bool = False) -> DataFrame:
+    """(row, t1, t2): the documents, with their text's key, that pass a filter of contaminated texts; or the others."""
+    known = docs.sparkSession.sparkContext.broadcast(as_filter(out.select(F.col("t1").alias("gram")).distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            there = np.zeros(batch.num_rows, bool)
+            there[passes(batch["t1"].to_numpy().view(np.uint64), known.value)] = True
+            yield batch.filter(pa.array(there != other))
+
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    return keyed.mapInArrow(run, keyed.schema)
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents, all columns, that hold no passage of an item."""
-    def step(batch: pa.RecordBatch, found: list, names: list) -> pa.RecordBatch:
-        return batch.filter(pa.array([all(h[1] < least for h in hits) for hits in found], pa.bool_()))
-
-    out = docs
-    for run in _over(docs, items, step, least):
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    out, _ = verdicts(docs, items, least)
+    bad = salted(out.select(*TEXT).distinct())
+    kept = suspects(docs, out).withColumn("salt", row_salt()).join(bad, [*TEXT, "salt"], "left_anti")
+    return suspects(docs, out, other=True).select("row.*").union(kept.select("row.*"))

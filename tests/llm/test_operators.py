@@ -110,6 +110,54 @@ def test_decontaminate_copied_leaks(spark, copies):
     assert [r["doc_id"] for r in decontaminate.clean(frame_, items).collect()] == [9]
 
 
+def test_decontaminate_against_all_pairs(spark, small):
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    texts = {r["doc_id"]: decontaminate.words(r["text"]) for r in small.collect()}
+    want = set()
+    for r in items.collect():
+        item = decontaminate.words(r["text"])
+        for doc, text in texts.items():
+            if len(item) >= decontaminate.WIDTH:
+                score = decontaminate.best(item, text, decontaminate.LEAST)[0]
+                want |= {(doc, r["item_id"], round(score, 9))} if score >= decontaminate.LEAST else set()
+    got = decontaminate.matches(small, items).collect()
+    assert want and {(r["doc_id"], r["item_id"], round(r["score"], 9)) for r in got} == want
+
+
+def test_a_common_phrase_is_no_seed(spark):
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    noise = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{noise(8)} how many did he {noise(8)}" for _ in range(500)]
+    items = spark.createDataFrame([*enumerate(texts)], "item_id long, text string")
+    clash = [f"{noise(40)} how many did he {noise(40)}" for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, "x") for i, t in enumerate([*clash, f"{noise(40)} {texts[7]}", LONG, LONG])],
+                                 "doc_id long, text string, t1 int, t2 int, salt int, row string")
+    own = decontaminate.item_grams(items).cache()
+    seeds = decontaminate.rarity(docs, own)
+    met = decontaminate.pairs(decontaminate.passages(docs, seeds), seeds)
+    assert met.select("t1").distinct().count() == met.select("item").distinct().count() == 1
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, items).collect()] == [(40, 7)]
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [*range(40), 41, 42]
+
+
+@pytest.mark.parametrize("part", [40, 24])
+def test_copies_with_different_edits(spark, part):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    item = [word() for _ in range(40)]
+    docs = []
+    for i in range(400):
+        copy = item[:part]
+        for k in rng.sample(range(part), 3 if part == 40 else 1):
+            copy[k] = word()
+        docs.append((i, " ".join([*(word() for _ in range(20)), *copy, *(word() for _ in range(20))]), None, None))
+    items = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    want = [i for i, t, _, _ in docs if decontaminate.best(item, t.split(), decontaminate.LEAST)[0] >= decontaminate.LEAST]
+    assert len(want) > 300 and sorted(r["doc_id"] for r in decontaminate.matches(frame(spark, docs), items).collect()) == want
+
+
 def test_align_is_smith_waterman():
     rng = random.Random(2)
     for _ in range(200):
