@@ -25,9 +25,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ from codewarden.llm.common import stored
 
 WIDTH, RARE, LEAST, CLOSE, REACH, SALTS = 4, 4, 0.5, 4, 24, 16
 FILTER_BITS, PROBES, VOCABULARY = 28, 6, 1 << 20
+PORTION, END = 1 << 18, (None,)
 MATCH, OTHER, GAP = 2, -1, -1
 MARKS = ".,;:!?()[]{}<>\"'`*_|~-"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -48,12 +51,12 @@ def words(text: str | None) -> list[str]:
 # --- n-grams
 
 class Vocabulary(dict):
-    """Hashes of words; it starts anew when it is full."""
+    """Hashes of words, and 0 for the end of a text; it starts anew when it is full."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | None) -> int:
         if len(self) >= VOCABULARY:
             self.clear()
-        self[word] = code = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest()) | 1
+        self[word] = code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1 if word is not None else 0
         return code
 
 
@@ -65,19 +68,31 @@ def mixed(columns: list[np.ndarray]) -> np.ndarray:
     return h * FACTOR
 
 
-def grams(w: list[str], known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram at each place, and the words around the places."""
-    if len(w) < WIDTH:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-    n = len(w) - WIDTH + 1
-    return mixed([h[k:n + k] for k in range(WIDTH)]), np.concatenate([np.zeros(1, np.uint64), h, np.zeros(1, np.uint64)])
+def grams(texts: list[list[str]], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram at each place of the texts in a row, the place where each text begins, and the words around the places.
+
+    Ends of texts are words too, so n-grams across them are in no item.
+    """
+    size = np.array([len(w) + 1 for w in texts], np.int64)
+    h = np.fromiter(map(known.__getitem__, chain(END, chain.from_iterable(chain(w, END) for w in texts))), np.uint64, 1 + int(size.sum()))
+    n = max(0, len(h) - WIDTH - 1)
+    return mixed([h[k + 1:n + k + 1] for k in range(WIDTH)]), np.cumsum(size) - size, h
 
 
 def neighbours(around: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed([around[at], around[at + WIDTH + 1]])
 
 
+def portions(texts: list[str | None]) -> Iterator[slice]:
+    """Ranges of about `PORTION` characters."""
+    begin, held = 0, 0
+    for k, text in enumerate(texts):
+        held += len(text or "")
+        if held >= PORTION or k == len(texts) - 1:
+            yield slice(begin, k + 1)
+            begin, held = k + 1, 0
+
+
 def shifts(bits: int) -> list[int]:
     """Where in a code its places in a filter begin."""
     return [k * (64 - bits) // (PROBES - 1) for k in range(PROBES)]
@@ -102,6 +117,8 @@ def passes(code: np.ndarray, known: tuple[int, np.ndarray]) -> np.ndarray:
     for k in shifts(bits):
         x = code[at] >> np.uint64(k) & np.uint64((1 << bits) - 1)
         at = at[there[x >> np.uint64(6)] >> (x & np.uint64(63)) & np.uint64(1) == 1]
+        if not len(at):
+            break
     return at
 
 
@@ -118,7 +135,7 @@ def item_grams(items: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch["text"].to_pylist():
                 w = words(text)
-                code, around = grams(w, known)
+                code, _, around = grams([w], known)
                 if len(code):
                     item = int.from_bytes(hashlib.blake2b("\n".join(w).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
                     yield pa.RecordBatch.from_arrays(
@@ -138,11 +155,11 @@ def found_contexts(docs: DataFrame, known: tuple[int, np.ndarray]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, held = Vocabulary(), []
         for batch in batches:
-            for text in batch["text"].to_pylist():
-                code, around = grams(words(text), vocabulary)
+            texts = batch["text"].to_pylist()
+            for part in portions(texts):
+                code, _, around = grams(list(map(words, texts[part])), vocabulary)
                 at = passes(code, shipped.value)
-                if len(at):
-                    held.append((code[at], neighbours(around, at)))
+                held.append((code[at], neighbours(around, at)))
             if held:
                 code, context = map(np.concatenate, zip(*held))
                 _, first = np.unique(mixed([code, context]), return_index=True)
@@ -168,6 +185,28 @@ def rarity(docs: DataFrame, own: DataFrame) -> DataFrame:
 
 # --- passages
 
+def around_seeds(key: tuple, w: list[str], code: np.ndarray, hits: np.ndarray, rare: dict, own: dict) -> list[tuple]:
+    """The passages of a text around its seeds and its stretches of close n-grams, for each size of items."""
+    rows = []
+    for size in own:
+        at = hits[passes(code[hits], own[size])]
+        start = np.zeros(len(at), bool)
+        start[passes(code[at], rare[size])] = True
+        dense = np.flatnonzero(at[CLOSE - 1:] - at[:max(0, len(at) - CLOSE + 1)] <= REACH)
+        start[(dense[:, None] + np.arange(CLOSE)).ravel()] = True
+        reach, stop, begin = 3 << size - 1, -1, 0
+        for p in [*at[start].tolist(), None]:
+            if p is not None and p - reach <= stop:
+                stop = p + WIDTH + reach
+                continue
+            if stop >= 0:
+                inner = at[np.searchsorted(at, begin):np.searchsorted(at, stop)]
+                rows.append((*key, size, begin, w[begin:stop], np.unique(code[inner]).view(np.int64)))
+            if p is not None:
+                begin, stop = max(0, p - reach), p + WIDTH + reach
+    return rows
+
+
 def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(t1, t2, size, start, words, grams): for each size of items the passages that may hold one."""
     sizes = [r["size"] for r in seeds.select("size").distinct().orderBy("size").collect()]
@@ -180,27 +219,14 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
         every, rare, own = shipped.value
         vocabulary = Vocabulary()
         for batch in batches:
-            rows = []
-            for text, *key in zip(*(batch[c].to_pylist() for c in ("text", *TEXT))):
-                w = words(text)
-                code, _ = grams(w, vocabulary)
-                hits = passes(code, every)
-                for size in own if len(hits) else ():
-                    at = hits[passes(code[hits], own[size])]
-                    start = np.zeros(len(at), bool)
-                    start[passes(code[at], rare[size])] = True
-                    dense = np.flatnonzero(at[CLOSE - 1:] - at[:max(0, len(at) - CLOSE + 1)] <= REACH)
-                    start[(dense[:, None] + np.arange(CLOSE)).ravel()] = True
-                    reach, stop, begin = 3 << size - 1, -1, 0
-                    for p in [*at[start].tolist(), None]:
-                        if p is not None and p - reach <= stop:
-                            stop = p + WIDTH + reach
-                            continue
-                        if stop >= 0:
-                            inner = at[np.searchsorted(at, begin):np.searchsorted(at, stop)]
-                            rows.append((*key, size, begin, w[begin:stop], np.unique(code[inner]).view(np.int64)))
-                        if p is not None:
-                            begin, stop = max(0, p - reach), p + WIDTH + reach
+            rows, texts, keys = [], batch["text"].to_pylist(), list(zip(*(batch[c].to_pylist() for c in TEXT)))
+            for part in portions(texts):
+                split = list(map(words, texts[part]))
+                codes, starts, _ = grams(split, vocabulary)
+                there = passes(codes, every)
+                of = np.searchsorted(starts, there, "right") - 1
+                for i in np.unique(of).tolist():
+                    rows += around_seeds(keys[part][i], split[i], codes[starts[i]:], there[of == i] - starts[i], rare, own)
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
