@@ -24,23 +24,27 @@ matches, a very long text is read whole, and other columns are kept by `clean` a
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codewarden.llm.common import stored
 
 WIDTH, RARE, LEAST, CLOSE, REACH, SALTS = 4, 4, 0.5, 4, 24, 16
-FILTER_BITS, PROBES, VOCABULARY = 28, 6, 1 << 20
-PORTION, END = 1 << 18, (None,)
+FILTER_BITS, PROBES = 28, 6
+PORTION = 1 << 18
 MATCH, OTHER, GAP = 2, -1, -1
 MARKS = ".,;:!?()[]{}<>\"'`*_|~-"
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: White space as `str.split` knows it: in ASCII, and beyond.
+SPACES = [i for i in range(128) if chr(i).isspace()]
+WIDE_SPACE = re.compile(f"[{''.join(c for c in map(chr, range(128, 1 << 16)) if c.isspace())}]")
+CUT = re.compile(rb"\s")
 TEXT = ("t1", "t2")
 
 
@@ -50,14 +54,47 @@ def words(text: str | None) -> list[str]:
 
 # --- n-grams
 
-class Vocabulary(dict):
-    """Hashes of words, and 0 for the end of a text; it starts anew when it is full."""
+class Hashes:
+    """Odd hashes of the words of texts, from all their bytes at once: sums of powers, of which a word takes its share.
 
-    def __missing__(self, word: str | None) -> int:
-        if len(self) >= VOCABULARY:
-            self.clear()
-        self[word] = code = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) | 1 if word is not None else 0
-        return code
+    Equal words have equal hashes. Two words may share one by chance; what meets by them is aligned by its words.
+    """
+
+    def __init__(self) -> None:
+        byte = np.arange(256, dtype=np.uint8)
+        self.value = mixed([np.arange(1, 257, dtype=np.uint64)])
+        self.space, self.mark = np.isin(byte, SPACES), np.isin(byte, np.frombuffer(MARKS.encode(), np.uint8))
+        self.power = self.inverse = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if n > len(self.power):
+            self.power, self.inverse = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, f, np.uint64))]) for f in (FACTOR, BACK))
+
+    def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words begin, without the marks at their ends, and their hashes."""
+        x = np.frombuffer(data, np.uint8)
+        self.grow(len(x))
+        space = self.space[x]
+        inner = np.flatnonzero(~(space | self.mark[x]))
+        if not len(inner):
+            return inner, np.zeros(0, np.uint64)
+        of = np.cumsum(space, dtype=np.int32)[inner]
+        new = np.flatnonzero(of[1:] != of[:-1])
+        first, last = inner[np.append(0, new + 1)], inner[np.append(new, len(inner) - 1)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[x] * self.power[:len(x)])])
+        return first, mixed([(sums[last + 1] - sums[first]) * self.inverse[first]]) | np.uint64(1)
+
+    def of(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any length, in blocks that end between two words."""
+        begins, codes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+        while at < len(data):
+            cut = CUT.search(data, at + PORTION)
+            end = cut.end() if cut else len(data)
+            first, code = self.block(data[at:end])
+            begins.append(first + at)
+            codes.append(code)
+            at = end
+        return np.concatenate(begins), np.concatenate(codes)
 
 
 def mixed(columns: list[np.ndarray]) -> np.ndarray:
@@ -68,15 +105,18 @@ def mixed(columns: list[np.ndarray]) -> np.ndarray:
     return h * FACTOR
 
 
-def grams(texts: list[list[str]], known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-gram at each place of the texts in a row, the place where each text begins, and the words around the places.
+def grams(texts: list[str | None], known: Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram at each place of the texts' `words` in a row, the place where each text begins, and the words around the places.
 
-    Ends of texts are words too, so n-grams across them are in no item.
+    Ends of texts are words too, of hash 0, so n-grams across them are in no item.
     """
-    size = np.array([len(w) + 1 for w in texts], np.int64)
-    h = np.fromiter(map(known.__getitem__, chain(END, chain.from_iterable(chain(w, END) for w in texts))), np.uint64, 1 + int(size.sum()))
+    data = [WIDE_SPACE.sub(" ", (t or "").lower()).encode("utf-8", "surrogatepass") for t in texts]
+    begin, code = known.of(b" ".join(data))
+    of = np.searchsorted(np.cumsum([len(d) + 1 for d in data]), begin, "right")
+    h = np.zeros(1 + len(code) + len(texts), np.uint64)
+    h[1 + np.arange(len(code)) + of] = code
     n = max(0, len(h) - WIDTH - 1)
-    return mixed([h[k + 1:n + k + 1] for k in range(WIDTH)]), np.cumsum(size) - size, h
+    return mixed([h[k + 1:n + k + 1] for k in range(WIDTH)]), np.flatnonzero(h == 0)[:-1], h
 
 
 def neighbours(around: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -131,11 +171,11 @@ def long(x: np.ndarray) -> pa.Array:
 def item_grams(items: DataFrame) -> DataFrame:
     """(item, words, size, gram, context): the n-grams of each different text of an item; `size` is a power of two."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary()
+        known = Hashes()
         for batch in batches:
             for text in batch["text"].to_pylist():
                 w = words(text)
-                code, _, around = grams([w], known)
+                code, _, around = grams([text], known)
                 if len(code):
                     item = int.from_bytes(hashlib.blake2b("\n".join(w).encode("utf-8", "surrogatepass"), digest_size=8).digest(), signed=True)
                     yield pa.RecordBatch.from_arrays(
@@ -153,11 +193,11 @@ def found_contexts(docs: DataFrame, known: tuple[int, np.ndarray]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held = Vocabulary(), []
+        hashes, held = Hashes(), []
         for batch in batches:
             texts = batch["text"].to_pylist()
             for part in portions(texts):
-                code, _, around = grams(list(map(words, texts[part])), vocabulary)
+                code, _, around = grams(texts[part], hashes)
                 at = passes(code, shipped.value)
                 held.append((code[at], neighbours(around, at)))
             if held:
@@ -217,16 +257,15 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every, rare, own = shipped.value
-        vocabulary = Vocabulary()
+        known = Hashes()
         for batch in batches:
             rows, texts, keys = [], batch["text"].to_pylist(), list(zip(*(batch[c].to_pylist() for c in TEXT)))
             for part in portions(texts):
-                split = list(map(words, texts[part]))
-                codes, starts, _ = grams(split, vocabulary)
+                codes, starts, _ = grams(texts[part], known)
                 there = passes(codes, every)
                 of = np.searchsorted(starts, there, "right") - 1
                 for i in np.unique(of).tolist():
-                    rows += around_seeds(keys[part][i], split[i], codes[starts[i]:], there[of == i] - starts[i], rare, own)
+                    rows += around_seeds(keys[part][i], words(texts[part][i]), codes[starts[i]:], there[of == i] - starts[i], rare, own)
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
@@ -324,13 +363,13 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFram
     """(doc_id, item_id, score, n_seeds, word_start, word_end) of each document and item that align well enough."""
     out, own = verdicts(docs, items, least)
     named = items.select("item_id", "text").join(own, "text").select("item_id", "item")
-    rows = suspects(docs.select("doc_id", "text"), out).select("row.doc_id", *TEXT, row_salt())
+    rows = suspects(docs, out, ("doc_id",)).select("row.doc_id", *TEXT, row_salt())
     met = rows.join(salted(out), [*TEXT, "salt"])
     return met.join(salted(named), ["item", "salt"]).select("doc_id", "item_id", "score", "n_seeds", "word_start", "word_end")
 
 
-def suspects(docs: DataFrame, out: DataFrame, other: bool = False) -> DataFrame:
-    """(row, t1, t2): the documents, with their text's key, that pass a filter of contaminated texts; or the others."""
+def suspects(docs: DataFrame, out: DataFrame, columns: tuple[str, ...] = ("*",), other: bool = False) -> DataFrame:
+    """(row, t1, t2): columns of the documents, with their text's key, that pass a filter of contaminated texts; or of the others."""
     known = docs.sparkSession.sparkContext.broadcast(as_filter(out.select(F.col("t1").alias("gram")).distinct()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,7 +378,7 @@ def suspects(docs: DataFrame, out: DataFrame, other: bool = False) -> DataFrame:
             there[passes(batch["t1"].to_numpy().view(np.uint64), known.value)] = True
             yield batch.filter(pa.array(there != other))
 
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    keyed = docs.select(F.struct(*columns).alias("row"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
     return keyed.mapInArrow(run, keyed.schema)
 
 

@@ -110,6 +110,22 @@ def test_decontaminate_copied_leaks(spark, copies):
     assert [r["doc_id"] for r in decontaminate.clean(frame_, items).collect()] == [9]
 
 
+def test_words_and_their_hashes():
+    texts = [None, "", " ... -- ", "The cat, the hat; (THE) cat-flap", "a\x1cb\u00a0c\u2003d\u3000e\u0085f", "act cat tac\ncat\tact", "ΟΔΟΣ ΑΣ. é.è \ud800 É.È",
+             "word " * 200_000 + "end", "x" * 600_000 + " cat", "line\n" * 100_000]
+    known = decontaminate.Hashes()
+    code, starts, around = decontaminate.grams(texts, known)
+    want = [None, *(w for t in texts for w in (*decontaminate.words(t), None))]
+    number = {w: i for i, w in enumerate(dict.fromkeys(want))}
+    own = dict(zip(around.tolist(), (number[w] for w in want)))
+    assert len(around) == len(want) and len(own) == len(number) and [own[h] for h in around.tolist()] == [number[w] for w in want]
+    ends = [i for i, w in enumerate(want) if w is None]
+    assert starts.tolist() == ends[:-1] and len(code) == len(want) - decontaminate.WIDTH - 1
+    # the same in other portions and another process
+    for text in texts:
+        assert set(decontaminate.grams([text], decontaminate.Hashes())[2].tolist()) <= set(own)
+
+
 def test_decontaminate_against_all_pairs(spark, small):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     texts = {r["doc_id"]: decontaminate.words(r["text"]) for r in small.collect()}
