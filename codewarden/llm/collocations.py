@@ -9,7 +9,7 @@ phrase, which may be too high for a hash of two phrases but never too low; a las
 only those whose sums are high enough. A longer phrase is only visited if both phrases of one word less may be frequent.
 
 Hashes are sent as sorted runs, one per task and range of hashes; there are as many ranges as `RANGE` words fit into the
-texts, and a task merges one range at a time. What may be frequent goes to the tasks as a filter of at most `FILTER_BITS`
+texts, and a task merges one range at a time. Hashes have 32 to 48 bits, as many as the number of words asks for. What may be frequent goes to the tasks as a filter of at most `FILTER_BITS`
 bits, whatever its size: it never refuses a frequent phrase, and what it lets through in error is counted exactly and
 dropped by its sum. Phrases meet by language and phrase. Scores are whole numbers of up to 38 digits.
 
@@ -41,7 +41,7 @@ TASK = 4_000_000
 #: A full stop stands for every mark between pieces; A to Z are lower-cased.
 LETTERS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-RUNS = "range long, first long, step_width int, steps binary, count_width int, counts binary"
+RUNS = "range long, first long, dropped int, step_width int, steps binary, counts binary"
 SHARDS = "langs array<string>, starts array<int>, sizes array<long>, words binary, left binary, right binary"
 
 
@@ -137,30 +137,50 @@ def merged(h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(a[order], first) if len(h) else a
 
 
-def smallest(x: np.ndarray) -> np.ndarray:
-    """The numbers in the narrowest type that holds them."""
-    return x.astype(next(t for t in ("u1", "u2", "u4", "u8") if int(x.max(initial=0)) <= np.iinfo(t).max))
+def dropped_bits(size: int) -> int:
+    """Low bits of a hash that so many words do without: under one in a hundred phrases shares the rest with another one."""
+    return min(16, max(0, 48 - 8 * -(-(size.bit_length() + 7) // 8)))
 
 
-def runs(h: np.ndarray, a: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """Sorted hashes with their counts, cut into ranges: the first hash, then steps."""
-    of = (h >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)
+def packed(x: np.ndarray) -> tuple[int, bytes]:
+    """The numbers in as few whole bytes as the largest needs."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return width, x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(width: int, data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
+
+
+def runs(h: np.ndarray, a: np.ndarray, ranges: int, dropped: int) -> pa.RecordBatch:
+    """Hashes without their low bits, sorted, with their counts, cut into ranges: the first one, then steps.
+
+    A count takes one byte; a higher one is sent in several parts.
+    """
+    low = np.uint64(dropped)
+    h, a = merged(h >> low, a)
+    times = np.maximum(1, -(-a // 255))
+    last = np.cumsum(times) - 1
+    counts = np.full(int(times.sum()), 255, np.uint8)
+    counts[last] = a - 255 * (times - 1)
+    h = np.repeat(h, times)
+    of = (h << low >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)
     edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(h)]
-    rows = [(int(of[i]), int(h[i]), smallest(np.diff(h[i:j])), smallest(a[i:j])) for i, j in zip(edges, edges[1:]) if j > i]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-         pa.array([r[2].itemsize for r in rows], pa.int32()), pa.array([r[2].tobytes() for r in rows], pa.binary()),
-         pa.array([r[3].itemsize for r in rows], pa.int32()), pa.array([r[3].tobytes() for r in rows], pa.binary())],
-        ["range", "first", "step_width", "steps", "count_width", "counts"])
+    rows = [(int(of[i]), int(h[i]), dropped, *packed(np.diff(h[i:j])), counts[i:j].tobytes()) for i, j in zip(edges, edges[1:]) if j > i]
+    cols = list(zip(*rows)) or [()] * 6
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["range", "first", "dropped", "step_width", "steps", "counts"])
 
 
 def read_runs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a range with their sums."""
     hashes, sums = [], []
     for r in group.to_pylist():
-        steps = np.frombuffer(r["steps"], f"u{r['step_width']}").astype(np.uint64)
-        hashes.append(np.cumsum(np.concatenate([np.array([r["first"]], np.uint64), steps]), dtype=np.uint64))
-        sums.append(np.frombuffer(r["counts"], f"u{r['count_width']}").astype(np.int64))
+        steps = np.concatenate([np.array([r["first"]], np.uint64), unpacked(r["step_width"], r["steps"])])
+        hashes.append(np.cumsum(steps, dtype=np.uint64) << np.uint64(r["dropped"]))
+        sums.append(np.frombuffer(r["counts"], np.uint8).astype(np.int64))
     return merged(np.concatenate(hashes), np.concatenate(sums))
 
 
@@ -265,7 +285,7 @@ class Visit:
                  pa.array(self.walk.size[at:at + CHUNK], pa.int64())], ["lang", "phrase", "words", "a"])
 
 
-def frequent_hashes(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]], ranges: int) -> DataFrame:
+def frequent_hashes(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]], ranges: int, dropped: int) -> DataFrame:
     """Hashes of phrases of `n` words that may be frequent."""
     shipped = shards.sparkSession.sparkContext.broadcast(filters)
 
@@ -278,10 +298,10 @@ def frequent_hashes(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.
                     pass
                 held.append((visit.hashed(visit.walk.columns), visit.walk.size))
                 if sum(len(h) for h, _ in held) > HELD:
-                    yield runs(*merged(*map(np.concatenate, zip(*held))), ranges)
+                    yield runs(*map(np.concatenate, zip(*held)), ranges, dropped)
                     held = []
         if held:
-            yield runs(*merged(*map(np.concatenate, zip(*held))), ranges)
+            yield runs(*map(np.concatenate, zip(*held)), ranges, dropped)
 
     sent = shards.mapInArrow(run, RUNS)
     return sent.groupBy("range").applyInArrow(add_runs, "hash long")
@@ -314,7 +334,7 @@ def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     filters: dict[int, tuple[int, np.ndarray]] = {}
     with batches_of(spark, 1):
         for n in range(1, LONGEST + 1):
-            filters[n] = as_filter(stored(frequent_hashes(shards, n, filters, ranges), f"hashes{n}"))
+            filters[n] = as_filter(stored(frequent_hashes(shards, n, filters, ranges, dropped_bits(size)), f"hashes{n}"))
         return stored(count_phrases(shards, filters), "phrases"), sizes
 
 

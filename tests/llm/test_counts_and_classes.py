@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codewarden.llm import collocations, nb_svm, source_audit
@@ -192,6 +193,26 @@ def phrase_rows(rng, n):
     return rows + [(9, "in the long run it is " * 40, "en", "s"), (9, "in the long run it is " * 40, "en", "s")]
 
 
+def test_runs_hold_hashes_and_counts():
+    rng = np.random.default_rng(5)
+    for size, ranges in ((0, 1), (10 ** 6, 1), (10 ** 8, 7), (10 ** 13, 300)):
+        low = collocations.dropped_bits(size)
+        h = np.concatenate([rng.integers(0, 1 << 48, 3000, np.uint64), np.array([0, 0, 1, (1 << 48) - 1], np.uint64)])
+        a = np.concatenate([rng.integers(1, 9, 3000), [255, 1, 70_000, 510]])
+        want = {}
+        for x, n in zip((h >> np.uint64(low) << np.uint64(low)).tolist(), a.tolist()):
+            want[x] = want.get(x, 0) + n
+        sent = collocations.runs(h, a, ranges, low)
+        assert len(set(sent["range"].to_pylist())) == sent.num_rows <= ranges
+        got = {}
+        for k in range(sent.num_rows):
+            hashes, sums = collocations.read_runs(pa.Table.from_batches([sent.slice(k, 1)]))
+            got |= dict(zip(hashes.tolist(), sums.tolist()))
+        assert got == want
+    assert collocations.runs(np.zeros(0, np.uint64), np.zeros(0, np.int64), 3, 8).num_rows == 0
+    assert [collocations.dropped_bits(n) for n in (0, 1 << 27, 1 << 33)] == [16, 8, 0]
+
+
 @pytest.mark.parametrize("shard", [5, 400, collocations.SHARD])
 def test_collocations(spark, nothing, monkeypatch, shard):
     monkeypatch.setattr(collocations, "SHARD", shard)
