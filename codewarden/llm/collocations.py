@@ -154,7 +154,7 @@ def unpacked(width: int, data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def runs(h: np.ndarray, a: np.ndarray, ranges: int, dropped: int) -> pa.RecordBatch:
+def runs(h: np.ndarray, a: np.ndarray, ranges: int, dropped: int = 0) -> pa.RecordBatch:
     """Hashes without their low bits, sorted, with their counts, cut into ranges: the first one, then steps.
 
     A count takes one byte; a higher one is sent in several parts.
