@@ -1,14 +1,15 @@
 """Folder trees as a data source: ``spark.read.format("code_tree")`` and ``df.write.format("code_tree")``.
 
-Reading.  The driver lists upper folders until it has enough of them to share out; tasks list what is below and read the
-files.  Excluded folders are not entered, and files that fail the scan's tests or a pushed filter on ``file_path`` or
+Reading.  The driver lists upper folders until it has enough of them to share out; tasks, as many as asked for at most, list
+what is below and read the files.  Excluded folders are not entered, and files that fail the scan's tests or a pushed filter on ``file_path`` or
 ``size_bytes`` are not opened.  Names that begin with a dot or an underscore, which Spark's file sources leave out, are
 read like others.  Links are not followed; a folder that cannot be read has no entries, a file that cannot be read has a
 null text, and bytes that are not UTF-8 become the replacement character.
 
 Writing.  Tasks write to a staging folder below the root, each under its own attempt, with a list of what belongs where.
 Only when all tasks are done are files moved to their places, parents made, and each file replaced as a whole; a failed
-job removes its staging folder and changes no file.
+job removes its staging folder and changes no file.  The format moves them on the driver, where Spark commits; ``write_tree``
+lets a second job do it, whose tasks may be repeated.
 
 The module is pickled by value, so executors need no copy of the package.
 """
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 
 from codewarden.config import MANDATORY_EXCLUDES, ScanConfig
 from codewarden.functions.paths import ALLOWED_HIDDEN, SCANNABLE_BASENAMES, SCANNABLE_EXTENSIONS
@@ -199,7 +201,9 @@ class TreeReader(ds.DataSourceReader):
                 frontier += folders
                 if files:
                     own.append((folder, sum(size for _, size in files)))
-        shares, held, size = [Share(((folder, True, 0, 1),)) for folder in frontier], [], 0
+        # a level may have a folder for each file: they are dealt to so many tasks, not one task to each
+        deal = min(len(frontier), self.shares)
+        shares, held, size = [Share(tuple((folder, True, 0, 1) for folder in frontier[k::deal])) for k in range(deal)], [], 0
         for folder, bytes_ in own:
             parts = -(-bytes_ // TASK_BYTES) or 1
             if parts > 1:
@@ -246,6 +250,55 @@ class Staged(ds.WriterCommitMessage):
     files: int
 
 
+def _stage(system, folder: str, files: Iterable[tuple[str, str | None]]) -> int:
+    """Puts files into a folder, by number, with the list of their places; how many there are."""
+    places = []
+    for path, code in files:
+        if code is None:
+            continue  # a file that could not be read stays as it is
+        places.append(safe_path(path))
+        if len(places) == 1:
+            system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{len(places) - 1}") as out:
+            out.write(code.encode("utf-8"))
+    if places:
+        with system.open_output_stream(f"{folder}/list") as out:
+            out.write(json.dumps(places).encode())
+    return len(places)
+
+
+def _place(system, folder: str, base: str) -> int:
+    """Moves staged files to their places; what an earlier attempt has moved stays."""
+    from pyarrow import fs
+
+    made: set[str] = set()
+
+    def move(x: tuple[int, str]) -> None:
+        n, rel = x
+        parent = f"{base}/{rel}".rsplit("/", 1)[0]
+        if parent not in made:
+            system.create_dir(parent, recursive=True)
+            made.add(parent)
+        try:
+            system.move(f"{folder}/{n}", f"{base}/{rel}")
+        except OSError:
+            here, there = (i.type for i in system.get_file_info([f"{folder}/{n}", f"{base}/{rel}"]))
+            if here != fs.FileType.NotFound or there != fs.FileType.File:
+                raise
+
+    with system.open_input_stream(f"{folder}/list") as listed:
+        places = json.loads(listed.read())
+    with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
+        return len(list(pool.map(move, enumerate(places))))
+
+
+def _clear(system, folder: str) -> None:
+    from pyarrow import fs
+
+    if system.get_file_info(folder).type == fs.FileType.Directory:
+        system.delete_dir(folder)
+
+
 class TreeWriter(ds.DataSourceWriter):
     def __init__(self, options: dict) -> None:
         self.root, self.stage = options["path"], f".staging-{uuid.uuid4().hex}"
@@ -255,49 +308,19 @@ class TreeWriter(ds.DataSourceWriter):
 
         system, base = _system(self.root)
         attempt = str(TaskContext.get().taskAttemptId())
-        folder, places = f"{base}/{self.stage}/{attempt}", []
-        for row in rows:
-            if row["code"] is None:
-                continue  # a file that could not be read stays as it is
-            places.append(safe_path(row["file_path"]))
-            if len(places) == 1:
-                system.create_dir(folder, recursive=True)
-            with system.open_output_stream(f"{folder}/{len(places) - 1}") as out:
-                out.write(row["code"].encode("utf-8"))
-        if places:
-            with system.open_output_stream(f"{folder}/list") as out:
-                out.write(json.dumps(places).encode())
-        return Staged(attempt, len(places))
+        return Staged(attempt, _stage(system, f"{base}/{self.stage}/{attempt}", ((r["file_path"], r["code"]) for r in rows)))
 
     def commit(self, messages: list[Staged | None]) -> None:
         system, base = _system(self.root)
         system.create_dir(base, recursive=True)
-        made: set[str] = set()
-
-        def move(n: int, folder: str, rel: str) -> None:
-            parent = f"{base}/{rel}".rsplit("/", 1)[0]
-            if parent not in made:
-                system.create_dir(parent, recursive=True)
-                made.add(parent)
-            system.move(f"{folder}/{n}", f"{base}/{rel}")
-
-        with ThreadPoolExecutor(MOVES_AT_ONCE) as pool:
-            for m in messages:
-                if m is not None and m.files:
-                    folder = f"{base}/{self.stage}/{m.attempt}"
-                    with system.open_input_stream(f"{folder}/list") as listed:
-                        places = json.loads(listed.read())
-                    list(pool.map(lambda x: move(x[0], folder, x[1]), enumerate(places)))
-        self._clear(system, base)
+        for m in messages:
+            if m is not None and m.files:
+                _place(system, f"{base}/{self.stage}/{m.attempt}", base)
+        _clear(system, f"{base}/{self.stage}")
 
     def abort(self, messages: list[Staged | None]) -> None:
-        self._clear(*_system(self.root))
-
-    def _clear(self, system, base: str) -> None:
-        from pyarrow import fs
-
-        if system.get_file_info(f"{base}/{self.stage}").type == fs.FileType.Directory:
-            system.delete_dir(f"{base}/{self.stage}")
+        system, base = _system(self.root)
+        _clear(system, f"{base}/{self.stage}")
 
 
 class FileTree(ds.DataSource):
@@ -362,6 +385,32 @@ def read_paths(paths: DataFrame, root: str) -> DataFrame:
 
 
 def write_tree(files: DataFrame, root: str) -> None:
-    """Each row of ``file_path, code`` as a file below ``root``, replaced whole; other files stay.  Paths must not repeat."""
-    register(files.sparkSession)
-    files.select("file_path", "code").write.format(FORMAT).mode("append").save(root)
+    """Each row of ``file_path, code`` as a file below ``root``, replaced whole; other files stay.  Paths must not repeat.
+
+    What ``df.write.format`` does, but tasks also move the files: one job stages them, the next puts them in place.
+    """
+    stage = f".staging-{uuid.uuid4().hex}"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        system, base = _system(root)
+        attempt = str(TaskContext.get().taskAttemptId())
+        rows = ((p, c) for b in batches for p, c in zip(b["file_path"].to_pylist(), b["code"].to_pylist()))
+        yield pa.RecordBatch.from_pydict({"attempt": [attempt], "files": [_stage(system, f"{base}/{stage}/{attempt}", rows)]})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = _system(root)
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"files": [_place(system, f"{base}/{stage}/{a}", base) for a in batch["attempt"].to_pylist()]})
+
+    spark, (system, base) = files.sparkSession, _system(root)
+    try:
+        # one row per task of those attempts that count
+        staged = files.select("file_path", "code").mapInArrow(put, "attempt string, files long").where("files > 0").collect()
+        system.create_dir(base, recursive=True)
+        if staged:
+            attempts = spark.createDataFrame(staged, "attempt string, files long").repartition(len(staged))
+            attempts.mapInArrow(place, "files long").agg(F.sum("files")).collect()
+    finally:
+        _clear(system, f"{base}/{stage}")

@@ -99,6 +99,28 @@ def test_a_failed_job_changes_no_file(spark, tmp_path, bad):
         files.write.format(tree.FORMAT).mode("overwrite").save(str(root))
 
 
+def test_a_folder_for_each_file_is_no_task_for_each(tmp_path):
+    put(tmp_path, {f"src/d{n}/main.py": str(n) for n in range(40)} | {"src/own.py": "x"})
+    reader = tree.TreeReader({"path": str(tmp_path), "shares": "5"})
+    shares = reader.partitions()
+    assert len(shares) == 5 + 1  # and the files beside the folders
+    rows = [r for s in shares for b in reader.read(s) for r in b.to_pylist()]
+    assert sorted(r["file_path"] for r in rows) == sorted(found(tmp_path))
+
+
+def test_files_are_moved_by_tasks_that_may_be_repeated(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree.TreeWriter, "commit", lambda *_: 1 / 0)  # nothing is moved on the driver
+    files = spark.createDataFrame([(f"d{n}/f.py", str(n)) for n in range(30)], "file_path string, code string").repartition(4)
+    tree.write_tree(files, str(tmp_path))
+    assert found(tmp_path) == {f"d{n}/f.py": str(n) for n in range(30)}
+    system, base = tree._system(str(tmp_path))
+    put(tmp_path / "st", {"1": "moved now", "list": '["d0/f.py", "new/g.py"]'})
+    assert tree._place(system, f"{base}/st", base) == 2 and found(tmp_path)["new/g.py"] == "moved now"
+    put(tmp_path / "st", {"list": '["lost.py"]'})
+    with pytest.raises(OSError):
+        tree._place(system, f"{base}/st", base)
+
+
 def test_an_attempt_that_does_not_count_leaves_nothing(tmp_path):
     writer = tree.TreeWriter({"path": str(tmp_path)})
     put(tmp_path / writer.stage, {"1/0": "good", "1/list": '["a/b.py"]', "2/0": "lost attempt", "2/list": '["a/b.py"]'})
