@@ -277,7 +277,8 @@ def _fixes(spark, d, found):
 
 
 def fix_validation(spark, d):
-    return _fixes(spark, d, _scan(spark, d).findings)
+    # findings are asked for by the fixes and by the replies
+    return _fixes(spark, d, _kept(spark, d).findings)
 
 
 def attach_fixes(spark, d):
