@@ -9,7 +9,6 @@ no file is ever joined with a rule or shuffled.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +18,10 @@ from codewarden.catalog.model import Rule
 from codewarden.functions.paths import basename, rule_extension
 from codewarden.functions.text import MARK, MUTED, REPLACEMENT, contains_any, java, quoted, trim_all
 from codewarden.operators.context import CONTEXT_COLUMNS, framed
+from codewarden.operators.literals import open_gates
+
+# Up to so many literals are looked for one by one, in the row; more of them together, in Arrow batches.
+FEW_LITERALS = 20
 
 
 def prepare(files: DataFrame, *extra: str) -> DataFrame:
@@ -49,29 +52,19 @@ def words_of(need) -> tuple[str, ...]:
     return (need,) if isinstance(need, str) else need
 
 
-def shared_words(rules: Sequence[Rule]) -> dict[str, str]:
-    """Literals that several rules for all file types look for first, with the
-    name of the column that holds the answer: each is searched for once per
-    file.  Later literals of a rule are rarely reached and stay where they are.
-    """
-    seen = Counter(w for r in rules if r.file_types is None and r.needs for w in words_of(r.needs[0]))
-    return {w: f"has_{i}" for i, w in enumerate(sorted(w for w, n in seen.items() if n > 1))}
+def literals(rules: Sequence[Rule]) -> set[str]:
+    return {w for r in rules for need in r.needs for w in words_of(need)}
 
 
-def may_match(rule: Rule, shared: dict[str, str]) -> str:
+def may_match(rule: Rule) -> str:
     """Cheap test: file type first, then the literals every match contains."""
-
-    def has(word: str) -> str:
-        return shared.get(word) or f"contains(lowered, {quoted(word)})"
-
     tests = [applies(rule)]
-    tests += ["(" + " OR ".join(has(w) for w in words_of(need)) + ")" for need in rule.needs]
+    tests += ["(" + " OR ".join(f"contains(lowered, {quoted(w)})" for w in words_of(need)) + ")" for need in rule.needs]
     return " AND ".join(tests)
 
 
-def marked(ordinal: int, rule: Rule, shared: dict[str, str]) -> str:
+def marked(ordinal: int, rule: Rule, gate: str) -> str:
     """The rule's ordinal and the text with its matches marked, or null."""
-    gate = may_match(rule, shared)
     if rule.check is not None:
         gate, text = f"{gate} AND {rule.check.gate}", rule.check.marked
     else:
@@ -117,9 +110,10 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
                                      F.lit(0).alias("n_matches"), F.lit("").alias("snippet"), *keep, *none)
     # One expression text for all rules: built column by column it takes the
     # driver seconds.
-    shared = shared_words(rules)
-    hits = F.expr("array(" + ", ".join(marked(i, r, shared) for i, r in enumerate(rules)) + ")")
-    flags = [F.contains(F.col("lowered"), F.lit(w)).alias(name) for w, name in shared.items()]
+    many = len(literals(rules)) > FEW_LITERALS
+    gates = [f"array_contains(may_match, {i})" if many else may_match(r) for i, r in enumerate(rules)]
+    hits = F.expr("array(" + ", ".join(marked(i, r, gate) for i, (r, gate) in enumerate(zip(rules, gates))) + ")")
+    opened = open_gates([(r.file_types, tuple(words_of(need) for need in r.needs)) for r in rules])
     found = F.transform(
         F.filter(hits, lambda h: h.isNotNull() & F.contains(h["marked"], F.lit(MARK))),
         # of the lines without a mark only nulls are made
@@ -132,7 +126,9 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     # The lambda also keeps this one wide expression out of code generation,
     # where it would outgrow the size limit of a method.
     # Only marked lines leave it, whatever the size of the file.
-    ready = prepare(files, *keep).select("*", *flags)
+    ready = prepare(files, *keep)
+    if many:
+        ready = ready.withColumn("may_match", opened("lowered", "ext", "base"))
     if context:
         flat = F.flatten(F.transform(found, lambda h: F.transform(h["lines"], lambda x: F.struct(
             h["rule_ord"].alias("rule_ord"), x["pos"].alias("pos"), x["line"].alias("line")))))

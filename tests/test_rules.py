@@ -7,6 +7,8 @@ import time
 import pytest
 
 from codewarden.catalog import MALICIOUS_RULES, POLICY_RULES, VULNERABILITY_RULES, Rule
+from codewarden.operators import literals
+from codewarden.operators.matching import find_all
 from codewarden.operators.scan import catalog, policy_findings, scan_rules, vulnerability_findings
 from tests import brute
 from workloads.snippets import SNIPPETS
@@ -162,3 +164,21 @@ def test_large_hostile_files_end_soon(make_files):
     start = time.time()
     scan_rules(files.repartition(32), catalog()).count()
     assert time.time() - start < 120
+
+
+def test_many_literals_are_searched_together(make_files):
+    files = make_files(("a.ts", 'const x = eval("1");\n'), ("b.py", "eval(y)\n"), ("Dockerfile", "FROM x:latest\n"), ("none.ts", None), ("empty.ts", ""))
+    found = find_all(files, catalog())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "contains(lowered" not in plan
+    few = [r for r in catalog() if r.rule_id in ("EVAL-001", "no-eval")]
+    assert "ArrowEvalPython" not in find_all(files, few)._jdf.queryExecution().executedPlan().toString()
+    by_id = {i: r.rule_id for i, r in enumerate(catalog())}
+    want = {(r.file_path, few[r.rule_ord].rule_id, r.start_line) for r in find_all(files, few).collect()}
+    assert want and want == {(r.file_path, by_id[r.rule_ord], r.start_line) for r in found.collect() if by_id[r.rule_ord] in ("EVAL-001", "no-eval")}
+
+
+def test_gates_know_types_and_literals():
+    gates = literals.Gates([(None, (("a", "b"), ("c",))), ((".ts", "makefile"), (("a",),)), ((".py",), ()), (None, ())])
+    assert gates.open(b"xbxc", ".js", "x.js") == [0, 3] and gates.open(b"a", ".ts", "x.ts") == [1, 3]
+    assert gates.open(b"a", "", "makefile") == [1, 3] and gates.open("é".encode(), ".py", ".ts") == [2, 3] and gates.open(b"", "", "") == [3]
