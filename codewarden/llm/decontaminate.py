@@ -233,22 +233,27 @@ def around_seeds(key: tuple, w: list[str], code: np.ndarray, hits: np.ndarray, r
         start = np.zeros(len(at), bool)
         start[passes(code[at], rare[size])] = True
         dense = np.flatnonzero(at[CLOSE - 1:] - at[:max(0, len(at) - CLOSE + 1)] <= REACH)
-        start[(dense[:, None] + np.arange(CLOSE)).ravel()] = True
-        reach, stop, begin = 3 << size - 1, -1, 0
-        for p in [*at[start].tolist(), None]:
+        close = np.zeros(len(at), bool)
+        close[(dense[:, None] + np.arange(CLOSE)).ravel()] = True
+        start |= close
+        reach, stop, begin, stretch = 3 << size - 1, -1, 0, False
+        for p, c in [*zip(at[start].tolist(), close[start].tolist()), (None, False)]:
             if p is not None and p - reach <= stop:
-                stop = p + WIDTH + reach
+                stop, stretch = p + WIDTH + reach, stretch or c
                 continue
             if stop >= 0:
                 inner = at[np.searchsorted(at, begin):np.searchsorted(at, stop)]
-                rows.append((*key, size, begin, w[begin:stop], np.unique(code[inner]).view(np.int64)))
+                rows.append((*key, size, begin, stretch, w[begin:stop], np.unique(code[inner]).view(np.int64)))
             if p is not None:
-                begin, stop = max(0, p - reach), p + WIDTH + reach
+                begin, stop, stretch = max(0, p - reach), p + WIDTH + reach, c
     return rows
 
 
 def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(t1, t2, size, start, words, grams): for each size of items the passages that may hold one."""
+    """(t1, t2, size, start, stretch, words, grams): for each size of items the passages that may hold one.
+
+    `stretch` says whether one holds a stretch of close n-grams.
+    """
     sizes = [r["size"] for r in seeds.select("size").distinct().orderBy("size").collect()]
     every = as_filter(seeds.select("gram").distinct())
     rare = {z: as_filter(seeds.where(F.col("seed") & (F.col("size") == z)).select("gram").distinct()) for z in sizes}
@@ -269,11 +274,11 @@ def passages(docs: DataFrame, seeds: DataFrame) -> DataFrame:
             if rows:
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())))],
-                    [*TEXT, "size", "start", "words", "grams"])
+                    [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64())))],
+                    [*TEXT, "size", "start", "stretch", "words", "grams"])
 
     texts = docs.select("text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).where("text is not null")
-    return texts.mapInArrow(run, "t1 long, t2 long, size int, start long, words array<string>, grams array<long>")
+    return texts.mapInArrow(run, "t1 long, t2 long, size int, start long, stretch boolean, words array<string>, grams array<long>")
 
 
 def row_salt() -> Column:
@@ -285,13 +290,16 @@ def salted(df: DataFrame) -> DataFrame:
 
 
 def pairs(found: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(t1, t2, size, start, item, n_seeds): passages with the items whose seeds they hold."""
+    """(t1, t2, size, start, item, n_seeds): passages with the items whose seeds they hold.
+
+    One without seeds meets the items of its rarest n-gram if it has a stretch; else the filter of seeds let it in by error.
+    """
     place = [*TEXT, "size", "start"]
-    hits = found.select(*place, F.explode("grams").alias("gram")).distinct().withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
+    hits = found.select(*place, "stretch", F.explode("grams").alias("gram")).distinct().withColumn("salt", F.pmod("t1", F.lit(SALTS)).cast("int"))
     known = seeds.groupBy("gram", "size").agg(F.min("n").alias("n"), F.bool_or("seed").alias("seed"))
     known = hits.join(salted(known), ["gram", "size", "salt"])
-    chosen = (known.groupBy(*place).agg(F.bool_or("seed").alias("any"), F.min_by("gram", F.struct("n", "gram")).alias("rarest"))
-              .join(known.select(*place, "salt", "gram"), place).where("any or gram = rarest"))
+    chosen = (known.groupBy(*place).agg(F.bool_or("seed").alias("any"), F.bool_or("stretch").alias("close"), F.min_by("gram", F.struct("n", "gram")).alias("rarest"))
+              .join(known.select(*place, "salt", "gram"), place).where("any or close and gram = rarest"))
     return (chosen.join(salted(seeds.select("gram", "item", "size", "seed")), ["gram", "size", "salt"])
             .where("seed or not any").groupBy(*place, "item").agg(F.count("*").alias("n_seeds")))
 
