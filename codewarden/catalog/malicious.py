@@ -71,7 +71,7 @@ MALICIOUS_RULES: tuple[Rule, ...] = (
        "Copied text is replaced on its way to the clipboard.",
        "Remove it unless it is a deliberate formatting feature."),
     _m("OBF-001", "Code Obfuscation Detected", "critical", "obfuscation", "g",
-       (("eval", "string.fromcharcode("),),
+       (("eval", "string.fromcharcode("), ("atob", "unescape", "decodeuricomponent", "string.fromcharcode(")),
        r"""(?:eval\s*\(atob|eval\s*\(unescape|eval\s*\(decodeURIComponent|String\.fromCharCode\([0-9,\s]{50,}\))""",
        "Decoded text is evaluated, a common way to hide malware.",
        "Decode it and read what it does."),

@@ -60,11 +60,11 @@ def _p(rule_id, title, severity, flags, needs, pattern, description, check=None,
 
 POLICY_RULES: tuple[Rule, ...] = (
     _p("no-hardcoded-secrets", "No Hardcoded Secrets", "critical", "gi",
-       (("key", "passw", "secret", "token", "credential"),),
+       (("apikey", "api_key", "api-key", "password", "secret", "token", "credential"), (":", "="), ("'", '"', "`")),
        r"""(?:api[_-]?key|password|secret|token|credential)\s*[:=]\s*['"`][A-Za-z0-9_\-!@#$%^&*]{8,}['"`]""",
        "Keys, passwords and tokens do not belong in source code."),
     _p("no-eval", "No eval() Usage", "critical", "g",
-       (("eval", "new"), ("eval", "function")),
+       (("eval", "new"), ("eval", "function"), "("),
        r"""\beval\s*\(|new\s+Function\s*\(""",
        "Evaluating text as code is not allowed."),
     _p("no-innerHTML", "No Unsafe innerHTML", "high", "g",
@@ -110,7 +110,7 @@ POLICY_RULES: tuple[Rule, ...] = (
        r"""\b(?:query|execute|executeQuery|executeUpdate|exec|raw|prepareStatement)\s*\(\s*(?:"[^"\n]*\b(?:SELECT|INSERT|UPDATE|DELETE)\b[^"\n]*"\s*\+|'[^'\n]*\b(?:SELECT|INSERT|UPDATE|DELETE)\b[^'\n]*'\s*\+|`[^`\n]*\b(?:SELECT|INSERT|UPDATE|DELETE)\b[^`\n]*\$\{|f["'][^"'\n]*\b(?:SELECT|INSERT|UPDATE|DELETE)\b[^"'\n]*\{)""",
        "A statement is concatenated or interpolated where parameters are required."),
     _p("no-weak-crypto", "No Weak Cryptography", "high", "gi",
-       (("hash", "messagedigest"),),
+       (("createhash", "hashlib.", "messagedigest.getinstance"), ("md5", "sha1", "sha-1")),
        r"""(?:(?:createHash|hashlib\.new|MessageDigest\.getInstance)\s*\(\s*['"`](?:md5|sha1|sha-1)['"`]|\bhashlib\.(?:md5|sha1)\s*\()""",
        "MD5 and SHA-1 are broken."),
 )

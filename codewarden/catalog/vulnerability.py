@@ -48,17 +48,17 @@ _SCALA_PROCESS_LINEAR = (
 VULNERABILITY_RULES: tuple[Rule, ...] = (
     # Every language
     _v("SQL-001", "SQL Injection Risk", "critical", "CWE-89", None, "gi",
-       (("query", "exec"), ("select", "insert", "update", "delete", "drop")),
+       (("query", "exec"), ("select", "insert", "update", "delete", "drop"), "(", ("'", '"', "`")),
        r"""(\bquery\b|\bexec\b|\bexecute\b)\s*\(\s*[`'"]\s*(SELECT|INSERT|UPDATE|DELETE|DROP)""",
        "A SQL statement is passed as literal text, which invites injection once values are spliced in.",
        "Bind values through placeholders or a prepared statement."),
     _v("SEC-001", "Hardcoded API Key", "critical", "CWE-798", None, "gi",
-       (("key", "token"),),
+       (("apikey", "api_key", "api-key", "token"), ("apikey", "api_key", "api-key", "access", "auth"), (":", "="), ("'", '"', "`")),
        r"""(?:api[_-]?key|apikey|access[_-]?token|auth[_-]?token)\s*[:=]\s*['"`][A-Za-z0-9_-]{20,}['"`]""",
        "A long API key or token value is assigned in the source text.",
        "Load the value from the environment or from a vault."),
     _v("SEC-002", "Hardcoded Password", "critical", "CWE-798", None, "gi",
-       (("passw", "pwd", "secret"),),
+       (("password", "passwd", "pwd", "secret"), (":", "="), ("'", '"', "`")),
        r"""(?:password|passwd|pwd|secret)\s*[:=]\s*['"`][^'"`\s]{6,}['"`]""",
        "A password or secret value is assigned in the source text.",
        "Ask for it at run time, or read it from a secret store."),
@@ -98,7 +98,7 @@ VULNERABILITY_RULES: tuple[Rule, ...] = (
        "A plain-text URL sends data over the wire unprotected.",
        "Switch the endpoint to HTTPS."),
     _v("EVAL-001", "eval() Usage", "critical", "CWE-95", None, "g",
-       ("eval",),
+       ("eval", "("),
        r"""\beval\s*\(""",
        "Text is executed as code.",
        "Parse the data with a dedicated parser and drop the dynamic evaluation."),
@@ -160,7 +160,7 @@ VULNERABILITY_RULES: tuple[Rule, ...] = (
        "A subprocess is started through the shell.",
        "Leave the shell off and pass an argument list."),
     _v("PY-003", "Code Injection: exec() in Python", "critical", "CWE-95", PY, "g",
-       ("exec",),
+       ("exec", "("),
        r"""\bexec\s*\(\s*(?!['"`][^'"`\n]*['"`]\s*\))""",
        "Python source built at run time is executed.",
        "Use a parser or a table of functions."),

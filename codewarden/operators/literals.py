@@ -1,7 +1,8 @@
 """Which rules a file may match, by its type and the literals that every match contains.
 
-A catalog looks for some hundred literals in each file.  Here that is a search in the bytes of an Arrow batch, which skips
-ahead, instead of a comparison at every byte; each literal is looked for once per file, and only if a rule gets to it.
+A catalog looks for some hundred literals in each file.  Here three characters of each are looked for in one go through the
+bytes of an Arrow batch; only where a file has these is it searched for the literal itself, once per file and if a rule gets
+to it.  Upper-case letters are A to Z: patterns that ignore case know no others.
 
 The module is pickled by value, so executors need no copy of the package.
 """
@@ -9,8 +10,9 @@ The module is pickled by value, so executors need no copy of the package.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -21,6 +23,30 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # File types, or None for all, and groups of literals of which one each must occur.
 Gate = tuple["tuple[str, ...] | None", "tuple[tuple[str, ...], ...]"]
 
+# So many bytes are searched at once; a longer file is one portion.
+PORTION = 1 << 20
+# A byte as one of 32 kinds, those of letters first; the rarer ones of text have kinds of their own.
+_KINDS = np.full(256, 31, np.uint16)
+for _k, _chars in enumerate([*"abcdefghijklmnopqrstuvwxyz", ".", "_-", "(", "0123456789"]):
+    for _c in _chars + _chars.upper():
+        _KINDS[ord(_c)] = _k
+# How often a kind is found in a thousand characters of prose, about; the others are rare.
+_COMMON = np.array([*(65, 12, 22, 34, 100, 18, 16, 48, 56, 1, 6, 32, 19, 56, 60, 15, 1, 48, 51, 72, 22, 8, 19, 1, 16, 1), 12, 2, 1, 8, 1, 190])
+
+
+def three_kinds(kinds: np.ndarray) -> np.ndarray:
+    """The kinds of each three bytes in a row, as one number."""
+    return kinds[:-2] << 10 | kinds[1:-1] << 5 | kinds[2:]
+
+
+def rarest_three(word: bytes) -> int | None:
+    """The three characters by which a literal is found; a shorter one has none."""
+    kinds = _KINDS[np.frombuffer(word, np.uint8)]
+    if len(kinds) < 3:
+        return None
+    weight = _COMMON[kinds[:-2]] * _COMMON[kinds[1:-1]] * _COMMON[kinds[2:]]
+    return int(three_kinds(kinds)[weight.argmin()])
+
 
 class Gates:
     """The gates of a catalog; those of a type are picked once per type."""
@@ -29,30 +55,62 @@ class Gates:
         self.gates = [(types, [[w.encode() for w in group] for group in groups]) for types, groups in gates]
         self.types = {t for types, _ in gates for t in types or ()}
         self.of_type: dict[tuple, list] = {}
-
-    def chosen(self, ext: str, base: str) -> list[tuple[int, list[list[bytes]]]]:
+        words = {w for _, groups in self.gates for group in groups for w in group}
+        threes = {w: three for w in words if (three := rarest_three(w)) is not None}
+        #: the number of a literal's three characters, from 1
+        self.number = {three: i for i, three in enumerate(sorted({*threes.values()}), 1)}
+        self.three = {w: self.number[three] for w, three in threes.items()}
+        self.numbers = np.zeros(1 << 15, np.uint16)
+        self.numbers[list(self.number)] = list(self.number.values())
+
+    def mask(self, group: list[bytes]) -> int:
+        """Of the literals' three characters one set of bits; a literal without them may be in any file."""
+        return sum({1 << self.three.get(w, 0) for w in group})
+
+    def chosen(self, ext: str, base: str) -> list[tuple[int, list[list[bytes]], list[int]]]:
         key = tuple(t for t in (ext if ext.startswith(".") else "", "" if base.startswith(".") else base) if t in self.types)
         if key not in self.of_type:
-            self.of_type[key] = [(i, groups) for i, (types, groups) in enumerate(self.gates) if types is None or any(t in types for t in key)]
+            self.of_type[key] = [(i, groups, [*map(self.mask, groups)]) for i, (types, groups) in enumerate(self.gates)
+                                 if types is None or any(t in types for t in key)]
         return self.of_type[key]
 
-    def open(self, lowered: bytes, ext: str, base: str) -> list[int]:
-        """The positions of the gates that the file passes."""
+    def threes(self, texts: Sequence[bytes]) -> list[int]:
+        """Of each text, the three characters in it by which literals are found, as bits of their numbers; bit 0 is set."""
+        numbers = self.numbers[three_kinds(_KINDS[np.frombuffer(b"".join(texts), np.uint8)])]
+        at = np.flatnonzero(numbers)
+        found = np.zeros((len(texts), len(self.number) + 1), bool)
+        found[:, 0] = True
+        found[np.searchsorted(np.cumsum([len(t) for t in texts]), at, "right"), numbers[at]] = True
+        return [int.from_bytes(row.tobytes(), "little") for row in np.packbits(found, 1, "little")]
+
+    def open(self, lowered: bytes, ext: str, base: str, threes: int = -1) -> list[int]:
+        """The positions of the gates that the file passes; ``threes`` are those of the file, if they are known."""
         known: dict[bytes, bool] = {}
 
         def has(word: bytes) -> bool:
             if word not in known:
-                known[word] = word in lowered
+                known[word] = threes >> self.three.get(word, 0) & 1 == 1 and word in lowered
             return known[word]
 
-        return [i for i, groups in self.chosen(ext, base) if all(any(map(has, group)) for group in groups)]
+        return [i for i, groups, masks in self.chosen(ext, base)
+                if all([threes & m for m in masks]) and all(any(map(has, group)) for group in groups)]
+
+    def passed(self, texts: Sequence[bytes], ext: Sequence[str | None], base: Sequence[str | None]) -> Iterator[list[int]]:
+        """The same of many files."""
+        begin = 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and size < PORTION:
+                size, end = size + len(texts[end]), end + 1
+            for text, threes, e, b in zip(texts[begin:end], self.threes(texts[begin:end]), ext[begin:end], base[begin:end]):
+                yield self.open(text.lower(), e or "", b or "", threes)
+            begin = end
 
 
 def open_gates(gates: Sequence[Gate]) -> Callable[..., Column]:
-    """A function of the columns ``lowered``, ``ext`` and ``base``."""
-    def run(lowered: pa.Array, ext: pa.Array, base: pa.Array) -> pa.Array:
-        known = Gates(gates)
-        rows = zip(lowered.cast(pa.binary()).to_pylist(), ext.to_pylist(), base.to_pylist())
-        return pa.array([known.open(text, e or "", b or "") for text, e, b in rows], pa.list_(pa.int32()))
+    """A function of the columns ``code``, ``ext`` and ``base``."""
+    def run(code: pa.Array, ext: pa.Array, base: pa.Array) -> pa.Array:
+        texts = code.cast(pa.binary()).to_pylist()
+        return pa.array(Gates(gates).passed(texts, ext.to_pylist(), base.to_pylist()), pa.list_(pa.int32()))
 
     return F.arrow_udf(run, "array<int>")

@@ -9,7 +9,7 @@ no file is ever joined with a rule or shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,18 +24,26 @@ from codewarden.operators.literals import open_gates
 FEW_LITERALS = 20
 
 
-def prepare(files: DataFrame, *extra: str) -> DataFrame:
-    """Files plus the helper columns the rules look at."""
+def cleaned(code: Column, marked: Column) -> Column:
+    """The text without markers of its own."""
+    return F.when(marked, F.translate(code, MARK + MUTED, REPLACEMENT * 2)).otherwise(code)
+
+
+def prepare(files: DataFrame, *extra: str, opened: Callable[..., Column] | None = None, gates: int = 0) -> DataFrame:
+    """Files plus the helper columns the rules look at: the lower-cased text, or what is ``opened`` of so many gates.
+
+    The gate after them is that of texts that hold a marker.
+    """
     code = F.col("code")
-    clean = F.when(contains_any(code, (MARK, MUTED)),
-                   F.translate(code, MARK + MUTED, REPLACEMENT * 2)).otherwise(code)
-    return files.filter(code.isNotNull()).select(
-        "file_path", *extra,
-        clean.alias("code"),
-        F.lower(code).alias("lowered"),
+    known = files.filter(code.isNotNull()).select(
+        "file_path", *extra, "code",
         rule_extension(F.col("file_path")).alias("ext"),
         F.lower(basename(F.col("file_path"))).alias("base"),
     )
+    if opened is None:
+        return known.withColumns({"code": cleaned(code, contains_any(code, (MARK, MUTED))), "lowered": F.lower(code)})
+    return known.withColumn("may_match", opened("code", "ext", "base")).withColumn(
+        "code", cleaned(code, F.array_contains("may_match", gates)))
 
 
 def applies(rule: Rule) -> str:
@@ -73,6 +81,13 @@ def marked(ordinal: int, rule: Rule, gate: str) -> str:
     return f"CASE WHEN {gate} THEN struct({ordinal} AS rule_ord, {text} AS marked) END"
 
 
+def picked(position: str, values: Sequence[str]) -> str:
+    """The value at a position, of which only that one is worked out; ten at a time are passed over."""
+    tens = [values[at:at + 10] for at in range(0, len(values), 10)]
+    inner = [" ".join(f"WHEN {10 * k + i} THEN {v}" for i, v in enumerate(ten)) for k, ten in enumerate(tens)]
+    return "CASE " + " ".join(f"WHEN {position} < {10 * (k + 1)} THEN CASE {position} {ten} END" for k, ten in enumerate(inner)) + " END"
+
+
 def mute_in_strings(line: Column) -> Column:
     """Mute the markers that stand inside a string literal on their line.
 
@@ -111,9 +126,14 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     # One expression text for all rules: built column by column it takes the
     # driver seconds.
     many = len(literals(rules)) > FEW_LITERALS
-    gates = [f"array_contains(may_match, {i})" if many else may_match(r) for i, r in enumerate(rules)]
-    hits = F.expr("array(" + ", ".join(marked(i, r, gate) for i, (r, gate) in enumerate(zip(rules, gates))) + ")")
-    opened = open_gates([(r.file_types, tuple(words_of(need) for need in r.needs)) for r in rules])
+    if many:
+        # only of the open gates, not of all of them in turn
+        hits = F.expr(f"transform(filter(may_match, i -> i < {len(rules)}), i -> {picked('i', [marked(i, r, 'true') for i, r in enumerate(rules)])})")
+        opened = open_gates([*((r.file_types, tuple(words_of(need) for need in r.needs)) for r in rules), (None, ((MARK, MUTED),))])
+        ready = prepare(files, *keep, opened=opened, gates=len(rules))
+    else:
+        hits = F.expr("array(" + ", ".join(marked(i, r, may_match(r)) for i, r in enumerate(rules)) + ")")
+        ready = prepare(files, *keep)
     found = F.transform(
         F.filter(hits, lambda h: h.isNotNull() & F.contains(h["marked"], F.lit(MARK))),
         # of the lines without a mark only nulls are made
@@ -126,9 +146,6 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     # The lambda also keeps this one wide expression out of code generation,
     # where it would outgrow the size limit of a method.
     # Only marked lines leave it, whatever the size of the file.
-    ready = prepare(files, *keep)
-    if many:
-        ready = ready.withColumn("may_match", opened("lowered", "ext", "base"))
     if context:
         flat = F.flatten(F.transform(found, lambda h: F.transform(h["lines"], lambda x: F.struct(
             h["rule_ord"].alias("rule_ord"), x["pos"].alias("pos"), x["line"].alias("line")))))

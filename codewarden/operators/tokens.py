@@ -1,7 +1,8 @@
-"""Counts over the tokens and words of a text, in Arrow batches.
+"""Counts over the lines, tokens and words of a text, in Arrow batches.
 
-Tokens are the one thing of which a file has thousands: as Spark strings each costs microseconds.  Here a file's tokens live
-only while its line is looked at, and three or two numbers leave.
+Tokens are the one thing of which a file has thousands: as Spark strings each costs microseconds, and a line some.  Here they
+live only while their line is looked at, and a few numbers leave.  Separators become blanks in the bytes of the whole text
+first, which leaves its lines as long as they are.
 
 The module is pickled by value, so executors need no copy of the package.
 """
@@ -12,10 +13,11 @@ import math
 import re
 import sys
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +26,22 @@ from codewarden.functions.dialect import SPACE_CHARS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_words = re.compile(A.IDENTIFIER, re.ASCII).findall
-_generic = frozenset(A.GENERIC_WORDS).__contains__
-# runs of two or more characters between separators
-_tokens = re.compile("[^" + A.TOKEN_SEPARATORS[1:-2].replace(r"\s", SPACE_CHARS).replace("[", r"\[") + "]{2,}").findall
-_comment = tuple(s.replace("\\", "") for s in A.COMMENT_LINE_WIDE.removeprefix(r"^\s*(").removesuffix(")").split("|"))
+_ascii = [chr(b) for b in range(128)]
+_word = re.compile(r"\w", re.ASCII).match
+_separator = re.compile("[" + A.TOKEN_SEPARATORS[1:-2].replace(r"\s", SPACE_CHARS).replace("[", r"\[") + "]").match
+# separators but line ends as blanks
+_TOKENS = bytes(32 if b < 128 and b != 10 and _separator(_ascii[b]) else b for b in range(256))
+# words in lower case, all else as blanks
+_WORDS = bytes(ord(_ascii[b].lower()) if b < 128 and _word(_ascii[b]) else 32 for b in range(256))
+_wide_spaces = re.compile("[" + "".join(c for c in SPACE_CHARS if c > "\x7f") + "]")
+_generic = frozenset(w.encode() for w in A.GENERIC_WORDS).__contains__
+
+
+def _starts(pattern: str) -> tuple[str, ...]:
+    return tuple(s.replace("\\", "") for s in pattern.removeprefix(r"^\s*(").removesuffix(")").split("|"))
+
+
+_comment_wide, _comment = _starts(A.COMMENT_LINE_WIDE), _starts(A.COMMENT_LINE)
 _LN2 = math.log(2)
 
 
@@ -43,36 +56,67 @@ def entropy(tokens: list[str]) -> float:
         return 0.0
     if different == n:
         return _log2(n)
-    return _log2(n) - sum(c * _log2(c) for c in Counter(tokens).values() if c > 1) / n
+    return _log2(n) - sum([c * _log2(c) for c in Counter(tokens).values() if c > 1]) / n
+
 
+def line_counts(raw: bytes) -> dict:
+    """Numbers of a text's lines.
 
-def line_entropy(text: str) -> dict[str, float]:
-    """Count, sum and sum of squares of the entropies, above 0, of the code lines."""
+    ``entropy`` and ``lengths`` are count, sum and sum of squares: of the entropies, above 0, of the code lines, and of the
+    characters of the lines that are not empty.  Code lines are ``repeated`` if their text occurs at least twice.
+    """
+    text, blank = raw.decode("utf-8", "replace"), raw.translate(_TOKENS).decode("utf-8", "replace")
+    if not blank.isascii():
+        blank = _wide_spaces.sub(" ", blank)
     n, s, ss = 0.0, 0.0, 0.0
-    for line in text.split("\n"):
+    filled, chars, squares, comments, code = 0, 0, 0, 0, []
+    lines = text.split("\n")
+    for line, parts in zip(lines, blank.split("\n")):
         bare = line.strip(SPACE_CHARS)
-        if len(bare) > 5 and not bare.startswith(_comment):
-            e = entropy(_tokens(bare))
+        if not bare:
+            continue
+        size = len(line)
+        filled, chars, squares = filled + 1, chars + size, squares + size * size
+        comments += bare.startswith(_comment)
+        if len(bare) > 5 and not bare.startswith(_comment_wide):
+            code.append(bare)
+            e = entropy([t for t in parts.split(" ") if len(t) > 1])
             if e > 0:
                 n, s, ss = n + 1, s + e, ss + e * e
-    return {"n": n, "s": s, "ss": ss}
+    repeated = sum(c for c in Counter(code).values() if c > 1)
+    return {"lines": len(lines), "code": len(code), "repeated": repeated, "comments": comments,
+            "entropy": {"n": n, "s": s, "ss": ss}, "lengths": {"n": float(filled), "s": float(chars), "ss": float(squares)}}
 
 
-def word_counts(text: str) -> dict[str, int]:
+def word_counts(raw: bytes) -> dict[str, int]:
     """How many identifiers there are, and how many of them say nothing."""
-    words = _words(text)
-    return {"identifiers": len(words), "generic_identifiers": sum(map(_generic, map(str.lower, words)))}
+    words = [w for w in raw.translate(_WORDS).split() if len(w) > 2 and w[0] > 57]
+    return {"identifiers": len(words), "generic_identifiers": sum(map(_generic, words))}
 
 
-def _per_text(body: Callable[[str], dict], kind: pa.StructType) -> Callable[[pa.Array], pa.Array]:
+def _per_text(body: Callable[[bytes], dict], kind: pa.StructType) -> Callable[[pa.Array], pa.Array]:
     def run(texts: pa.Array) -> pa.Array:
-        # bytes that are no UTF-8 become the replacement character
-        return pa.array([None if t is None else body(t.decode("utf-8", "replace")) for t in texts.cast(pa.binary()).to_pylist()], kind)
+        return pa.array([None if t is None else body(t) for t in texts.cast(pa.binary()).to_pylist()], kind)
 
     return run
 
 
 _MOMENTS = T.StructType([T.StructField(name, T.DoubleType()) for name in ("n", "s", "ss")])
+_LINES = T.StructType([*(T.StructField(name, T.IntegerType()) for name in ("lines", "code", "repeated", "comments")),
+                       *(T.StructField(name, _MOMENTS) for name in ("entropy", "lengths"))])
 _COUNTS = T.StructType([T.StructField(name, T.IntegerType()) for name in ("identifiers", "generic_identifiers")])
-entropy_of = F.arrow_udf(_per_text(line_entropy, pa.struct([(f.name, pa.float64()) for f in _MOMENTS])), _MOMENTS)
+_moments = pa.struct([(f.name, pa.float64()) for f in _MOMENTS])
+lines_of_text = F.arrow_udf(_per_text(line_counts, pa.struct(
+    [*((name, pa.int32()) for name in ("lines", "code", "repeated", "comments")), ("entropy", _moments), ("lengths", _moments)])), _LINES)
 words_of_text = F.arrow_udf(_per_text(word_counts, pa.struct([(f.name, pa.int32()) for f in _COUNTS])), _COUNTS)
+
+
+def holds(literals: Sequence[str], lowered: bool) -> Callable[[str], Column]:
+    """A function of a column: which of the literals occur, in its text or its text in lower case (A to Z)."""
+    words = [w.encode() for w in literals]
+
+    def run(texts: pa.Array) -> pa.Array:
+        rows = (t.lower() if lowered and t is not None else t for t in texts.cast(pa.binary()).to_pylist())
+        return pa.array([None if t is None else [w in t for w in words] for t in rows], pa.list_(pa.bool_()))
+
+    return F.arrow_udf(run, "array<boolean>")

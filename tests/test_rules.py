@@ -7,7 +7,7 @@ import time
 import pytest
 
 from codewarden.catalog import MALICIOUS_RULES, POLICY_RULES, VULNERABILITY_RULES, Rule
-from codewarden.operators import literals
+from codewarden.operators import literals, tokens
 from codewarden.operators.matching import find_all
 from codewarden.operators.scan import catalog, policy_findings, scan_rules, vulnerability_findings
 from tests import brute
@@ -182,3 +182,32 @@ def test_gates_know_types_and_literals():
     gates = literals.Gates([(None, (("a", "b"), ("c",))), ((".ts", "makefile"), (("a",),)), ((".py",), ()), (None, ())])
     assert gates.open(b"xbxc", ".js", "x.js") == [0, 3] and gates.open(b"a", ".ts", "x.ts") == [1, 3]
     assert gates.open(b"a", "", "makefile") == [1, 3] and gates.open("é".encode(), ".py", ".ts") == [2, 3] and gates.open(b"", "", "") == [3]
+
+
+def test_gates_of_many_files_are_those_of_each():
+    """Three characters of a literal are looked for in all files at once; those of a neighbour open nothing."""
+    gates = literals.Gates([(None, (("eval",), ("(",))), ((".ts",), (("api_key", "é$x"),)), (None, (("AB".lower(),),))])
+    texts = [b"ev", b"al(", b"EVAL (", b"", b"xevalx", b"API_KEY", "É$x é$X".encode(), b"a", b"b", b"medieval (ab)"]
+    want = [[], [], [0], [], [], [1], [1], [], [], [0, 2]]
+    types = [".ts"] * len(texts)
+    assert list(gates.passed(texts, types, ["x.ts"] * len(texts))) == want
+    assert [gates.open(t.lower(), ".ts", "x.ts") for t in texts] == want
+    assert list(gates.passed([], [], [])) == []
+
+
+def test_prose_about_keys_runs_no_pattern():
+    """Words like hash or key alone ran a pattern over the whole text."""
+    opened = literals.Gates([(None, tuple((n,) if isinstance(n, str) else n for n in r.needs)) for r in catalog() if r.rule_id in (
+        "no-weak-crypto", "SEC-001", "SEC-002", "no-hardcoded-secrets", "EVAL-001", "no-eval", "SQL-001", "OBF-001")])
+    assert opened.open(b"the hash of a key, a token and a secret; new function: medieval query to select", "", "") == []
+    assert len(opened.open(b"""hashlib.md5(x) api_key = 'a' password: "x" eval(atob(y)) query("select")""", "", "")) == 8
+
+
+def test_lines_are_counted_beside_the_pattern_engine():
+    """Figures of a text's lines, worked out by hand; wide spaces are spaces, other control characters are not."""
+    text = "aa bb aa cc\n\n  // note x\n　aa bb aa cc　\n<!-- x -->\n# y\nab\x1ccd ef\xa0gh;"
+    got = tokens.line_counts(text.encode())
+    assert (got["lines"], got["code"], got["repeated"], got["comments"]) == (7, 3, 2, 2)
+    assert got["lengths"]["n"] == 6.0 and got["lengths"]["s"] == float(sum(len(x) for x in text.split("\n")))
+    assert got["entropy"]["n"] == 3.0 and abs(got["entropy"]["s"] - (1.5 + 1.5 + tokens._log2(3))) < 1e-12
+    assert tokens.word_counts("Data 1abc éabc _ab DATA ab".encode()) == {"identifiers": 4, "generic_identifiers": 2}
