@@ -9,9 +9,12 @@ phrase, which may be too high for a hash of two phrases but never too low; a las
 only those whose sums are high enough. A longer phrase is only visited if both phrases of one word less may be frequent.
 
 Hashes are sent as sorted runs, one per task and range of hashes; there are as many ranges as `RANGE` words fit into the
-texts, and a task merges one range at a time. Hashes have 32 to 48 bits, as many as the number of words asks for. What may be frequent goes to the tasks as a filter of at most `FILTER_BITS`
-bits, whatever its size: it never refuses a frequent phrase, and what it lets through in error is counted exactly and
-dropped by its sum. Phrases meet by language and phrase. Scores are whole numbers of up to 38 digits.
+texts, and a task merges one range at a time. Hashes have 32 to 48 bits, as many as the number of words asks for, and the
+steps between them are compressed byte by byte: all first bytes, all second ones. What may be frequent goes to the tasks as a
+filter of at most `FILTER_BITS` bits, whatever its size: it never refuses a frequent phrase, and what it lets through in error
+is counted exactly and dropped by its sum. Phrases are sent in the same way, whole and sorted, in ranges by their first two
+words: neighbours begin alike and take a few bytes each. They meet by language and phrase. Scores are whole numbers of up to
+38 digits.
 
 Nulls: a null text is empty and a null language is `und`, one with the texts of that name. Empty texts have no words; a
 very long one is dealt to several shards, cut between two of its pieces. Repeated rows count each. Ties rank by count, then by phrase in byte
@@ -27,6 +30,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +45,10 @@ TASK = 4_000_000
 #: A full stop stands for every mark between pieces; A to Z are lower-cased.
 LETTERS = bytes(46 if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-RUNS = "range long, first long, dropped int, step_width int, steps binary, counts binary"
+#: Words of the texts per range of phrases.
+PHRASE_RANGE = 16_000_000
+RUNS = "range long, first long, dropped int, size int, step_width int, steps binary, counts binary"
+PHRASE_RUNS = "range long, lang string, size int, text_size int, phrases binary, count_width int, counts binary"
 SHARDS = "langs array<string>, starts array<int>, sizes array<long>, words binary, left binary, right binary"
 
 
@@ -137,20 +144,31 @@ def merged(h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(a[order], first) if len(h) else a
 
 
-def dropped_bits(size: int) -> int:
-    """Low bits of a hash that so many words do without: under one in a hundred phrases shares the rest with another one."""
-    return min(16, max(0, 48 - 8 * -(-(size.bit_length() + 7) // 8)))
+def dropped_bits(size: int, spare: int = 7, unit: int = 8) -> int:
+    """Low bits of a hash that so many words do without, of which a whole number of units is left.
+
+    Under one in 2 ** `spare` phrases shares the rest with another one.
+    """
+    return min(16, max(0, 48 - unit * -(-(size.bit_length() + spare) // unit)))
+
+
+def squeezed(data: bytes) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True) if data else b""
+
+
+def restored(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
 
 
 def packed(x: np.ndarray) -> tuple[int, bytes]:
-    """The numbers in as few whole bytes as the largest needs."""
+    """The numbers in as few whole bytes as the largest needs; their first bytes come first, then their second ones."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return width, x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return width, squeezed(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes())
 
 
-def unpacked(width: int, data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+def unpacked(width: int, size: int, data: bytes) -> np.ndarray:
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :width] = np.frombuffer(restored(data, width * size), np.uint8).reshape(width, size).T
     return out.view("<u8").ravel()
 
 
@@ -168,19 +186,21 @@ def runs(h: np.ndarray, a: np.ndarray, ranges: int, dropped: int = 0) -> pa.Reco
     h = np.repeat(h, times)
     of = (h << low >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)
     edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(h)]
-    rows = [(int(of[i]), int(h[i]), dropped, *packed(np.diff(h[i:j])), counts[i:j].tobytes()) for i, j in zip(edges, edges[1:]) if j > i]
-    cols = list(zip(*rows)) or [()] * 6
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["range", "first", "dropped", "step_width", "steps", "counts"])
+    rows = [(int(of[i]), int(h[i]), dropped, j - i, *packed(np.diff(h[i:j])), squeezed(counts[i:j].tobytes()))
+            for i, j in zip(edges, edges[1:]) if j > i]
+    cols = list(zip(*rows)) or [()] * 7
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                      ["range", "first", "dropped", "size", "step_width", "steps", "counts"])
 
 
 def read_runs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of a range with their sums."""
     hashes, sums = [], []
     for r in group.to_pylist():
-        steps = np.concatenate([np.array([r["first"]], np.uint64), unpacked(r["step_width"], r["steps"])])
+        steps = np.concatenate([np.array([r["first"]], np.uint64), unpacked(r["step_width"], r["size"] - 1, r["steps"])])
         hashes.append(np.cumsum(steps, dtype=np.uint64) << np.uint64(r["dropped"]))
-        sums.append(np.frombuffer(r["counts"], np.uint8).astype(np.int64))
+        sums.append(np.frombuffer(restored(r["counts"], r["size"]), np.uint8).astype(np.int64))
     return merged(np.concatenate(hashes), np.concatenate(sums))
 
 
@@ -274,15 +294,16 @@ class Visit:
                 self.walk.keep(np.flatnonzero(self.passes(self.walk.columns)))
             yield length
 
-    def phrases(self) -> Iterator[pa.RecordBatch]:
+    def phrases(self, ranges: int) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(self.walk.size), CHUNK):
             columns = [c[at:at + CHUNK] for c in self.walk.columns]
-            texts = [[self.words[i - 1].decode("utf-8", "surrogatepass") for i in c.tolist()] for c in columns]
+            texts = [[self.words[i - 1] for i in c.tolist()] for c in columns]
             of = pa.array(np.searchsorted(self.starts, columns[0], "right") - 1, pa.int32())
+            begin = (self.hashed(columns[:2]) >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)
             yield pa.RecordBatch.from_arrays(
-                [pa.DictionaryArray.from_arrays(of, pa.array(self.langs, pa.string())).cast(pa.string()),
-                 pa.array(list(map(" ".join, zip(*texts))), pa.string()), pa.array([len(columns)] * len(of), pa.int32()),
-                 pa.array(self.walk.size[at:at + CHUNK], pa.int64())], ["lang", "phrase", "words", "a"])
+                [pa.array(begin.view(np.int64)), pa.DictionaryArray.from_arrays(of, pa.array(self.langs, pa.string())).cast(pa.string()),
+                 pa.array(list(map(b" ".join, zip(*texts))), pa.binary()),
+                 pa.array(self.walk.size[at:at + CHUNK], pa.int64())], ["range", "lang", "phrase", "a"])
 
 
 def frequent_hashes(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.ndarray]], ranges: int, dropped: int) -> DataFrame:
@@ -307,19 +328,66 @@ def frequent_hashes(shards: DataFrame, n: int, filters: dict[int, tuple[int, np.
     return sent.groupBy("range").applyInArrow(add_runs, "hash long")
 
 
-def count_phrases(shards: DataFrame, filters: dict[int, tuple[int, np.ndarray]]) -> DataFrame:
+def summed(held: list[pa.RecordBatch]) -> pa.Table:
+    """Each phrase once, with its sum."""
+    sums = pa.Table.from_batches(held).group_by(["range", "lang", "phrase"]).aggregate([("a", "sum")])
+    return sums.select(["range", "lang", "phrase", "a_sum"]).rename_columns(["range", "lang", "phrase", "a"])
+
+
+def phrase_runs(sums: pa.Table) -> pa.RecordBatch:
+    """The phrases of each range and language, sorted, with their counts."""
+    sums = sums.sort_by([(c, "ascending") for c in ("range", "lang", "phrase")])
+    phrases, langs = sums["phrase"].combine_chunks(), sums["lang"].combine_chunks()
+    of, a, lang = sums["range"].to_numpy(), sums["a"].to_numpy(), langs.dictionary_encode().indices.to_numpy()
+    edges = [0, *(np.flatnonzero((np.diff(of) != 0) | (np.diff(lang) != 0)) + 1).tolist(), len(a)]
+    rows = []
+    for i, j in zip(edges, edges[1:]):
+        if j > i:
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), phrases.slice(i, j - i)), b"\n")[0].as_py()
+            rows.append((int(of[i]), langs[i].as_py(), j - i, len(text), squeezed(text), *packed(a[i:j])))
+    cols = list(zip(*rows)) or [()] * 7
+    types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],
+                                      ["range", "lang", "size", "text_size", "phrases", "count_width", "counts"])
+
+
+def add_phrases(group: pa.Table) -> pa.Table:
+    """The phrases of a range whose sum is high enough."""
+    held = []
+    for r in group.to_pylist():
+        phrases = restored(r["phrases"], r["text_size"]).split(b"\n")
+        held.append(pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(r["range"], pa.int64()), r["size"]), pa.repeat(pa.scalar(r["lang"], pa.string()), r["size"]),
+             pa.array(phrases, pa.binary()), pa.array(unpacked(r["count_width"], r["size"], r["counts"]).view(np.int64))],
+            ["range", "lang", "phrase", "a"]))
+    sums = summed(held)
+    sums = sums.filter(pc.greater_equal(sums["a"], LEAST))
+    phrase = sums["phrase"].cast(pa.string())
+    words = pc.add(pc.count_substring(phrase, " "), 1).cast(pa.int32())
+    return pa.table({"lang": sums["lang"], "phrase": phrase, "words": words, "a": sums["a"]})
+
+
+def count_phrases(shards: DataFrame, filters: dict[int, tuple[int, np.ndarray]], ranges: int) -> DataFrame:
     """(lang, phrase, words, a): the frequent phrases of all lengths."""
     shipped = shards.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for row in batch.to_pylist():
                 visit = Visit(row, shipped.value)
                 for _ in visit.lengths(LONGEST):
-                    yield from visit.phrases()
+                    held += visit.phrases(ranges)
+                if sum(b.num_rows for b in held) > HELD:
+                    sums = summed(held)
+                    held = sums.to_batches()
+                    if sums.num_rows > HELD // 2:
+                        yield phrase_runs(sums)
+                        held = []
+        if held:
+            yield phrase_runs(summed(held))
 
-    found = shards.mapInArrow(run, "lang string, phrase string, words int, a long")
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
+    return shards.mapInArrow(run, PHRASE_RUNS).groupBy("range").applyInArrow(add_phrases, "lang string, phrase string, words int, a long")
 
 
 def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -334,8 +402,8 @@ def frequent(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     filters: dict[int, tuple[int, np.ndarray]] = {}
     with batches_of(spark, 1):
         for n in range(1, LONGEST + 1):
-            filters[n] = as_filter(stored(frequent_hashes(shards, n, filters, ranges, dropped_bits(size)), f"hashes{n}"))
-        return stored(count_phrases(shards, filters), "phrases"), sizes
+            filters[n] = as_filter(stored(frequent_hashes(shards, n, filters, ranges, dropped_bits(size, 5, 1)), f"hashes{n}"))
+        return stored(count_phrases(shards, filters, 1 + size // PHRASE_RANGE), "phrases"), sizes
 
 
 # --- scores

@@ -260,3 +260,24 @@ def test_a_long_text_fills_several_shards(spark, monkeypatch):
     assert collocations.index(df).count() >= 6
     assert {tuple(r) for r in collocations.mine(df).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()} == brute_collocations(rows)
 
+
+
+def test_runs_take_few_bytes():
+    """Steps between hashes and neighbouring phrases are sent compressed; every hash and phrase arrives with its count."""
+    rng = np.random.default_rng(6)
+    h, low = np.unique(rng.integers(0, 1 << 48, 200_000, np.uint64)), collocations.dropped_bits(1 << 26, 5, 1)
+    sent = collocations.runs(h, np.ones(len(h), np.int64), 1, low)
+    assert low == 16 and sum(len(sent[c][0].as_py()) for c in ("steps", "counts")) < 2.2 * len(h)
+    hashes, sums = collocations.read_runs(pa.Table.from_batches([sent]))
+    assert sums.sum() == len(h) and (hashes == np.unique(h >> np.uint64(low)) << np.uint64(low)).all()
+    words = [b"w%d" % i for i in range(40)]
+    phrases = [b" ".join(words[i] for i in rng.integers(0, 40, rng.integers(1, 5))) for _ in range(20_000)] + ["é \x01".encode()] * 70_000
+    ranges = [len(p.split()[0]) % 2 for p in phrases]
+    rows = [pa.RecordBatch.from_arrays([pa.array(ranges), pa.array([lang] * len(phrases)), pa.array(phrases), pa.array([3] * len(phrases))],
+                                       ["range", "lang", "phrase", "a"]) for lang in ("en", "de")]
+    sent = collocations.phrase_runs(collocations.summed(rows))
+    assert sent.num_rows == 4 and sum(map(len, sent["phrases"].to_pylist())) < 8 * 2 * len(set(phrases))
+    got = [collocations.add_phrases(pa.Table.from_batches([sent.slice(k, 1)] * 2)).to_pylist() for k in range(4)]
+    want = {(lang, p.decode(), len(p.split()), 6 * n) for lang in ("en", "de") for p, n in Counter(phrases).items() if 6 * n >= collocations.LEAST}
+    assert {tuple(r.values()) for rows in got for r in rows} == want
+    assert collocations.phrase_runs(collocations.summed(rows).slice(0, 0)).num_rows == 0
