@@ -46,7 +46,7 @@ def _async_check() -> Check:
     return Check(
         gate=f"file_path RLIKE {quoted(java(ASYNC_FILES))}",
         marked=mark_lines(
-            f"line RLIKE {quoted(java(ASYNC_LINE))} AND NOT exists(slice(lines, i + 1, {ASYNC_FRAME_LINES}),"
+            f"contains(line, 'async') AND line RLIKE {quoted(java(ASYNC_LINE))} AND NOT exists(slice(lines, i + 1, {ASYNC_FRAME_LINES}),"
             f" x -> x RLIKE {quoted(java(AWAIT_WORD))})"),
     )
 

@@ -1,4 +1,4 @@
-"""Which rules a file may match, by its type and the literals that every match contains.
+"""Which rules a file may match, by its type and the literals that every match contains, and where.
 
 A catalog looks for some hundred literals in each file.  Here three characters of each are looked for in one go through the
 bytes of an Arrow batch; only where a file has these is it searched for the literal itself, once per file and if a rule gets
@@ -18,6 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codewarden.operators.places import Branch, Places
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # File types, or None for all, and groups of literals of which one each must occur.
@@ -62,38 +64,41 @@ class Gates:
         self.three = {w: self.number[three] for w, three in threes.items()}
         self.numbers = np.zeros(1 << 15, np.uint16)
         self.numbers[list(self.number)] = list(self.number.values())
-
-    def mask(self, group: list[bytes]) -> int:
-        """Of the literals' three characters one set of bits; a literal without them may be in any file."""
-        return sum({1 << self.three.get(w, 0) for w in group})
-
-    def chosen(self, ext: str, base: str) -> list[tuple[int, list[list[bytes]], list[int]]]:
+        # of each group the three characters of its literals, one of which is there; a literal without them may be in any file
+        owners = [(i, group) for i, (_, groups) in enumerate(self.gates) for group in groups]
+        self.one_of = np.zeros((len(self.number) + 1, len(owners)), np.float32)
+        self.owner = np.zeros((len(owners), len(self.gates)), np.float32)
+        for k, (i, group) in enumerate(owners):
+            self.owner[k, i] = 1
+            self.one_of[[self.three.get(w, 0) for w in group], k] = 1
+
+    def chosen(self, ext: str, base: str) -> tuple[np.ndarray, list[int]]:
+        """The gates of a type, as flags and positions."""
         key = tuple(t for t in (ext if ext.startswith(".") else "", "" if base.startswith(".") else base) if t in self.types)
         if key not in self.of_type:
-            self.of_type[key] = [(i, groups, [*map(self.mask, groups)]) for i, (types, groups) in enumerate(self.gates)
-                                 if types is None or any(t in types for t in key)]
+            flags = np.array([types is None or any(t in types for t in key) for types, _ in self.gates], bool)
+            self.of_type[key] = flags, np.flatnonzero(flags).tolist()
         return self.of_type[key]
 
-    def threes(self, texts: Sequence[bytes]) -> list[int]:
-        """Of each text, the three characters in it by which literals are found, as bits of their numbers; bit 0 is set."""
+    def threes(self, texts: Sequence[bytes]) -> np.ndarray:
+        """Of each text, by their numbers, whether the three characters by which literals are found are in it; number 0 is set."""
         numbers = self.numbers[three_kinds(_KINDS[np.frombuffer(b"".join(texts), np.uint8)])]
         at = np.flatnonzero(numbers)
         found = np.zeros((len(texts), len(self.number) + 1), bool)
         found[:, 0] = True
         found[np.searchsorted(np.cumsum([len(t) for t in texts]), at, "right"), numbers[at]] = True
-        return [int.from_bytes(row.tobytes(), "little") for row in np.packbits(found, 1, "little")]
+        return found
 
-    def open(self, lowered: bytes, ext: str, base: str, threes: int = -1) -> list[int]:
-        """The positions of the gates that the file passes; ``threes`` are those of the file, if they are known."""
+    def open(self, lowered: bytes, ext: str, base: str, threes: np.ndarray | None = None, among: Sequence[int] | None = None) -> list[int]:
+        """The positions of the gates that the file passes; ``threes`` are those of the file and ``among`` those they leave open."""
         known: dict[bytes, bool] = {}
 
         def has(word: bytes) -> bool:
             if word not in known:
-                known[word] = threes >> self.three.get(word, 0) & 1 == 1 and word in lowered
+                known[word] = (threes is None or bool(threes[self.three.get(word, 0)])) and word in lowered
             return known[word]
 
-        return [i for i, groups, masks in self.chosen(ext, base)
-                if all([threes & m for m in masks]) and all(any(map(has, group)) for group in groups)]
+        return [i for i in (self.chosen(ext, base)[1] if among is None else among) if all(any(map(has, group)) for group in self.gates[i][1])]
 
     def passed(self, texts: Sequence[bytes], ext: Sequence[str | None], base: Sequence[str | None]) -> Iterator[list[int]]:
         """The same of many files."""
@@ -102,15 +107,41 @@ class Gates:
             end, size = begin, 0
             while end < len(texts) and size < PORTION:
                 size, end = size + len(texts[end]), end + 1
-            for text, threes, e, b in zip(texts[begin:end], self.threes(texts[begin:end]), ext[begin:end], base[begin:end]):
-                yield self.open(text.lower(), e or "", b or "", threes)
+            found = self.threes(texts[begin:end])
+            shut = (found.astype(np.float32) @ self.one_of == 0).astype(np.float32) @ self.owner > 0
+            for text, threes, no, e, b in zip(texts[begin:end], found, shut, ext[begin:end], base[begin:end]):
+                among = np.flatnonzero(self.chosen(e or "", b or "")[0] & ~no).tolist()
+                yield self.open(text.lower(), e or "", b or "", threes, among) if among else []
             begin = end
 
 
-def open_gates(gates: Sequence[Gate]) -> Callable[..., Column]:
-    """A function of the columns ``code``, ``ext`` and ``base``."""
-    def run(code: pa.Array, ext: pa.Array, base: pa.Array) -> pa.Array:
-        texts = code.cast(pa.binary()).to_pylist()
-        return pa.array(Gates(gates).passed(texts, ext.to_pylist(), base.to_pylist()), pa.list_(pa.int32()))
+def parts_of(text: bytes, passed: Sequence[int], places: Sequence[Places | None], whole: int) -> list[tuple[int, int, bytes | None]]:
+    """(gate, lines above, lines) of the places at which the rules of open gates can match; no lines stand for the whole text.
 
-    return F.arrow_udf(run, "array<int>")
+    With the gate ``whole`` open every rule gets the whole text.
+    """
+    lowered, out = text.lower(), []
+    for i in passed:
+        found = places[i].of(text, lowered) if places[i] is not None and whole not in passed else None
+        if found is None:
+            out.append((i, 0, None))
+            continue
+        above = at = 0
+        for begin, end in found:
+            above, at = above + text.count(b"\n", at, begin), begin
+            out.append((i, above, text[begin:end]))
+    return out
+
+
+def open_gates(gates: Sequence[Gate], reaches: Sequence[tuple[Branch, ...] | None], whole: int) -> Callable[..., Column]:
+    """A function of the columns ``code``, ``ext`` and ``base``; of each gate it is known what its matches reach, or None."""
+    def run(code: pa.Array, ext: pa.Array, base: pa.Array) -> pa.Array:
+        texts, places = code.cast(pa.binary()).to_pylist(), [r and Places(r) for r in reaches]
+        passed = Gates(gates).passed(texts, ext.to_pylist(), base.to_pylist())
+        rows = [parts_of(text, p, places, whole) for text, p in zip(texts, passed)]
+        flat = [part for row in rows for part in row]
+        parts = pa.StructArray.from_arrays([pa.array([p[k] for p in flat], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.binary()))],
+                                           ["gate", "above", "part"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), parts)
+
+    return F.arrow_udf(run, "array<struct<gate: int, above: int, part: binary>>")

@@ -1,6 +1,7 @@
 """Find every match of every rule, with its line.
 
-A pattern is run once per file.  It does not return positions; it puts a
+A pattern is run once per file, in a scan with many rules only on the lines
+that a match can reach (``places``).  It does not return positions; it puts a
 marker in front of each match.  The text is then cut into lines, and only the
 lines that hold a marker go on.  Line number, string-literal test and snippet
 follow from such a line alone, so the work stays proportional to the text, and
@@ -19,6 +20,7 @@ from codewarden.functions.paths import basename, rule_extension
 from codewarden.functions.text import MARK, MUTED, REPLACEMENT, contains_any, java, quoted, trim_all
 from codewarden.operators.context import CONTEXT_COLUMNS, framed
 from codewarden.operators.literals import open_gates
+from codewarden.operators.places import reach
 
 # Up to so many literals are looked for one by one, in the row; more of them together, in Arrow batches.
 FEW_LITERALS = 20
@@ -43,7 +45,7 @@ def prepare(files: DataFrame, *extra: str, opened: Callable[..., Column] | None
     if opened is None:
         return known.withColumns({"code": cleaned(code, contains_any(code, (MARK, MUTED))), "lowered": F.lower(code)})
     return known.withColumn("may_match", opened("code", "ext", "base")).withColumn(
-        "code", cleaned(code, F.array_contains("may_match", gates)))
+        "code", cleaned(code, F.array_contains("may_match.gate", gates)))
 
 
 def applies(rule: Rule) -> str:
@@ -71,14 +73,14 @@ def may_match(rule: Rule) -> str:
     return " AND ".join(tests)
 
 
-def marked(ordinal: int, rule: Rule, gate: str) -> str:
-    """The rule's ordinal and the text with its matches marked, or null."""
+def marked(ordinal: int, rule: Rule, gate: str, part: str = "code", above: str = "0") -> str:
+    """The rule's ordinal, and a part of the text with its matches marked and the number of lines above it, or null."""
     if rule.check is not None:
         gate, text = f"{gate} AND {rule.check.gate}", rule.check.marked
     else:
         pattern = java(rule.linear or rule.pattern, rule.flags)
-        text = f"regexp_replace(code, {quoted(pattern)}, {quoted(MARK + '$0')})"
-    return f"CASE WHEN {gate} THEN struct({ordinal} AS rule_ord, {text} AS marked) END"
+        text = f"regexp_replace({part}, {quoted(pattern)}, {quoted(MARK + '$0')})"
+    return f"CASE WHEN {gate} THEN struct({ordinal} AS rule_ord, {above} AS above, {text} AS marked) END"
 
 
 def picked(position: str, values: Sequence[str]) -> str:
@@ -93,9 +95,11 @@ def mute_in_strings(line: Column) -> Column:
 
     A backslash and the character after it do not count.  What is left of the
     line is its quotes and markers; between an odd quote and the next one of
-    the same kind every marker is muted.
+    the same kind every marker is muted.  What stands behind the last marker
+    changes none.
     """
-    kept = F.regexp_replace(line, rf"\\({MARK}?)[^{MARK}]", "$1")
+    behind = F.substring_index(line, MARK, -1)
+    kept = F.regexp_replace(F.left(line, F.length(line) - F.length(behind)), rf"\\({MARK}?)[^{MARK}]", "$1")
     kept = F.regexp_replace(kept, f"[^'\"`{MARK}]+", "")
     for quote in ("'", '"', "`"):
         pieces = F.transform(
@@ -128,8 +132,10 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     many = len(literals(rules)) > FEW_LITERALS
     if many:
         # only of the open gates, not of all of them in turn
-        hits = F.expr(f"transform(filter(may_match, i -> i < {len(rules)}), i -> {picked('i', [marked(i, r, 'true') for i, r in enumerate(rules)])})")
-        opened = open_gates([*((r.file_types, tuple(words_of(need) for need in r.needs)) for r in rules), (None, ((MARK, MUTED),))])
+        values = [marked(i, r, "true", "coalesce(cast(p.part as string), code)", "p.above") for i, r in enumerate(rules)]
+        hits = F.expr(f"transform(filter(may_match, p -> p.gate < {len(rules)}), p -> {picked('p.gate', values)})")
+        opened = open_gates([*((r.file_types, tuple(words_of(need) for need in r.needs)) for r in rules), (None, ((MARK, MUTED),))],
+                            [*(None if r.check else reach(r.linear or r.pattern, r.flags) for r in rules), None], len(rules))
         ready = prepare(files, *keep, opened=opened, gates=len(rules))
     else:
         hits = F.expr("array(" + ", ".join(marked(i, r, may_match(r)) for i, r in enumerate(rules)) + ")")
@@ -139,7 +145,7 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
         # of the lines without a mark only nulls are made
         lambda h: F.struct(h["rule_ord"].alias("rule_ord"), F.filter(
             F.transform(F.split(h["marked"], "\n", -1), lambda x, i: F.when(
-                F.contains(x, F.lit(MARK)), F.struct(i.alias("pos"), x.alias("line")))),
+                F.contains(x, F.lit(MARK)), F.struct((h["above"] + i).alias("pos"), x.alias("line")))),
             lambda x: x.isNotNull()).alias("lines")))
     # The array goes straight into explode: as a named column it could be
     # evaluated a second time by a filter that the optimizer derives from it.
@@ -167,9 +173,10 @@ def rule_lines(files: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()
     trimmed = trim_all(snippet)
     if untrimmed:
         trimmed = F.when(rule.isin(*untrimmed), snippet).otherwise(trimmed)
+    # Matches are counted in a generator, below which the filter cannot move: it would count them again.
     return per_line.select(
         "file_path", "rule_ord", (F.col("pos") + 1).alias("start_line"),
-        count.alias("n_matches"), trimmed.alias("snippet"), *keep,
+        F.explode(F.array(count)).alias("n_matches"), trimmed.alias("snippet"), *keep,
     ).filter(F.col("n_matches") > 0)
 
 

@@ -1,8 +1,8 @@
 """Counts over the lines, tokens and words of a text, in Arrow batches.
 
 Tokens are the one thing of which a file has thousands: as Spark strings each costs microseconds, and a line some.  Here they
-live only while their line is looked at, and a few numbers leave.  Separators become blanks in the bytes of the whole text
-first, which leaves its lines as long as they are.
+live only while their line is looked at, and a few numbers leave.  Separators, and tokens of one character, become blanks in the
+bytes of the whole text first, which leaves its lines as long as they are.  Words are no objects at all, but places in the bytes.
 
 The module is pickled by value, so executors need no copy of the package.
 """
@@ -15,6 +15,7 @@ import sys
 from collections import Counter
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column
@@ -26,6 +27,8 @@ from codewarden.functions.dialect import SPACE_CHARS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Words of so many bytes are looked at together.
+PORTION = 1 << 20
 _ascii = [chr(b) for b in range(128)]
 _word = re.compile(r"\w", re.ASCII).match
 _separator = re.compile("[" + A.TOKEN_SEPARATORS[1:-2].replace(r"\s", SPACE_CHARS).replace("[", r"\[") + "]").match
@@ -34,7 +37,19 @@ _TOKENS = bytes(32 if b < 128 and b != 10 and _separator(_ascii[b]) else b for b
 # words in lower case, all else as blanks
 _WORDS = bytes(ord(_ascii[b].lower()) if b < 128 and _word(_ascii[b]) else 32 for b in range(256))
 _wide_spaces = re.compile("[" + "".join(c for c in SPACE_CHARS if c > "\x7f") + "]")
-_generic = frozenset(w.encode() for w in A.GENERIC_WORDS).__contains__
+# the first bytes of them, of which any has at least one
+_wide_starts = sorted({c.encode()[:2] for c in SPACE_CHARS if c > "\x7f"})
+_generic = frozenset(w.encode() for w in A.GENERIC_WORDS)
+
+
+def _shape(size, *first):
+    """Length and first three letters of a word in 15 bits."""
+    return ((first[0] & 31) << 10 | (first[1] & 31) << 5 | first[2] & 31) ^ size << 11
+
+
+_LONGEST = max(map(len, _generic))
+_SHAPES = np.zeros(1 << 15, bool)
+_SHAPES[[_shape(len(w), *w[:3]) for w in _generic]] = True
 
 
 def _starts(pattern: str) -> tuple[str, ...]:
@@ -49,14 +64,50 @@ def _log2(x: int) -> float:
     return math.log(x) / _LN2
 
 
-def entropy(tokens: list[str]) -> float:
+class _Weights(dict):
+    """c * log2(c), worked out once."""
+
+    def __missing__(self, c: int) -> float:
+        self[c] = c * _log2(c)
+        return self[c]
+
+
+_weights = _Weights()
+
+
+def entropy(tokens: list[bytes]) -> float:
     """Shannon entropy; log2(n) when nothing repeats, as in most lines of code."""
-    n, different = len(tokens), len(set(tokens))
-    if different < 2:
+    n = len(tokens)
+    if n < 2:
+        return 0.0
+    if n < 16 and len(set(tokens)) == n:
+        return _log2(n)
+    counts = Counter(tokens)
+    if len(counts) < 2:
         return 0.0
-    if different == n:
+    if len(counts) == n:
         return _log2(n)
-    return _log2(n) - sum([c * _log2(c) for c in Counter(tokens).values() if c > 1]) / n
+    return _log2(n) - sum([_weights[c] for c in counts.values() if c > 1]) / n
+
+
+def longer_tokens(raw: bytes) -> bytes:
+    """The text with blanks for separators and for tokens of one character."""
+    blank = raw.translate(_TOKENS)
+    if raw.isascii():
+        b = np.frombuffer(b"\n" + blank + b"\n", np.uint8).copy()
+        gap = (b == 32) | (b == 10)
+        b[1:-1][gap[:-2] & ~gap[1:-1] & gap[2:]] = 32
+        return b[1:-1].tobytes()
+    if any(w in blank for w in _wide_starts):
+        blank = _wide_spaces.sub(" ", blank.decode()).encode()
+    b = np.frombuffer(b"\n" + blank + b"\n", np.uint8).copy()
+    first = np.flatnonzero(b & 0xC0 != 0x80)
+    gap = (b[first] == 32) | (b[first] == 10)
+    alone = np.flatnonzero(gap[:-2] & ~gap[1:-1] & gap[2:]) + 1
+    for k in range(4):
+        at = first[alone] + k
+        b[at[at < first[alone + 1]]] = 32
+    return b[1:-1].tobytes()
 
 
 def line_counts(raw: bytes) -> dict:
@@ -65,13 +116,11 @@ def line_counts(raw: bytes) -> dict:
     ``entropy`` and ``lengths`` are count, sum and sum of squares: of the entropies, above 0, of the code lines, and of the
     characters of the lines that are not empty.  Code lines are ``repeated`` if their text occurs at least twice.
     """
-    text, blank = raw.decode("utf-8", "replace"), raw.translate(_TOKENS).decode("utf-8", "replace")
-    if not blank.isascii():
-        blank = _wide_spaces.sub(" ", blank)
+    text = raw.decode("utf-8", "replace")
     n, s, ss = 0.0, 0.0, 0.0
     filled, chars, squares, comments, code = 0, 0, 0, 0, []
     lines = text.split("\n")
-    for line, parts in zip(lines, blank.split("\n")):
+    for line, parts in zip(lines, longer_tokens(raw if raw.isascii() else text.encode()).split(b"\n")):
         bare = line.strip(SPACE_CHARS)
         if not bare:
             continue
@@ -80,7 +129,7 @@ def line_counts(raw: bytes) -> dict:
         comments += bare.startswith(_comment)
         if len(bare) > 5 and not bare.startswith(_comment_wide):
             code.append(bare)
-            e = entropy([t for t in parts.split(" ") if len(t) > 1])
+            e = entropy(parts.split())
             if e > 0:
                 n, s, ss = n + 1, s + e, ss + e * e
     repeated = sum(c for c in Counter(code).values() if c > 1)
@@ -88,10 +137,38 @@ def line_counts(raw: bytes) -> dict:
             "entropy": {"n": n, "s": s, "ss": ss}, "lengths": {"n": float(filled), "s": float(chars), "ss": float(squares)}}
 
 
+def words_in(texts: Sequence[bytes]) -> list[dict[str, int]]:
+    """How many identifiers each text has, and how many of them say nothing."""
+    text = b" " + b" ".join(texts).translate(_WORDS) + b" "
+    b, ends = np.frombuffer(text, np.uint8), np.cumsum([len(t) + 1 for t in texts])
+    inside = b != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, size = edges[::2], edges[1::2] - edges[::2]
+    identifiers = (size > 2) & (b[begin] > 57)
+    begin, size = begin[identifiers], size[identifiers]
+    short = size <= _LONGEST
+    at, n = begin[short], size[short]
+    likely = _SHAPES[_shape(n, *(b[at + k].astype(np.int64) for k in range(3)))]
+    at, n = at[likely], n[likely]
+    generic = at[np.array([text[i:i + k] in _generic for i, k in zip(at.tolist(), n.tolist())], bool)]
+    of_text = [np.bincount(np.searchsorted(ends, x), minlength=len(texts)).tolist() for x in (begin, generic)]
+    return [{"identifiers": i, "generic_identifiers": g} for i, g in zip(*of_text)]
+
+
 def word_counts(raw: bytes) -> dict[str, int]:
-    """How many identifiers there are, and how many of them say nothing."""
-    words = [w for w in raw.translate(_WORDS).split() if len(w) > 2 and w[0] > 57]
-    return {"identifiers": len(words), "generic_identifiers": sum(map(_generic, words))}
+    return words_in([raw])[0]
+
+
+def _words(texts: pa.Array) -> pa.Array:
+    rows, out, begin = texts.cast(pa.binary()).to_pylist(), [], 0
+    while begin < len(rows):
+        end, size = begin, 0
+        while end < len(rows) and size < PORTION:
+            size, end = size + len(rows[end] or b""), end + 1
+        part = rows[begin:end]
+        out += [None if t is None else c for t, c in zip(part, words_in([t or b"" for t in part]))]
+        begin = end
+    return pa.array(out, pa.struct([(f.name, pa.int32()) for f in _COUNTS]))
 
 
 def _per_text(body: Callable[[bytes], dict], kind: pa.StructType) -> Callable[[pa.Array], pa.Array]:
@@ -108,7 +185,7 @@ _COUNTS = T.StructType([T.StructField(name, T.IntegerType()) for name in ("ident
 _moments = pa.struct([(f.name, pa.float64()) for f in _MOMENTS])
 lines_of_text = F.arrow_udf(_per_text(line_counts, pa.struct(
     [*((name, pa.int32()) for name in ("lines", "code", "repeated", "comments")), ("entropy", _moments), ("lengths", _moments)])), _LINES)
-words_of_text = F.arrow_udf(_per_text(word_counts, pa.struct([(f.name, pa.int32()) for f in _COUNTS])), _COUNTS)
+words_of_text = F.arrow_udf(_words, _COUNTS)
 
 
 def holds(literals: Sequence[str], lowered: bool) -> Callable[[str], Column]:

@@ -211,3 +211,64 @@ def test_lines_are_counted_beside_the_pattern_engine():
     assert got["lengths"]["n"] == 6.0 and got["lengths"]["s"] == float(sum(len(x) for x in text.split("\n")))
     assert got["entropy"]["n"] == 3.0 and abs(got["entropy"]["s"] - (1.5 + 1.5 + tokens._log2(3))) < 1e-12
     assert tokens.word_counts("Data 1abc éabc _ab DATA ab".encode()) == {"identifiers": 4, "generic_identifiers": 2}
+
+
+ODD_PLACES = ("\n\nx", " ", "\n", "a\n\n \n( ", "é", "'", '"', "`", ")", "\n;", " eval\n(", "eval(x)", "new\n\nFunction(", "console.\nlog(\n email)", "password =\n'abcdefgh1'",
+              "random.choice(\n\n", "yaml.load(\n", "hashlib.md5(\n\n pwd", "\\", "addEventListener('copy',\n f) {", "clipboardData.setData", "fetch('/api')\n.then(\n", "\r\n", " ")
+
+
+def test_matches_are_found_at_their_places(spark):
+    """Only lines that a match can reach are searched, and they hold every match, also those over many lines."""
+    import random
+    import re
+
+    from codewarden.operators.places import Places, reach
+
+    rng, reaching, searched, whole = random.Random(4), 0, 0, 0
+    known = [(r, re.compile(r.pattern, re.ASCII | (re.I if "i" in r.flags else 0) | (re.M if "m" in r.flags else 0)), reach(r.pattern, r.flags))
+             for r in catalog() if r.check is None and r.linear is None]
+    assert sum(found is None for _, _, found in known) <= 4
+    texts = ["".join(rng.choice(ODD_PLACES) if rng.random() < 0.3 else "words of a text\n" for _ in range(60)) for _ in range(300)]
+    for r, pattern, found in known:
+        if found is None:
+            continue
+        places = Places(found)
+        for text in texts + [body for _, body in SNIPPETS]:
+            raw = text.encode()
+            want = [(len(text[:m.start()].encode()), len(text[:m.end()].encode())) for m in pattern.finditer(text)]
+            at = places.of(raw, raw.lower())
+            if at is None:
+                whole += 1
+                continue
+            searched += sum(end - begin for begin, end in at)
+            reaching += len(want)
+            got = [(begin + len(part[:m.start()].encode()), begin + len(part[:m.end()].encode())) for begin, end in at
+                   for part in [raw[begin:end].decode()] for m in pattern.finditer(part)]
+            assert got == want, (r.rule_id, text)
+    assert reaching > 500 and searched < 0.2 * len(known) * sum(map(len, texts))
+    assert reach(r"x(?<=\s)eval", "g") is None and reach(r"^eval", "g") is None and reach(r"[^]eval", "g") is None and reach("ab", "g") is None
+
+
+def test_a_match_far_down_a_long_text_runs_on_few_lines(make_files):
+    """The pattern ran over the whole text; the lines above its place count, and a marker in the text changes nothing."""
+    from codewarden.operators.literals import parts_of
+    from codewarden.operators.places import Places, reach
+
+    prose = "some words in a line\n" * 500
+    text = f"{prose}x = eval\n\n(y)\n{prose}"
+    places = [Places(reach(r"\beval\s*\(", "g")), None]
+    assert parts_of(text.encode(), [0], places, 1) == [(0, 500, b"x = eval\n\n(y)")]
+    assert parts_of(text.encode(), [0, 1], places, 1) == [(0, 0, None), (1, 0, None)]
+    files = make_files(("a.ts", text), ("b.ts", text + "\uFDD0 \uFDD1"), ("c.ts", "it's eval(x) \\' `eval(y)` eval(z)"))
+    found = {(r.file_path, r.start_line, r.match_ord) for r in scan_rules(files, catalog()).filter("rule_id = 'EVAL-001'").collect()}
+    assert found == {("a.ts", 501, 0), ("b.ts", 501, 0)}
+
+
+def test_words_of_many_texts_are_those_of_each():
+    import pyarrow as pa
+
+    texts = [b"", b"data item", b"it", "éresult\n_x 9ab".encode(), b"items" * 40, b"value", b"valve data1 data"]
+    want = [None if t is None else tokens.word_counts(t) for t in [None, *texts]]
+    assert tokens._words(pa.array([None, *texts], pa.binary())).to_pylist() == want
+    assert [c["generic_identifiers"] for c in want[1:]] == [0, 2, 0, 1, 0, 1, 1]
+    assert tokens.longer_tokens("a bb é日 é 日\xa0x cc\ny".encode()) == ("  bb é日" + 10 * " " + "cc\n ").encode()
