@@ -22,6 +22,10 @@ COMMENT_PATTERNS = (
     (r"""\*\s+@(description|summary|example)\s+\w.{10,}""", "i"),
 )
 COMMENT_NEEDS = ("//", "//", "@param", "//", "//", "//", "//", "//", "//", "//", "//", "@")
+# How every match of a pattern that needs the literal begins, whatever its case, in UTF-8: an address goes on in other ways.
+OPENINGS = {"//": r"//[\s\x80-\xff]*(?:this |a |initialize|create|define|set|configure|return|helper |todo|fixme|note|hack|handle|process|check"
+                  r"|get|update|delete|build|render|fetch|load|save|convert|parse|validate|format|we |step |[1-9]\.|first|second|third|then"
+                  r"|finally|next|the )"}
 
 BOILERPLATE_PATTERNS = (
     (r"""export\s+default\s+function\s+\w+\([^)]*\)\s*\{[\s\S]{0,200}return\s*\([\s\S]{0,500}\);\s*\}""", ""),

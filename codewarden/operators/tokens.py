@@ -27,7 +27,7 @@ from codewarden.functions.dialect import SPACE_CHARS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Words of so many bytes are looked at together.
+# Texts of so many bytes are looked at together.
 PORTION = 1 << 20
 _ascii = [chr(b) for b in range(128)]
 _word = re.compile(r"\w", re.ASCII).match
@@ -36,9 +36,8 @@ _separator = re.compile("[" + A.TOKEN_SEPARATORS[1:-2].replace(r"\s", SPACE_CHAR
 _TOKENS = bytes(32 if b < 128 and b != 10 and _separator(_ascii[b]) else b for b in range(256))
 # words in lower case, all else as blanks
 _WORDS = bytes(ord(_ascii[b].lower()) if b < 128 and _word(_ascii[b]) else 32 for b in range(256))
-_wide_spaces = re.compile("[" + "".join(c for c in SPACE_CHARS if c > "\x7f") + "]")
-# the first bytes of them, of which any has at least one
-_wide_starts = sorted({c.encode()[:2] for c in SPACE_CHARS if c > "\x7f"})
+# spaces of more than one byte, as the numbers of their first three
+_WIDE = np.array([int.from_bytes(c.encode().ljust(3, b"\0")) for c in SPACE_CHARS if c > "\x7f"], np.int32)
 _generic = frozenset(w.encode() for w in A.GENERIC_WORDS)
 
 
@@ -90,37 +89,37 @@ def entropy(tokens: list[bytes]) -> float:
     return _log2(n) - sum([_weights[c] for c in counts.values() if c > 1]) / n
 
 
+def _blank(b: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+    """Blanks for characters of some bytes."""
+    for k in range(4):
+        b[at[size > k] + k] = 32
+
+
 def longer_tokens(raw: bytes) -> bytes:
     """The text with blanks for separators and for tokens of one character."""
-    blank = raw.translate(_TOKENS)
-    if raw.isascii():
-        b = np.frombuffer(b"\n" + blank + b"\n", np.uint8).copy()
-        gap = (b == 32) | (b == 10)
-        b[1:-1][gap[:-2] & ~gap[1:-1] & gap[2:]] = 32
-        return b[1:-1].tobytes()
-    if any(w in blank for w in _wide_starts):
-        blank = _wide_spaces.sub(" ", blank.decode()).encode()
-    b = np.frombuffer(b"\n" + blank + b"\n", np.uint8).copy()
-    first = np.flatnonzero(b & 0xC0 != 0x80)
-    gap = (b[first] == 32) | (b[first] == 10)
-    alone = np.flatnonzero(gap[:-2] & ~gap[1:-1] & gap[2:]) + 1
-    for k in range(4):
-        at = first[alone] + k
-        b[at[at < first[alone + 1]]] = 32
+    b = np.frombuffer(b"\n" + raw.translate(_TOKENS) + b"\n", np.uint8).copy()
+    at = np.flatnonzero(b >= 0xC0)
+    size = 2 + (b[at] >= 0xE0).astype(np.int64) + (b[at] >= 0xF0)
+    wide = np.isin(b[at].astype(np.int32) << 16 | b[at + 1].astype(np.int32) << 8 | np.where(size > 2, b[np.minimum(at + 2, len(b) - 1)], 0), _WIDE)
+    _blank(b, at[wide], size[wide])
+    at, size = at[~wide], size[~wide]
+    gap = (b == 32) | (b == 10)
+    alone = gap[at - 1] & gap[at + size]
+    b[1:-1][gap[:-2] & ~gap[1:-1] & gap[2:]] = 32
+    _blank(b, at[alone], size[alone])
     return b[1:-1].tobytes()
 
 
-def line_counts(raw: bytes) -> dict:
-    """Numbers of a text's lines.
+def _of_lines(text: str, tokens: list[bytes]) -> dict:
+    """Numbers of a text's lines; ``tokens`` are its lines with blanks between the tokens.
 
     ``entropy`` and ``lengths`` are count, sum and sum of squares: of the entropies, above 0, of the code lines, and of the
     characters of the lines that are not empty.  Code lines are ``repeated`` if their text occurs at least twice.
     """
-    text = raw.decode("utf-8", "replace")
     n, s, ss = 0.0, 0.0, 0.0
     filled, chars, squares, comments, code = 0, 0, 0, 0, []
     lines = text.split("\n")
-    for line, parts in zip(lines, longer_tokens(raw if raw.isascii() else text.encode()).split(b"\n")):
+    for line, parts in zip(lines, tokens):
         bare = line.strip(SPACE_CHARS)
         if not bare:
             continue
@@ -137,6 +136,20 @@ def line_counts(raw: bytes) -> dict:
             "entropy": {"n": n, "s": s, "ss": ss}, "lengths": {"n": float(filled), "s": float(chars), "ss": float(squares)}}
 
 
+def lines_in(texts: Sequence[bytes]) -> list[dict]:
+    """The numbers of each text's lines."""
+    decoded = [t.decode("utf-8", "replace") for t in texts]
+    tokens, out, at = longer_tokens("\n".join(decoded).encode()).split(b"\n"), [], 0
+    for text in decoded:
+        begin, at = at, at + text.count("\n") + 1
+        out.append(_of_lines(text, tokens[begin:at]))
+    return out
+
+
+def line_counts(raw: bytes) -> dict:
+    return lines_in([raw])[0]
+
+
 def words_in(texts: Sequence[bytes]) -> list[dict[str, int]]:
     """How many identifiers each text has, and how many of them say nothing."""
     text = b" " + b" ".join(texts).translate(_WORDS) + b" "
@@ -159,21 +172,18 @@ def word_counts(raw: bytes) -> dict[str, int]:
     return words_in([raw])[0]
 
 
-def _words(texts: pa.Array) -> pa.Array:
-    rows, out, begin = texts.cast(pa.binary()).to_pylist(), [], 0
-    while begin < len(rows):
-        end, size = begin, 0
-        while end < len(rows) and size < PORTION:
-            size, end = size + len(rows[end] or b""), end + 1
-        part = rows[begin:end]
-        out += [None if t is None else c for t, c in zip(part, words_in([t or b"" for t in part]))]
-        begin = end
-    return pa.array(out, pa.struct([(f.name, pa.int32()) for f in _COUNTS]))
-
-
-def _per_text(body: Callable[[bytes], dict], kind: pa.StructType) -> Callable[[pa.Array], pa.Array]:
+def _per_text(body: Callable[[Sequence[bytes]], list[dict]], kind: pa.StructType) -> Callable[[pa.Array], pa.Array]:
+    """A function of texts, of which `body` gets some at a time; null for null."""
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else body(t) for t in texts.cast(pa.binary()).to_pylist()], kind)
+        rows, out, begin = texts.cast(pa.binary()).to_pylist(), [], 0
+        while begin < len(rows):
+            end, size = begin, 0
+            while end < len(rows) and size < PORTION:
+                size, end = size + len(rows[end] or b""), end + 1
+            part = rows[begin:end]
+            out += [None if t is None else c for t, c in zip(part, body([t or b"" for t in part]))]
+            begin = end
+        return pa.array(out, kind)
 
     return run
 
@@ -183,17 +193,24 @@ _LINES = T.StructType([*(T.StructField(name, T.IntegerType()) for name in ("line
                        *(T.StructField(name, _MOMENTS) for name in ("entropy", "lengths"))])
 _COUNTS = T.StructType([T.StructField(name, T.IntegerType()) for name in ("identifiers", "generic_identifiers")])
 _moments = pa.struct([(f.name, pa.float64()) for f in _MOMENTS])
-lines_of_text = F.arrow_udf(_per_text(line_counts, pa.struct(
+lines_of_text = F.arrow_udf(_per_text(lines_in, pa.struct(
     [*((name, pa.int32()) for name in ("lines", "code", "repeated", "comments")), ("entropy", _moments), ("lengths", _moments)])), _LINES)
-words_of_text = F.arrow_udf(_words, _COUNTS)
+words_of_text = F.arrow_udf(_per_text(words_in, pa.struct([(f.name, pa.int32()) for f in _COUNTS])), _COUNTS)
 
 
 def holds(literals: Sequence[str], lowered: bool) -> Callable[[str], Column]:
-    """A function of a column: which of the literals occur, in its text or its text in lower case (A to Z)."""
+    """A function of a column: which of the literals occur, in its text or its text in lower case (A to Z).
+
+    One of ``OPENINGS`` must go on as all patterns that need it do.
+    """
     words = [w.encode() for w in literals]
+    goes_on = {w.encode(): re.compile(p.encode(), re.IGNORECASE) for w, p in A.OPENINGS.items()}
+
+    def occurs(w: bytes, t: bytes) -> bool:
+        return w in t and (w not in goes_on or goes_on[w].search(t) is not None)
 
     def run(texts: pa.Array) -> pa.Array:
         rows = (t.lower() if lowered and t is not None else t for t in texts.cast(pa.binary()).to_pylist())
-        return pa.array([None if t is None else [w in t for w in words] for t in rows], pa.list_(pa.bool_()))
+        return pa.array([None if t is None else [occurs(w, t) for w in words] for t in rows], pa.list_(pa.bool_()))
 
     return F.arrow_udf(run, "array<boolean>")

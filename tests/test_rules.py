@@ -269,6 +269,28 @@ def test_words_of_many_texts_are_those_of_each():
 
     texts = [b"", b"data item", b"it", "éresult\n_x 9ab".encode(), b"items" * 40, b"value", b"valve data1 data"]
     want = [None if t is None else tokens.word_counts(t) for t in [None, *texts]]
-    assert tokens._words(pa.array([None, *texts], pa.binary())).to_pylist() == want
+    got = tokens._per_text(tokens.words_in, pa.struct([("identifiers", pa.int32()), ("generic_identifiers", pa.int32())]))(pa.array([None, *texts], pa.binary()))
+    assert got.to_pylist() == want and tokens.lines_in(texts) == [*map(tokens.line_counts, texts)]
     assert [c["generic_identifiers"] for c in want[1:]] == [0, 2, 0, 1, 0, 1, 1]
-    assert tokens.longer_tokens("a bb é日 é 日\xa0x cc\ny".encode()) == ("  bb é日" + 10 * " " + "cc\n ").encode()
+    assert tokens.longer_tokens("a bb é日 é 日\xa0x cc\ny".encode()) == ("  bb é日" + 11 * " " + "cc\n ").encode()
+
+
+def test_addresses_are_no_comments(spark):
+    """Ten patterns ran over each text with an address; every match of theirs goes on from its slashes as they all do."""
+    import re
+
+    from codewarden.catalog import authorship as A
+
+    opening = re.compile(A.OPENINGS["//"].encode(), re.IGNORECASE)
+    needing = [re.compile(p, re.M | (re.I if "i" in f else 0)) for (p, f), need in zip(A.COMMENT_PATTERNS, A.COMMENT_NEEDS) if need == "//"]
+    assert len(needing) == 10 and opening.search(b"http://example.org/a //b https://wet.example //\nthese") is None
+    words = sorted({w for p, _ in A.COMMENT_PATTERNS for w in re.findall("[A-Za-z]+", p)} | {"Step 3", "7.", "First,", "Set up the x", "A simple function that", "x"})
+    seen = 0
+    for first in words:
+        for space in ("", " ", "\n\t", "\xa0", "\u2003 "):
+            for rest in ("", " the x", " function handles", " helper class for", " need to x", " following code", ": ", ", x", " y", " method to z"):
+                text = f"//{space}{first}{rest}"
+                if any(p.search(text) for p in needing):
+                    seen += 1
+                    assert opening.search(text.encode()), text
+    assert seen > 200
