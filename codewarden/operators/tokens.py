@@ -72,6 +72,8 @@ class _Weights(dict):
 
 
 _weights = _Weights()
+# one of these begins each kind of comment
+_COMMENT_FIRST = frozenset(s[0] for s in _comment_wide)
 
 
 def entropy(tokens: list[bytes]) -> float:
@@ -125,8 +127,9 @@ def _of_lines(text: str, tokens: list[bytes]) -> dict:
             continue
         size = len(line)
         filled, chars, squares = filled + 1, chars + size, squares + size * size
-        comments += bare.startswith(_comment)
-        if len(bare) > 5 and not bare.startswith(_comment_wide):
+        maybe = bare[0] in _COMMENT_FIRST
+        comments += maybe and bare.startswith(_comment)
+        if len(bare) > 5 and not (maybe and bare.startswith(_comment_wide)):
             code.append(bare)
             e = entropy(parts.split())
             if e > 0:
