@@ -138,12 +138,21 @@ def phrase_hashes(columns: list[np.ndarray]) -> np.ndarray:
 
 def merged(h: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each hash once, in order, with its sum."""
+    if (h[1:] > h[:-1]).all():
+        return h, a
     order = np.argsort(h)
     h = h[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     return h[first], np.add.reduceat(a[order], first) if len(h) else a
 
 
+def tallied(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, in order, with how often it is there; sorts the hashes where they lie."""
+    h.sort()
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.diff(first, append=len(h))
+
+
 def dropped_bits(size: int, spare: int = 7, unit: int = 8) -> int:
     """Low bits of a hash that so many words do without, of which a whole number of units is left.
 
@@ -178,14 +187,19 @@ def runs(h: np.ndarray, a: np.ndarray, ranges: int, dropped: int = 0) -> pa.Reco
     A count takes one byte; a higher one is sent in several parts.
     """
     low = np.uint64(dropped)
-    h, a = merged(h >> low, a)
-    times = np.maximum(1, -(-a // 255))
-    last = np.cumsum(times) - 1
-    counts = np.full(int(times.sum()), 255, np.uint8)
-    counts[last] = a - 255 * (times - 1)
-    h = np.repeat(h, times)
-    of = (h << low >> np.uint64(16)) * np.uint64(ranges) >> np.uint64(32)
-    edges = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(h)]
+    h, a = merged(h >> low if dropped else h, a)
+    if a.max(initial=0) > 255:
+        times = np.maximum(1, -(-a // 255))
+        counts = np.full(int(times.sum()), 255, np.uint8)
+        counts[np.cumsum(times) - 1] = a - 255 * (times - 1)
+        h = np.repeat(h, times)
+    else:
+        counts = a.astype(np.uint8)
+    of = h << low
+    of >>= np.uint64(16)
+    of *= np.uint64(ranges)
+    of >>= np.uint64(32)
+    edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(h)]
     rows = [(int(of[i]), int(h[i]), dropped, j - i, *packed(np.diff(h[i:j])), squeezed(counts[i:j].tobytes()))
             for i, j in zip(edges, edges[1:]) if j > i]
     cols = list(zip(*rows)) or [()] * 7

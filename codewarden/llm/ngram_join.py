@@ -34,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codewarden.llm.collocations import HELD, RANGE, RUNS, as_filter, merged, read_runs, runs
+from codewarden.llm.collocations import RANGE, RUNS, as_filter, read_runs, runs, tallied
 from codewarden.llm.common import components, stored
 
 WIDTH, LEAST, GROUPS, LEAF = 3, (9, 10), 64, 16
 #: A block of a family: so many sets or shingles at most.
 BLOCK_SETS, BLOCK_SHINGLES = 2_000, 2_000_000
+#: Hashes that a task holds at most, and some texts' more, before it sends their counts.
+HELD = 1_000_000
 MASK = (1 << 64) - 1
 #: Least documents of a shingle in each class; a class is one filter of at most 2^28 bits.
 CLASSES = (2, 4, 16, 128)
@@ -99,19 +101,20 @@ def class_filters(docs: DataFrame, width: int) -> list[tuple[int, np.ndarray]]:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     ranges = 1 + chars // (8 * RANGE)
 
+    def taken(held: list[np.ndarray]) -> pa.RecordBatch:
+        h = np.concatenate(held)
+        held.clear()
+        return runs(*tallied(h), ranges)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: list[np.ndarray] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 held += [shingles(t, width) >> np.uint64(16) for t in batch["text"].slice(at, 500).to_pylist()]
-                size = sum(map(len, held))
-                if size > HELD:
-                    h = np.concatenate(held)
-                    yield runs(*merged(h, np.ones(len(h), np.int64)), ranges)
-                    held = []
+                if sum(map(len, held)) > HELD:
+                    yield taken(held)
         if held:
-            h = np.concatenate(held)
-            yield runs(*merged(h, np.ones(len(h), np.int64)), ranges)
+            yield taken(held)
 
     def add(group: pa.Table) -> pa.Table:
         h, n = read_runs(group)
